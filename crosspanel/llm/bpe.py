@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import map_rows
 
-#: What a Python worker keeps from one task to the next.
-_kept: dict = {}
 #: Entries of each cache of a worker; a full one starts anew, which costs time only.
 CACHE = 400_000
 #: Longer pieces and chunks are not kept.
@@ -142,6 +140,17 @@ WHITE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+_kept: dict[str, tuple[Encoder, dict[str, array], dict[str, list[int]]]] = {}
+
+
+def kept(name: str, ranks: dict[bytes, int]) -> tuple[Encoder, dict[str, array], dict[str, list[int]]]:
+    """An encoder with its caches of chunks and pieces, which a Python worker keeps from one task to the next."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Encoder(ranks), {}, {}
+    return _kept[name]
+
+
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: re.Pattern | None = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, ids) per row of docs; each match of ``pattern`` is encoded by itself, special tokens are ordinary text.
 
@@ -157,10 +166,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
         import regex
 
         find, cut = regex.compile(pattern).findall, chunk.findall if chunk else lambda text: [text]
-        if _kept.get("of") != (name, pattern):  # a worker process serves many tasks
-            _kept.clear()
-            _kept.update(of=(name, pattern), encoder=Encoder(shared.value), chunks={}, pieces={})
-        encoder, chunks, pieces = _kept["encoder"], _kept["chunks"], _kept["pieces"]
+        encoder, chunks, pieces = kept(name, shared.value)
 
         def learn(parts: set[str]) -> None:
             """Adds the parts to chunks."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, gbdt, langid, rules
+from crosspanel.llm import bpe, gbdt, langid, pii, rules, simhash
 from crosspanel.llm._rows import documents
 
 
@@ -35,6 +35,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", gbdt.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bpe, op5_quality_rules, op6_quality_classifier, op9_language_id)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.private_spans(documents(spark, sf_dir))
+    counts = [F.size(F.filter(F.split("base", ","), lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op9_language_id, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
