@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, gbdt, langid, pii, rules, simhash
+from crosspanel.llm import bpe, gbdt, langid, pii, rules, simhash, substring, suffixes
 from crosspanel.llm._rows import documents
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_earlier(documents(spark, sf_dir)).drop("kept")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +33,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbdt.score_quality(docs, trees).select("doc_id", gbdt.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict_languages(docs, langid.fit_languages(docs))
@@ -45,6 +53,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op9_language_id, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_array, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover, op9_language_id, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
