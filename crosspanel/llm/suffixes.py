@@ -40,23 +40,28 @@ class Strings:
     def __init__(self) -> None:
         self.rolling = Rolling(0x9E3779B97F4A7C15)
 
-    def runs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Least hash, first window and number of windows of each run."""
+    def runs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Least hash, first window and number of windows of each run, and whether its gram occurs again near by."""
         if len(data) < WIDTH:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        width = WIDTH - GRAM + 1
         grams = self.rolling.windows(self.rolling.prefix(np.frombuffer(data, np.uint8)), GRAM)
-        m = least(grams, WIDTH - GRAM + 1)
+        m = least(grams, width)
         start = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
-        return m[start], start, np.diff(np.concatenate([start, [len(m)]]))
+        # Grams that are the least of a window: as large as the greatest least hash of the windows around them.
+        around = ~least(~np.concatenate([np.zeros(width - 1, np.uint64), m, np.zeros(width - 1, np.uint64)]), width)
+        at = np.flatnonzero(grams == around)
+        at = at[np.lexsort((at, grams[at]))]
+        near = (grams[at][1:] == grams[at][:-1]) & (np.diff(at) < width)
+        return m[start], start, np.diff(np.concatenate([start, [len(m)]])), np.isin(m[start], grams[at][1:][near])
 
 
 def _anchors():
     strings = Strings()
 
     def find(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m, start, n = strings.runs(text.encode("utf-8", "replace"))
-        # More windows than one place of the gram can have: it occurs again inside the run.
-        return m, start, n > WIDTH - GRAM + 1
+        m, start, _, near = strings.runs(text.encode("utf-8", "replace"))
+        return m, start, near
 
     return find
 
@@ -73,7 +78,7 @@ def _strings(batches: Iterator[list[list]]) -> Iterator[list]:
             rows: list[tuple] = []
             for key, id_, text, at in zip(keys[i:j], ids[i:j], texts[i:j], found[i:j], strict=True):
                 data = text.encode("utf-8", "replace")
-                m, start, n = strings.runs(data)
+                m, start, n, _ = strings.runs(data)
                 wanted = np.isin(start, np.array(at, np.int64))
                 for h, s, k in zip(m[wanted].view(np.int64).tolist(), start[wanted].tolist(), n[wanted].tolist(), strict=True):
                     part = data[s : s + k + WIDTH - 1]
