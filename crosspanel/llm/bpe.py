@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from crosspanel.llm._rows import map_rows
 
 #: Entries of each cache of a worker; a full one starts anew, which costs time only.
-CACHE = 400_000
+CACHE = 150_000
 #: Longer pieces and chunks are not kept.
 CACHE_CHARS = 64
 #: Pieces that share a queue.
@@ -48,32 +48,39 @@ class Encoder:
         self.ranks = ranks
         self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.buckets: dict[int, list[int]] = {}
+        self.pairs = np.full(65_536, -1)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] * 256 + token[1]] = rank
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece.  A piece that is a token is that token, whatever its parts would merge to."""
         ranks = self.ranks
-        rank_of, low, buckets, top = ranks.get, self.low, self.buckets, 0
-        data = b"".join(x for x in pieces if x not in ranks)
+        rank_of, low, buckets = ranks.get, self.low, self.buckets
+        rest = [x for x in pieces if x not in ranks]
+        data = b"".join(rest)
         n = len(data)
-        starts = bytearray(n + 1)
-        starts[n], at = 1, 0
-        for x in pieces:
-            if x not in ranks:
-                starts[at] = 1
-                at += len(x)
+        ends = np.cumsum([len(x) for x in rest], dtype=np.int64)
+        flags = np.zeros(n + 1, np.uint8)
+        flags[0] = flags[n] = 1
+        flags[ends] = 1
+        starts = flags.tobytes()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # the rank wanted for the part at i and the next one of its piece
-        for i in range(n - 1):
-            if not starts[i + 1]:
-                r = pair[i] = rank_of(data[i : i + 2], -1)
-                if r >= 0:
-                    if r in buckets:
-                        buckets[r].append(i)
-                    else:
-                        buckets[r] = [i]
-                        low[r >> 8] |= 1 << (r & 255)
-                        top |= 1 << (r >> 8)
+        # The rank wanted for the part at i and the next one of its piece; first all pairs of bytes at once.
+        codes = np.frombuffer(data, np.uint8).astype(np.int64)
+        wanted = np.full(n, -1)
+        wanted[:-1] = np.where(flags[1:n] == 1, -1, self.pairs[codes[:-1] * 256 + codes[1:]])
+        pair = wanted.tolist()
+        order = np.argsort(wanted, kind="stable")
+        order = order[np.searchsorted(wanted[order], 0) :]
+        first, at = np.unique(wanted[order], return_index=True)
+        order, at = order.tolist(), [*at.tolist(), len(order)]
+        top = 0
+        for k, r in enumerate(first.tolist()):
+            buckets[r] = order[at[k] : at[k + 1]]
+            low[r >> 8] |= 1 << (r & 255)
+            top |= 1 << (r >> 8)
         while top:
             w = (top & -top).bit_length() - 1
             word = low[w]

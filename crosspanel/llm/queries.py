@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, gbdt, langid, pii, rules, simhash, substring, suffixes
+from crosspanel.llm import bpe, decontaminate, gbdt, langid, pii, rules, simhash, substring, suffixes, warc
 from crosspanel.llm._rows import documents
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_earlier(documents(spark, sf_dir)).drop("kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +61,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_array, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover, op9_language_id, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover, op9_language_id, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
