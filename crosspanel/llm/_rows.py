@@ -44,14 +44,14 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Itera
     arrow = pa.schema([(n, _ARROW[t]) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = ([c.to_pylist() for c in part.columns] for b in batches for part in _parts(b))
+        source = ([c.to_pylist() for c in part.columns] for b in batches for part in parts(b))
         for out in fn(source):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of about BATCH bytes, since Python objects take several times the room of Arrow's."""
     rows = max(1, batch.num_rows * BATCH // max(1, batch.nbytes))
     for i in range(0, batch.num_rows, rows):

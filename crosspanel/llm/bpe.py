@@ -14,21 +14,21 @@ import base64
 import re
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm._rows import map_rows
+from crosspanel.llm._rows import map_rows, parts
 
 #: Entries of each cache of a worker; a full one starts anew, which costs time only.
-CACHE = 150_000
+CACHE = 250_000
 #: Longer pieces and chunks are not kept.
 CACHE_CHARS = 64
 #: Pieces that share a queue.
-AT_ONCE = 20_000
+AT_ONCE = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,108 +37,184 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Pairs:
+    """Rank of the token that two neighbouring tokens make together, for arrays of token pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = max(ranks.values(), default=0) + 1
+        found = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    found[left * self.size + right] = rank
+        self.table = found
+        self.bits = max(8, (4 * len(found)).bit_length())
+        keys = np.fromiter(found, np.int64, len(found))
+        values = np.fromiter(found.values(), np.int64, len(found))
+        # Open addressing, filled by all keys that are still without a place at once.
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        at, self.probes = self.slot(keys), 0
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            rest = self.keys[at] != keys
+            at, keys, values = (at[rest] + 1) & ((1 << self.bits) - 1), keys[rest], values[rest]
+            self.probes += 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """-1 where the two make no token."""
+        keys = left * self.size + right
+        at = self.slot(keys)
+        out = np.where(self.keys[at] == keys, self.values[at], -1)
+        todo = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        for _ in range(self.probes):
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[at[todo]]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (seen >= 0)]
+        return out
+
+
 class Encoder:
     """Encodes pieces (pre-tokens), many in one queue: they share the buckets but no links, so each merges as it would alone.
 
     The bitmap has two levels: words of 256 ranks, and one summary with a bit per word.  Both are plain integers, in which
-    ``x & -x`` isolates the first set bit.  A finished call leaves the queue empty, so nothing is cleared.
+    ``x & -x`` isolates the first set bit.  A finished call leaves the queue empty, so nothing is cleared.  A large bucket is merged
+    in numpy, but for pairs whose order matters.
     """
 
+    LARGE = 48
+
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.buckets: dict[int, list[int]] = {}
-        self.pairs = np.full(65_536, -1)
-        for token, rank in ranks.items():
-            if len(token) == 2:
-                self.pairs[token[0] * 256 + token[1]] = rank
+        self.pairs = Pairs(ranks)
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
+        self.top = 0
+
+    def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Positions whose rank is not -1 go to their buckets."""
+        good = ranks >= 0
+        ranks, positions = ranks[good], positions[good]
+        order = np.argsort(ranks, kind="stable")
+        first, at = np.unique(ranks[order], return_index=True)
+        positions, at = positions[order].tolist(), [*at.tolist(), len(order)]
+        for k, r in enumerate(first.tolist()):
+            if r in self.buckets:
+                self.buckets[r] += positions[at[k] : at[k + 1]]
+            else:
+                self.buckets[r] = positions[at[k] : at[k + 1]]
+                self.low[r >> 8] |= 1 << (r & 255)
+                self.top |= 1 << (r >> 8)
+
+    def pop(self) -> tuple[int, list[int]]:
+        """The least rank and its bucket, which leaves the queue."""
+        w = (self.top & -self.top).bit_length() - 1
+        word = self.low[w]
+        r = (w << 8) + (word & -word).bit_length() - 1
+        self.low[w] = word = word & (word - 1)
+        if not word:
+            self.top &= self.top - 1
+        return r, self.buckets.pop(r)
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece.  A piece that is a token is that token, whatever its parts would merge to."""
-        ranks = self.ranks
-        rank_of, low, buckets = ranks.get, self.low, self.buckets
-        rest = [x for x in pieces if x not in ranks]
-        data = b"".join(rest)
-        n = len(data)
-        ends = np.cumsum([len(x) for x in rest], dtype=np.int64)
-        flags = np.zeros(n + 1, np.uint8)
-        flags[0] = flags[n] = 1
-        flags[ends] = 1
-        starts = flags.tobytes()
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        # The rank wanted for the part at i and the next one of its piece; first all pairs of bytes at once.
-        codes = np.frombuffer(data, np.uint8).astype(np.int64)
-        wanted = np.full(n, -1)
-        wanted[:-1] = np.where(flags[1:n] == 1, -1, self.pairs[codes[:-1] * 256 + codes[1:]])
-        pair = wanted.tolist()
-        order = np.argsort(wanted, kind="stable")
-        order = order[np.searchsorted(wanted[order], 0) :]
-        first, at = np.unique(wanted[order], return_index=True)
-        order, at = order.tolist(), [*at.tolist(), len(order)]
-        top = 0
-        for k, r in enumerate(first.tolist()):
-            buckets[r] = order[at[k] : at[k + 1]]
-            low[r >> 8] |= 1 << (r & 255)
-            top |= 1 << (r >> 8)
-        while top:
-            w = (top & -top).bit_length() - 1
-            word = low[w]
-            least = (w << 8) + (word & -word).bit_length() - 1
-            bucket = buckets.pop(least)
-            low[w] = word = word & (word - 1)
-            if not word:
-                top &= top - 1
-            bucket.sort()
-            for done, i in enumerate(bucket, 1):
-                if pair[i] != least:
-                    continue  # stale: the pair at i has changed since
-                j = after[i]
-                k = after[i] = after[j]
-                pair[j] = -1
-                lower = False
-                if starts[k]:
-                    pair[i] = -1
-                else:
-                    before[k] = i
-                    r = pair[i] = rank_of(data[i : after[k]], -1)
-                    if r >= 0:
-                        lower = r < least
-                        if r in buckets:
-                            buckets[r].append(i)
-                        else:
-                            buckets[r] = [i]
-                            low[r >> 8] |= 1 << (r & 255)
-                            top |= 1 << (r >> 8)
-                if not starts[i]:
-                    h = before[i]
-                    r = pair[h] = rank_of(data[h:k], -1)
-                    if r >= 0:
-                        lower |= r < least
-                        if r in buckets:
-                            buckets[r].append(h)
-                        else:
-                            buckets[r] = [h]
-                            low[r >> 8] |= 1 << (r & 255)
-                            top |= 1 << (r >> 8)
-                if lower and done < len(bucket):  # a lower rank goes first; the rest of this bucket waits
-                    buckets[least] = bucket[done:]
-                    low[least >> 8] |= 1 << (least & 255)
-                    top |= 1 << (least >> 8)
-                    break
-        out, i = [], 0
-        for x in pieces:
-            r = rank_of(x)
-            if r is not None:
-                out.append([r])
+        known = [self.ranks.get(x) for x in pieces]
+        rest = [x for x, r in zip(pieces, known, strict=True) if r is None]
+        n = sum(map(len, rest))
+        token = np.append(self.bytes[np.frombuffer(b"".join(rest), np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        starts = np.zeros(n + 2, bool)
+        starts[0] = starts[n] = True
+        starts[np.cumsum([len(x) for x in rest], dtype=np.int64)] = True
+        piece = np.cumsum(starts)
+        pair = np.full(n + 1, -1)  # the rank wanted for the part at i and the next one of its piece
+        inner = np.flatnonzero(~starts[1:n]) if n > 1 else np.zeros(0, np.int64)
+        pair[inner] = self.pairs.ranks(token[inner], token[inner + 1])
+        self.push(pair[inner], inner)
+        state = tuple(memoryview(x) for x in (token, after, before, starts, pair))
+        while self.top:
+            rank, bucket = self.pop()
+            if len(bucket) >= self.LARGE:
+                bucket = self._merge(rank, bucket, token, after, before, starts, pair, piece)
+            self._merge_each(rank, bucket, *state)
+        heads = np.flatnonzero(starts[:n])
+        alive = np.zeros(n + 1, bool)
+        at = heads
+        while len(at):
+            alive[at] = True
+            at = after[at]
+            at = at[~starts[at]]
+        where = np.flatnonzero(alive)
+        ids, cut = token[where].tolist(), [*np.searchsorted(where, heads).tolist(), len(where)]
+        found = (ids[cut[k] : cut[k + 1]] for k in range(len(heads)))
+        return [[r] if r is not None else next(found) if x else [] for x, r in zip(pieces, known, strict=True)]
+
+    def _merge(self, rank: int, bucket: list[int], token, after, before, starts, pair, piece) -> list[int]:
+        """Merges pairs of the bucket at once, and returns those that must go one by one: pairs that touch or follow one another, and all
+        of a piece where a merge asks for a lower rank."""
+        i = np.sort(np.array(bucket))
+        i = i[pair[i] == rank]  # the others are stale: their pairs have changed
+        if not len(i):
+            return []
+        k = after[after[i]]
+        meets = (k[:-1] >= i[1:]) & (piece[i[:-1]] == piece[i[1:]])
+        apart = ~(np.append(meets, False) | np.append(False, meets))
+        inside, left = ~starts[k], ~starts[i]
+        ahead, behind = np.full(len(i), -1), np.full(len(i), -1)
+        ahead[inside] = self.pairs.ranks(np.full(int(inside.sum()), rank), token[k[inside]])
+        behind[left] = self.pairs.ranks(token[before[i[left]]], np.full(int(left.sum()), rank))
+        lower = ((ahead >= 0) & (ahead < rank)) | ((behind >= 0) & (behind < rank))
+        if lower.any():
+            apart &= ~np.isin(piece[i], piece[i[lower]])
+        one_by_one = i[~apart].tolist()
+        i, k, inside, left, ahead, behind = (x[apart] for x in (i, k, inside, left, ahead, behind))
+        pair[after[i]] = -1
+        token[i], after[i], pair[i] = rank, k, ahead
+        before[k[inside]] = i[inside]
+        m = before[i[left]]
+        pair[m] = behind[left]
+        self.push(np.concatenate([ahead, behind[left]]), np.concatenate([i, m]))
+        return one_by_one
+
+    def _merge_each(self, rank: int, bucket: list[int], token, after, before, starts, pair) -> None:
+        """One pair after another, from the left; a lower rank that turns up goes first, and the rest of the bucket waits."""
+        buckets, low, size, rank_of = self.buckets, self.low, self.pairs.size, self.pairs.table.get
+        bucket.sort()
+        for done, i in enumerate(bucket, 1):
+            if pair[i] != rank:
                 continue
-            ids, end = [], i + len(x)
-            while i < end:
-                j = after[i]
-                ids.append(ranks[data[i:j]])
-                i = j
-            out.append(ids)
-        return out
+            j = after[i]
+            k = after[j]
+            token[i], after[i], pair[j], pair[i] = rank, k, -1, -1
+            lower = False
+            for a, b in ((i, k), (before[i], i)):
+                if starts[b]:
+                    continue
+                if b == k:
+                    before[k] = i
+                r = pair[a] = rank_of(token[a] * size + token[b], -1)
+                if r >= 0:
+                    lower |= r < rank
+                    if r in buckets:
+                        buckets[r].append(a)
+                    else:
+                        buckets[r] = [a]
+                        low[r >> 8] |= 1 << (r & 255)
+                        self.top |= 1 << (r >> 8)
+            if lower and done < len(bucket):
+                buckets[rank] = bucket[done:]
+                low[rank >> 8] |= 1 << (rank & 255)
+                self.top |= 1 << (rank >> 8)
+                return
 
 
 #: The characters that the pattern language's \\s stands for.
@@ -211,7 +287,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
     return map_rows(docs, [id_col, text_col], f"{id_col} long, ids array<int>", run)
 
 
-def batched(ids: list, texts: list[str | None], cut, chars: int = 2_000_000) -> Iterator[tuple[list, list[list[str]]]]:
+def batched(ids: list, texts: list[str | None], cut, chars: int = 4_000_000) -> Iterator[tuple[list, list[list[str]]]]:
     """Some rows at a time, of about so many characters together, with the chunks of each text."""
     some, parts, size = [], [], 0
     for key, text in zip(ids, texts, strict=True):
@@ -225,8 +301,12 @@ def batched(ids: list, texts: list[str | None], cut, chars: int = 2_000_000) ->
         yield some, parts
 
 
-def decode_ids(ids: Iterable[int], tokens: list[bytes]) -> bytes:
-    return b"".join([tokens[i] for i in ids])
+def decode_lists(ids: pa.ListArray, tokens: pa.BinaryArray) -> pa.BinaryArray:
+    """The bytes of each list of ids: one buffer with all tokens' bytes, cut where the lists end."""
+    data = tokens.take(ids.flatten())
+    ends = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+    at = np.frombuffer(data.buffers()[1], np.int32)[data.offset + ends] if len(data) else np.zeros(len(ends), np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at, np.int32)), data.buffers()[2] or pa.py_buffer(b"")])
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -236,13 +316,16 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], id_col: str =
     """
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        tokens = [b""] * (max(shared.value.values(), default=0) + 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [b""] * (max(shared.value.values(), default=0) + 1)
         for token, rank in shared.value.items():
-            tokens[rank] = token
-        for keys, counts, digests, ids in batches:
-            yield [keys, counts, digests, [decode_ids(x or (), tokens) for x in ids]]
+            table[rank] = token
+        tokens = pa.array(table, pa.binary())
+        for batch in batches:
+            for part in parts(batch):
+                key, count, digest, ids = part.columns
+                yield pa.RecordBatch.from_arrays([key, count, digest, decode_lists(ids, tokens)], names=[id_col, "n_tokens", "ids_sha256", "decoded"])
 
     ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))
-    ready = encoded.select(F.col(f"`{id_col}`"), F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), ids.alias("ids"))
-    return map_rows(ready, [id_col, "n_tokens", "ids_sha256", "ids"], f"{id_col} long, n_tokens long, ids_sha256 string, decoded binary", run)
+    ready = encoded.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), ids.alias("ids"))
+    return ready.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded binary")
