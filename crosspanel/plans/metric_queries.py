@@ -120,16 +120,16 @@ def _events(t):
     return t("part").select(F.col("p_brand").alias("ticker"), F.date_add(F.lit("1995-06-01").cast("date"), F.col("p_size")).alias("day"), F.col("p_partkey").alias("id"))
 
 
-@query("j06_l09_forward_rows", f"WITH panel AS ({PRICES}), p AS (SELECT ticker, date AS pd, price, lead(price, 1) {W} AS p1, lead(price, 5) {W} AS p5 FROM panel), {_PARTS} SELECT id, ev.ticker, day, pd, price, round(p1 / price - 1, 4) AS fwd_1, round(p5 / price - 1, 4) AS fwd_5 FROM ev ASOF LEFT JOIN p ON ev.ticker = p.ticker AND day <= pd")
+@query("j06_l09_forward_rows", f"WITH panel AS ({PRICES}), p AS (SELECT ticker, date AS pd, price, lead(price, 1) {W} AS p1, lead(price, 5) {W} AS p5 FROM panel), {_PARTS} SELECT id, ev.ticker, day, pd, round(price, 4) AS price, round(p1 / price - 1, 4) AS fwd_1, round(p5 / price - 1, 4) AS fwd_5 FROM ev ASOF LEFT JOIN p ON ev.ticker = p.ticker AND day <= pd")
 def _(t):
     p = prices(t).select("ticker", F.col("date").alias("pd"), "price")
     return rounded(J.forward_rows(_events(t), p, ["ticker"], "day", "pd", "price", [1, 5]).select("id", "ticker", "day", "pd", "price", "fwd_1", "fwd_5"))
 
 
-@query("j07_forward_days", f"WITH panel AS ({PRICES}), p AS (SELECT ticker, date AS later_date, price AS later_price FROM panel), {_PARTS} SELECT id, ev.ticker, day, later_date, later_price FROM ev ASOF LEFT JOIN p ON ev.ticker = p.ticker AND day + 60 <= later_date")
+@query("j07_forward_days", f"WITH panel AS ({PRICES}), p AS (SELECT ticker, date AS later_date, price AS later_price FROM panel), {_PARTS} SELECT id, ev.ticker, day, later_date, round(later_price, 4) AS later_price FROM ev ASOF LEFT JOIN p ON ev.ticker = p.ticker AND day + 60 <= later_date")
 def _(t):
     p = prices(t).select("ticker", F.col("date").alias("pd"), "price")
-    return J.forward_days(_events(t), p, ["ticker"], "day", "pd", "price", 60).select("id", "ticker", "day", "later_date", "later_price")
+    return rounded(J.forward_days(_events(t), p, ["ticker"], "day", "pd", "price", 60).select("id", "ticker", "day", "later_date", "later_price"))
 
 
 @query("j08_nearest_within", f"WITH o AS ({_O}) SELECT a.id, b.id AS near FROM o a JOIN o b ON a.k = b.k AND b.d - a.d BETWEEN 15 AND 100 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY abs(b.d - a.d - 0), b.d, b.id) = 1")

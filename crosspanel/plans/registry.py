@@ -34,10 +34,10 @@ def rounded(df: DataFrame, *keys: str, digits: int = 4) -> DataFrame:
 def prices(tables) -> DataFrame:
     """Panel (date, ticker, price, sector): mean line price by week and brand; the sector is the brand's first digit."""
     rows = tables("lineitem").join(tables("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("p_brand").alias("ticker")).agg(F.round(F.avg("l_extendedprice"), 4).alias("price")).withColumn("sector", F.substring("ticker", 7, 1))
+    return rows.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("p_brand").alias("ticker")).agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("price")).withColumn("sector", F.substring("ticker", 7, 1))
 
 
-PRICES = """SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, p_brand AS ticker, round(avg(l_extendedprice), 4) AS price,
+PRICES = """SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, p_brand AS ticker, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS price,
  substr(p_brand, 7, 1) AS sector FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 4"""
 
 

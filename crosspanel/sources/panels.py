@@ -32,7 +32,7 @@ def sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows whose key is unknown, one for each key."""
-    first = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key]))).filter("__n = 1").drop("__n")
+    first = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*new.columns))).filter("__n = 1").drop("__n")
     return first.join(existing.select(key), key, "left_anti").select(*new.columns)
 
 
