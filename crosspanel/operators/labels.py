@@ -9,11 +9,9 @@ from crosspanel.functions.columns import div, last_rows, section, series
 from crosspanel.operators.cross_section import unit_rank
 from crosspanel.operators.technical import log_return
 
-W = series()
-
-
-def forward_return(h: int, price: str = "price", w: WindowSpec = W) -> Column:
+def forward_return(h: int, price: str = "price", w: WindowSpec | None = None) -> Column:
     """Return over the next h rows."""
+    w = w or series()
     return div(F.lead(price, h).over(w), price) - 1
 
 
@@ -23,7 +21,8 @@ def with_vol_normalised(df: DataFrame, h: int, n: int = 20, price: str = "price"
     The limits come from rows that satisfy ``until``; without it they come from the whole sample, which looks ahead.
     """
     df = df.withColumn("__l", log_return(price))
-    sigma = F.when(F.count("__l").over(last_rows(W, n)) >= max(1, n // 2), F.stddev_samp("__l").over(last_rows(W, n)))
+    frame = last_rows(series(entity), n)
+    sigma = F.when(F.count("__l").over(frame) >= max(1, n // 2), F.stddev_samp("__l").over(frame))
     df = df.withColumn("__y", forward_return(h, price) / (sigma * F.sqrt(F.lit(float(h))) + 1e-8))
     own = Window.partitionBy(entity)
     seen = F.col("__y") if until is None else F.when(until, F.col("__y"))

@@ -11,43 +11,48 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import YEAR, compound, div, last_rows, rolling, series
 
-W = series()
-
-
-def simple_return(price: str = "price", w: WindowSpec = W, n: int = 1) -> Column:
+def simple_return(price: str = "price", w: WindowSpec | None = None, n: int = 1) -> Column:
+    w = w or series()
     return div(price, F.lag(price, n).over(w)) - 1
 
 
-def log_return(price: str = "price", w: WindowSpec = W) -> Column:
+def log_return(price: str = "price", w: WindowSpec | None = None) -> Column:
+    w = w or series()
     return F.log(div(price, F.lag(price).over(w)))
 
 
-def momentum(r: str, n: int, skip: int = 0, w: WindowSpec = W) -> Column:
+def momentum(r: str, n: int, skip: int = 0, w: WindowSpec | None = None) -> Column:
     """Compound return of the last n rows without the most recent ``skip``; needs n returns."""
+    w = w or series()
     return F.when(F.count(r).over(last_rows(w, n)) >= n, compound(r).over(w.rowsBetween(-(n - 1), -skip)) - 1)
 
 
-def momentum_sum(r: str, n: int, w: WindowSpec = W) -> Column:
+def momentum_sum(r: str, n: int, w: WindowSpec | None = None) -> Column:
+    w = w or series()
     return rolling(F.sum, r, n, w)
 
 
-def volatility(r: str, n: int, w: WindowSpec = W, year: int = YEAR, least: int | None = None) -> Column:
+def volatility(r: str, n: int, w: WindowSpec | None = None, year: int = YEAR, least: int | None = None) -> Column:
+    w = w or series()
     return rolling(F.stddev_samp, r, n, w, least) * F.sqrt(F.lit(float(year)))
 
 
-def rolling_sharpe(r: str, n: int, rate: float = 0.0, w: WindowSpec = W, year: int = YEAR) -> Column:
+def rolling_sharpe(r: str, n: int, rate: float = 0.0, w: WindowSpec | None = None, year: int = YEAR) -> Column:
+    w = w or series()
     mean = rolling(F.avg, r, n, w) - rate / year
     return div(mean * year, F.nullif(volatility(r, n, w, year), F.lit(0.0)))
 
 
-def with_max_drawdown(df: DataFrame, n: int, price: str = "price", out: str = "max_drawdown", w: WindowSpec = W) -> DataFrame:
+def with_max_drawdown(df: DataFrame, n: int, price: str = "price", out: str = "max_drawdown", w: WindowSpec | None = None) -> DataFrame:
     """Least drawdown from the rolling peak (from the first row on) over a full window of n rows."""
+    w = w or series()
     down = div(price, F.max(price).over(last_rows(w, n))) - 1
     return df.withColumn("__d", down).withColumn(out, rolling(F.min, "__d", n, w)).drop("__d")
 
 
-def with_rsi(df: DataFrame, n: int = 14, price: str = "price", out: str = "rsi_14", w: WindowSpec = W) -> DataFrame:
+def with_rsi(df: DataFrame, n: int = 14, price: str = "price", out: str = "rsi_14", w: WindowSpec | None = None) -> DataFrame:
     """100 - 100 / (1 + mean gain / mean loss); the first row counts as no change, and no loss gives NULL."""
+    w = w or series()
     step = F.col(price) - F.lag(price).over(w)
     gain, loss = F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0))
     df = df.withColumn("__g", F.when(step.isNull(), 0.0).otherwise(gain)).withColumn("__l", F.when(step.isNull(), 0.0).otherwise(loss))
@@ -55,18 +60,21 @@ def with_rsi(df: DataFrame, n: int = 14, price: str = "price", out: str = "rsi_1
     return df.withColumn(out, 100 - div(F.lit(100.0), 1 + ratio)).drop("__g", "__l")
 
 
-def average_ratio(price: str = "price", short: int = 20, long: int = 50, w: WindowSpec = W, least_short: int | None = None, least_long: int | None = None) -> Column:
+def average_ratio(price: str = "price", short: int = 20, long: int = 50, w: WindowSpec | None = None, least_short: int | None = None, least_long: int | None = None) -> Column:
+    w = w or series()
     if short >= long:
         raise ValueError("the short window must be shorter than the long one")
     return div(rolling(F.avg, price, short, w, least_short), rolling(F.avg, price, long, w, least_long))
 
 
-def trend_health(price: str = "price", short: int = 63, long: int = 252, w: WindowSpec = W) -> Column:
+def trend_health(price: str = "price", short: int = 63, long: int = 252, w: WindowSpec | None = None) -> Column:
+    w = w or series()
     return average_ratio(price, short, long, w, short // 2, long // 2) - 1
 
 
-def with_technical(df: DataFrame, moms: tuple[int, ...] = (21, 63, 126, 252), vols: tuple[int, ...] = (21, 63), w: WindowSpec = W) -> DataFrame:
+def with_technical(df: DataFrame, moms: tuple[int, ...] = (21, 63, 126, 252), vols: tuple[int, ...] = (21, 63), w: WindowSpec | None = None) -> DataFrame:
     """Returns, momentum, volatility, RSI and the moving-average ratio."""
+    w = w or series()
     df = df.withColumn("r", simple_return(w=w))
     df = df.select("*", *[momentum_sum("r", n, w).alias(f"mom_{n}") for n in moms], *[volatility("r", n, w).alias(f"vol_{n}") for n in vols], average_ratio(w=w).alias("ma_ratio_20_50"))
     return with_rsi(df, w=w)
@@ -77,8 +85,9 @@ def with_benchmark(df: DataFrame, benchmark: DataFrame, time: str = "date") -> D
     return df.join(benchmark, time, "left")
 
 
-def beta(r: str, rb: str, n: int = 60, w: WindowSpec = W) -> Column:
+def beta(r: str, rb: str, n: int = 60, w: WindowSpec | None = None) -> Column:
     """Covariance with the benchmark over its variance, from max(n // 2, 20) pairs on."""
+    w = w or series()
     least = min(n, max(n // 2, 20))
     frame = last_rows(w, n)
     both = F.when(F.col(r).isNotNull() & F.col(rb).isNotNull(), F.lit(1))
@@ -87,13 +96,15 @@ def beta(r: str, rb: str, n: int = 60, w: WindowSpec = W) -> Column:
     return div(cov, F.nullif(var, F.lit(0.0)))
 
 
-def with_residuals(df: DataFrame, n: int = 60, r: str = "r", rb: str = "rb", w: WindowSpec = W) -> DataFrame:
+def with_residuals(df: DataFrame, n: int = 60, r: str = "r", rb: str = "rb", w: WindowSpec | None = None) -> DataFrame:
     """beta and the residual r - beta * rb."""
+    w = w or series()
     return df.withColumn("beta", beta(r, rb, n, w)).withColumn("resid", F.col(r) - F.col("beta") * F.col(rb))
 
 
-def deviation(x: str, n: int, w: WindowSpec = W) -> Column:
+def deviation(x: str, n: int, w: WindowSpec | None = None) -> Column:
     """Median absolute deviation over a full window of n values.  The window's values are an array of at most n."""
+    w = w or series()
     values = F.collect_list(x).over(last_rows(w, n))
 
     def median(a: Column) -> Column:
@@ -119,11 +130,12 @@ def section_all() -> WindowSpec:
     return Window.partitionBy()
 
 
-def relative_strength(df: DataFrame, benchmark: DataFrame, spans: tuple[int, int, int] = (21, 63, 126), weights: tuple[float, float, float] = (0.3, 0.5, 0.2), w: WindowSpec = W) -> DataFrame:
+def relative_strength(df: DataFrame, benchmark: DataFrame, spans: tuple[int, int, int] = (21, 63, 126), weights: tuple[float, float, float] = (0.3, 0.5, 0.2), w: WindowSpec | None = None) -> DataFrame:
     """Latest row of each entity: returns over three spans, the first relative to the benchmark, and their weighted sum.
 
     Entities without the longest span share its weight between the other two.
     """
+    w = w or series()
     own = df.select("*", *[simple_return(w=w, n=n).alias(f"r{n}") for n in spans], F.row_number().over(w.orderBy(F.desc("date"))).alias("__n")).filter("__n = 1").drop("__n")
     bw = series([], "date")
     b = benchmark.select("date", simple_return("price", bw, spans[0]).alias("__b"))
@@ -133,8 +145,9 @@ def relative_strength(df: DataFrame, benchmark: DataFrame, spans: tuple[int, int
     return own.join(b, "date", "left").select("*", short.alias("relative"), score.alias("strength")).drop("__b")
 
 
-def volatility_scale(r: str, target: float = 0.15, n: int = 20, low: float = 0.25, high: float = 2.0, w: WindowSpec = W) -> Column:
+def volatility_scale(r: str, target: float = 0.15, n: int = 20, low: float = 0.25, high: float = 2.0, w: WindowSpec | None = None) -> Column:
     """Target over realised volatility of the last n rows inside [low, high]; 1 with fewer than five values."""
+    w = w or series()
     frame = last_rows(w, n)
     sd = F.stddev_samp(r).over(frame) * F.sqrt(F.lit(float(YEAR)))
     return F.when(F.count(r).over(frame) < 5, 1.0).otherwise(F.coalesce(F.greatest(F.least(div(F.lit(target), F.nullif(sd, F.lit(0.0))), F.lit(high)), F.lit(low)), F.lit(1.0)))

@@ -221,10 +221,10 @@ def _(t):
     return rounded(t("part").select("p_partkey", G.alpha_decay("p_size", [(5, 1.0), (20, 0.5), (45, 0.1)]).alias("alpha")))
 
 
-@query("n37_penalties", "WITH s AS (SELECT c_custkey, c_nationkey, c_acctbal / 1000 AS s, c_custkey % 40 / 10.0 - 3 AS r, c_nationkey / 50.0 - 0.4 AS y, -c_nationkey / 40.0 AS d FROM customer) SELECT c_custkey, round(s - 0.5 * greatest(-1 - r, 0) - 0.25 * greatest(-1 - r, 0) * greatest(-1 - r, 0) - CASE WHEN y < -0.2 THEN 0.5 ELSE 0 END - CASE WHEN d < -0.4 THEN 0.5 ELSE 0 END, 4) AS score FROM s WHERE c_nationkey NOT IN (10, 16)")
+@query("n37_penalties", "WITH s AS (SELECT c_custkey, c_nationkey, c_acctbal / 1000 AS s, c_custkey % 40 / 10.0 - 3 AS r, c_nationkey / 50.0 - 0.4 AS y, -c_nationkey / 40.0 AS d FROM customer) SELECT c_custkey, round(s - 0.5 * greatest(-1 - r, 0) - 0.25 * greatest(-1 - r, 0) * greatest(-1 - r, 0) - CASE WHEN y < -0.2 THEN 0.5 ELSE 0 END - CASE WHEN d < -0.4 THEN 0.5 ELSE 0 END, 6) AS score FROM s WHERE c_nationkey NOT IN (10, 16)")
 def _(t):
     c = t("customer").filter("c_nationkey not in (10, 16)").select("c_custkey", (F.col("c_acctbal") / 1000).alias("s"), (F.col("c_custkey") % 40 / 10.0 - 3).alias("r"), (F.col("c_nationkey") / 50.0 - 0.4).alias("y"), (-F.col("c_nationkey") / 40.0).alias("d"))
-    return rounded(c.select("c_custkey", G.penalised("s", "r", "y", "d").alias("score")))
+    return rounded(c.select("c_custkey", G.penalised("s", "r", "y", "d").alias("score")), digits=6)
 
 
 @query("p07_regime_scaling", f"{_M} SELECT date, ticker, round(CASE WHEN x >= 0 THEN r ELSE r * 0.3 END, 4) AS r FROM m")
