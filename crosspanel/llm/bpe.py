@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+import threading
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -224,6 +225,9 @@ CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 _kept: dict[str, tuple[Encoder, dict[str, array], dict[str, list[int]]]] = {}
+_timers: list[threading.Timer] = []
+#: Seconds without a task after which a worker drops its caches, so that later stages have the memory.
+IDLE = 5.0
 
 
 def kept(name: str, ranks: dict[bytes, int]) -> tuple[Encoder, dict[str, array], dict[str, list[int]]]:
@@ -231,9 +235,20 @@ def kept(name: str, ranks: dict[bytes, int]) -> tuple[Encoder, dict[str, array],
     if name not in _kept:
         _kept.clear()
         _kept[name] = Encoder(ranks), {}, {}
+    for timer in _timers:
+        timer.cancel()
+    _timers.clear()
     return _kept[name]
 
 
+def leave() -> None:
+    """Ends a task: the caches go unless another one begins soon."""
+    timer = threading.Timer(IDLE, _kept.clear)
+    timer.daemon = True
+    timer.start()
+    _timers.append(timer)
+
+
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: re.Pattern | None = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, ids) per row of docs; each match of ``pattern`` is encoded by itself, special tokens are ordinary text.
 
@@ -283,6 +298,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
                 for x in [x for ps in parts for x in ps if len(x) > CACHE_CHARS]:
                     chunks.pop(x, None)
                 yield [some, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))]
+        leave()
 
     return map_rows(docs, [id_col, text_col], f"{id_col} long, ids array<int>", run)
 

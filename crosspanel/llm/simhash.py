@@ -251,9 +251,10 @@ def similar_links(prints: DataFrame, bits: int = LONG, band: int = BAND, radius:
     step = band // 8
     keys = F.array(*[F.conv(F.hex(F.substring("print", 1 + step * i, step)), 16, 10).cast("long") + F.lit(i << band) for i in range(bits // band)])
     rows = prints.select("n", "print", F.explode(keys).alias("key"))
-    shards = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("print", "n")).alias("low"), F.max(F.struct("print", "n")).alias("high")).filter("size > 1")
-    shards = shards.select("key", "size", F.when(F.col("size") > cap, F.col("low")).alias("low"), F.when(F.col("size") > cap, F.col("high")).alias("high"))
-    rows = rows.join(shards, "key").withColumn("part", F.pmod(F.xxhash64("n"), F.ceil(F.col("size") / cap)))
+    # Only counts are shuffled for all shards; centres are looked for in the few large ones.
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
+    centres = rows.filter(F.col("size") > cap).groupBy("key").agg(F.min(F.struct("print", "n")).alias("low"), F.max(F.struct("print", "n")).alias("high"))
+    rows = rows.join(centres, "key", "left").withColumn("part", F.pmod(F.xxhash64("n"), F.ceil(F.col("size") / cap)))
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         out: tuple[list, list] = ([], [])
