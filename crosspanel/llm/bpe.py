@@ -14,7 +14,6 @@ import base64
 import re
 import threading
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ CACHE = 250_000
 #: Longer pieces and chunks are not kept.
 CACHE_CHARS = 64
 #: Pieces that share a queue.
-AT_ONCE = 50_000
+AT_ONCE = 40_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,6 +98,7 @@ class Encoder:
         self.buckets: dict[int, list[int]] = {}
         self.pairs = Pairs(ranks)
         self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
+        self.packed = np.arange(self.pairs.size, dtype=np.int32).tobytes()
         self.top = 0
 
     def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
@@ -127,7 +127,11 @@ class Encoder:
         return r, self.buckets.pop(r)
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece.  A piece that is a token is that token, whatever its parts would merge to."""
+        """The ids of each piece."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(pieces)]
+
+    def encode_packed(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as int32 bytes.  A piece that is a token is that token, whatever its parts would merge to."""
         known = [self.ranks.get(x) for x in pieces]
         rest = [x for x, r in zip(pieces, known, strict=True) if r is None]
         n = sum(map(len, rest))
@@ -155,9 +159,9 @@ class Encoder:
             at = after[at]
             at = at[~starts[at]]
         where = np.flatnonzero(alive)
-        ids, cut = token[where].tolist(), [*np.searchsorted(where, heads).tolist(), len(where)]
-        found = (ids[cut[k] : cut[k + 1]] for k in range(len(heads)))
-        return [[r] if r is not None else next(found) if x else [] for x, r in zip(pieces, known, strict=True)]
+        packed, cut = token[where].astype(np.int32).tobytes(), [*(4 * np.searchsorted(where, heads)).tolist(), 4 * len(where)]
+        found = (packed[cut[k] : cut[k + 1]] for k in range(len(heads)))
+        return [self.packed[4 * r : 4 * r + 4] if r is not None else next(found) if x else b"" for x, r in zip(pieces, known, strict=True)]
 
     def _merge(self, rank: int, bucket: list[int], token, after, before, starts, pair, piece) -> list[int]:
         """Merges pairs of the bucket at once, and returns those that must go one by one: pairs that touch or follow one another, and all
@@ -224,13 +228,13 @@ WHITE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-_kept: dict[str, tuple[Encoder, dict[str, array], dict[str, list[int]]]] = {}
+_kept: dict[str, tuple[Encoder, dict[str, bytes], dict[str, bytes]]] = {}
 _timers: list[threading.Timer] = []
 #: Seconds without a task after which a worker drops its caches, so that later stages have the memory.
 IDLE = 5.0
 
 
-def kept(name: str, ranks: dict[bytes, int]) -> tuple[Encoder, dict[str, array], dict[str, list[int]]]:
+def kept(name: str, ranks: dict[bytes, int]) -> tuple[Encoder, dict[str, bytes], dict[str, bytes]]:
     """An encoder with its caches of chunks and pieces, which a Python worker keeps from one task to the next."""
     if name not in _kept:
         _kept.clear()
@@ -266,44 +270,43 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
         find, cut = regex.compile(pattern).findall, chunk.findall if chunk else lambda text: [text]
         encoder, chunks, pieces = kept(name, shared.value)
 
-        def learn(parts: set[str]) -> None:
+        def learn(parts: list[str]) -> None:
             """Adds the parts to chunks."""
-            if len(chunks) + len(parts) > CACHE:
-                chunks.clear()
             if len(pieces) > CACHE:
                 pieces.clear()
-            found = {x: find(x) for x in parts}
-            new = list({p for ps in found.values() for p in ps if p not in pieces})
-            local: dict[str, list[int]] = {}
+            found = list(map(find, parts))
+            new = list(set().union(*found).difference(pieces))
+            own: dict[str, bytes] = {}
             for i in range(0, len(new), AT_ONCE):
                 some = new[i : i + AT_ONCE]
-                for piece, ids in zip(some, encoder.encode([p.encode("utf-8", "replace") for p in some]), strict=True):
-                    (pieces if len(piece) <= CACHE_CHARS else local)[piece] = ids
-            for x, ps in found.items():
-                out = array("i")
-                for p in ps:
-                    out.extend(pieces.get(p) or local[p])
-                chunks[x] = out
+                own.update(zip(some, encoder.encode_packed([p.encode("utf-8", "replace") for p in some]), strict=True))
+            pieces.update(own)
+            for x, ps in zip(parts, found, strict=True):
+                chunks[x] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+            for p in own:
+                if len(p) > CACHE_CHARS:
+                    del pieces[p]
 
         for ids, texts in batches:
             for some, parts in batched(ids, texts, cut):
-                learn({x for ps in parts for x in ps if x not in chunks})
-                if any(x not in chunks for ps in parts for x in ps):  # the cache started anew
-                    learn({x for ps in parts for x in ps if x not in chunks})
-                flat, ends = array("i"), [0]
-                for ps in parts:
-                    for x in ps:
-                        flat.extend(chunks[x])
-                    ends.append(len(flat))
-                for x in [x for ps in parts for x in ps if len(x) > CACHE_CHARS]:
-                    chunks.pop(x, None)
-                yield [some, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))]
+                seen = set().union(*parts)
+                missing = list(seen.difference(chunks))
+                if len(chunks) + len(missing) > CACHE:  # the cache starts anew
+                    chunks.clear()
+                    missing = list(seen)
+                learn(missing)
+                packed = [b"".join(map(chunks.__getitem__, ps)) for ps in parts]
+                for x in missing:
+                    if len(x) > CACHE_CHARS:
+                        del chunks[x]
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                yield [some, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
         leave()
 
     return map_rows(docs, [id_col, text_col], f"{id_col} long, ids array<int>", run)
 
 
-def batched(ids: list, texts: list[str | None], cut, chars: int = 4_000_000) -> Iterator[tuple[list, list[list[str]]]]:
+def batched(ids: list, texts: list[str | None], cut, chars: int = 3_000_000) -> Iterator[tuple[list, list[list[str]]]]:
     """Some rows at a time, of about so many characters together, with the chunks of each text."""
     some, parts, size = [], [], 0
     for key, text in zip(ids, texts, strict=True):
