@@ -102,7 +102,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):  # symbols have up to nine bits, so seven fit
         key = (key << np.uint64(9)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
@@ -114,7 +114,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             break
         own = order[tied]
         after = rank[np.minimum(own + width, n)]
-        by = np.lexsort((after, rank[own]))
+        by = np.argsort(rank[own] * (n + 1) + after + 1)
         own, after = own[by], after[by]
         order[tied] = own
         head = rank[own]
@@ -153,7 +153,8 @@ def unequal_neighbours(text: np.ndarray, order: np.ndarray, width: int) -> np.nd
         if not len(left):
             break
         found_left, found_right = [], []
-        for i, j in slices((right - left).tolist(), 1_000_000):
+        sizes = right - left
+        for i, j in [(0, len(sizes))] if sizes.sum() <= 1_000_000 else slices(sizes.tolist(), 1_000_000):
             size = right[i:j] - left[i:j]
             at = np.arange(size.sum()) + np.repeat(left[i:j] - np.cumsum(size) + size, size)
             ok = bwt[at] > 0
