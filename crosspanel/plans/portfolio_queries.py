@@ -41,7 +41,10 @@ def _(t):
     return rounded(_ranked(t).select("date", "ticker", "weight"))
 
 
-@query("w04_sector_neutral")
+@query("w04_sector_neutral", f"""{_Q}, z AS (SELECT date, ticker, sector, coalesce((x - avg(x) OVER g) / nullif(stddev_samp(x) OVER g, 0), 0) AS z FROM s WINDOW g AS (PARTITION BY date, sector)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY z DESC, ticker) AS k, count(*) OVER (PARTITION BY date, sector) AS n, count(*) {XS} AS a FROM z), g AS (SELECT date, count(DISTINCT sector) AS g FROM z GROUP BY 1),
+ l AS (SELECT n.*, least(least(1, n) + CAST(floor(greatest(10 - g, 0) * n / a) AS BIGINT), 3, n) AS slots FROM n JOIN g USING (date)), t AS (SELECT *, 10 - sum(CASE WHEN k <= slots THEN 1 ELSE 0 END) {XS} AS rest, k = slots + 1 AND slots < 3 AS nxt FROM l),
+ o AS (SELECT *, row_number() OVER (PARTITION BY date, nxt ORDER BY z DESC, ticker) AS o FROM t) SELECT date, ticker, sector, round(1.0 / count(*) {XS}, 4) AS weight FROM o WHERE k <= slots OR (nxt AND o <= rest)""")
 def _(t):
     return rounded(P.sector_neutral(_scores(t), "x", 10))
 
@@ -61,7 +64,9 @@ def _(t):
     return rounded(P.sector_cap(_ranked(t), 0.4).select("date", "ticker", "weight"))
 
 
-@query("w08_position_cap")
+@query("w08_position_cap", f"""WITH RECURSIVE b AS MATERIALIZED ({_RW} SELECT date, ticker, weight FROM rw), it AS (SELECT 0 AS i, date, ticker, weight FROM b UNION ALL
+ SELECT i + 1, date, ticker, CASE WHEN weight >= 0.15 THEN 0.15 ELSE weight + coalesce(excess * weight / nullif(room, 0), 0) END FROM (SELECT *, sum(greatest(weight - 0.15, 0)) OVER (PARTITION BY date) AS excess, sum(CASE WHEN weight < 0.15 THEN weight ELSE 0 END) OVER (PARTITION BY date) AS room FROM it) WHERE i < 10)
+ SELECT date, ticker, round(weight, 4) AS weight FROM it WHERE i = 10""")
 def _(t):
     return rounded(P.position_cap(_ranked(t), 0.15).select("date", "ticker", "weight"))
 

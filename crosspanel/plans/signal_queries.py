@@ -80,7 +80,7 @@ def _mentions(t):
     return d.select("source", "doc_id", F.explode(F.filter(F.array(*[F.when(F.lower("text").rlike(rf"\b{k}\b"), F.lit(k)) for k in terms]), lambda x: x.isNotNull())).alias("term"))
 
 
-@query("n13_mentions")
+@query("n13_mentions", "SELECT doc_id, term, unnest(regexp_extract_all(text, '(?is)(.{0,50}\\b(?:' || term || ')\\b.{0,50})', 1)) AS context FROM documents, (VALUES ('with'), ('this')) v(term) WHERE lang = 'en'")
 def _(t):
     return N.mentions(t("documents").filter("lang = 'en'"), ["doc_id"], "text", {"with": "with", "this": "this"})
 
@@ -95,7 +95,7 @@ def _(t):
     return N.timeline(N.first_mentions(_mentions(t), "source", "term", "doc_id"), "source", "term")
 
 
-@query("n18_pioneer_score")
+@query("n18_pioneer_score", f"WITH {_MENT}, f AS (SELECT source, term, min(DATE '2020-01-01' + CAST(doc_id AS INTEGER)) AS d FROM m GROUP BY 1, 2), t AS (SELECT term, list_sort(list(d))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS md FROM f GROUP BY 1), j AS (SELECT source, term, (md - d) / 30.44 * pow(0.5, greatest((DATE '2023-01-01' - d) / 30.44, 0) / 24) AS l FROM f JOIN t USING (term)), s AS (SELECT source, avg(l) AS l, count(*) AS b, count(*) FILTER (term = 'with') AS e FROM j GROUP BY 1) SELECT source, round(l, 4) AS lead_months, b AS breadth, e AS emerging, round(0.4 * greatest(least(l / 12, 1), 0) + 0.3 * least(b / 8, 1) + 0.3 * least(e / 4, 1), 4) AS score FROM s")
 def _(t):
     m = _mentions(t).withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")))
     f = N.first_mentions(m, "source", "term", "day")
