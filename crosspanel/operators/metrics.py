@@ -134,14 +134,16 @@ def turnover(weights: DataFrame, by: str = "date", entity: str = "ticker", weigh
     Each weight is compared with the same entity's on the previous and the next date, so an exit counts on the date it happens; no grid
     of dates and entities is made.
     """
-    dates = weights.select(by).distinct().withColumn("__k", F.row_number().over(Window.orderBy(by)))  # a row per date
+    order = Window.orderBy(by)  # a row per date
+    dates = weights.select(by).distinct().select(by, F.row_number().over(order).alias("__k"), F.lead(by).over(order).alias("__after"))
     w = Window.partitionBy(entity).orderBy("__k")
-    own = weights.join(dates, by).select("__k", entity, F.coalesce(weight, F.lit(0.0)).alias("__w"))
+    own = weights.join(dates, by).select(by, entity, "__k", "__after", F.coalesce(weight, F.lit(0.0)).alias("__w"))
     own = own.withColumn("__p", F.lag(F.struct("__k", "__w")).over(w)).withColumn("__next", F.lead("__k").over(w))
     before = F.when(F.col("__p.__k") == F.col("__k") - 1, F.col("__p.__w")).otherwise(0.0)
-    change = own.select("__k", F.when(F.col("__k") == 1, F.greatest("__w", F.lit(0.0))).otherwise(F.abs(F.col("__w") - before) / 2).alias("__t"))
-    leaves = own.filter(F.coalesce(F.col("__next") != F.col("__k") + 1, F.lit(True))).select((F.col("__k") + 1).alias("__k"), (F.abs("__w") / 2).alias("__t"))
-    return change.union(leaves).groupBy("__k").agg(F.sum("__t").alias("turnover")).join(dates, "__k").select(by, "turnover")
+    enters = F.when(F.col("__k") == 1, F.greatest("__w", F.lit(0.0))).otherwise(F.abs(F.col("__w") - before) / 2)
+    leaves = F.when(F.coalesce(F.col("__next") == F.col("__k") + 1, F.lit(False)), 0.0).otherwise(F.abs("__w") / 2)
+    parts = own.select(F.inline(F.array(F.struct(F.col(by).alias(by), enters.alias("__t")), F.struct(F.col("__after").alias(by), leaves.alias("__t")))))
+    return parts.filter(F.col(by).isNotNull()).groupBy(by).agg(F.sum("__t").alias("turnover"))
 
 
 def net_return(r: str, turn: str, bps: float = 10.0) -> Column:
