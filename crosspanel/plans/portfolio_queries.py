@@ -242,7 +242,11 @@ def _(t):
     return rounded(U.well_covered(U.coverage(h, ["a", "b"]), 0.3))
 
 
-@query("u10_quality_value")
+@query("u10_quality_value", f"""{_FUND}, m AS (SELECT *, gross_margin - median(gross_margin) OVER g AS gm, pe_ratio / nullif(median(pe_ratio) OVER g, 0) AS pe, CASE WHEN debt_equity > 10 THEN debt_equity / 100 ELSE debt_equity END AS de FROM f WINDOW g AS (PARTITION BY date, sector)),
+ p AS (SELECT *, CASE WHEN roe IS NULL THEN NULL WHEN roe >= 0.2 THEN 25 WHEN roe >= 0.15 THEN 20 WHEN roe >= 0.1 THEN 12 WHEN roe >= 0 THEN 5 ELSE 0 END AS a, CASE WHEN gm IS NULL THEN NULL WHEN gm >= 0.1 THEN 25 WHEN gm >= 0 THEN 15 WHEN gm >= -0.1 THEN 5 ELSE 0 END AS b, CASE WHEN de IS NULL THEN NULL WHEN de <= 0.5 THEN 25 WHEN de <= 1 THEN 15 WHEN de <= 2 THEN 5 ELSE 0 END AS c,
+  CASE WHEN pe IS NULL THEN NULL WHEN pe <= 0.7 THEN 50 WHEN pe <= 1 THEN 30 WHEN pe <= 1.3 THEN 10 ELSE 0 END AS d, CASE WHEN pb_ratio IS NULL THEN NULL WHEN pb_ratio <= 1.5 THEN 50 WHEN pb_ratio <= 3 THEN 30 WHEN pb_ratio <= 5 THEN 10 ELSE 0 END AS e FROM m),
+ q AS (SELECT date, ticker, 100.0 * (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif(25 * ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT), 0) AS q, 100.0 * (coalesce(d, 0) + coalesce(e, 0)) / nullif(50 * ((d IS NOT NULL)::INT + (e IS NOT NULL)::INT), 0) AS v FROM p), z AS (SELECT *, coalesce((q + v) / 2, q, v) AS z FROM q)
+ SELECT date, ticker, round(q, 4) AS quality_score, round(v, 4) AS value_score, round(z, 4) AS combined, CASE WHEN z >= 80 THEN 'A' WHEN z >= 65 THEN 'B' WHEN z >= 50 THEN 'C' WHEN z >= 35 THEN 'D' WHEN z IS NOT NULL THEN 'F' END AS grade FROM z""")
 def _(t):
     return rounded(U.quality_value(_fundamentals(t)).select("date", "ticker", "quality_score", "value_score", "combined", "grade"))
 

@@ -31,10 +31,14 @@ def _(t):
     return rounded(d.select("doc_id", "sentiment", "uncertainty", N.adjusted_sentiment("sentiment", F.lit(1.5), F.lit(-0.02)).alias("adjusted"), N.sentiment_label("sentiment").alias("label")))
 
 
-@query("n04_n05_topic_signal")
-def _(t):
-    d = N.with_topic(N.with_lexicon_sentiment(t("documents"), "text", POS, NEG), "text", TOPICS)
-    return rounded(N.topic_signal(d.withColumn("adjusted", F.col("sentiment")), ["source"], strong=("alpha",)))
+@query("n04_n05_topic_signal", "WITH w AS (SELECT doc_id, source, " + _WORDS + " AS w, " + ", ".join(f"regexp_extract_all(lower(text), '\\b({'|'.join(k)})\\b', 1) AS m{i}" for i, k in enumerate(TOPICS.values())) + f" FROM documents WHERE lang = 'en'), s AS (SELECT source, CASE WHEN len(w) > 0 THEN greatest(least(({_HIT(POS)} - {_HIT(NEG)}) / sqrt(len(w)), 1), -1) ELSE 0 END AS x, " + ", ".join(f"len(list_distinct(m{i})) + 0.5 * (len(m{i}) - len(list_distinct(m{i}))) AS s{i}" for i in range(3)) + """ FROM w),
+ b AS (SELECT *, CASE WHEN greatest(s0, s1, s2) <= 0 THEN 'other' WHEN s0 >= s1 AND s0 >= s2 THEN 'alpha' WHEN s1 >= s2 THEN 'beta' ELSE 'gamma' END AS best FROM s),
+ r AS (SELECT source, best AS t, x, 1.0 AS n FROM b UNION ALL SELECT source, 'alpha', x, 0.5 FROM b WHERE s0 >= 1 AND best <> 'alpha' UNION ALL SELECT source, 'beta', x, 0.5 FROM b WHERE s1 >= 1 AND best <> 'beta' UNION ALL SELECT source, 'gamma', x, 0.5 FROM b WHERE s2 >= 1 AND best <> 'gamma'),
+ a AS (SELECT source, t, sum(x * n) / sum(n) AS x, sum(n) AS n FROM r GROUP BY 1, 2), v AS (SELECT *, sqrt(n) * CASE WHEN t = 'alpha' THEN 1.5 ELSE 1 END AS v FROM a)
+ SELECT source, round(sum(v * x) / sum(v), 4) AS signal, CAST(sum(n) AS DOUBLE) AS weight, max_by(t, (n, t)) AS top_topic FROM v GROUP BY 1""")
+def _(t):
+    d = N.with_topic(N.with_lexicon_sentiment(t("documents").filter("lang = 'en'"), "text", POS, NEG), "text", TOPICS)
+    return rounded(N.topic_signal(d.withColumn("adjusted", F.col("sentiment")), ["source"], strong=("alpha",)), "weight")
 
 
 @query("n07_filing_tone", f"WITH p AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g')), '([a-zA-Z]+)', 1) AS w FROM pages), c AS (SELECT page_id, len(w) AS k, {_HIT(POS)} AS p, {_HIT(NEG)} AS n FROM p) SELECT page_id, k AS tone_words, round(coalesce(p / nullif(k, 0), 0), 4) AS positive, round(coalesce(n / nullif(k, 0), 0), 4) AS negative, round(coalesce((p - n) / nullif(p + n, 0), 0), 4) AS net_tone FROM c")
