@@ -63,4 +63,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover, op9_language_id, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), t AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top > page_id THEN top END AS refers_to FROM t""",
+    "op8_difference_cover": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        c AS (SELECT win FROM s GROUP BY 1 HAVING count(*) > 1),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM s SEMI JOIN c USING (win)),
+        g AS (SELECT doc_id, list(j) AS gone, count(*) FILTER (NOT follows) AS n_spans FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) IS NOT DISTINCT FROM j - 1 AS follows FROM r) GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+}
