@@ -245,25 +245,22 @@ def similar_links(prints: DataFrame, bits: int = LONG, band: int = BAND, radius:
     """Links (a, b) of rows (n, print binary) within the radius that share a band of the print; of 32 bands, texts of similarity
     0.9 share one with a probability over 0.99, of 0.8 with 0.9, and groups are joined through any of their members.
 
-    A shard above ``cap`` is dealt out in even parts by hash; its least and greatest print go to every part as common centres.
+    A shard above ``cap`` is dealt out in parts by hash, and each pair of parts meets in one task.
     """
     # substring() counts bytes of a binary value, and hex to number turns a band into an integer.
     step = band // 8
     keys = F.array(*[F.conv(F.hex(F.substring("print", 1 + step * i, step)), 16, 10).cast("long") + F.lit(i << band) for i in range(bits // band)])
     rows = prints.select("n", "print", F.explode(keys).alias("key"))
-    # Only counts are shuffled for all shards; centres are looked for in the few large ones.
+    # Only counts are shuffled for all shards.
     rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
-    centres = rows.filter(F.col("size") > cap).groupBy("key").agg(F.min(F.struct("print", "n")).alias("low"), F.max(F.struct("print", "n")).alias("high"))
-    rows = rows.join(centres, "key", "left").withColumn("part", F.pmod(F.xxhash64("n"), F.ceil(F.col("size") / cap)))
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         out: tuple[list, list] = ([], [])
         for _, own in _shards(batches):
             number: dict[int, int] = {}
-            for n, data, low, high in own:
-                for m, x in ((n, data), *((y["n"], y["print"]) for y in (low, high) if y)):
-                    v = int.from_bytes(x, "little")
-                    number[v] = min(m, number.get(v, m))
+            for n, data in own:
+                v = int.from_bytes(data, "little")
+                number[v] = min(n, number.get(v, n))
             for a, b in stars(list(number), radius, number.__getitem__):
                 out[0].append(number[a])
                 out[1].append(number[b])
@@ -272,8 +269,16 @@ def similar_links(prints: DataFrame, bits: int = LONG, band: int = BAND, radius:
                 out = ([], [])
         yield list(out)
 
-    ready = rows.select(F.struct("key", "part").alias("shard"), "n", "print", "low", "high").repartition("shard").sortWithinPartitions("shard")
-    return map_rows(ready.withColumn("shard", F.xxhash64("shard")), ["shard", "n", "print", "low", "high"], "a long, b long", run).distinct()
+    ready = dealt(rows, cap).repartition("shard").sortWithinPartitions("shard")
+    return map_rows(ready, ["shard", "n", "print"], "a long, b long", run).distinct()
+
+
+def dealt(rows: DataFrame, cap: int) -> DataFrame:
+    """Rows (key, size, n, ..) with a ``shard``: those of a key with more than ``cap`` rows go to one shard for each pair of parts,
+    so any two rows of a key meet."""
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / cap)).withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("parts = 1 or part <> other")
+    return rows.withColumn("shard", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
 
 
 def long_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -447,3 +447,20 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 301), (301, 300), (None, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(30)) and got[301] == got[300] == 300 and 200 not in got
+
+
+def test_similar_links_of_large_shards(spark):
+    from crosspanel.llm.graph import components
+    from crosspanel.llm.simhash import similar_links
+
+    rng = random.Random(11)
+    prints = []
+    for _ in range(20):  # pairs of near copies, far from all others, that share the first band only
+        x = rng.getrandbits(512) & ~0xFFFF
+        prints += [x, x ^ sum(1 << 16 * band + k for band in range(1, 32) for k in rng.sample(range(16), 2))]
+    order = list(range(40))
+    rng.shuffle(order)
+    table = spark.createDataFrame([(n, bytearray(prints[i].to_bytes(64, "little"))) for n, i in enumerate(order)], "n long, print binary")
+    got = {r.node: r.root for r in components(similar_links(table, cap=4)).collect()}
+    by_print = {i: n for n, i in enumerate(order)}
+    assert got == {by_print[i]: min(by_print[i], by_print[i ^ 1]) for i in order}
