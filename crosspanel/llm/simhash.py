@@ -8,24 +8,34 @@ a link from each fingerprint to the least one of its own component there; links
 Exact links (64 bits, radius 2): any two fingerprints within the radius agree in two of four blocks of 16 bits, so a shard is a pair
 of blocks with its values.  A shard with more than CAP fingerprints is dealt out by three parts of its other 32 bits, of which one
 agrees, and if need be once more: then 49 bits are equal and at most 2^15 fingerprints are left, whatever the data.
+
+Similar texts (Jaccard similarity of five-word shingles of at least 0.8): such sets share a shingle among the rarest fifth of either,
+so a shard is a shingle; longer fingerprints form the tree, and the similarity of each pair that it finds is computed.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import byte_words, map_rows, table
 from crosspanel.llm.graph import components
 
 RADIUS, CAP = 2, 4096
-#: For similarity: bits, bits of a band, and the greatest Hamming distance.  Of 512 bits, texts whose five-word shingles have a
-#: similarity of 0.8 differ in about 78, with a standard deviation of 8.
-LONG, BAND, LONG_RADIUS, SEEDS = 512, 16, 90, 42
+#: For similarity: bits, and the greatest Hamming distance that is looked at.  Of 512 bits, sets of shingles with a similarity of 0.8
+#: differ in about 78, the smallest sets (four and five shingles) in 96, with a standard deviation of 9; unrelated ones in 256.
+LONG, LONG_RADIUS, SEEDS = 512, 130, 42
+#: Documents of the sample that finds common shingles, and the most of these.  Both only set the order of shingles.
+SAMPLE, COMMON = 20_000, 50_000
+#: Sets of one task of a group.
+SETS = 512
 
 
 def hashes(words: list[bytes], size: int) -> list[int]:
@@ -60,12 +70,16 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(majority(np.array(h, np.uint64)[:, None]).view("<i8")[0]) if h else 0
 
 
-def long_fingerprint(text: str | None, size: int = 5, bits: int = LONG) -> bytes:
-    """``bits`` bits from each shingle's hash and seeded mixes of it; all zero without words."""
-    h = np.array(hashes([w.lower() for w in byte_words(text)], size), np.uint64)
-    if not len(h):
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The set of the text's shingles as sorted hashes."""
+    return np.unique(np.array(hashes([w.lower() for w in byte_words(text)], size), np.uint64))
+
+
+def long_fingerprint(grams: np.ndarray, bits: int = LONG) -> bytes:
+    """``bits`` bits from each shingle's hash and seeded mixes of it; all zero without shingles."""
+    if not len(grams):
         return bytes(bits // 8)
-    wide = h[:, None] + np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    wide = grams[:, None] + np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         wide = (wide ^ (wide >> np.uint64(shift))) * np.uint64(by)
     return majority(wide ^ (wide >> np.uint64(31))).tobytes()
@@ -241,62 +255,173 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return prints.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_links(prints: DataFrame, bits: int = LONG, band: int = BAND, radius: int = LONG_RADIUS, cap: int = CAP) -> DataFrame:
-    """Links (a, b) of rows (n, print binary) within the radius that share a band of the print; of 32 bands, texts of similarity
-    0.9 share one with a probability over 0.99, of 0.8 with 0.9, and groups are joined through any of their members.
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of at least 0.8."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = np.concatenate([x, y])
+    both.sort()
+    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
 
-    A shard above ``cap`` is dealt out in parts by hash, and each pair of parts meets in one task.
+
+def prefix(grams: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first fifth and one more of a set's shingles, the rare before the ``common`` (sorted, with their counts ``often``).
+
+    Sets with a similarity of 0.8 or more share four fifths of either, so whatever the order, they share a shingle of their prefixes.
     """
-    # substring() counts bytes of a binary value, and hex to number turns a band into an integer.
-    step = band // 8
-    keys = F.array(*[F.conv(F.hex(F.substring("print", 1 + step * i, step)), 16, 10).cast("long") + F.lit(i << band) for i in range(bits // band)])
-    rows = prints.select("n", "print", F.explode(keys).alias("key"))
-    # Only counts are shuffled for all shards.
-    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        grams = grams[np.lexsort((grams, np.where(common[at] == grams, often[at], 0)))]
+    return grams[: len(grams) // 5 + 1]
+
+
+def shingle_sets(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id, node long, print, grams binary) per row of docs; equal sets share the node, a hash of the set."""
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        out: tuple[list, list] = ([], [])
-        for _, own in _shards(batches):
-            number: dict[int, int] = {}
-            for n, data in own:
-                v = int.from_bytes(data, "little")
-                number[v] = min(n, number.get(v, n))
-            for a, b in stars(list(number), radius, number.__getitem__):
-                out[0].append(number[a])
-                out[1].append(number[b])
-            if len(out[0]) > 10_000:
-                yield list(out)
-                out = ([], [])
-        yield list(out)
+        for ids, texts in batches:
+            sets = [shingles(t, size) for t in texts]
+            data = [g.astype("<u8").tobytes() for g in sets]
+            nodes = [int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little", signed=True) for d in data]
+            yield [ids, nodes, [long_fingerprint(g) for g in sets], data]
 
-    ready = dealt(rows, cap).repartition("shard").sortWithinPartitions("shard")
-    return map_rows(ready, ["shard", "n", "print"], "a long, b long", run).distinct()
+    return map_rows(docs, [id_col, text_col], f"{id_col} long, node long, print binary, grams binary", run)
 
 
-def dealt(rows: DataFrame, cap: int) -> DataFrame:
-    """Rows (key, size, n, ..) with a ``shard``: those of a key with more than ``cap`` rows go to one shard for each pair of parts,
-    so any two rows of a key meet."""
-    rows = rows.withColumn("parts", F.ceil(F.col("size") / cap)).withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("parts = 1 or part <> other")
-    return rows.withColumn("shard", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample, sorted, and how often they are there."""
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        for (data,) in batches:
+            yield [np.frombuffer(b"".join(data), "<i8").tolist()]
+
+    every = max(1, sets.count() // SAMPLE)
+    found = map_rows(sets.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0), ["grams"], "gram long", run)
+    top = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 4").orderBy(F.desc("n"), "gram").limit(COMMON)
+    top = table(top, "common").collect()
+    common = np.array([r.gram for r in top], np.int64).view(np.uint64)
+    by = np.argsort(common)
+    return common[by], np.array([r.n for r in top], np.int64)[by]
 
 
-def long_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, print binary) per row of docs."""
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """Rows (key, node) of the shingles ``key`` in the prefixes of two or more sets."""
+    common, often = common_shingles(sets)
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        for ids, texts in batches:
-            yield [ids, [long_fingerprint(t, size) for t in texts]]
+        for nodes, data in batches:
+            own = {node: np.frombuffer(d, "<u8") for node, d in zip(nodes, data, strict=True) if d}
+            keys = [prefix(g, common, often).view(np.int64) for g in own.values()]
+            sizes = [len(k) for k in keys]
+            if keys:
+                yield [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(list(own), np.int64), sizes))]
+
+    rows = map_rows(sets, ["node", "grams"], "key long, node long", run)
+    w = Window.partitionBy("key")
+    return rows.withColumn("a", F.min("node").over(w)).withColumn("b", F.max("node").over(w)).filter("a <> b").drop("a", "b").distinct()
 
-    return map_rows(docs, [id_col, text_col], f"{id_col} long, print binary", run)
+
+def nearest(pairs: DataFrame, prints: DataFrame, radius: int, most: int = 2) -> DataFrame:
+    """For each b of pairs (a, b), the ``most`` nearest fingerprints within the radius."""
+    both = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b")
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        for a, b, x, y in batches:
+            far = [(int.from_bytes(v) ^ int.from_bytes(w)).bit_count() for v, w in zip(x, y, strict=True)]
+            ok = [i for i, d in enumerate(far) if d <= radius]
+            yield [[c[i] for i in ok] for c in (a, b, far)]
+
+    w = Window.partitionBy("b").orderBy("d", "a")
+    return map_rows(both, ["a", "b", "x", "y"], "a long, b long, d long", run).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("a", "b")
+
+
+def candidate_links(rows: DataFrame, radius: int = LONG_RADIUS, cap: int = CAP) -> DataFrame:
+    """Links (a, b) of rows (key, node, print): the components are those of all pairs of a key within the radius."""
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        for _, own in _shards(batches):
+            least: dict[int, int] = {}
+            out: tuple[list, list] = ([], [])
+            for node, data in own:
+                v = int.from_bytes(data, "little")
+                if least.setdefault(v, node) != node:
+                    out[0].append(node)
+                    out[1].append(least[v])
+            for a, b in stars(list(least), radius, least.__getitem__):
+                out[0].append(least[a])
+                out[1].append(least[b])
+            yield list(out)
+
+    w = Window.partitionBy("key")
+    ready = dealt(rows.withColumn("size", F.count("*").over(w)), cap, "node").repartition("shard").sortWithinPartitions("shard")
+    return map_rows(ready, ["shard", "node", "print"], "a long, b long", run).distinct()
+
+
+def verified_links(rows: DataFrame, radius: int = LONG_RADIUS, cap: int = SETS) -> DataFrame:
+    """Links (a, b) of rows (key, node, print, grams): the components are those of all pairs of a key within the radius whose sets have
+    a similarity of at least 0.8, which is computed for each pair that no other pairs join."""
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        for _, own in _shards(batches):
+            tree, at, parent = BKTree(), defaultdict(list), {}
+
+            def root(x: int, parent: dict[int, int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for node, data, grams in own:
+                v = int.from_bytes(data, "little")
+                parent[node] = node
+                tree.add(v)
+                at[v].append((node, grams))
+                for near in tree.within(v, radius):
+                    for other, its in at[near]:
+                        if 5 * min(len(grams), len(its)) >= 4 * max(len(grams), len(its)) and (x := root(node)) != (y := root(other)) and similar(grams, its):
+                            parent[max(x, y)] = min(x, y)
+            links = [(v, r) for v in parent if (r := root(v)) != v]
+            yield [[a for a, _ in links], [b for _, b in links]]
+
+    w = Window.partitionBy("key")
+    ready = dealt(rows.withColumn("size", F.count("*").over(w)), cap, "node").repartition("shard").sortWithinPartitions("shard")
+    return map_rows(ready, ["shard", "node", "print", "grams"], "a long, b long", run).distinct()
+
+
+def similar_links(sets: DataFrame, radius: int = LONG_RADIUS, cap: int = CAP, most: int = SETS) -> DataFrame:
+    """Links (a, b) of ``shingle_sets`` whose components are those of all pairs of nodes with a similarity of at least 0.8.
+
+    First the candidates' components: each set is linked to the nearest of those that come first, or before it, at a shared shingle,
+    which joins most groups; shingles whose sets are not in one component yet then get a tree.  The sets of a component meet, and only
+    pairs whose similarity was computed become links.
+    """
+    rows = table(shared_shingles(sets), "shingles")
+    prints = sets.select("node", "print").join(rows.select("node").distinct(), "node", "left_semi").distinct()
+    w = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))  # another order for each shingle, so partners vary
+    pairs = rows.select(F.col("node").alias("b"), F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("last"))
+    pairs = pairs.select(F.explode(F.array("first", "last")).alias("a"), "b").filter("a <> b").distinct()
+    links = table(nearest(pairs, prints, radius), "nearest")
+    rows = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    w = Window.partitionBy("key")
+    rows = rows.withColumn("a", F.min("root").over(w)).withColumn("b", F.max("root").over(w)).filter("a <> b")
+    links = links.union(table(candidate_links(rows.select("key", "node").join(prints, "node"), radius, cap), "candidates"))
+    groups = components(links).withColumnRenamed("root", "key")
+    own = sets.select("node", "print", "grams").join(groups, "node").groupBy("key", "node").agg(F.first("print").alias("print"), F.first("grams").alias("grams"))
+    return table(verified_links(own, radius, most), "verified")
+
+
+def dealt(rows: DataFrame, cap: int, by: str) -> DataFrame:
+    """Rows (key, size, ..) with a ``shard``: those of a key with more than ``cap`` rows go to one shard for each pair of
+    parts by the column ``by``, so any two rows of a key meet."""
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / cap)).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("parts = 1 or part <> other")
+    return rows.withColumn("shard", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, group_id) per row of docs with an id: texts whose shingles have a similarity of about 0.8 or more are linked, and
-    group_id is the least id that can be reached.  Texts without words form one group.  Rows with a null id are left out.
+def similar_groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, most: int = SETS) -> DataFrame:
+    """One row (id, group_id) per row of docs with an id: texts whose sets of shingles have a Jaccard similarity of at least 0.8 are
+    linked, and group_id is the least id that can be reached.  Texts without words form one group.  Rows with a null id are left out.
     """
-    prints = table(long_fingerprints(docs.filter(F.col(f"`{id_col}`").isNotNull()), size, id_col, text_col), "simhash")
-    classes = prints.groupBy("print").agg(F.min(id_col).alias("n"))
-    linked = components(similar_links(classes))
-    group = classes.join(linked, classes["n"] == linked["node"], "left").select("print", F.coalesce("root", "n").alias("group_id"))
-    return prints.join(group, "print").select(id_col, "group_id")
+    sets = table(shingle_sets(docs.filter(F.col(f"`{id_col}`").isNotNull()), size, id_col, text_col), "simhash")
+    linked = components(similar_links(sets, LONG_RADIUS, cap, most))
+    classes = sets.groupBy("node").agg(F.min(id_col).alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = classes.groupBy("root").agg(F.min("least").alias("group_id"))
+    return sets.select(id_col, "node").join(classes.join(ids, "root").select("node", "group_id"), "node").select(id_col, "group_id")

@@ -449,18 +449,31 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(30)) and got[301] == got[300] == 300 and 200 not in got
 
 
-def test_similar_links_of_large_shards(spark):
-    from crosspanel.llm.graph import components
-    from crosspanel.llm.simhash import similar_links
-
-    rng = random.Random(11)
-    prints = []
-    for _ in range(20):  # pairs of near copies, far from all others, that share the first band only
-        x = rng.getrandbits(512) & ~0xFFFF
-        prints += [x, x ^ sum(1 << 16 * band + k for band in range(1, 32) for k in rng.sample(range(16), 2))]
-    order = list(range(40))
-    rng.shuffle(order)
-    table = spark.createDataFrame([(n, bytearray(prints[i].to_bytes(64, "little"))) for n, i in enumerate(order)], "n long, print binary")
-    got = {r.node: r.root for r in components(similar_links(table, cap=4)).collect()}
-    by_print = {i: n for n, i in enumerate(order)}
-    assert got == {by_print[i]: min(by_print[i], by_print[i ^ 1]) for i in order}
+def test_similar_groups_at_the_threshold(spark):
+    from crosspanel.llm.simhash import similar_groups
+
+    rng = random.Random(12)
+    texts = [prose(rng, 4, 6) for _ in range(40)] + [prose(rng, 8, 2) for _ in range(30)]
+    for changes in (*[2, 3, 4, 5, 6, 7, 8] * 8, *[1] * 10):  # similarities around 0.8
+        words = prose(rng, 180 if changes > 1 else 50, 10_000).split()
+        near = list(words)
+        for k in rng.sample(range(len(words)), changes):
+            near[k] = "changed"
+        texts += [" ".join(words), " ".join(near)]
+    common = prose(rng, 30)
+    texts += [common + " " + prose(rng, n, 10_000) for n in (2, 5, 60, 60, 60)]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in texts]
+    group = list(range(len(texts)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.group_id for r in similar_groups(docs).collect()} == dict(enumerate(group))
+    assert {r.doc_id: r.group_id for r in similar_groups(docs, cap=4, most=4).collect()} == dict(enumerate(group))
+    assert 20 < len(near) < 60
