@@ -52,7 +52,8 @@ class Strings:
         around = ~least(~np.concatenate([np.zeros(width - 1, np.uint64), m, np.zeros(width - 1, np.uint64)]), width)
         at = np.flatnonzero(grams == around)
         at = at[np.lexsort((at, grams[at]))]
-        near = (grams[at][1:] == grams[at][:-1]) & (np.diff(at) < width)
+        # At a distance of ``width`` the second takes over where the first leaves the window, so the run goes on.
+        near = (grams[at][1:] == grams[at][:-1]) & (np.diff(at) <= width)
         return m[start], start, np.diff(np.concatenate([start, [len(m)]])), np.isin(m[start], grams[at][1:][near])
 
 

@@ -89,6 +89,23 @@ def test_suffix_array_dedup(docs, odd, empty):
     assert remove_earlier(empty).count() == 0
 
 
+def test_suffix_periodic_texts(spark):
+    from crosspanel.llm.suffixes import WIDTH, remove_earlier
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=period)) * (1 + 300 // period) for period in range(1, 121)]
+    gone = []
+    for t in texts:
+        seen, away = set(), set()
+        for i in range(len(t) - WIDTH + 1):
+            if t[i : i + WIDTH] in seen:
+                away.update(range(i, i + WIDTH))
+            seen.add(t[i : i + WIDTH])
+        gone.append(len(away))
+    got = rows(remove_earlier(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {i: r.n_removed for i, r in got.items()} == dict(enumerate(gone))
+
+
 def test_suffix_blocks_and_hashes_agree(docs, monkeypatch):
     from crosspanel.llm import suffixes
 
