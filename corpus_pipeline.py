@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosspanel.llm import bpe, decontaminate, gbdt, pii, simhash
@@ -24,10 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies; rows without an id stay."""
-    groups = simhash.similar_groups(docs)
-    drop = groups.filter("doc_id <> group_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies: that with the least id, nulls last, and then by its text's hash and other columns."""
+    rows = docs.select("*", F.xxhash64("text").alias("__key"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no"))
+    groups = simhash.similar_groups(rows, id_col="__key").distinct()
+    best = rows.select("__key", "__id", "__no").join(groups, "__key").groupBy("group_id").agg(F.min(F.struct("__no", "__id", "__key")).alias("b")).select("b.*")
+    same = ["__key", "__id", "__no"]
+    first = F.row_number().over(Window.partitionBy(*same).orderBy(*sorted(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return rows.join(best, same).withColumn("__k", first).filter("__k = 1").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

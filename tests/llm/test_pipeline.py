@@ -58,3 +58,13 @@ def test_odd_rows_pass_through(spark):
         out = stage(spark, docs, sf)
         assert out.count() <= 4, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    texts = [(None, a), (1, a), (1, a), (2, None), (3, b), (5, b + " tail"), (5, c), (None, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (2, None), (3, b), (5, c), (None, d)], key=str)
