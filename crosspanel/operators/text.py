@@ -66,10 +66,10 @@ def topic_signal(df: DataFrame, by: list[str], topic: str = "topic", secondary:
     return t.withColumn("__w", w).groupBy(*by).agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("signal"), F.sum("__n").alias("weight"), F.max_by("__t", F.struct("__n", "__t")).alias("top_topic"))
 
 
-def with_tone(df: DataFrame, text: str, lists: dict[str, list[str]], most: int = 500_000) -> DataFrame:
-    """Share of each word list among the words of a filing without tags, and the net tone (p - n) / (p + n)."""
+def with_tone(df: DataFrame, text: str, lists: dict[str, list[str]], most: int | None = None) -> DataFrame:
+    """Share of each word list among the words of a filing without tags, and the net tone (p - n) / (p + n); of the first ``most`` characters, or of all."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"&[a-zA-Z#0-9]+;", " "), r"\s+", " ")
-    tokens = F.regexp_extract_all(F.lower(F.substring(plain, 1, most)), F.lit(r"([a-zA-Z]+)"), 1)
+    tokens = F.regexp_extract_all(F.lower(plain if most is None else F.substring(plain, 1, most)), F.lit(r"([a-zA-Z]+)"), 1)
     df = df.withColumn("__w", tokens).withColumn("tone_words", F.size("__w"))
     df = df.select("*", *[hits("__w", v).alias(f"__{k}") for k, v in lists.items()])
     df = df.select("*", *[F.coalesce(div(f"__{k}", F.nullif(F.col("tone_words"), F.lit(0))), F.lit(0.0)).alias(k) for k in lists])

@@ -43,7 +43,7 @@ def _(t):
 
 @query("n07_filing_tone", f"WITH p AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g')), '([a-zA-Z]+)', 1) AS w FROM pages), c AS (SELECT page_id, len(w) AS k, {_HIT(POS)} AS p, {_HIT(NEG)} AS n FROM p) SELECT page_id, k AS tone_words, round(coalesce(p / nullif(k, 0), 0), 4) AS positive, round(coalesce(n / nullif(k, 0), 0), 4) AS negative, round(coalesce((p - n) / nullif(p + n, 0), 0), 4) AS net_tone FROM c")
 def _(t):
-    d = N.with_tone(t("pages"), "html", {"positive": POS, "negative": NEG}, most=10_000_000)
+    d = N.with_tone(t("pages"), "html", {"positive": POS, "negative": NEG})
     return rounded(d.select("page_id", F.col("tone_words").cast("long").alias("tone_words"), "positive", "negative", "net_tone"))
 
 

@@ -286,3 +286,10 @@ def test_nearest_label():
 def test_guarded_rolling(spark):
     df = spark.createDataFrame([("A", i, v) for i, v in enumerate([1.0, None, 3.0, 4.0])], "ticker string, date int, x double")
     assert column(df.withColumn("m", rolling(F.avg, "x", 3, series(), 2)), "m") == [None, None, 2.0, 3.5]
+
+
+def test_tone_of_long_filings(spark):
+    from crosspanel.operators.text import with_tone
+
+    df = spark.createDataFrame([("x " * 300_000 + "good",)], "html string")
+    assert with_tone(df, "html", {"positive": ["good"]}).first().tone_words == 300_001
