@@ -5,29 +5,44 @@ neighbours with the same least hash travel as one string.  Least hashes that occ
 shard's distinct strings are joined; their suffix array gives the Burrows-Wheeler transform, on which intervals are extended
 backwards breadth-first: the extensions of the intervals of common prefixes of length l mark where neighbouring suffixes share l
 bytes only.  The search stops at WIDTH bytes; neighbours still unmarked then share a window.
+
+A least hash with very many different strings (what surrounds a passage that a third of all documents hold) is no shard of its own:
+its strings are cut by where their windows hold the gram, and what all windows of a piece have in common names the shard.  At the
+finest cut that is the whole window, so all strings of a shard are equal, and each batch sends one of them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm._repeats import Rolling, anchors, finish, keyed, lists, slices
+from crosspanel.llm._repeats import CROWD, Rolling, anchors, finish, joined, keyed, lists, merged, slices
 from crosspanel.llm._rows import map_rows, table
 
 WIDTH, GRAM, SEED = 100, 24, 8
-#: Bytes of one transform; a shard key with more distinct strings than that is resolved by hashes of its windows instead.
+#: Windows of WIDTH bytes that hold a given gram.
+SPAN = WIDTH - GRAM + 1
+#: Bytes of one transform.  A shard with more bytes of distinct strings is cut finer, and its pieces are dealt out again.
 BLOCK = 1_500_000
+#: Windows of one string: a longer run of one least hash (a periodic text) is cut.
+LONGEST = 4096
+#: Pieces that a gram's windows are cut into: a few, then one for each window.
+FEW = 32
+#: Crowded grams that are cut before the first shuffle, at most; the others are cut after it.
+CROWDS = 100_000
 _LAST = np.iinfo(np.int64).max
+_ROLL = 0x9E3779B97F4A7C15
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window of ``width`` values, from running minima of blocks in both directions."""
     n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
     padded = np.concatenate([values, np.full(-len(values) % width, np.iinfo(values.dtype).max, values.dtype)]).reshape(-1, width)
     left = np.minimum.accumulate(padded, 1).ravel()
     right = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
@@ -35,65 +50,166 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Strings:
-    """Cuts a text into runs of windows with the same least hash."""
+    """Cuts texts into runs of windows with the same least hash."""
 
     def __init__(self) -> None:
-        self.rolling = Rolling(0x9E3779B97F4A7C15)
-
-    def runs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Least hash, first window and number of windows of each run, and whether its gram occurs again near by."""
-        if len(data) < WIDTH:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        width = WIDTH - GRAM + 1
-        grams = self.rolling.windows(self.rolling.prefix(np.frombuffer(data, np.uint8)), GRAM)
-        m = least(grams, width)
-        start = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
-        # Grams that are the least of a window: as large as the greatest least hash of the windows around them.
-        around = ~least(~np.concatenate([np.zeros(width - 1, np.uint64), m, np.zeros(width - 1, np.uint64)]), width)
-        at = np.flatnonzero(grams == around)
-        at = at[np.lexsort((at, grams[at]))]
-        # At a distance of ``width`` the second takes over where the first leaves the window, so the run goes on.
-        near = (grams[at][1:] == grams[at][:-1]) & (np.diff(at) <= width)
-        return m[start], start, np.diff(np.concatenate([start, [len(m)]])), np.isin(m[start], grams[at][1:][near])
+        self.rolling = Rolling(_ROLL)
+
+    def runs(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Batches of runs (text, least hash, first window, number of windows, whether the gram occurs again near by)."""
+        for group in joined([len(t) for t in texts], WIDTH):
+            data = np.frombuffer(b"".join([texts[k][a:b] for k, a, b in group]), np.uint8)
+            own, base, stop = (np.array(x, np.int64) for x in zip(*group, strict=True))
+            begin = np.cumsum(stop - base) - (stop - base)
+            grams = self.rolling.windows(self.rolling.prefix(data), GRAM)
+            m = least(grams, SPAN)
+            if not len(m):
+                continue
+            change = np.zeros(len(m) + 1, np.int32)
+            some = stop - base >= WIDTH
+            change[begin[some]] += 1
+            change[(begin + stop - base)[some] - WIDTH + 1] -= 1
+            valid = np.cumsum(change[:-1]) > 0
+            m[~valid] = 0
+            new = valid & np.concatenate([[True], (m[1:] != m[:-1]) | ~valid[:-1]])
+            new[begin[some]] = True
+            start, end = np.flatnonzero(new), np.flatnonzero(valid & np.append(~valid[1:] | new[1:], True))
+            # Grams that are the least of a window: as large as the greatest least hash of the windows around them.
+            pad = np.zeros(SPAN - 1, np.uint64)
+            at = np.flatnonzero(grams == ~least(~np.concatenate([pad, m, pad]), SPAN))
+            at = at[np.lexsort((at, grams[at]))]
+            # At a distance of SPAN the second takes over where the first leaves the window, so the run goes on.
+            near = np.unique(grams[at][1:][(grams[at][1:] == grams[at][:-1]) & (np.diff(at) <= SPAN)])
+            part = np.searchsorted(begin, start, "right") - 1
+            yield own[part], m[start], start - begin[part] + base[part], end - start + 1, np.isin(m[start], near)
 
 
 def _anchors():
     strings = Strings()
 
-    def find(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m, start, _, near = strings.runs(text.encode("utf-8", "replace"))
-        return m, start, near
+    def find(texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+        for own, m, start, _, near in strings.runs([t.encode("utf-8", "replace") for t in texts]):
+            yield own, m, start, near
 
     return find
 
 
-def _strings(batches: Iterator[list[list]]) -> Iterator[list]:
-    """Rows (m, id, key, start, n, data) of the runs with a repeated least hash.
+def hashed(data: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    x = xxh3_64_intdigest(data)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def finer(data: bytes, n: int, at: int, pieces: int) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, first window, windows, place of the gram in the piece) of the pieces of a string whose gram is at ``at``.
+
+    A window that starts o bytes before the gram goes to piece o * pieces // SPAN.  All windows of a piece hold the bytes from its
+    least o before the gram to those that its greatest o leaves behind it: these name the shard, so equal windows meet.
+    """
+    for piece in range(min(at, SPAN - 1) * pieces // SPAN, max(at - n + 1, 0) * pieces // SPAN - 1, -1):
+        low, high = -(-piece * SPAN // pieces), min(SPAN - 1, -(-(piece + 1) * SPAN // pieces) - 1)
+        first, last = max(0, at - high), min(n - 1, at - low)
+        if first <= last:
+            yield hashed(b"%d:" % piece + data[at - low : at + WIDTH - high]), first, last - first + 1, at - first
+
+
+def cut(rows: Iterator[tuple], rolling: Rolling) -> Iterator[tuple]:
+    """The pieces of rows (m, at, near, id, key, start, n, data) as such rows.
+
+    at says how far a string is cut: the place of its gram if into FEW pieces, -1 if not at all, -2 if into single windows.
+    """
+    for m, at, _, id_, key, start, n, data in rows:
+        if at == -2:
+            yield m, at, False, id_, key, start, n, data
+            continue
+        if at >= 0:
+            yield from ((h, -2, False, id_, key, start + a, k, data[a : a + k + WIDTH - 1]) for h, a, k, _ in finer(data, n, at, SPAN))
+            continue
+        grams = rolling.windows(rolling.prefix(np.frombuffer(data, np.uint8)), GRAM)
+        # A window's gram is the first in it with the least hash; from one gram to the next the windows form a string.
+        begin = 0
+        for p in np.flatnonzero(grams.view(np.int64) == m).tolist():
+            if begin < n and p >= begin:
+                some = min(n, p + 1) - begin
+                for h, a, k, place in finer(data[begin : begin + some + WIDTH - 1], some, p - begin, FEW):
+                    yield h, place, False, id_, key, start + begin + a, k, data[begin + a : begin + a + k + WIDTH - 1]
+                begin += some
+
+
+class Kept:
+    """The distinct strings of a batch or a shard, each with the row that starts earliest; the others' windows are removed."""
+
+    def __init__(self) -> None:
+        self.rows: dict[bytes, tuple] = {}
+        self.bytes = 0
+
+    def add(self, row: tuple) -> tuple | None:
+        """The row whose windows go, if there is one.  Rows that are the same in id, key and start count once."""
+        data = row[7]
+        old = self.rows.get(data)
+        if old is None:
+            self.rows[data] = row
+            self.bytes += len(data) + 1
+            return None
+        if old[3:6] > row[3:6]:
+            self.rows[data], row, old = row, old, row
+        return row if old[3:6] != row[3:6] else None
+
+
+COLUMNS = "m long, at int, near boolean, id long, key long, start int, n int, data binary"
+
+
+def columns(rows: list[tuple]) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 8
+
+
+def gone(removed: list[tuple]) -> list[tuple]:
+    """Rows without bytes for the windows that are removed, neighbours as one; they are dealt out by their place."""
+    by_key: dict[tuple, list] = {}
+    for r in removed:
+        by_key.setdefault((r[3], r[4]), []).append((r[5], r[5] + r[6]))
+    out = []
+    for (id_, key), ranges in by_key.items():
+        ranges = np.array(sorted(ranges), np.int64)
+        for a, b in zip(*(x.tolist() for x in merged(ranges[:, 0], ranges[:, 1])), strict=True):
+            out.append((((key * 31 + a) & 0x7FFFFFFFFFFFFFFF), -1, False, id_, key, a, b - a, None))
+    return out
+
+
+def _strings(crowded: np.ndarray):
+    """Rows of COLUMNS: the runs with a repeated least hash, those of a crowded one in pieces.
 
     Of equal strings in a batch only the earliest is sent with its bytes; the windows of the others are removed, whatever comes.
     """
-    strings = Strings()
-    for keys, ids, texts, found in batches:
-        for i, j in slices([len(t) for t in texts], 4_000_000):
-            own: dict[bytes, tuple] = {}
-            rows: list[tuple] = []
-            for key, id_, text, at in zip(keys[i:j], ids[i:j], texts[i:j], found[i:j], strict=True):
-                data = text.encode("utf-8", "replace")
-                m, start, n, _ = strings.runs(data)
-                wanted = np.isin(start, np.array(at, np.int64))
-                for h, s, k in zip(m[wanted].view(np.int64).tolist(), start[wanted].tolist(), n[wanted].tolist(), strict=True):
-                    part = data[s : s + k + WIDTH - 1]
-                    new = (h, _LAST if id_ is None else id_, key, s, k)
-                    old = own.get(part)
-                    if old is not None and old[1:4] > new[1:4]:
-                        old, new = new, old
-                        own[part] = old
-                    if old is None:
-                        own[part] = new
-                    elif old[1:4] != new[1:4]:
-                        rows.append((*new, None))
-            rows += [(*v, k) for k, v in own.items()]
-            yield [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 6
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        strings = Strings()
+        for keys, ids, texts, found in batches:
+            for i, j in slices([len(t) for t in texts], 4_000_000):
+                kept, removed = Kept(), []
+                data = [t.encode("utf-8", "replace") for t in texts[i:j]]
+                wanted = found[i:j]
+                sizes = np.array([len(t) + 1 for t in data], np.int64)
+                ahead = np.cumsum(sizes) - sizes
+                places = np.concatenate([np.array(w, np.int64) + a for w, a in zip(wanted, ahead.tolist(), strict=True)])
+                for own, m, start, n, near in strings.runs(data):
+                    good = np.isin(ahead[own] + start, places)
+                    m = m.view(np.int64)
+                    split = np.isin(m, crowded)
+                    values = (x[good].tolist() for x in (own, m, start, n, near, split))
+                    for k, h, s, size, again, many in zip(*values, strict=True):
+                        id_ = _LAST if ids[i + k] is None else ids[i + k]
+                        key, text = keys[i + k], data[k]
+                        for a in range(s, s + size, LONGEST):
+                            w = min(LONGEST, s + size - a)
+                            row = (h, -1, again, id_, key, a, w, text[a : a + w + WIDTH - 1])
+                            for own_row in cut([row], strings.rolling) if many else (row,):
+                                if (less := kept.add(own_row)) is not None:
+                                    removed.append(less)
+                yield columns([*kept.rows.values(), *gone(removed)])
+
+    return run
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -181,102 +297,118 @@ def later_windows(strings: list[tuple[int, int, int, int, bytes]]) -> Iterator[t
     group = np.cumsum(mark[: len(text)])
     valid = offset[order] < counts[which[order]]
     at, group = order[valid], group[valid]
+    # Only groups of two or more can lose a window.
+    alone = np.concatenate([[True], group[1:] != group[:-1]]) & np.concatenate([group[1:] != group[:-1], [True]])
+    at, group = at[~alone], group[~alone]
+    if not len(at):
+        return
     own = which[at]
     where = starts[own] + offset[at]
     by = np.lexsort((where, keys[own], ids[own], group))
     at, own, where, group = at[by], own[by], where[by], group[by]
     first = np.concatenate([[True], group[1:] != group[:-1]])
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    later = (ids[own] != ids[own][head]) | (where != where[head])
-    gone = np.sort(at[later])
-    if len(gone):
-        cut = np.flatnonzero((np.diff(gone) > 1) | (np.diff(which[gone]) > 0))
-        for a, b in zip(gone[np.concatenate([[0], cut + 1])].tolist(), gone[np.concatenate([cut, [len(gone) - 1]])].tolist(), strict=True):
-            s = which[a]
-            yield int(keys[s]), int(starts[s] + offset[a]), int(starts[s] + offset[b] + 1)
-
-
-def _resolve(batches: Iterator[list[list]]) -> Iterator[list]:
-    """Rows (h1, h2, id, key, start, stop): ranges that are removed, with h1 null, or windows that are left to their hashes."""
-    block: dict[bytes, tuple] = {}
-    group: dict[bytes, tuple] = {}
+    later = (ids[own] != ids[own][head]) | (keys[own] != keys[own][head]) | (where != where[head])
+    away = np.sort(at[later])
+    if len(away):
+        cuts = np.flatnonzero((np.diff(away) > 1) | (np.diff(which[away]) > 0))
+        heads, ends = away[np.concatenate([[0], cuts + 1])], away[np.concatenate([cuts, [len(away) - 1]])]
+        s = which[heads]
+        yield from zip(keys[s].tolist(), (starts[s] + offset[heads]).tolist(), (starts[s] + offset[ends] + 1).tolist(), strict=True)
+
+
+def _resolve(most: int, batches: Iterator[list[list]]) -> Iterator[list]:
+    """Rows of COLUMNS: ranges of windows that are removed, without bytes, or the pieces of strings of a shard of over ``most`` bytes."""
+    block: list[tuple] = []
+    shard, size = Kept(), 0
     out: list[tuple] = []
-    size = own = 0
+    rolling = Rolling(_ROLL)
     last, deferred = None, False
 
-    def windows(id_: int, key: int, start: int, n: int, data: bytes) -> Iterator[tuple]:
-        for i in range(n):
-            h = hashlib.blake2b(data[i : i + WIDTH], digest_size=16).digest()
-            yield int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), id_, key, start + i, start + i + 1
-
     def flush() -> None:
         nonlocal size
         if block:
-            out.extend((None, None, None, *x) for x in later_windows([(*v, k) for k, v in block.items()]))
+            out.extend((None, None, None, None, key, a, b - a, None) for key, a, b in later_windows([r[3:] for r in block]))
         block.clear()
         size = 0
 
     def close() -> None:
-        """The group is whole and fits into a block."""
-        nonlocal size, own
-        if size + own > BLOCK:
-            flush()
-        block.update(group)
-        size += own
-        group.clear()
-        own = 0
-
-    for columns in batches:
-        for m, id_, key, start, n, data in zip(*columns, strict=True):
-            if m != last:
+        """The shard is whole and fits into a block.  A single string without a second gram repeats nothing."""
+        nonlocal size, shard
+        rows = shard.rows.values()
+        if len(rows) > 1 or any(r[2] for r in rows):
+            if size + shard.bytes > most:
+                flush()
+            block.extend(rows)
+            size += shard.bytes
+        shard = Kept()
+
+    for batch in batches:
+        for row in zip(*batch, strict=True):
+            if row[0] != last:
                 close()
-                last, deferred = m, False
-            if data is None:
-                out.append((None, None, None, key, start, start + n))
-                continue
-            new = (id_, key, start, n)
-            if deferred:
-                out.extend(windows(*new, data))
-            elif (old := group.get(data)) is None:
-                group[data] = new
-                own += len(data) + 1
-                if own > BLOCK:
-                    deferred = True
-                    for d, v in group.items():
-                        out.extend(windows(*v, d))
-                    group.clear()
-                    own = 0
+                last, deferred = row[0], False
+            if row[7] is None:
+                out.append((None, None, None, None, *row[4:]))
+            elif deferred and row[1] != -2:
+                out.extend(cut([row], rolling))
             else:
-                if new[:3] < old[:3]:
-                    group[data], new = new, old
-                if new[:3] != group[data][:3]:
-                    out.append((None, None, None, new[1], new[2], new[2] + n))
+                if (less := shard.add(row)) is not None:
+                    out.append((None, None, None, None, *less[4:7], None))
+                if shard.bytes > most and any(r[1] != -2 for r in shard.rows.values()):
+                    deferred = True
+                    out.extend(cut(shard.rows.values(), rolling))
+                    shard = Kept()
             if len(out) > 20_000:
-                yield [list(c) for c in zip(*out, strict=True)]
+                yield columns(out)
                 out.clear()
     close()
     flush()
-    if out:
-        yield [list(c) for c in zip(*out, strict=True)]
+    yield columns(out)
+
 
+def _dealt(strings: DataFrame, block: int) -> DataFrame:
+    """The shards' strings meet, and what comes of them is written."""
+    names = [f.split(" ")[0] for f in COLUMNS.split(", ")]
+    ready = strings.repartition("m").sortWithinPartitions("m")
+    return table(map_rows(ready, names, COLUMNS, partial(_resolve, block)), "suffixes")
 
-def earlier_repeats(rows: DataFrame) -> DataFrame:
+
+def earlier_repeats(rows: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Ranges (key, start, stop) of the windows of ``keyed`` documents that also start earlier."""
-    found = lists(anchors(rows, _anchors, "grams"))
-    strings = map_rows(rows.join(found, "key"), ["key", "id", "text", "at"], "m long, id long, key long, start int, n int, data binary", _strings)
-    strings = strings.repartition("m").sortWithinPartitions("m")
-    resolved = table(map_rows(strings, ["m", "id", "key", "start", "n", "data"], "h1 long, h2 long, id long, key long, start int, stop int", _resolve), "suffixes")
-    left = resolved.filter("h1 is not null")
-    first = left.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = left.join(first, ["h1", "h2"]).filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-    return resolved.filter("h1 is null").select("key", "start", "stop").union(later.select("key", "start", "stop"))
+    repeats = anchors(rows, _anchors, "grams", crowd)
+    # A bounded number of grams, for speed only: crowded shards that are not among these are cut behind the shuffle.
+    many = repeats.filter("pos < 0").orderBy("pos", "key").limit(CROWDS).select("key").collect()
+    crowded = np.array([r.key for r in many], np.int64)
+    strings = map_rows(rows.join(lists(repeats), "key"), ["key", "id", "text", "at"], COLUMNS, _strings(crowded))
+    out, left = [], _dealt(strings, block)
+    for _ in range(2):  # uncut, few pieces, single windows
+        out.append(left.filter("m is null"))
+        left = left.filter("m is not null")
+        if left.isEmpty():
+            break
+        left = _dealt(left, block)
+    else:
+        out.append(left.filter("m is null"))
+    ranges = out[0]
+    for more in out[1:]:
+        ranges = ranges.unionByName(more)
+    return ranges.select("key", "start", (F.col("start") + F.col("n")).alias("stop"))
 
 
-def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """One row (id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of docs.
 
-    Null and empty texts have no bytes.  Documents are ordered by id, nulls last; rows that share an id are taken as one document,
-    so of their equal windows only those with a later start go.  Windows are judged on the input.
+    Null and empty texts have no bytes.  Documents are ordered by id, nulls last.  Rows that share an id are documents in the order of
+    a hash of id and text; rows that share both are one document, so they lose the same bytes and none to one another.  Of equal
+    strings the earliest stays.  Windows are judged on the input.  Long texts are walked through in segments; a task holds one batch
+    of rows and one block of strings.  An empty table gives an empty result.  Other columns of docs are ignored.  ``crowd`` and ``block``
+    (occurrences of a gram, bytes of a transform) say when strings are cut finer; the result is the same.
     """
     rows = keyed(docs, id_col, text_col)
-    return finish(rows, earlier_repeats(rows), WIDTH, lambda text: text.encode("utf-8", "replace"), b"", id_col, "bytes")
+    return finish(rows, earlier_repeats(rows, crowd, block), WIDTH, _bytes, id_col, "bytes")
+
+
+def _bytes(text: str) -> tuple[int, Callable[[list[tuple[int, int]]], bytes]]:
+    data = text.encode("utf-8", "replace")
+    return len(data), lambda spans: b"".join([data[a:b] for a, b in spans])

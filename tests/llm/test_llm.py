@@ -89,41 +89,78 @@ def test_suffix_array_dedup(docs, odd, empty):
     assert remove_earlier(empty).count() == 0
 
 
+def plain_removed(rows_):
+    """Removed positions of each of (id, text bytes), which come in the order of documents."""
+    seen, out = set(), []
+    for _, data in rows_:
+        away, own = set(), []
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                away.update(range(i, i + 100))
+            seen.add(data[i : i + 100])
+        out.append((len(away), hashlib.sha256(bytes(c for i, c in enumerate(data) if i not in away)).hexdigest()))
+    return out
+
+
 def test_suffix_periodic_texts(spark):
-    from crosspanel.llm.suffixes import WIDTH, remove_earlier
+    from crosspanel.llm.suffixes import remove_earlier
 
     rng = random.Random(13)
-    texts = ["".join(rng.choices("abcdefghijklmnop", k=period)) * (1 + 300 // period) for period in range(1, 121)]
-    gone = []
-    for t in texts:
-        seen, away = set(), set()
-        for i in range(len(t) - WIDTH + 1):
-            if t[i : i + WIDTH] in seen:
-                away.update(range(i, i + WIDTH))
-            seen.add(t[i : i + WIDTH])
-        gone.append(len(away))
-    got = rows(remove_earlier(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    assert {i: r.n_removed for i, r in got.items()} == dict(enumerate(gone))
-
-
-def test_suffix_blocks_and_hashes_agree(docs, monkeypatch):
-    from crosspanel.llm import suffixes
-
-    wanted = {(r.doc_id, r.kept_sha256) for r in suffixes.remove_earlier(docs).collect()}
-    monkeypatch.setattr(suffixes, "BLOCK", 300)  # nearly every group is too large, and workers start anew with the new value
-    rng = random.Random(3)
-    base = bytes(rng.choice(b"ab") for _ in range(400))
-    strings = [(i, i, 0, 60, base[o : o + 159]) for i, o in enumerate([0, 100, 0, 50, 7])]
-    small = sorted({x for k, a, b in suffixes.later_windows(strings) for x in ((k, p) for p in range(a, b))})
-    batches = [[[1] * 5, [s[0] for s in strings], [s[1] for s in strings], [0] * 5, [60] * 5, [s[4] for s in strings]]]
-    out = [r for b in suffixes._resolve(iter(batches)) for r in zip(*b, strict=True)]
-    first: dict = {}
-    later = {(k, p) for h1, _, _, k, s, e in out if h1 is None for p in range(s, e)}
-    for h1, h2, i, k, s, _ in sorted((r for r in out if r[0] is not None), key=lambda r: (r[2], r[4])):
-        if (h1, h2) in first:
-            later.add((k, s))
-        first.setdefault((h1, h2), (i, s))
-    assert sorted(later) == small and wanted
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=period)) * (1 + 300 // period) for period in range(1, 261)]
+    texts += [(part := "".join(rng.choices("abcdef", k=100 + k))) + "-" * k + part[k:] + part for k in range(90)]
+    texts = [t * 3 if 100 < k < 261 else t for k, t in enumerate(texts)]
+    want = plain_removed([(i, t.encode()) for i, t in enumerate(texts)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for crowd, block in ((20_000, 1_500_000), (3, 700)):
+        got = rows(remove_earlier(df, crowd=crowd, block=block))
+        assert [(got[i].n_removed, got[i].kept_sha256) for i in range(len(texts))] == want, (crowd, block)
+
+
+def test_suffix_fuzz_and_crowds(spark):
+    """2,000 texts of shared passages, copies and noise; many share one passage with different surroundings."""
+    from crosspanel.llm.suffixes import remove_earlier
+
+    rng = random.Random(21)
+    passages = ["".join(rng.choices("abcd é\n", k=rng.randint(60, 400))) for _ in range(25)]
+    texts = []
+    for _ in range(2000):
+        parts = [rng.choice([passages[0], passages[0], *passages]) for _ in range(rng.randint(0, 2))]
+        parts = [p[rng.randint(0, 8) : len(p) - rng.randint(0, 8)] for p in parts]
+        texts.append("".join(x for p in parts for x in (p, "".join(rng.choices("abcd", k=rng.randint(0, 40))))) + "".join(rng.choices("ab", k=rng.randint(0, 30))))
+    want = plain_removed([(i, t.encode()) for i, t in enumerate(texts)])
+    assert sum(n > 0 for n, _ in want) > 1000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for crowd, block in ((20_000, 1_500_000), (50, 3_000), (10**9, 2_000)):
+        got = rows(remove_earlier(df, crowd=crowd, block=block))
+        assert [(got[i].n_removed, got[i].kept_sha256) for i in range(len(texts))] == want, (crowd, block)
+
+
+def test_suffix_rows_that_share_an_id(spark):
+    """They are documents one after another, in an order by hash: one of two loses the whole head that they share."""
+    from crosspanel.llm.suffixes import remove_earlier
+
+    head = prose(random.Random(3), 700)
+    df = spark.createDataFrame([(5, head + " tail one"), (5, head + " and another"), (None, head), (None, head + " x")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_removed) for r in remove_earlier(df).collect())
+    assert [n for i, n in got if i] in ([0, len(head) + 1], [0, len(head) + 2]) and [n for i, n in got if not i][0] == len(head)
+
+
+def test_long_texts_are_cut_into_segments(spark):
+    """Texts of several segments give the removals that their parts have in brute force; 5 MB of one byte repeats itself."""
+    from crosspanel.llm.substring import remove_repeats
+    from crosspanel.llm.suffixes import remove_earlier
+
+    rng = random.Random(4)
+    passage = prose(rng, 60, 100_000)
+    long = " ".join(f"{rng.getrandbits(48):x}" for _ in range(280_000))
+    cut = [long[:262_000], long[262_000:700_000], long[700_000:]]
+    text = f" {passage} ".join(cut)
+    df = spark.createDataFrame([(0, text), (1, "y" * 5_000_000), (2, passage + " end")], "doc_id long, text string")
+    got = rows(remove_earlier(df))
+    assert len(text) > 3_000_000 and got[0].n_removed in range(len(passage), len(passage) + 20) and got[0].n_spans == 1
+    assert got[1].n_removed == 4_999_999 and got[2].n_removed in (len(passage), len(passage) + 1, len(passage) + 2)
+    got = rows(remove_repeats(df))
+    assert (got[0].n_removed, got[0].n_spans, got[1].n_removed, got[2].n_removed) == (120, 2, 0, 60)
 
 
 def test_warc_round_trip(spark, tmp_path):
