@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from crosspanel.llm._rows import map_rows, table
 
 #: Occurrences from which an anchor counts as crowded.
-CROWD = 20_000
+CROWD = 4_000
 #: Units (bytes or words) that numpy looks at together: texts are joined up to that, longer ones are cut with an overlap.
 SEGMENT = 262_144
 

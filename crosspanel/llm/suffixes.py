@@ -13,7 +13,7 @@ finest cut that is the whole window, so all strings of a shard are equal, and ea
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -114,7 +114,7 @@ def finer(data: bytes, n: int, at: int, pieces: int) -> Iterator[tuple[int, int,
             yield hashed(b"%d:" % piece + data[at - low : at + WIDTH - high]), first, last - first + 1, at - first
 
 
-def cut(rows: Iterator[tuple], rolling: Rolling) -> Iterator[tuple]:
+def cut(rows: Iterable[tuple], rolling: Rolling) -> Iterator[tuple]:
     """The pieces of rows (m, at, near, id, key, start, n, data) as such rows.
 
     at says how far a string is cut: the place of its gram if into FEW pieces, -1 if not at all, -2 if into single windows.
@@ -321,6 +321,7 @@ def _resolve(most: int, batches: Iterator[list[list]]) -> Iterator[list]:
     """Rows of COLUMNS: ranges of windows that are removed, without bytes, or the pieces of strings of a shard of over ``most`` bytes."""
     block: list[tuple] = []
     shard, size = Kept(), 0
+    pieces, copies = Kept(), []
     out: list[tuple] = []
     rolling = Rolling(_ROLL)
     last, deferred = None, False
@@ -332,6 +333,20 @@ def _resolve(most: int, batches: Iterator[list[list]]) -> Iterator[list]:
         block.clear()
         size = 0
 
+    def defer(rows: Iterable[tuple]) -> None:
+        """Cuts strings finer; of equal pieces one is sent on."""
+        nonlocal pieces
+        copies.extend(less for piece in cut(rows, rolling) if (less := pieces.add(piece)) is not None)
+        if pieces.bytes > most or len(copies) > 50_000:
+            send()
+
+    def send() -> None:
+        nonlocal pieces
+        out.extend(pieces.rows.values())
+        out.extend((None, None, None, None, *r[4:]) for r in gone(copies))
+        copies.clear()
+        pieces = Kept()
+
     def close() -> None:
         """The shard is whole and fits into a block.  A single string without a second gram repeats nothing."""
         nonlocal size, shard
@@ -351,19 +366,20 @@ def _resolve(most: int, batches: Iterator[list[list]]) -> Iterator[list]:
             if row[7] is None:
                 out.append((None, None, None, None, *row[4:]))
             elif deferred and row[1] != -2:
-                out.extend(cut([row], rolling))
+                defer([row])
             else:
                 if (less := shard.add(row)) is not None:
                     out.append((None, None, None, None, *less[4:7], None))
                 if shard.bytes > most and any(r[1] != -2 for r in shard.rows.values()):
                     deferred = True
-                    out.extend(cut(shard.rows.values(), rolling))
+                    defer(shard.rows.values())
                     shard = Kept()
             if len(out) > 20_000:
                 yield columns(out)
                 out.clear()
     close()
     flush()
+    send()
     yield columns(out)
 
 
