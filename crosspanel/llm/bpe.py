@@ -11,9 +11,8 @@ Null texts encode to no ids and decode to no bytes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-import threading
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +22,14 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import map_rows, parts
 
-#: Entries of each cache of a worker; a full one starts anew, which costs time only.
-CACHE = 250_000
+#: Bytes of each of a task's two caches, about; a full one starts anew, which costs time only.
+CACHE = 24_000_000
+#: Bytes of an entry besides its ids and characters: a place in a dictionary and the heads of two objects.
+ENTRY = 220
 #: Longer pieces and chunks are not kept.
 CACHE_CHARS = 64
-#: Pieces that share a queue.
-AT_ONCE = 40_000
+#: Pieces that share a queue, and characters that are chunks at a time.
+AT_ONCE, CHARS = 20_000, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -228,29 +229,58 @@ WHITE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-_kept: dict[str, tuple[Encoder, dict[str, bytes], dict[str, bytes]]] = {}
-_timers: list[threading.Timer] = []
-#: Seconds without a task after which a worker drops its caches, so that later stages have the memory.
-IDLE = 5.0
+class Chunks:
+    """Ids of whole texts by way of their chunks.  Frequent chunks and pieces are kept in two caches of bounded size."""
 
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk: re.Pattern | None) -> None:
+        import regex
 
-def kept(name: str, ranks: dict[bytes, int]) -> tuple[Encoder, dict[str, bytes], dict[str, bytes]]:
-    """An encoder with its caches of chunks and pieces, which a Python worker keeps from one task to the next."""
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = Encoder(ranks), {}, {}
-    for timer in _timers:
-        timer.cancel()
-    _timers.clear()
-    return _kept[name]
+        self.find = regex.compile(pattern).findall
+        self.cut = chunk.findall if chunk else lambda text: [text]
+        self.encoder = Encoder(ranks)
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.held = [0, 0]
+
+    def learn(self, parts: list[str]) -> None:
+        """Adds the parts to chunks."""
+        if self.held[1] > CACHE:
+            self.pieces.clear()
+            self.held[1] = 0
+        found = list(map(self.find, parts))
+        new = list(set().union(*found).difference(self.pieces))
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            packed = self.encoder.encode_packed([p.encode("utf-8", "replace") for p in some])
+            self.pieces.update(zip(some, packed, strict=True))
+        get = self.pieces.__getitem__
+        self.chunks.update(zip(parts, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in found], strict=True))
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del self.pieces[p]
+            else:
+                self.held[1] += ENTRY + 5 * len(p)
+
+    def packed(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of chunks as int32 bytes."""
+        missing = list(set().union(*parts).difference(self.chunks))
+        if self.held[0] > CACHE:
+            self.chunks.clear()
+            self.held[0] = 0
+            missing = list(set().union(*parts))
+        self.learn(missing)
+        out = [b"".join(map(self.chunks.__getitem__, ps)) for ps in parts]
+        for x in missing:
+            if len(x) > CACHE_CHARS:
+                del self.chunks[x]
+            else:
+                self.held[0] += ENTRY + 5 * len(x)
+        return out
 
 
-def leave() -> None:
-    """Ends a task: the caches go unless another one begins soon."""
-    timer = threading.Timer(IDLE, _kept.clear)
-    timer.daemon = True
-    timer.start()
-    _timers.append(timer)
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: re.Pattern | None = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,53 +290,46 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
     patterns that bind at most one space to what follows.  None: the whole text is one chunk.
 
     The ranks go to the executors as one broadcast: a vocabulary's size is fixed, whatever the data.  Null or empty text: no ids.
-    Ranks must hold all single bytes, else a KeyError is raised.
+    Rows are encoded one by one, so copies, repeated and null ids do no harm; a task holds about CHARS characters at a time and one
+    whole text.  An empty table gives an empty result.  Ranks must hold all single bytes, else a KeyError is raised.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        import regex
+        encoder = Chunks(shared.value, pattern, chunk)
+        for ids, texts in batches:
+            for some, parts in batched(ids, texts, encoder.cut):
+                yield [some, id_lists(encoder.packed(parts))]
 
-        find, cut = regex.compile(pattern).findall, chunk.findall if chunk else lambda text: [text]
-        encoder, chunks, pieces = kept(name, shared.value)
-
-        def learn(parts: list[str]) -> None:
-            """Adds the parts to chunks."""
-            if len(pieces) > CACHE:
-                pieces.clear()
-            found = list(map(find, parts))
-            new = list(set().union(*found).difference(pieces))
-            own: dict[str, bytes] = {}
-            for i in range(0, len(new), AT_ONCE):
-                some = new[i : i + AT_ONCE]
-                own.update(zip(some, encoder.encode_packed([p.encode("utf-8", "replace") for p in some]), strict=True))
-            pieces.update(own)
-            for x, ps in zip(parts, found, strict=True):
-                chunks[x] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-            for p in own:
-                if len(p) > CACHE_CHARS:
-                    del pieces[p]
+    return map_rows(docs, [id_col, text_col], f"{id_col} long, ids array<int>", run)
 
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: re.Pattern | None = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id, n_tokens, ids_sha256, decoded) per row of docs: what decode_documents makes of encode_documents, in one pass, so
+    that the ids stay in the task that made them.  Nulls, copies, long texts and empty tables are as there."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        encoder, tokens = Chunks(shared.value, pattern, chunk), token_bytes(shared.value)
+        decimal = [b"%d" % i for i in range(len(tokens))].__getitem__
         for ids, texts in batches:
-            for some, parts in batched(ids, texts, cut):
-                seen = set().union(*parts)
-                missing = list(seen.difference(chunks))
-                if len(chunks) + len(missing) > CACHE:  # the cache starts anew
-                    chunks.clear()
-                    missing = list(seen)
-                learn(missing)
-                packed = [b"".join(map(chunks.__getitem__, ps)) for ps in parts]
-                for x in missing:
-                    if len(x) > CACHE_CHARS:
-                        del chunks[x]
-                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-                yield [some, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
-        leave()
+            for some, parts in batched(ids, texts, encoder.cut):
+                packed = encoder.packed(parts)
+                digests = [hashlib.sha256(b",".join(map(decimal, memoryview(x).cast("i")))).hexdigest() for x in packed]
+                yield [some, [len(x) // 4 for x in packed], digests, decode_lists(id_lists(packed), tokens)]
 
-    return map_rows(docs, [id_col, text_col], f"{id_col} long, ids array<int>", run)
+    return map_rows(docs, [id_col, text_col], f"{id_col} long, n_tokens long, ids_sha256 string, decoded binary", run)
+
+
+def token_bytes(ranks: dict[bytes, int]) -> pa.BinaryArray:
+    """The bytes of each id; ids without a token have none."""
+    table = [b""] * (max(ranks.values(), default=0) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return pa.array(table, pa.binary())
 
 
-def batched(ids: list, texts: list[str | None], cut, chars: int = 3_000_000) -> Iterator[tuple[list, list[list[str]]]]:
+def batched(ids: list, texts: list[str | None], cut, chars: int = CHARS) -> Iterator[tuple[list, list[list[str]]]]:
     """Some rows at a time, of about so many characters together, with the chunks of each text."""
     some, parts, size = [], [], 0
     for key, text in zip(ids, texts, strict=True):
@@ -331,15 +354,13 @@ def decode_lists(ids: pa.ListArray, tokens: pa.BinaryArray) -> pa.BinaryArray:
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row (id, n_tokens, ids_sha256, decoded) per row: the bytes that the ids stand for.  Null ids: none.
 
-    The ids' digest is taken on the way, so that the ids need not be joined to the bytes again.
+    The ids' digest is taken on the way, so that the ids need not be joined to the bytes again.  Rows are decoded one by one, repeated
+    ones too; lists of any length are one row's memory.  An empty table gives an empty result.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * (max(shared.value.values(), default=0) + 1)
-        for token, rank in shared.value.items():
-            table[rank] = token
-        tokens = pa.array(table, pa.binary())
+        tokens = token_bytes(shared.value)
         for batch in batches:
             for part in parts(batch):
                 key, count, digest, ids = part.columns
