@@ -54,7 +54,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.private_spans(documents(spark, sf_dir))
     counts = [F.size(F.filter(F.split("base", ","), lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+    n = F.when(F.length("spans") > 0, F.size(F.split("spans", ","))).otherwise(0).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", n)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
