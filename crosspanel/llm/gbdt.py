@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import map_rows
@@ -119,25 +120,51 @@ def held_out(id_col: str, parts: int, part: int):
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
+def lowest(key: str, wanted: int, of: Column | int) -> Column:
+    """Whether the hash of a key is among the lowest, so that some more than ``wanted`` of ``of`` rows pass: cuts rows where they are,
+    before what is left is sorted by that hash."""
+    share = F.least(F.lit(1.0), (F.lit(1.5) * wanted + 100) / F.greatest(F.lit(1), of if isinstance(of, Column) else F.lit(of)))
+    return F.xxhash64(key).cast("double") <= share * 2.0**64 - 2.0**63
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
     """Trees learned from labelled rows outside the held-out quarter.
 
-    Rows with a null id or label are not used.  Where an id has several labels or texts, each pair counts once.
+    Rows with a null id or label are not used.  Where an id has several labels or texts, each pair counts once, and twice ``sample``
+    pairs at most come to the driver.  Without labelled rows the trees score 0.5.
     """
     key, label = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
     rows = labels.filter(key.isNotNull() & label.isNotNull() & ~held_out(id_col, 4, 2)).select(key.alias("k"), label.cast("double").alias("y")).distinct()
-    rows = rows.orderBy(F.xxhash64("k"), "k", "y").limit(sample)  # at most `sample` rows, so the broadcast is bounded
+    rows = rows.filter(lowest("k", sample, rows.count())).orderBy(F.xxhash64("k"), "k", "y").limit(sample)  # bounds the broadcast
     chosen = docs.select(key.alias("k"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(rows.select("k").distinct()), "k", "left_semi")
-    got = features(chosen, "k", "text").join(F.broadcast(rows), "k").select("k", "x", "y").orderBy("k", "y").collect()
+    got = features(chosen, "k", "text").join(F.broadcast(rows), "k").select("k", "x", "y").orderBy("k", "y").limit(2 * sample).collect()
     return fit(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.y for r in got]))
 
 
+def _scores(trees: Trees, texts: list[str | None]) -> np.ndarray:
+    return trees.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES)))
+
+
 def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, score, predicted) per row of docs, null and empty texts too (their statistics are zeros)."""
+    """One row (id, score, predicted) per row of docs, null and empty texts too (their statistics are zeros).
+
+    Rows are scored one by one: copies and repeated rows score the same, a long text is one row's memory, an empty table gives an empty
+    result.  A score that equals the threshold passes it.  Other columns of docs are ignored.
+    """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         for ids, texts in batches:
-            score = trees.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES)))
+            score = _scores(trees, texts)
             yield [ids, score.tolist(), (score >= threshold).astype(int).tolist()]
 
     return map_rows(docs, [id_col, text_col], f"{id_col} long, score double, predicted int", run)
+
+
+def good_documents(docs: DataFrame, trees: Trees, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs that ``score_quality`` predicts to be good, with all their columns; nothing is shuffled."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(_scores(trees, texts.tolist()))
+
+    return docs.filter(score(F.col(f"`{text_col}`")) >= threshold)

@@ -15,11 +15,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm._rows import map_rows
-from crosspanel.llm.gbdt import held_out
+from crosspanel.llm._rows import map_rows, table
+from crosspanel.llm.gbdt import held_out, lowest
 
 #: At most so many documents of each language are used for the fit, the first in the order of a hash of the id.
 PER_LANGUAGE = 500
+#: At most so many languages, the commonest, are learned.
+LANGUAGES = 200
 WIDTH, MAX_BITS, STEPS, RATE, DECAY = 2048, 31, 150, 4.0, 1e-4
 AMBIGUOUS = 0.6
 _LETTER = re.compile(r"[^\W\d_]")
@@ -94,11 +96,15 @@ def fit(x: np.ndarray, language: list[str]) -> Codes:
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Codes | None:
     """Codes learned from rows with a language and a letter outside the held-out third; None if there are none.
 
-    A bounded number of rows for each language is read: the row numbers are cut inside each task before anything is shuffled.
+    A bounded number of rows is read for each of the LANGUAGES commonest languages: a threshold on the id's hash, set by the language's
+    number of rows, cuts them where they are, then the first ``per_language`` by that hash are taken.  Rows with a null id, text or
+    language are not used; rows that share an id are all used or none, twice as many as ids at most.
     """
     key, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
     rows = docs.filter(key.isNotNull() & lang.isNotNull() & ~held_out(id_col, 3, 1)).select(key.alias("k"), lang.alias("lang"))
+    counts = table(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages").orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rows = rows.join(F.broadcast(counts), "lang").filter(lowest("k", per_language, F.col("n")))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
     rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("k").distinct()
     chosen = docs.select(key.alias("k"), F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).filter("lang is not null").join(F.broadcast(rows), "k", "left_semi")
 
@@ -107,12 +113,17 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
             yield [[ids[i] for i in keep], [langs[i] for i in keep], [grams(texts[i]).tobytes() for i in keep]]
 
-    got = map_rows(chosen, ["k", "text", "lang"], "k long, lang string, x binary", run).orderBy("k", "lang").collect()
+    got = map_rows(chosen, ["k", "text", "lang"], "k long, lang string, x binary", run).orderBy("k", "lang").limit(2 * per_language * LANGUAGES).collect()
     return fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got]) if got else None
 
 
 def predict_languages(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, lang_pred, score, ambiguous) per row of docs; `und` with score 0 for null texts, texts without a letter, and all texts if nothing was learned."""
+    """One row (id, lang_pred, score, ambiguous) per row of docs; `und` with score 0 for null texts, texts without a letter, and all
+    texts if nothing was learned.
+
+    Of codewords with equal loss the first language by name is chosen.  Rows are judged one by one: copies get the same language, a
+    long text is one row's memory, an empty table gives an empty result.  Other columns of docs are ignored.
+    """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         for ids, texts in batches:
