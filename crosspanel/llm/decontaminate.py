@@ -13,14 +13,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import map_rows
 
 RATE = 0.05
-#: Items of a block.
-BLOCK = 5_000
+#: Items of a block; characters below which an item drops no document.
+BLOCK, SHORT = 5_000, 20
 
 
 def normal(text: str | None) -> str:
@@ -90,6 +91,16 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def whole_words(text: str, item: str, start: int, stop: int) -> Iterator[int]:
+        """Where the item occurs in text[start:stop] with no letter or digit beside it."""
+        at = text.find(item, start, stop)
+        while at >= 0:
+            end = at + len(item)
+            if not (at and text[at - 1].isalnum() and item[0].isalnum()) and not (text[end : end + 1].isalnum() and item[-1].isalnum()):
+                yield at
+            at = text.find(item, at + 1, stop)
+
     def find(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(item number, distance, end in the normal text) of the best match of each item within its budget."""
         if not self.patterns and not len(self.automaton):
@@ -111,10 +122,12 @@ class Matcher:
             k, best = budget(item, self.rate), None
             for a, b in own:
                 at = text.find(item, a, b)
+                if k == 0:
+                    at = next((x for x in self.whole_words(text, item, a, b)), -1)
+                    if at < 0:
+                        continue
                 d, end = (0, at + len(item)) if at >= 0 else (0, 0)
                 if at < 0:
-                    if k == 0:
-                        continue
                     if n not in self.patterns:
                         self.patterns[n] = Pattern(item)
                     d, end = self.patterns[n].nearest(text[a:b])
@@ -128,17 +141,21 @@ class Matcher:
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row (id, item, distance, end) for each document and item whose least distance is within the item's budget.
 
-    ``end`` is where the match ends in the normal form of the text.  Null and empty texts or items match nothing; repeated rows give
-    repeated rows.  Items shorter than 1 / rate characters must occur unchanged.
+    ``end`` is where the match ends in the normal form of the text; of equal distances the first end counts.  Null and empty texts or
+    items match nothing; repeated rows of either table give repeated rows; null ids stay null.  Items shorter than 1 / rate characters
+    must occur unchanged and as whole words.  A long text is one row's memory.  Empty tables give an empty result.  Other columns are
+    ignored.
     """
-    items = items.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").alias("text")).filter(F.length(F.trim("text")) > 0)
+    return reduce(DataFrame.union, [_against(docs, own, rate, id_col, text_col, item_col) for own in _blocks(items, item_col, item_text_col)])
+
+
+def _blocks(items: DataFrame, item_col: str, text_col: str, least: int = 1) -> Iterator[list[tuple[int | None, str]]]:
+    """The items (id, normal text) in blocks of about BLOCK rows: a bounded part of the benchmark each, however large that is."""
+    items = items.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").alias("text")).filter(F.length(F.trim("text")) > 0)
     blocks = max(1, -(-items.count() // BLOCK))
-    found = []
     for b in range(blocks):
-        # About BLOCK rows each: a bounded part of the benchmark, however large that is.
-        own = [(r.item, t) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect() if (t := normal(r.text))]
-        found.append(_against(docs, own, rate, id_col, text_col, item_col))
-    return reduce(DataFrame.union, found)
+        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
+        yield [(r.item, t) for r in rows if len(t := normal(r.text)) >= least]
 
 
 def _against(docs: DataFrame, items: list[tuple[int | None, str]], rate: float, id_col: str, text_col: str, item_col: str) -> DataFrame:
@@ -153,8 +170,24 @@ def _against(docs: DataFrame, items: list[tuple[int | None, str]], rate: float,
     return map_rows(docs, [id_col, text_col], f"{id_col} long, {item_col} long, distance int, end int", run)
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text matches no item.  Rows are judged by their text, so null and repeated ids do no harm."""
-    texts = docs.select(F.xxhash64(f"`{text_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"))
-    bad = contaminated(texts, items, rate, "k", "t").select(F.col("k").alias("__k")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(f"`{text_col}`")) == F.col("__k"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = SHORT) -> DataFrame:
+    """The rows of docs whose text matches no item of ``least`` characters or more; shorter ones occur by chance and drop nothing.
+
+    Each row is judged by its own text and nothing is shuffled, so null ids, repeated rows and the names of columns do no harm.
+    """
+    for own in _blocks(items, item_col, item_text_col, least):
+        docs = docs.filter(~_matches(docs, own, rate)(F.col(f"`{text_col}`")))
+    return docs
+
+
+def _matches(docs: DataFrame, items: list[tuple[int | None, str]], rate: float):
+    """A function of a text column: whether the text matches one of the items."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    @F.pandas_udf("boolean")
+    def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, rate)
+        for texts in batches:
+            yield pd.Series([bool(t) and next(matcher.find(normal(t)), None) is not None for t in texts], dtype=bool)
+
+    return matches

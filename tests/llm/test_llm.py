@@ -222,7 +222,7 @@ def test_decontamination(spark, empty):
     for i, t in enumerate(texts):
         d = levenshtein_within(D.normal(item), D.normal(t))
         assert got.get((i, 0)) == (d if d <= D.budget(D.normal(item)) and t else None), i
-    assert {i for i, n in got if n == 3} == {i for i, t in enumerate(texts) if "w1" in D.normal(t)}
+    assert {i for i, n in got if n == 3} == {i for i, t in enumerate(texts) if "w1" in D.normal(t).split()}
     assert D.contaminated(empty, items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
     assert {r.doc_id for r in D.clean(docs, items.filter("item_id = 0")).collect()} == {2, 3, 4, 6}
 
@@ -249,6 +249,11 @@ def test_bpe_against_tiktoken(docs, odd, empty):
     for i, t in enumerate(corpus()):
         assert ids[i] == own.encode_ordinary(t or ""), i
     back = rows(bpe.decode_documents(encoded, ranks))
+    both = rows(bpe.round_trip(docs, ranks, P.PATTERN))
+    for i, t in enumerate(corpus()):
+        data = (t or "").encode()
+        assert (both[i].n_tokens, both[i].ids_sha256) == (back[i].n_tokens, back[i].ids_sha256) == (len(ids[i]), hashlib.sha256(",".join(map(str, ids[i])).encode()).hexdigest())
+        assert both[i].decoded_sha256 == hashlib.sha256(data).hexdigest() and both[i].ids_text_equal
     assert all(bytes(back[i].decoded) == (t or "").encode() and back[i].n_tokens == len(ids[i]) for i, t in enumerate(corpus()))
     assert bpe.encode_documents(odd, ranks, P.PATTERN).count() == 7 and bpe.encode_documents(empty, ranks, P.PATTERN).count() == 0
 
