@@ -305,8 +305,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: re.Pattern | None = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, n_tokens, ids_sha256, decoded) per row of docs: what decode_documents makes of encode_documents, in one pass, so
-    that the ids stay in the task that made them.  Nulls, copies, long texts and empty tables are as there."""
+    """One row (id, n_tokens, ids_sha256, decoded_sha256, ids_text_equal) per row of docs: the digests of the ids and of the bytes that
+    they decode to, and whether those are the text.  Encoding and decoding are one pass, so that the ids stay in the task that made
+    them.  Nulls, copies, long texts and empty tables are as in encode_documents."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
@@ -316,9 +317,11 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: re
             for some, parts in batched(ids, texts, encoder.cut):
                 packed = encoder.packed(parts)
                 digests = [hashlib.sha256(b",".join(map(decimal, memoryview(x).cast("i")))).hexdigest() for x in packed]
-                yield [some, [len(x) // 4 for x in packed], digests, decode_lists(id_lists(packed), tokens)]
+                decoded = decode_lists(id_lists(packed), tokens).to_pylist()
+                equal = [d == "".join(ps).encode("utf-8", "replace") for d, ps in zip(decoded, parts, strict=True)]
+                yield [some, [len(x) // 4 for x in packed], digests, [hashlib.sha256(d).hexdigest() for d in decoded], equal]
 
-    return map_rows(docs, [id_col, text_col], f"{id_col} long, n_tokens long, ids_sha256 string, decoded binary", run)
+    return map_rows(docs, [id_col, text_col], f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids_text_equal boolean", run)
 
 
 def token_bytes(ranks: dict[bytes, int]) -> pa.BinaryArray:

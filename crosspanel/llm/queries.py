@@ -27,8 +27,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    done = bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,13 @@ of blocks with its values.  A shard with more than CAP fingerprints is dealt out
 agrees, and if need be once more: then 49 bits are equal and at most 2^15 fingerprints are left, whatever the data.
 
 Similar texts (Jaccard similarity of five-word shingles of at least 0.8): such sets share a shingle among the rarest fifth of either,
-so a shard is a shingle; longer fingerprints form the tree, and the similarity of each pair that it finds is computed.
+so candidates meet at a shingle; longer fingerprints form the tree, and the similarity itself decides about each link.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +32,7 @@ RADIUS, CAP = 2, 4096
 #: differ in about 78, the smallest sets (four and five shingles) in 96, with a standard deviation of 9; unrelated ones in 256.
 LONG, LONG_RADIUS, SEEDS = 512, 130, 42
 #: Documents of the sample that finds common shingles, and the most of these.  Both only set the order of shingles.
-SAMPLE, COMMON = 20_000, 50_000
+SAMPLE, COMMON = 5_000, 50_000
 #: Sets of one task of a group.
 SETS = 512
 
@@ -255,9 +254,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return prints.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(a: bytes, b: bytes) -> bool:
-    """Whether two sets of shingles have a Jaccard similarity of at least 0.8."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingles (sorted, without repeats) have a Jaccard similarity of at least 0.8."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
     both = np.concatenate([x, y])
     both.sort()
     return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
@@ -274,28 +274,15 @@ def prefix(grams: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarr
     return grams[: len(grams) // 5 + 1]
 
 
-def shingle_sets(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, node long, print, grams binary) per row of docs; equal sets share the node, a hash of the set."""
+def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of ``texts``, sorted, and how often they are there."""
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        for ids, texts in batches:
-            sets = [shingles(t, size) for t in texts]
-            data = [g.astype("<u8").tobytes() for g in sets]
-            nodes = [int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little", signed=True) for d in data]
-            yield [ids, nodes, [long_fingerprint(g) for g in sets], data]
-
-    return map_rows(docs, [id_col, text_col], f"{id_col} long, node long, print binary, grams binary", run)
-
-
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample, sorted, and how often they are there."""
+        for (some,) in batches:
+            yield [np.concatenate([shingles(t, size) for t in some]).view(np.int64)]
 
-    def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        for (data,) in batches:
-            yield [np.frombuffer(b"".join(data), "<i8").tolist()]
-
-    every = max(1, sets.count() // SAMPLE)
-    found = map_rows(sets.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0), ["grams"], "gram long", run)
+    every = max(1, texts.count() // SAMPLE)
+    found = map_rows(texts.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0), ["text"], "gram long", run)
     top = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 4").orderBy(F.desc("n"), "gram").limit(COMMON)
     top = table(top, "common").collect()
     common = np.array([r.gram for r in top], np.int64).view(np.uint64)
@@ -303,25 +290,41 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return common[by], np.array([r.n for r in top], np.int64)[by]
 
 
-def shared_shingles(sets: DataFrame) -> DataFrame:
-    """Rows (key, node) of the shingles ``key`` in the prefixes of two or more sets."""
-    common, often = common_shingles(sets)
+def prefixes(texts: DataFrame, size: int) -> DataFrame:
+    """One row (node, print, prefix array of shingles) per row of ``texts`` with a word."""
+    common, often = common_shingles(texts, size)
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        for nodes, data in batches:
-            own = {node: np.frombuffer(d, "<u8") for node, d in zip(nodes, data, strict=True) if d}
-            keys = [prefix(g, common, often).view(np.int64) for g in own.values()]
-            sizes = [len(k) for k in keys]
-            if keys:
-                yield [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(list(own), np.int64), sizes))]
+        for nodes, some in batches:
+            sets = [(node, g) for node, t in zip(nodes, some, strict=True) if len(g := shingles(t, size))]
+            yield [[n for n, _ in sets], [long_fingerprint(g) for _, g in sets], [prefix(g, common, often).view(np.int64) for _, g in sets]]
 
-    rows = map_rows(sets, ["node", "grams"], "key long, node long", run)
-    w = Window.partitionBy("key")
-    return rows.withColumn("a", F.min("node").over(w)).withColumn("b", F.max("node").over(w)).filter("a <> b").drop("a", "b").distinct()
+    return map_rows(texts, ["node", "text"], "node long, print binary, prefix array<long>", run)
 
 
-def nearest(pairs: DataFrame, prints: DataFrame, radius: int, most: int = 2) -> DataFrame:
-    """For each b of pairs (a, b), the ``most`` nearest fingerprints within the radius."""
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """Rows (key, node, n, least) of the shingles ``key`` in the prefixes of two or more sets: how many these are, and their least."""
+    rows = sets.select(F.explode("prefix").alias("key"), "node")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    return rows.join(groups, "key")
+
+
+def partners(rows: DataFrame, cap: int) -> DataFrame:
+    """Pairs (a, b) of ``shared_shingles``: each set with the least of the shingle and with the one before it, in two orders.
+
+    The orders are the same for all shingles, so most pairs of a group come up again and again and count once.  A shingle of more than
+    ``cap`` sets is dealt into parts; the least set links them.
+    """
+    part = F.when(F.col("n") > cap, F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / cap))).otherwise(0)
+    rows = rows.withColumn("part", part)
+    before = [F.lag("node").over(Window.partitionBy("key", "part").orderBy(o)) for o in (F.col("node"), F.xxhash64("node"))]
+    rows = rows.select("least", before[0].alias("one"), before[1].alias("two"), F.col("node").alias("b"))
+    pairs = rows.select(F.explode(F.array("least", "one", "two")).alias("a"), "b").filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def nearest(pairs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """For each b of pairs (a, b), the nearest a whose fingerprint lies within the radius."""
     both = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b")
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
@@ -330,98 +333,134 @@ def nearest(pairs: DataFrame, prints: DataFrame, radius: int, most: int = 2) ->
             ok = [i for i, d in enumerate(far) if d <= radius]
             yield [[c[i] for i in ok] for c in (a, b, far)]
 
-    w = Window.partitionBy("b").orderBy("d", "a")
-    return map_rows(both, ["a", "b", "x", "y"], "a long, b long, d long", run).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("a", "b")
+    near = map_rows(both, ["a", "b", "x", "y"], "a long, b long, d long", run)
+    return near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
 
 
-def candidate_links(rows: DataFrame, radius: int = LONG_RADIUS, cap: int = CAP) -> DataFrame:
-    """Links (a, b) of rows (key, node, print): the components are those of all pairs of a key within the radius."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, most: int = SETS) -> DataFrame:
+    """Those of pairs (a, b) whose similarity is at least 0.8.  The partners of one set are dealt to tasks of ``most`` each."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    ready = pairs.join(counts, "a").withColumn("shard", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / most))))
+    hubs = ready.select("shard", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
+    rows = hubs.union(ready.select("shard", F.lit(1).alias("role"), F.col("b").alias("node"))).join(texts, "node")
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        for _, own in _shards(batches):
-            least: dict[int, int] = {}
+        hub, own = None, np.zeros(0, np.uint64)
+        for roles, nodes, some in batches:
             out: tuple[list, list] = ([], [])
-            for node, data in own:
-                v = int.from_bytes(data, "little")
-                if least.setdefault(v, node) != node:
-                    out[0].append(node)
-                    out[1].append(least[v])
-            for a, b in stars(list(least), radius, least.__getitem__):
-                out[0].append(least[a])
-                out[1].append(least[b])
+            for role, node, text in zip(roles, nodes, some, strict=True):
+                grams = shingles(text, size)
+                if role == 0:
+                    hub, own = node, grams
+                elif similar(own, grams):
+                    out[0].append(hub)
+                    out[1].append(node)
             yield list(out)
 
-    w = Window.partitionBy("key")
-    ready = dealt(rows.withColumn("size", F.count("*").over(w)), cap, "node").repartition("shard").sortWithinPartitions("shard")
-    return map_rows(ready, ["shard", "node", "print"], "a long, b long", run).distinct()
+    ready = rows.repartition("shard").sortWithinPartitions("shard", "role", "node")
+    return map_rows(ready, ["role", "node", "text"], "a long, b long", run)
+
 
+def dealt(rows: DataFrame, cap: int) -> DataFrame:
+    """Rows (key, node, root) with a ``shard`` of at most about ``cap`` rows, so that any two rows of a key with different roots meet.
 
-def verified_links(rows: DataFrame, radius: int = LONG_RADIUS, cap: int = SETS) -> DataFrame:
-    """Links (a, b) of rows (key, node, print, grams): the components are those of all pairs of a key within the radius whose sets have
-    a similarity of at least 0.8, which is computed for each pair that no other pairs join."""
+    A key with more rows is cut into parts.  Rows of its commonest root need not meet one another: each of their parts meets the parts
+    of all other rows, and the latter's parts meet in pairs.  So what is sent grows with the rows outside the commonest root.
+    """
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = counts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).filter(F.col("size") > F.col("top.c"))
+    half = max(1, cap // 2)
+    whole = F.col("size") <= cap
+    parts = keys.select("key", "top.root", whole.alias("whole"), F.ceil((F.col("size") - F.col("top.c")) / half).alias("few"), F.ceil(F.col("top.c") / half).alias("many"))
+    rows = rows.join(parts.withColumnRenamed("root", "top"), "key").withColumn("minor", F.col("root") != F.col("top"))
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many")))
+    rows = rows.withColumn("part", part)
+
+    def with_each(n: str, shard: Callable):
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), shard)
+
+    among = with_each("few", lambda i: F.xxhash64("key", F.lit("minor"), F.least("part", i), F.greatest("part", i)))
+    across = with_each("many", lambda i: F.xxhash64("key", F.lit("major"), "part", i))
+    back = with_each("few", lambda i: F.xxhash64("key", F.lit("major"), i, "part"))
+    shards = F.when(F.col("whole"), F.array(F.xxhash64("key"))).when(F.col("minor"), F.concat(among, across)).otherwise(back)
+    return rows.withColumn("shard", F.explode(shards)).drop("key", "top", "whole", "few", "many", "minor", "part")
+
+
+def shard_links(rows: DataFrame, radius: int, cap: int, size: int | None) -> DataFrame:
+    """Links (a, b) of rows (key, node, root, print), and text if ``size`` is given.
+
+    Roots are joined by all pairs of a key within the radius, whose similarity is at least 0.8 where size is given.  A pair whose roots
+    are joined already is not looked at.
+    """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         for _, own in _shards(batches):
             tree, at, parent = BKTree(), defaultdict(list), {}
 
-            def root(x: int, parent: dict[int, int] = parent) -> int:
-                while parent[x] != x:
+            def find(x: int, parent: dict[int, int] = parent) -> int:
+                while parent.setdefault(x, x) != x:
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            for node, data, grams in own:
-                v = int.from_bytes(data, "little")
-                parent[node] = node
-                tree.add(v)
-                at[v].append((node, grams))
+            out: tuple[list, list] = ([], [])
+            for node, root, data, *text in own:
+                v, grams = int.from_bytes(data, "little"), shingles(text[0], size) if text else None
                 for near in tree.within(v, radius):
-                    for other, its in at[near]:
-                        if 5 * min(len(grams), len(its)) >= 4 * max(len(grams), len(its)) and (x := root(node)) != (y := root(other)) and similar(grams, its):
+                    for other, its, its_grams in at[near]:
+                        if (x := find(root)) != (y := find(its)) and (grams is None or similar(grams, its_grams)):
                             parent[max(x, y)] = min(x, y)
-            links = [(v, r) for v in parent if (r := root(v)) != v]
-            yield [[a for a, _ in links], [b for _, b in links]]
+                            out[0].append(node)
+                            out[1].append(other)
+                tree.add(v)
+                at[v].append((node, root, grams))
+            yield list(out)
 
-    w = Window.partitionBy("key")
-    ready = dealt(rows.withColumn("size", F.count("*").over(w)), cap, "node").repartition("shard").sortWithinPartitions("shard")
-    return map_rows(ready, ["shard", "node", "print", "grams"], "a long, b long", run).distinct()
+    names = ["shard", "node", "root", "print", *(["text"] if size is not None else [])]
+    return map_rows(dealt(rows, cap).repartition("shard").sortWithinPartitions("shard"), names, "a long, b long", run).distinct()
 
 
-def similar_links(sets: DataFrame, radius: int = LONG_RADIUS, cap: int = CAP, most: int = SETS) -> DataFrame:
-    """Links (a, b) of ``shingle_sets`` whose components are those of all pairs of nodes with a similarity of at least 0.8.
+def similar_links(texts: DataFrame, size: int = 5, radius: int = LONG_RADIUS, cap: int = CAP, most: int = SETS) -> DataFrame:
+    """Links (a, b) of ``texts`` (node, text) whose components are those of all pairs with a similarity of at least 0.8.
 
-    First the candidates' components: each set is linked to the nearest of those that come first, or before it, at a shared shingle,
-    which joins most groups; shingles whose sets are not in one component yet then get a tree.  The sets of a component meet, and only
-    pairs whose similarity was computed become links.
+    First each set's nearest partner at a shared shingle: where the similarity itself is 0.8 or more, they are linked.  That joins most
+    groups in one step for each set.  Shingles whose sets are not in one group of candidates yet then get a tree, and the groups
+    of candidates in which sets are still apart are compared, set by set.
     """
+    sets = table(prefixes(texts, size), "prefixes")
     rows = table(shared_shingles(sets), "shingles")
-    prints = sets.select("node", "print").join(rows.select("node").distinct(), "node", "left_semi").distinct()
-    w = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))  # another order for each shingle, so partners vary
-    pairs = rows.select(F.col("node").alias("b"), F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("last"))
-    pairs = pairs.select(F.explode(F.array("first", "last")).alias("a"), "b").filter("a <> b").distinct()
-    links = table(nearest(pairs, prints, radius), "nearest")
-    rows = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    w = Window.partitionBy("key")
-    rows = rows.withColumn("a", F.min("root").over(w)).withColumn("b", F.max("root").over(w)).filter("a <> b")
-    links = links.union(table(candidate_links(rows.select("key", "node").join(prints, "node"), radius, cap), "candidates"))
-    groups = components(links).withColumnRenamed("root", "key")
-    own = sets.select("node", "print", "grams").join(groups, "node").groupBy("key", "node").agg(F.first("print").alias("print"), F.first("grams").alias("grams"))
-    return table(verified_links(own, radius, most), "verified")
-
-
-def dealt(rows: DataFrame, cap: int, by: str) -> DataFrame:
-    """Rows (key, size, ..) with a ``shard``: those of a key with more than ``cap`` rows go to one shard for each pair of
-    parts by the column ``by``, so any two rows of a key meet."""
-    rows = rows.withColumn("parts", F.ceil(F.col("size") / cap)).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("parts = 1 or part <> other")
-    return rows.withColumn("shard", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
+    prints = sets.select("node", "print").join(rows.select("node").distinct(), "node", "left_semi")
+    close = table(nearest(partners(rows, cap), prints, radius), "nearest")
+    linked = table(similar_pairs(close, texts, size, most), "verified")
+    # Candidates: what lies within the radius at a shared shingle.
+    rooted = _rooted(rows.select("key", "node"), components(close))
+    trees = table(shard_links(rooted.join(prints, "node"), radius, cap, None), "candidates")
+    groups = components(close.union(trees)).withColumnRenamed("root", "key")
+    left = _rooted(groups, components(linked)).join(prints, "node").join(texts, "node")
+    return linked.union(table(shard_links(left, radius, most, size), "verified"))
+
+
+def _rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (key, node) with their ``root`` in ``components``, of keys with two roots or more."""
+    rows = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    return rows.join(apart, "key", "left_semi").select("key", "node", "root")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, most: int = SETS) -> DataFrame:
     """One row (id, group_id) per row of docs with an id: texts whose sets of shingles have a Jaccard similarity of at least 0.8 are
-    linked, and group_id is the least id that can be reached.  Texts without words form one group.  Rows with a null id are left out.
+    linked, and group_id is the least id that can be reached.
+
+    Texts without words, null ones too, form one group.  Rows with a null id are left out; rows that share an id are linked by it only
+    if their texts are.  Copies of a text are looked at once.  A long text is one row's memory.  An empty table gives an empty result.
+    ``cap`` and ``most`` (sets of a tree, sets compared in a task) bound tasks; the result is the same.
     """
-    sets = table(shingle_sets(docs.filter(F.col(f"`{id_col}`").isNotNull()), size, id_col, text_col), "simhash")
-    linked = components(similar_links(sets, LONG_RADIUS, cap, most))
-    classes = sets.groupBy("node").agg(F.min(id_col).alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    empty = text.rlike(r"^[\x20\x09-\x0D]*$")
+    node = F.when(empty, F.xxhash64(F.lit(""))).otherwise(F.xxhash64(text))
+    rows = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), node.alias("node"), F.when(~empty, text).alias("text"))
+    texts = table(rows.select("node", "text").filter("text is not null").dropDuplicates(["node"]), "texts")
+    linked = components(similar_links(texts, size, LONG_RADIUS, cap, most))
+    classes = rows.groupBy("node").agg(F.min("id").alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = classes.groupBy("root").agg(F.min("least").alias("group_id"))
-    return sets.select(id_col, "node").join(classes.join(ids, "root").select("node", "group_id"), "node").select(id_col, "group_id")
+    found = rows.select("id", "node").join(classes.join(ids, "root").select("node", "group_id"), "node")
+    return found.select(F.col("id").alias(id_col), "group_id")
