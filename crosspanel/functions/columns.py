@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Trading rows of a year.
@@ -43,6 +43,23 @@ def series(entity: str | list[str] = "ticker", time: str = "date") -> WindowSpec
     return Window.partitionBy(*([entity] if isinstance(entity, str) else entity)).orderBy(time)
 
 
+def draw(*parts: Column | str | int) -> Column:
+    """The SHA-256 in hexadecimal of the parts as text, joined by bars: a random order or number that any engine can repeat."""
+    return F.sha2(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]), 256)
+
+
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df dealt to ranges of an order, with the range as ``__p``.  The number of ranges is fixed, so they are the same wherever the plan
+    reads them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+
+
+def upper_median(x: str) -> Column:
+    """The middle value, the greater one of two.  Counted by value, so what is kept grows with the different values only."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{x}` desc)")
+
+
 def section(*by: str) -> WindowSpec:
     """All rows of a date, or of a date and a group."""
     return Window.partitionBy(*(by or ("date",)))

@@ -81,18 +81,22 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, vector: str = "embedding", id_col: str = "id") -> DataFrame:
+def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, vector: str = "embedding", id_col: str = "id", block: int = 10_000) -> DataFrame:
     """(query, id, similarity, rank): exact cosine top-k of a stated set of queries against all rows.
 
-    Vectors are scaled to length 1 first.  Each task of the base keeps the best k of its rows before the final ranking: the row-number
+    Queries go in blocks of at most some ``block`` rows, each broadcast and held against all rows.  Vectors are scaled to length 1 first.  Each task of the base keeps the best k of its rows before the final ranking: the row-number
     filter is applied inside the tasks too, so k rows per query and task are shuffled.
     """
     def unit(df: DataFrame, v: str) -> DataFrame:
         return df.withColumn(v, F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))))
 
     q = unit(queries.select(F.col(id_col).alias("query"), F.col(vector).alias("__q")), "__q")
+    blocks = max(1, -(-q.count() // block))
+    if blocks > 1:
+        parts = [queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(DataFrame.union, [nearest_vectors(p, base, k, vector, id_col, 4 * block) for p in parts])
     b = unit(base.select(F.col(id_col).alias("id"), F.col(vector).alias("__v")), "__v")
-    pairs = q.join(b, F.col("query") != F.col("id")).select("query", "id", dot("__q", "__v").alias("similarity"))
+    pairs = b.join(F.broadcast(q), F.col("query") != F.col("id")).select("query", "id", dot("__q", "__v").alias("similarity"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.columns import YEAR, average_rank, div, last_rows, rolling, series
+from crosspanel.functions.columns import YEAR, average_rank, div, draw, last_rows, ranged, rolling, series
 from crosspanel.operators.cross_section import quantile
 
 
@@ -89,7 +89,7 @@ def pooled_coefficient(df: DataFrame, x: str, y: str, least: int = 10) -> DataFr
 def global_rank(df: DataFrame, x: str, out: str) -> DataFrame:
     """(x, average rank): values are dealt to ranges; each range is ranked by itself, on top of the ranges below."""
     counts = df.groupBy(x).agg(F.count("*").alias("__n"))
-    dealt = counts.repartitionByRange(x).withColumn("__p", F.spark_partition_id())
+    dealt = ranged(counts, x)
     below = dealt.groupBy("__p").agg(F.sum("__n").alias("__s"))
     w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
     below = below.select("__p", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__below"))
@@ -97,6 +97,18 @@ def global_rank(df: DataFrame, x: str, out: str) -> DataFrame:
     return dealt.join(below, "__p").select(x, (F.col("__below") + F.sum("__n").over(own) - (F.col("__n") - 1) / 2.0).alias(out))
 
 
+def global_row_number(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with its row number in an order over all rows, and their number as ``out``_of: rows are dealt to ranges of the order, each
+    is numbered by itself, on top of the ranges below."""
+    dealt = ranged(df, *order)
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__p")  # as many rows as ranges
+    below = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__p", below.alias("__below"), F.sum("__n").over(Window.partitionBy()).alias(f"{out}_of"))
+    numbered = dealt.withColumn(out, F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    return numbered.join(F.broadcast(sizes), "__p").withColumn(out, F.col(out) + F.col("__below")).drop("__p", "__below")
+
+
 def ic_summary(ics: DataFrame, ic: str = "ic", by: tuple[str, ...] = ()) -> DataFrame:
     return ics.groupBy(*by).agg(F.avg(ic).alias("mean_ic"), F.stddev_samp(ic).alias("std_ic"), div(F.avg(ic), F.nullif(F.stddev_samp(ic), F.lit(0.0))).alias("ic_ir"), F.avg((F.col(ic) > 1e-12).cast("double")).alias("hit_rate"), F.count(ic).alias("n"))
 
@@ -233,10 +245,10 @@ def fisher_p(r: float, n: int) -> float:
     return normal_p(math.atanh(r) * math.sqrt(n - 3)) if n > 3 and abs(r) < 1 else 1.0
 
 
-def bootstrap(df: DataFrame, x: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(draw, mean): Poisson bootstrap.  Each row's weight in a draw depends on a hash of the row and the draw, so any partitioning
-    gives the same result, and a draw is a grouped sum that is combined before the shuffle."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "__k"), F.lit(1 << 40)) / float(1 << 40))
+def bootstrap(df: DataFrame, x: str, draws: int = 1000, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """(draw, mean): Poisson bootstrap.  Each row's weight in a draw depends on a digest of its ``key`` (default: all columns) and the
+    draw, so any partitioning gives the same result, and a draw is a grouped sum that is combined before the shuffle."""
+    u = F.conv(F.substring(draw(seed, "draw", *(key or df.columns)), 1, 10), 16, 10).cast("double") / float(1 << 40)
     cumulative, steps, term = 0.0, [], math.exp(-1)
     for k in range(8):
         cumulative += term / math.factorial(k)
@@ -244,8 +256,8 @@ def bootstrap(df: DataFrame, x: str, draws: int = 1000, seed: int = 42) -> DataF
     weight = F.lit(8.0)
     for k in reversed(range(8)):
         weight = F.when(u < steps[k], float(k)).otherwise(weight)
-    rows = df.filter(F.col(x).isNotNull()).select(F.col(x).alias("__x"), F.xxhash64(*df.columns).alias("__k")).select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    return rows.withColumn("__w", weight).groupBy("draw").agg(div(F.sum(F.col("__w") * F.col("__x")), F.nullif(F.sum("__w"), F.lit(0.0))).alias("mean"))
+    rows = df.filter(F.col(x).isNotNull()).select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    return rows.withColumn("__w", weight).groupBy("draw").agg(div(F.sum(F.col("__w") * F.col(x)), F.nullif(F.sum("__w"), F.lit(0.0))).alias("mean"))
 
 
 def distribution(df: DataFrame, x: str, by: list[str]) -> DataFrame:
@@ -262,8 +274,25 @@ def core_features(df: DataFrame, feature: str, value: str, least: float = 0.01,
 def realised(df: DataFrame, r: str, signal: str, entity: str = "ticker") -> DataFrame:
     """By signal: count, mean, upper median, hit rate (a fall is a hit for sells), best and worst."""
     hit = F.when(F.col(signal).contains("sell"), F.col(r) < 0).otherwise(F.col(r) > 0)
-    values = F.array_sort(F.collect_list(r))
-    return df.filter(F.col(r).isNotNull()).groupBy(signal).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.element_at(values, (F.floor(F.count(r) / 2) + 1).cast("int")).alias("upper_median"), F.avg(hit.cast("double")).alias("hit_rate"), F.max_by(entity, F.struct(r, entity)).alias("best"), F.min_by(entity, F.struct(r, entity)).alias("worst"))
+    rows = df.filter(F.col(r).isNotNull())
+    middle = _upper_medians(rows, r, signal)
+    s = rows.groupBy(signal).agg(
+        F.count(r).alias("n"), F.avg(r).alias("mean"), F.avg(hit.cast("double")).alias("hit_rate"),
+        F.max_by(entity, F.struct(r, entity)).alias("best"), F.min_by(entity, F.struct(r, entity)).alias("worst"),
+    )
+    return s.join(middle, signal).select(signal, "n", "mean", "upper_median", "hit_rate", "best", "worst")
+
+
+def _upper_medians(rows: DataFrame, x: str, by: str) -> DataFrame:
+    """(by, upper_median) of few large groups: values are dealt to ranges, and only the range that holds a group's middle is sorted."""
+    dealt = ranged(rows.select(by, F.col(x).alias("__x")), by, "__x")
+    sizes = dealt.groupBy(by, "__p").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(by).orderBy("__p")  # as many rows as ranges
+    below = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = F.floor(F.sum("__n").over(Window.partitionBy(by)) / 2) + 1
+    held = sizes.withColumn("__k", middle - below).filter((F.col("__k") >= 1) & (F.col("__k") <= F.col("__n"))).select(by, "__p", "__k")
+    ranked = dealt.join(held, [by, "__p"]).withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("__x")))
+    return ranked.filter("__r = __k").select(by, F.col("__x").alias("upper_median"))
 
 
 def prune_by_coefficient(df: DataFrame, features: list[str], y: str, floor: float = 0.01, share: float = 0.4, keep: int = 4) -> list[str]:

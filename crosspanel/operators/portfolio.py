@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.columns import clip, div, first_rank, section, zscore
+from crosspanel.functions.columns import clip, div, draw, first_rank, section, zscore
 
 DAY = ["date"]
 
@@ -163,9 +163,9 @@ def equal_weight(df: DataFrame, by: list[str] = DAY, entity: str = "ticker") ->
 
 
 def random_paths(df: DataFrame, k: int, paths: int, seed: int = 42, by: list[str] = DAY, entity: str = "ticker") -> DataFrame:
-    """Equal weights on k entities drawn for each path and date; the draw is a hash of seed, path, date and entity, so it repeats."""
+    """Equal weights on k entities drawn for each path and date; the draw is a digest of seed, path, date and entity, so it repeats."""
     rows = df.select(*by, entity).withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
-    return top_equal(rows.withColumn("__h", F.xxhash64(F.lit(seed), "path", *by, entity)), "__h", k, ["path", *by], entity)
+    return top_equal(rows.withColumn("__h", draw(seed, "path", *by, entity)), "__h", k, ["path", *by], entity)
 
 
 def tau_half(half: float) -> float:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import clip, col, div, series
+from crosspanel.operators.metrics import global_row_number
 
 
 def scaled_where(x: str, regime: str, threshold: float = 0.0, factor: float = 0.3) -> Column:
@@ -51,8 +54,12 @@ def conflicting(scores: list[str], threshold: float = 0.2, small: float = 0.05)
 
 def review_selection(df: DataFrame, n: int, score: str = "score", conflict: str = "conflict", entity: str = "ticker") -> DataFrame:
     """Up to 3n rows: the n best buys, the n worst sells, conflicting ones, then others by size of their score."""
-    best = F.row_number().over(Window.partitionBy(F.col(score) > 0).orderBy(F.desc(F.abs(score)), entity))
-    df = df.withColumn("__side", best)
+    size = [F.desc(F.abs(score)), entity]
+    # No more of any kind can be chosen than are first in its order, so each kind is cut while it is sorted.
+    cut = [df.filter(F.col(score) > 0).orderBy(*size).limit(n), df.filter(F.col(score) < 0).orderBy(*size).limit(n), df.filter(conflict).orderBy(*size).limit(5 * n), df.orderBy(*size).limit(5 * n)]
+    keys = reduce(DataFrame.union, [c.select(entity) for c in cut]).distinct()
+    df = df.join(F.broadcast(keys), entity, "left_semi")
+    df = df.withColumn("__side", F.row_number().over(Window.partitionBy(F.col(score) > 0).orderBy(*size)))
     kind = F.when((F.col("__side") <= n) & (F.col(score) > 0), 0).when((F.col("__side") <= n) & (F.col(score) < 0), 1).when(F.col(conflict), 2).otherwise(3)
     df = df.withColumn("__kind", kind).withColumn("__o", F.row_number().over(Window.partitionBy("__kind").orderBy(F.desc(F.abs(score)), entity)))
     keep = df.filter(F.col("__o") <= 3 * n)  # no more of any kind can be chosen
@@ -71,12 +78,16 @@ def surprise_signal(df: DataFrame, as_of: str, surprise: str = "surprise", reven
 
 
 def insider_clusters(df: DataFrame, days: int = 30, least: int = 2, entity: str = "ticker", who: str = "insider_name", side: str = "transaction_type", time: str = "transaction_date", value: str = "total_value") -> DataFrame:
-    """Windows of ``days`` from each transaction on in which at least so many different insiders act on the same side."""
-    day = F.datediff(time, F.lit("1970-01-01").cast("date"))
-    w = Window.partitionBy(entity, side).orderBy("__day").rangeBetween(0, days)
-    df = df.withColumn("__day", day)
-    df = df.select(entity, side, F.col(time).alias("start"), "__day", F.size(F.collect_set(who).over(w)).alias("insiders"), F.sum(value).over(w).alias("value"), F.max(time).over(w).alias("end"))
-    return df.filter(F.col("insiders") >= least).drop("__day").distinct()
+    """Windows of ``days`` from each transaction's day on in which at least so many different insiders act on the same side.
+
+    An insider's day counts in the windows that start on it or up to ``days`` before, so each row meets a bounded number of windows and
+    everything is summed by group.
+    """
+    own = df.groupBy(entity, side, who, F.col(time).alias("day")).agg(F.sum(value).alias("value"))
+    starts = own.select(entity, side, F.col("day").alias("start")).distinct()
+    reach = own.withColumn("start", F.explode(F.sequence(F.date_sub("day", days), F.col("day")))).join(starts, [entity, side, "start"], "left_semi")
+    found = reach.groupBy(entity, side, "start").agg(F.count_distinct(who).alias("insiders"), F.sum("value").alias("value"), F.max("day").alias("end"))
+    return found.filter(F.col("insiders") >= least)
 
 
 def separate_clusters(clusters: DataFrame, entity: str = "ticker", side: str = "transaction_type") -> DataFrame:
@@ -162,8 +173,11 @@ def composite(df: DataFrame, weights: dict[str, float], missing: float = 0.05, m
 
 def percentile_signals(df: DataFrame, score: str = "composite", entity: str = "ticker", by: tuple[str, ...] = ()) -> DataFrame:
     """strong_buy / buy in the first 10 / 25 % with a positive score, sell / strong_sell in the last, else hold."""
-    w = Window.partitionBy(*by)
-    df = df.withColumn("__p", (F.row_number().over(w.orderBy(F.desc(score), entity)) - 1) / F.count(F.lit(1)).over(w))
+    if by:
+        w = Window.partitionBy(*by)
+        df = df.withColumn("__p", (F.row_number().over(w.orderBy(F.desc(score), entity)) - 1) / F.count(F.lit(1)).over(w))
+    else:
+        df = global_row_number(df, [F.desc(score), F.col(entity)], "__k").withColumn("__p", (F.col("__k") - 1) / F.col("__k_of")).drop("__k", "__k_of")
     up, down = F.col(score) > 0, F.col(score) < 0
     return df.withColumn("signal", F.when((F.col("__p") < 0.1) & up, "strong_buy").when((F.col("__p") < 0.25) & up, "buy").when((F.col("__p") >= 0.9) & down, "strong_sell").when((F.col("__p") >= 0.75) & down, "sell").otherwise("hold")).drop("__p")
 
@@ -208,11 +222,14 @@ def moat_width(score: str) -> Column:
     return F.when(F.col(score) >= 0.6, "wide").when(F.col(score) >= 0.35, "narrow").otherwise("none")
 
 
-def theme_exposure(df: DataFrame, themes: DataFrame, text: str = "description", least: float = 0.3) -> DataFrame:
+def theme_exposure(df: DataFrame, themes: DataFrame, text: str = "description", least: float = 0.3, most: int = 1000) -> DataFrame:
     """(row columns, theme, exposure): .8 for pure plays, .1 for each keyword up to .5, .4 for the sector, .5 for the industry.
 
-    ``themes`` has theme, keywords, sectors, industries and pure (arrays), one row per theme; it is small and broadcast.
+    ``themes`` has theme, keywords, sectors, industries and pure (arrays), one row per theme; more than ``most`` are an error, as they
+    are broadcast.
     """
+    if themes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} themes")
     pairs = df.crossJoin(F.broadcast(themes))
     words_hit = F.least(0.1 * F.size(F.filter("keywords", lambda k: F.contains(F.lower(text), k))), F.lit(0.5))
     inside = lambda a, c: F.coalesce(F.array_contains(a, F.col(c)), F.lit(False))

@@ -111,7 +111,10 @@ def deviation(x: str, n: int, w: WindowSpec | None = None) -> Column:
         s = F.array_sort(a)
         return (F.element_at(s, F.lit((n + 1) // 2)) + F.element_at(s, F.lit(n // 2 + 1))) / 2.0
 
-    return F.when(F.size(values) == n, median(F.transform(values, lambda v: F.abs(v - median(values)))))
+    # The window's median is an element of an array of one, so it is computed once and not for each value.
+    middle = F.array(median(values))
+    spread = F.element_at(F.transform(middle, lambda m: median(F.transform(values, lambda v: F.abs(v - m)))), 1)
+    return F.when(F.size(values) == n, spread)
 
 
 def regime(bench: DataFrame, n: int = 21, trend: int = 200, threshold: float | None = None, price: str = "price", time: str = "date") -> DataFrame:

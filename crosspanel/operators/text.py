@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.columns import clip, col, div, series
+from crosspanel.functions.columns import clip, col, div, series, upper_median
 
 #: Punctuation that is stripped from words before they are looked up.
 EDGES = ".,!?;:"
@@ -14,17 +14,22 @@ EDGES = ".,!?;:"
 def words(text: str | Column) -> Column:
     """Lower-case words split at white space, without edge punctuation; empty for NULL."""
     parts = F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"\s+"), lambda w: w != "")
-    return F.transform(parts, lambda w: F.regexp_replace(w, rf"^[{EDGES}]+|[{EDGES}]+$", ""))
+    return F.transform(parts, lambda w: F.btrim(w, F.lit(EDGES)))
 
 
 def hits(tokens: str | Column, lexicon: list[str]) -> Column:
-    """How many of the words are in the list."""
+    """How many of the words are in the list.  Spark looks words up in a hash set as soon as the list has more than ten."""
     return F.size(F.filter(col(tokens), lambda w: w.isin(*lexicon)))
 
 
+def whole(pattern: str) -> str:
+    """The pattern where no letter, digit or underscore stands beside it, in any case."""
+    return rf"(?is)(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
+
+
 def topic_score(text: str | Column, keywords: list[str]) -> Column:
     """Different keywords found, plus half of each further match."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"\b({'|'.join(keywords)})\b"), 1)
+    found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(whole("|".join(keywords))), 0)
     return F.size(F.array_distinct(found)) + 0.5 * (F.size(found) - F.size(F.array_distinct(found)))
 
 
@@ -66,10 +71,10 @@ def topic_signal(df: DataFrame, by: list[str], topic: str = "topic", secondary:
     return t.withColumn("__w", w).groupBy(*by).agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("signal"), F.sum("__n").alias("weight"), F.max_by("__t", F.struct("__n", "__t")).alias("top_topic"))
 
 
-def with_tone(df: DataFrame, text: str, lists: dict[str, list[str]], most: int | None = None) -> DataFrame:
-    """Share of each word list among the words of a filing without tags, and the net tone (p - n) / (p + n); of the first ``most`` characters, or of all."""
+def with_tone(df: DataFrame, text: str, lists: dict[str, list[str]]) -> DataFrame:
+    """Share of each word list among the words of a whole filing without tags, and the net tone (p - n) / (p + n)."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"&[a-zA-Z#0-9]+;", " "), r"\s+", " ")
-    tokens = F.regexp_extract_all(F.lower(plain if most is None else F.substring(plain, 1, most)), F.lit(r"([a-zA-Z]+)"), 1)
+    tokens = F.regexp_extract_all(F.lower(plain), F.lit(r"([a-zA-Z]+)"), 1)
     df = df.withColumn("__w", tokens).withColumn("tone_words", F.size("__w"))
     df = df.select("*", *[hits("__w", v).alias(f"__{k}") for k, v in lists.items()])
     df = df.select("*", *[F.coalesce(div(f"__{k}", F.nullif(F.col("tone_words"), F.lit(0))), F.lit(0.0)).alias(k) for k in lists])
@@ -146,16 +151,23 @@ def half_life(days: str | Column, half: float = 45.0, grace: float = 14.0) -> Co
     return F.pow(F.lit(0.5), F.greatest(col(days) - grace, F.lit(0.0)) / half)
 
 
+def _context(term: str):
+    return lambda x: F.struct(F.lit(term).alias("term"), F.concat(x["a"], x["b"], x["c"]).alias("context"))
+
+
 def mentions(df: DataFrame, key: list[str], text: str, terms: dict[str, str], context: int = 50) -> DataFrame:
-    """(key.., term, context) of each match of each term's pattern, with the characters around it.
+    """(key.., term, context) of every match of each term's pattern, with up to ``context`` characters on both sides.
 
-    The pattern takes its surroundings along, so offsets need no worker; a match inside the context of another of the same term is one.
+    One pass over the table.  The surroundings are captured without being passed over, so matches that lie close together all count.
+    NULL texts have none.
     """
-    out = None
+    found = []
     for term, pattern in terms.items():
-        found = df.select(*key, F.lit(term).alias("term"), F.explode(F.regexp_extract_all(text, F.lit(rf"(?is)(.{{0,{context}}}\b(?:{pattern})\b.{{0,{context}}})"), 1)).alias("context"))
-        out = found if out is None else out.union(found)
-    return out
+        # The term is looked for first, and only where it stands the characters on either side are captured.
+        around = rf"(?is)(?=(?:{pattern})(?![\p{{L}}\p{{N}}_]))(?<![\p{{L}}\p{{N}}_])(?<=(^.{{0,{context - 1}}}|.{{{context}}}))(?:{pattern})(?=(.{{0,{context}}}))"
+        sides = [F.regexp_extract_all(text, F.lit(around), i).alias(n) for i, n in ((1, "a"), (0, "b"), (2, "c"))]
+        found.append(F.transform(F.arrays_zip(*sides), _context(term)))
+    return df.filter(F.col(text).isNotNull()).select(*key, F.inline(F.concat(*found)))
 
 
 def mention_profile(found: DataFrame, key: list[str], emerging: list[str], moat: list[str], totals: DataFrame | None = None) -> DataFrame:
@@ -180,8 +192,12 @@ def first_mentions(found: DataFrame, entity: str, term: str, time: str) -> DataF
 
 def timeline(first: DataFrame, entity: str, term: str) -> DataFrame:
     """Per term: first adopter and date, number of adopters, and the upper median of the dates."""
-    dates = F.array_sort(F.collect_list("first_date"))
-    return first.groupBy(term).agg(F.min("first_date").alias("earliest"), F.min_by(entity, F.struct("first_date", entity)).alias("first_adopter"), F.count("*").alias("adopters"), F.element_at(dates, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median_date"))
+    kind = dict(first.dtypes)["first_date"]
+    number = F.unix_date("first_date") if kind == "date" else F.col("first_date")
+    t = first.withColumn("__d", number).groupBy(term).agg(
+        F.min("first_date").alias("earliest"), F.min_by(entity, F.struct("first_date", entity)).alias("first_adopter"), F.count("*").alias("adopters"), upper_median("__d").alias("median_date")
+    )
+    return t.withColumn("median_date", F.date_from_unix_date(F.col("median_date").cast("int")) if kind == "date" else F.col("median_date").cast(kind))
 
 
 def pioneer_score(first: DataFrame, lines: DataFrame, entity: str, term: str, as_of: str, emerging: list[str] | None = None, half: float = 24.0) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions.columns import draw
 from crosspanel.operators.metrics import performance
 from crosspanel.operators.portfolio import portfolio_return, top_equal
 
@@ -105,9 +106,9 @@ def regime_of(time: str, ranges: list[tuple[str, str, str]]):
 
 
 def shuffled_labels(frame: DataFrame, label: str, time: str = "date", entity: str = "ticker", seed: int = 42) -> DataFrame:
-    """Labels permuted within each date in the order of a seeded hash: a sound model then scores nothing."""
+    """Labels permuted within each date in the order of a seeded digest: a sound model then scores nothing."""
     own = frame.withColumn("__i", F.row_number().over(Window.partitionBy(time).orderBy(entity)))
-    other = frame.select(time, F.col(label).alias("__l"), F.row_number().over(Window.partitionBy(time).orderBy(F.xxhash64(F.lit(seed), time, entity), entity)).alias("__i"))
+    other = frame.select(time, F.col(label).alias("__l"), F.row_number().over(Window.partitionBy(time).orderBy(draw(seed, time, entity), entity)).alias("__i"))
     return own.join(other, [time, "__i"]).withColumn(label, F.col("__l")).drop("__l", "__i")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.operators import extras as E
 from crosspanel.operators import signals as G
-from crosspanel.plans.panel_queries import W, _momentum
+from crosspanel.plans.panel_queries import _M, W, _momentum
 from crosspanel.plans.registry import BENCH, PRICES, benchmark, prices, query, rounded
 
 
@@ -62,7 +62,9 @@ def _(t):
     return rounded(E.quarter_snapshots(q, "rev", "inc", "eq"), "revenue_ttm")
 
 
-@query("u17_filing_yield")
+@query("u17_filing_yield", f"""WITH panel AS ({PRICES}), pt AS (SELECT p_brand AS ticker, DATE '1996-03-31' + CAST(p_size AS INTEGER) AS day, p_retailprice AS fcf, p_size AS shares FROM part), pe AS (SELECT ticker, min(day) AS period_end, sum(fcf) AS fcf, sum(shares) AS shares FROM pt GROUP BY 1),
+ fi AS (SELECT DISTINCT ticker, day + 3 AS filed FROM pt), ne AS (SELECT pe.*, filed, row_number() OVER (PARTITION BY ticker ORDER BY abs(filed - period_end), filed) AS k FROM pe JOIN fi USING (ticker) WHERE filed - period_end BETWEEN -10 AND 10), n1 AS (SELECT * FROM ne WHERE k = 1)
+ SELECT n1.ticker, filed, panel.date AS priced, round(fcf * 4 / nullif(price * shares, 0), 4) AS fcf_yield FROM n1 ASOF LEFT JOIN panel ON n1.ticker = panel.ticker AND n1.filed < panel.date""")
 def _(t):
     p = prices(t).select("ticker", "date", "price")
     part = t("part").select(F.col("p_brand").alias("ticker"), F.date_add(F.lit("1996-03-31").cast("date"), F.col("p_size")).alias("day"), F.col("p_retailprice").alias("fcf"), F.col("p_size").alias("shares"))
@@ -76,11 +78,12 @@ def _(t):
     return rounded(c.select("c_custkey", E.risk_adjusted("s", "r", "a").alias("score")), digits=6)
 
 
-@query("a30_pruned_features")
+@query("a30_pruned_features", f"""{_M}, f AS (SELECT *, lead(price, 4) {W} / price - 1 AS y, x * x AS z FROM m), c AS (SELECT unnest(['x', 'r', 'z']) AS feature, unnest([abs(corr(x, y)), abs(corr(r, y)), abs(corr(z, y))]) AS c FROM f),
+ l AS (SELECT *, greatest(0.01, quantile_cont(c, 0.4) OVER ()) AS low, row_number() OVER (ORDER BY c DESC, feature) AS k FROM c), n AS (SELECT *, count(*) FILTER (c >= low) OVER () AS n FROM l) SELECT feature FROM n WHERE CASE WHEN n >= 2 THEN c >= low ELSE k <= 2 END""")
 def _(t):
     from crosspanel.operators.labels import forward_return
     from crosspanel.operators.metrics import prune_by_coefficient
 
     m = _momentum(t).withColumn("y", forward_return(4)).withColumn("z", F.col("x") * F.col("x"))
     names = prune_by_coefficient(m, ["x", "r", "z"], "y", keep=2)
-    return rounded(m.select("date", "ticker", *sorted(names)))
+    return m.sparkSession.createDataFrame([(n,) for n in names], "feature string")

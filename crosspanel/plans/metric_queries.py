@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import series
@@ -330,9 +332,13 @@ def _(t):
     return rounded(A.t_test(t("customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY"))
 
 
-@query("a24_bootstrap")
+_STEPS = [sum(1 / math.factorial(k) for k in range(n + 1)) * math.exp(-1) for n in range(8)]
+
+
+@query("a24_bootstrap", f"""WITH u AS (SELECT draw, s_acctbal AS x, ('0x' || substr(sha256('42|' || draw || '|' || s_suppkey), 1, 10))::BIGINT::DOUBLE / {1 << 40} AS u FROM supplier, range(1, 201) r(draw)),
+ w AS (SELECT draw, x, CASE {' '.join(f'WHEN u < {v!r}::DOUBLE THEN {k}' for k, v in enumerate(_STEPS))} ELSE 8 END AS w FROM u) SELECT draw::INTEGER AS draw, round(sum(w * x) / nullif(sum(w), 0), 4) AS mean FROM w GROUP BY 1""")
 def _(t):
-    return A.bootstrap(t("supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", 200)
+    return rounded(A.bootstrap(t("supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", 200, key=["s_suppkey"]))
 
 
 @query("a25_distribution", "SELECT c_mktsegment, count(c_acctbal) AS n, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, round(stddev_samp(c_acctbal), 4) AS std, min(c_acctbal) AS min, max(c_acctbal) AS max, round(quantile_cont(c_acctbal, 0.25), 4) AS q25, round(quantile_cont(c_acctbal, 0.75), 4) AS q75, round(avg(CASE WHEN c_acctbal > 1 THEN 1.0 ELSE 0.0 END), 4) AS above_1, round(avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END), 4) AS above_0 FROM customer GROUP BY 1")

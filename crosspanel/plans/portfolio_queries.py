@@ -126,7 +126,7 @@ def _(t):
     return rounded(P.equal_weight(prices(t)))
 
 
-@query("w15_random_baseline")
+@query("w15_random_baseline", f"WITH panel AS ({PRICES}), k AS (SELECT path, date, ticker, row_number() OVER (PARTITION BY path, date ORDER BY sha256('42|' || path || '|' || date || '|' || ticker) DESC, ticker) AS k FROM panel, range(1, 11) r(path)) SELECT path::INTEGER AS path, date, ticker, round(1.0 / count(*) OVER (PARTITION BY path, date), 4)::DOUBLE AS weight FROM k WHERE k <= 5")
 def _(t):
     return rounded(P.random_paths(prices(t), 5, 10))
 
@@ -155,7 +155,12 @@ def _(t):
     return rounded(K.portfolio_risk(_returns(t), "r", ["ticker"], 52))
 
 
-@query("k04_factor_exposures")
+# Least squares on centred moments; the intercept's variance is s2 * (1 / n + m' S^-1 m).
+@query("k04_factor_exposures", f"""{_R}, f AS (SELECT date, avg(r) AS a, stddev_samp(r) AS b FROM r GROUP BY 1), j AS (SELECT ticker, r AS y, a, b FROM r JOIN f USING (date) WHERE r IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+ s AS (SELECT ticker, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_, var_pop(y) * count(*) AS yy FROM j GROUP BY 1 HAVING count(*) >= 60),
+ c AS (SELECT *, aa * bb - ab * ab AS det FROM s), e AS (SELECT *, (bb * ay - ab * by_) / det AS ba, (aa * by_ - ab * ay) / det AS b2 FROM c), v AS (SELECT *, greatest(yy - ba * ay - b2 * by_, 0) / (n - 3) AS s2 FROM e)
+ SELECT ticker, 'intercept' AS factor, round(my - ba * ma - b2 * mb, 2) AS beta, round((my - ba * ma - b2 * mb) / sqrt(s2 * (1.0 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)), 2) AS t FROM v
+ UNION ALL SELECT ticker, 'market', round(ba, 2), round(ba / sqrt(s2 * bb / det), 2) FROM v UNION ALL SELECT ticker, 'spread', round(b2, 2), round(b2 / sqrt(s2 * aa / det), 2) FROM v""")
 def _(t):
     r = _returns(t)
     f = r.groupBy("date").agg(F.avg("r").alias("market"), F.stddev_samp("r").alias("spread"))

@@ -16,13 +16,16 @@ from crosspanel.streaming import stateful as Z
 POS, NEG, UNC = ["the", "and"], ["is", "of"], ["it"]
 _ARR = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 _WORDS = "list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[.,!?;:]+|[.,!?;:]+$', '', 'g'))"
+#: Whole words as text.whole() sees them, and those of a list.
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+_HIT_LIST = lambda ws: f"list_filter({_TOKENS}, lambda x: list_contains({_ARR(ws)}, x))"
 _HIT = lambda ws, col="w": f"len(list_filter({col}, lambda x: list_contains({_ARR(ws)}, x)))"
 TOPICS = {"alpha": ["the", "with"], "beta": ["and", "for"], "gamma": ["le", "der"]}
 
 
-@query("n01_topic", "WITH s AS (SELECT doc_id, " + ", ".join(f"len(list_distinct(m{i})) + 0.5 * (len(m{i}) - len(list_distinct(m{i}))) AS s{i}" for i in range(3)) + " FROM (SELECT doc_id, " + ", ".join(f"regexp_extract_all(lower(text), '\\b({'|'.join(k)})\\b', 1) AS m{i}" for i, k in enumerate(TOPICS.values())) + " FROM documents WHERE lang = 'en')) SELECT doc_id, CASE WHEN greatest(s0, s1, s2) <= 0 THEN 'other' WHEN s0 >= s1 AND s0 >= s2 THEN 'alpha' WHEN s1 >= s2 THEN 'beta' ELSE 'gamma' END AS topic, CAST(greatest(s0, s1, s2) AS DOUBLE) AS topic_score FROM s")
+@query("n01_topic", "WITH s AS (SELECT doc_id, " + ", ".join(f"len(list_distinct(m{i})) + 0.5 * (len(m{i}) - len(list_distinct(m{i}))) AS s{i}" for i in range(3)) + " FROM (SELECT doc_id, " + ", ".join(f"{_HIT_LIST(k)} AS m{i}" for i, k in enumerate(TOPICS.values())) + " FROM documents)) SELECT doc_id, CASE WHEN greatest(s0, s1, s2) <= 0 THEN 'other' WHEN s0 >= s1 AND s0 >= s2 THEN 'alpha' WHEN s1 >= s2 THEN 'beta' ELSE 'gamma' END AS topic, CAST(greatest(s0, s1, s2) AS DOUBLE) AS topic_score FROM s")
 def _(t):
-    return N.with_topic(t("documents").filter("lang = 'en'"), "text", TOPICS).select("doc_id", "topic", F.col("topic_score").cast("double").alias("topic_score"))
+    return N.with_topic(t("documents"), "text", TOPICS).select("doc_id", "topic", F.col("topic_score").cast("double").alias("topic_score"))
 
 
 @query("n02_n03_lexicon_sentiment", f"WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), c AS (SELECT doc_id, {_HIT(POS)} AS p, {_HIT(NEG)} AS n, {_HIT(UNC)} AS u, len(w) AS k FROM t), s AS (SELECT *, greatest(least((p - n) / sqrt(k), 1), -1) AS s FROM c) SELECT doc_id, round(s, 4) AS sentiment, round(least(u / sqrt(k), 1), 4) AS uncertainty, round(greatest(least(CASE WHEN s < 0 THEN s * 1.5 ELSE s * 0.5 END - 0.02, 1), -1), 4) AS adjusted, CASE WHEN s > 0.15 THEN 'bullish' WHEN s < -0.15 THEN 'bearish' ELSE 'neutral' END AS label FROM s")
@@ -31,13 +34,13 @@ def _(t):
     return rounded(d.select("doc_id", "sentiment", "uncertainty", N.adjusted_sentiment("sentiment", F.lit(1.5), F.lit(-0.02)).alias("adjusted"), N.sentiment_label("sentiment").alias("label")))
 
 
-@query("n04_n05_topic_signal", "WITH w AS (SELECT doc_id, source, " + _WORDS + " AS w, " + ", ".join(f"regexp_extract_all(lower(text), '\\b({'|'.join(k)})\\b', 1) AS m{i}" for i, k in enumerate(TOPICS.values())) + f" FROM documents WHERE lang = 'en'), s AS (SELECT source, CASE WHEN len(w) > 0 THEN greatest(least(({_HIT(POS)} - {_HIT(NEG)}) / sqrt(len(w)), 1), -1) ELSE 0 END AS x, " + ", ".join(f"len(list_distinct(m{i})) + 0.5 * (len(m{i}) - len(list_distinct(m{i}))) AS s{i}" for i in range(3)) + """ FROM w),
+@query("n04_n05_topic_signal", "WITH w AS (SELECT doc_id, source, " + _WORDS + " AS w, " + ", ".join(f"{_HIT_LIST(k)} AS m{i}" for i, k in enumerate(TOPICS.values())) + f" FROM documents), s AS (SELECT source, CASE WHEN len(w) > 0 THEN greatest(least(({_HIT(POS)} - {_HIT(NEG)}) / sqrt(len(w)), 1), -1) ELSE 0 END AS x, " + ", ".join(f"len(list_distinct(m{i})) + 0.5 * (len(m{i}) - len(list_distinct(m{i}))) AS s{i}" for i in range(3)) + """ FROM w),
  b AS (SELECT *, CASE WHEN greatest(s0, s1, s2) <= 0 THEN 'other' WHEN s0 >= s1 AND s0 >= s2 THEN 'alpha' WHEN s1 >= s2 THEN 'beta' ELSE 'gamma' END AS best FROM s),
  r AS (SELECT source, best AS t, x, 1.0 AS n FROM b UNION ALL SELECT source, 'alpha', x, 0.5 FROM b WHERE s0 >= 1 AND best <> 'alpha' UNION ALL SELECT source, 'beta', x, 0.5 FROM b WHERE s1 >= 1 AND best <> 'beta' UNION ALL SELECT source, 'gamma', x, 0.5 FROM b WHERE s2 >= 1 AND best <> 'gamma'),
  a AS (SELECT source, t, sum(x * n) / sum(n) AS x, sum(n) AS n FROM r GROUP BY 1, 2), v AS (SELECT *, sqrt(n) * CASE WHEN t = 'alpha' THEN 1.5 ELSE 1 END AS v FROM a)
  SELECT source, round(sum(v * x) / sum(v), 4) AS signal, CAST(sum(n) AS DOUBLE) AS weight, max_by(t, (n, t)) AS top_topic FROM v GROUP BY 1""")
 def _(t):
-    d = N.with_topic(N.with_lexicon_sentiment(t("documents").filter("lang = 'en'"), "text", POS, NEG), "text", TOPICS)
+    d = N.with_topic(N.with_lexicon_sentiment(t("documents"), "text", POS, NEG), "text", TOPICS)
     return rounded(N.topic_signal(d.withColumn("adjusted", F.col("sentiment")), ["source"], strong=("alpha",)), "weight")
 
 
@@ -47,25 +50,25 @@ def _(t):
     return rounded(d.select("page_id", F.col("tone_words").cast("long").alias("tone_words"), "positive", "negative", "net_tone"))
 
 
-@query("n08_tone_change", f"{_M}, c AS (SELECT *, x - lag(x) {W} AS change FROM m) SELECT date, ticker, round(change, 4) AS change, CASE WHEN change >= 0.06 THEN 'much_better' WHEN change >= 0.03 THEN 'better' WHEN change <= -0.06 THEN 'much_worse' WHEN change <= -0.03 THEN 'worse' WHEN change IS NOT NULL THEN 'same' END AS label, round(change * greatest(0, 1 - (DATE '1999-01-01' - date) / 120.0), 4) AS faded FROM c WHERE date BETWEEN DATE '1998-06-01' AND DATE '1999-01-01'")
+@query("n08_tone_change", f"{_M}, c AS (SELECT *, x - lag(x) {W} AS change FROM m) SELECT date, ticker, round(change, 4) AS change, CASE WHEN change >= 0.06 THEN 'much_better' WHEN change >= 0.03 THEN 'better' WHEN change <= -0.06 THEN 'much_worse' WHEN change <= -0.03 THEN 'worse' WHEN change IS NOT NULL THEN 'same' END AS label, round(change * greatest(0, 1 - (DATE '1999-01-01' - date) / 120.0), 4) AS faded FROM c")
 def _(t):
     d = N.tone_change(_momentum(t), "x", as_of=F.lit("1999-01-01").cast("date"))
-    return rounded(d.filter("date between date'1998-06-01' and date'1999-01-01'").select("date", "ticker", "change", "label", "faded"))
+    return rounded(d.select("date", "ticker", "change", "label", "faded"))
 
 
-@query("n09_s22_transcript_sections", """WITH l AS (SELECT conv_id, string_agg(role || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn, role, text) AS t FROM conversations WHERE text NOT LIKE '%:%' GROUP BY 1), x AS (SELECT conv_id, unnest(string_split(t, chr(10))) AS line FROM l) SELECT conv_id, count(*) AS sections, count(*) FILTER (line LIKE 'user:%') AS questions FROM x GROUP BY 1""")
+@query("n09_s22_transcript_sections", """WITH l AS (SELECT conv_id, string_agg(role || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1), x AS (SELECT conv_id, unnest(string_split(t, chr(10))) AS line FROM l) SELECT conv_id, count(*) AS sections, count(*) FILTER (line LIKE 'user:%') AS questions FROM x GROUP BY 1""")
 def _(t):
     from crosspanel.sources.panels import flatten_parts
 
-    c = t("conversations").filter("not contains(text, ':')").withColumn("text", F.regexp_replace("text", "\n", " "))
+    c = t("conversations").withColumn("text", F.regexp_replace("text", "\n", " "))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), F.col("text").alias("content")))), lambda x: x)
     calls = c.groupBy("conv_id").agg(flatten_parts(parts).alias("t"))
     return N.parse_transcript(calls, ["conv_id"], "t").groupBy("conv_id").agg(F.count("*").alias("sections"), F.count(F.when(F.col("speaker") == "user", 1)).alias("questions"))
 
 
-@query("n10_hedging_guidance", f"WITH t AS (SELECT doc_id, lower(text) AS l, {_WORDS} AS w FROM documents WHERE lang = 'en') SELECT doc_id, round(({_HIT(UNC)} + len(regexp_extract_all(l, 'is of'))) / nullif(len(w), 0), 4) AS hedging, round(coalesce((len(regexp_extract_all(l, '[0-9]+')) - len(regexp_extract_all(l, 'that'))) / nullif(len(regexp_extract_all(l, '[0-9]+')) + len(regexp_extract_all(l, 'that')), 0), 0), 4) AS guidance FROM t")
+@query("n10_hedging_guidance", f"WITH t AS (SELECT doc_id, lower(text) AS l, {_WORDS} AS w FROM documents) SELECT doc_id, round(({_HIT(UNC)} + len(regexp_extract_all(l, 'is of'))) / nullif(len(w), 0), 4) AS hedging, round(coalesce((len(regexp_extract_all(l, '[0-9]+')) - len(regexp_extract_all(l, 'that'))) / nullif(len(regexp_extract_all(l, '[0-9]+')) + len(regexp_extract_all(l, 'that')), 0), 0), 4) AS guidance FROM t")
 def _(t):
-    d = t("documents").filter("lang = 'en'")
+    d = t("documents")
     return rounded(d.select("doc_id", N.hedging("text", UNC, ["is of"]).alias("hedging"), N.guidance("text", ["[0-9]+"], ["that"]).alias("guidance")))
 
 
@@ -75,18 +78,20 @@ def _(t):
     return rounded(p.select("p_partkey", N.weighted_composite({"a": 0.6, "b": 0.4}).alias("composite"), N.half_life("p_size").alias("fade")), digits=6)
 
 
-_MENT = "m AS (SELECT source, doc_id, term FROM documents, (VALUES ('with'), ('this'), ('there'), ('was')) v(term) WHERE regexp_matches(lower(text), '\\b' || term || '\\b'))"
+TERMS = {k: k for k in ("with", "this", "there", "was")}
+_TOKEN_ROWS = "k AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')) AS k, text FROM documents)"
+_MENT = "m AS (SELECT source, doc_id, k AS term FROM (SELECT source, doc_id, unnest(" + _TOKENS + f") AS k FROM documents) WHERE k IN ({', '.join(repr(k) for k in TERMS)}))"
 
 
 def _mentions(t):
-    terms = ["with", "this", "there", "was"]
-    d = t("documents")
-    return d.select("source", "doc_id", F.explode(F.filter(F.array(*[F.when(F.lower("text").rlike(rf"\b{k}\b"), F.lit(k)) for k in terms]), lambda x: x.isNotNull())).alias("term"))
+    return N.mentions(t("documents"), ["source", "doc_id"], "text", TERMS).select("source", "doc_id", "term")
 
 
-@query("n13_mentions", "SELECT doc_id, term, unnest(regexp_extract_all(text, '(?is)(.{0,50}\\b(?:' || term || ')\\b.{0,50})', 1)) AS context FROM documents, (VALUES ('with'), ('this')) v(term) WHERE lang = 'en'")
+@query("n13_mentions", """WITH k AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS ks FROM documents),
+ u AS (SELECT doc_id, text, unnest(ks) AS k, unnest(range(1, len(ks) + 1)) AS i FROM k), p AS (SELECT *, sum(length(k)) OVER (PARTITION BY doc_id ORDER BY i) - length(k) AS before FROM u)
+ SELECT doc_id, lower(k) AS term, substr(text, CAST(greatest(before - 50, 0) + 1 AS BIGINT), CAST(least(before, 50) + length(k) + 50 AS BIGINT)) AS context FROM p WHERE lower(k) IN ('with', 'this')""")
 def _(t):
-    return N.mentions(t("documents").filter("lang = 'en'"), ["doc_id"], "text", {"with": "with", "this": "this"})
+    return N.mentions(t("documents"), ["doc_id"], "text", {"with": "with", "this": "this"})
 
 
 @query("n14_mention_profile", f"WITH {_MENT}, c AS (SELECT source, term, count(*) AS n FROM m GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS k FROM c) SELECT source, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS terms, round(sum(n) FILTER (term = 'with') / sum(n), 4) AS emerging_ratio, round(sum(n) FILTER (term = 'was') / sum(n), 4) AS moat_ratio, string_agg(term, ',' ORDER BY k) AS top_terms FROM k GROUP BY 1")
@@ -113,36 +118,46 @@ def _(t):
     return rounded(d.select("k", "y", "change", "trajectory", F.size("added").cast("long").alias("n_added")))
 
 
-@query("n19_surprise_signal", "WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, (l_tax - l_discount) * 10 AS s, CASE WHEN l_quantity > 25 THEN 1.0 ELSE -1.0 END AS rev FROM lineitem WHERE l_shipdate BETWEEN DATE '1996-01-01' AND DATE '1996-03-01'), b AS (SELECT *, CASE WHEN s > 0.2 THEN 1 WHEN s > 0.05 THEN 0.6 WHEN s < -0.2 THEN -1 WHEN s < -0.05 THEN -0.6 ELSE 0 END * CASE WHEN sign(rev) = sign(s) THEN 1.2 ELSE 0.7 END AS b, DATE '1996-02-20' - d AS days FROM s) SELECT l_orderkey, l_linenumber, days, round(greatest(least(b * CASE WHEN days < 0 THEN 0 WHEN days <= 10 THEN 1 WHEN days <= 30 THEN 0.7 WHEN days <= 60 THEN 0.4 ELSE 0 END, 1), -1), 4) AS signal FROM b WHERE abs(abs(s) - 0.2) > 1e-9 AND abs(abs(s) - 0.05) > 1e-9 AND abs(s) > 1e-9")
+@query("n19_surprise_signal", """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, (CAST(l_tax AS DECIMAL(10, 2)) - CAST(l_discount AS DECIMAL(10, 2))) * 10 AS s, CASE WHEN l_quantity > 25 THEN 1.0 ELSE -1.0 END AS rev FROM lineitem),
+ b AS (SELECT *, CASE WHEN s > 0.2 THEN 1 WHEN s > 0.05 THEN 0.6 WHEN s < -0.2 THEN -1 WHEN s < -0.05 THEN -0.6 ELSE 0 END * CASE WHEN sign(rev) = sign(s) THEN 1.2 ELSE 0.7 END AS b, DATE '1996-02-20' - d AS days FROM s)
+ SELECT l_orderkey, l_linenumber, days, round(CAST(greatest(least(b * CASE WHEN days < 0 THEN 0 WHEN days <= 10 THEN 1 WHEN days <= 30 THEN 0.7 WHEN days <= 60 THEN 0.4 ELSE 0 END, 1), -1) AS DOUBLE), 4) AS signal FROM b""")
 def _(t):
-    li = t("lineitem").filter("l_shipdate between date'1996-01-01' and date'1996-03-01'")
-    s = li.select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("announcement_date"), ((F.col("l_tax") - F.col("l_discount")) * 1000).alias("surprise"), F.when(F.col("l_quantity") > 25, 1.0).otherwise(-1.0).alias("revenue_surprise"))
-    s = s.filter((F.abs(F.abs("surprise") - 20) > 1e-7) & (F.abs(F.abs("surprise") - 5) > 1e-7) & (F.abs("surprise") > 1e-7))
+    # Decimals, so that surprises that equal a threshold do so in any engine.
+    surprise = (F.col("l_tax").cast("decimal(10,2)") - F.col("l_discount").cast("decimal(10,2)")) * 1000
+    s = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("announcement_date"), surprise.alias("surprise"), F.when(F.col("l_quantity") > 25, 1.0).otherwise(-1.0).alias("revenue_surprise"))
     return rounded(G.surprise_signal(s, "1996-02-20").select("l_orderkey", "l_linenumber", F.col("days").cast("long").alias("days"), "signal"))
 
 
-_TR = "tr AS (SELECT event_type AS ticker, user_id AS who, CASE WHEN event_id % 2 = 0 THEN 'P' ELSE 'S' END AS side, CAST(ts AS DATE) AS d, value * 100 AS v FROM events WHERE user_id < 8)"
+_TR = "tr AS (SELECT event_type AS ticker, user_id AS who, CASE WHEN event_id % 2 = 0 THEN 'P' ELSE 'S' END AS side, CAST(ts AS DATE) AS d, CAST(value * 100 AS DECIMAL(18, 4)) AS v FROM events)"
+_CL = f"{_TR}, cl AS (SELECT a.ticker, a.side, a.d AS start, count(DISTINCT b.who) AS insiders, sum(b.v) AS value, max(b.d) AS stop FROM (SELECT DISTINCT ticker, side, d FROM tr) a JOIN tr b ON a.ticker = b.ticker AND a.side = b.side AND b.d BETWEEN a.d AND a.d + 5 GROUP BY 1, 2, 3 HAVING count(DISTINCT b.who) >= 3)"
+_SEP = f"""{_CL}, o AS (SELECT *, row_number() OVER (PARTITION BY ticker, side ORDER BY insiders * value DESC, start DESC) AS k FROM cl),
+ g AS (SELECT ticker, side, 0::BIGINT AS k, [] :: STRUCT(a DATE, b DATE)[] AS chosen, 0 AS taken FROM o GROUP BY ALL
+  UNION ALL SELECT g.ticker, g.side, o.k, CASE WHEN len(list_filter(chosen, lambda y: y.a <= o.stop AND o.start <= y.b)) > 0 THEN chosen ELSE list_append(chosen, {{'a': o.start, 'b': o.stop}}) END, CASE WHEN len(list_filter(chosen, lambda y: y.a <= o.stop AND o.start <= y.b)) > 0 THEN 0 ELSE 1 END FROM g JOIN o ON o.ticker = g.ticker AND o.side = g.side AND o.k = g.k + 1),
+ sep AS (SELECT o.* FROM g JOIN o USING (ticker, side, k) WHERE taken = 1)"""
 
 
 def _trades(t):
-    e = t("events").filter("user_id < 8")
-    return e.select(F.col("event_type").alias("ticker"), F.col("user_id").alias("insider_name"), F.when(F.col("event_id") % 2 == 0, "P").otherwise("S").alias("transaction_type"), F.col("ts").cast("date").alias("transaction_date"), (F.col("value") * 100).alias("total_value"))
+    value = (F.col("value") * 100).cast("decimal(18,4)")  # sums of decimals don't depend on the order
+    return t("events").select(F.col("event_type").alias("ticker"), F.col("user_id").alias("insider_name"), F.when(F.col("event_id") % 2 == 0, "P").otherwise("S").alias("transaction_type"), F.col("ts").cast("date").alias("transaction_date"), value.alias("total_value"))
 
 
-@query("n20_insider_clusters", f"WITH {_TR} SELECT DISTINCT a.ticker, a.side AS transaction_type, a.d AS start, count(DISTINCT b.who) AS insiders, round(sum(b.v), 2) AS value, max(b.d) AS \"end\" FROM (SELECT DISTINCT ticker, side, d FROM tr) a JOIN tr b ON a.ticker = b.ticker AND a.side = b.side AND b.d BETWEEN a.d AND a.d + 5 GROUP BY 1, 2, 3 HAVING count(DISTINCT b.who) >= 3")
+@query("n20_insider_clusters", f"WITH {_CL} SELECT ticker, side AS transaction_type, start, insiders, CAST(value AS DOUBLE) AS value, stop AS \"end\" FROM cl")
 def _(t):
-    return G.insider_clusters(_trades(t), 5, 3).select("ticker", "transaction_type", "start", F.col("insiders").cast("long").alias("insiders"), F.round("value", 2).alias("value"), "end").distinct()
+    return G.insider_clusters(_trades(t), 5, 3).select("ticker", "transaction_type", "start", "insiders", F.col("value").cast("double").alias("value"), "end")
 
 
-@query("n21_n22_separate_clusters")
+@query("n21_n22_separate_clusters", f"WITH RECURSIVE {_SEP} SELECT ticker, side AS transaction_type, start, stop AS \"end\", insiders, CAST(value AS DOUBLE) AS value FROM sep")
 def _(t):
-    return G.separate_clusters(G.insider_clusters(_trades(t), 5, 3))
+    return G.separate_clusters(G.insider_clusters(_trades(t), 5, 3)).withColumn("value", F.col("value").cast("double"))
 
 
-@query("n23_insider_score")
+@query("n23_insider_score", f"""WITH RECURSIVE {_SEP}, w AS (SELECT ticker, CASE WHEN side = 'P' THEN 1 ELSE -1 END * CAST(v AS DOUBLE) * CASE WHEN who = 0 THEN 3.0 ELSE 1.0 END AS x FROM tr), n AS (SELECT ticker, sum(x) / nullif(sum(abs(x)), 0) AS net FROM w GROUP BY 1),
+ c AS (SELECT ticker, greatest(least(sum(CASE WHEN side = 'P' THEN 0.3 ELSE -0.3 END * insiders), 1), -1) AS c FROM sep GROUP BY 1)
+ SELECT ticker, round(greatest(least(0.4 * coalesce(net, 0) + 0.6 * CAST(coalesce(c, 0) AS DOUBLE), 1), -1), 4) AS insider_score FROM n LEFT JOIN c USING (ticker)""")
 def _(t):
     tr = _trades(t).withColumn("role_weight", F.when(F.col("insider_name") == 0, 3.0).otherwise(1.0))
-    return rounded(G.insider_score(tr, G.separate_clusters(G.insider_clusters(tr, 5, 3))))
+    clusters = G.separate_clusters(G.insider_clusters(tr, 5, 3))
+    return rounded(G.insider_score(tr.withColumn("total_value", F.col("total_value").cast("double")), clusters))
 
 
 @query("n24_patent_score", "WITH s AS (SELECT o_custkey AS ticker, count(*) FILTER (a < 365) AS recent, count(*) FILTER (a BETWEEN 365 AND 729) AS before, avg(o_totalprice / 10000) AS c, count(DISTINCT o_orderpriority) AS k, avg(o_orderkey % 30) AS m FROM (SELECT *, DATE '2000-01-01' - CAST(o_orderdate AS DATE) AS a FROM orders) WHERE a >= 0 GROUP BY 1) SELECT ticker, recent, before, CASE WHEN (recent - before) / nullif(before, 0) > 0.2 THEN 'rising' WHEN (recent - before) / nullif(before, 0) < -0.2 THEN 'falling' ELSE 'stable' END AS trend, round(25 * least(recent / 50, 1) + 25 * least(c / 20, 1) + 25 * least(k / 5, 1) + 25 * least(m / 20, 1), 4) AS score FROM s")
@@ -162,10 +177,16 @@ def _(t):
     return rounded(G.breadth_tilt(t("part").select(F.col("p_type").alias("sector"), (F.col("p_retailprice") / 1000 - 1.45).alias("score"))))
 
 
-@query("n27_factor_regime")
+_IND = {f"i{i}": w for i, w in enumerate((0.25, 0.25, 0.15, 0.15, 0.20))}
+_LIVE = lambda e: " + ".join(f"CASE WHEN abs(i{i}) > 0.001 THEN {e.format(c=f'i{i}', w=w)} ELSE 0 END" for i, w in enumerate(_IND.values()))
+
+
+@query("n27_factor_regime", "WITH s AS (SELECT s_suppkey, " + ", ".join(f"(s_suppkey * {7 + 13 * i} + {i}) % 201 / 100.0::DOUBLE - 1 AS i{i}" for i in range(5)) + f""" FROM supplier), c AS (SELECT *, coalesce(({_LIVE('{c} * {w}::DOUBLE')}) / nullif({_LIVE('{w}::DOUBLE')}, 0), 0) AS c FROM s),
+ a AS (SELECT *, ({_LIVE('CASE WHEN sign({c}) = sign(c) THEN 1 ELSE 0 END')}) / greatest({_LIVE('1')}, 1) AS agree FROM c)
+ SELECT s_suppkey, round(c, 4) AS composite, CASE WHEN c >= 0.4 THEN 'risk_on' WHEN c >= 0.15 THEN 'mild_risk_on' WHEN c <= -0.4 THEN 'risk_off' WHEN c <= -0.15 THEN 'mild_risk_off' ELSE 'neutral' END AS regime, round(greatest(least(0.5 * least(abs(c) / 0.4, 1) + 0.5 * agree, 1), 0), 4) AS confidence FROM a""")
 def _(t):
-    s = t("supplier").select("s_suppkey", *[(F.pmod(F.xxhash64("s_suppkey", F.lit(i)), F.lit(200)) / 100.0 - 1).alias(f"i{i}") for i in range(5)])
-    return rounded(G.factor_regime(s, {"i0": 0.25, "i1": 0.25, "i2": 0.15, "i3": 0.15, "i4": 0.20}).select("s_suppkey", "composite", "regime", "confidence"))
+    s = t("supplier").select("s_suppkey", *[((F.col("s_suppkey") * (7 + 13 * i) + i) % 201 / 100.0 - 1).alias(c) for i, c in enumerate(_IND)])
+    return rounded(G.factor_regime(s, _IND).select("s_suppkey", "composite", "regime", "confidence"))
 
 
 @query("n28_tilted_ic", "SELECT p_partkey, round(CASE WHEN p_size = 1 THEN 0.05 ELSE 0.05 * (1 + (p_size / 25.0 - 1) * 0.5 * 0.8) END, 4) AS ic FROM part")
@@ -202,9 +223,9 @@ def _(t):
     return rounded(s.select("ticker", F.coalesce(G.conflicting(["a", "b", "c"]), F.lit(False)).alias("conflict"), G.agreement(["a", "b", "c"]).alias("agreement")))
 
 
-@query("n32_threshold_signal", f"WITH {_SC} SELECT ticker, CASE WHEN b >= 0.3 THEN 'strong_buy' WHEN b >= 0.1 THEN 'buy' WHEN b <= -0.3 THEN 'strong_sell' WHEN b <= -0.1 THEN 'sell' ELSE 'hold' END AS signal FROM (SELECT ticker, round(b, 2)::DOUBLE + 0.001 AS b FROM sc)")
+@query("n32_threshold_signal", f"WITH {_SC} SELECT ticker, CASE WHEN b >= 0.3 THEN 'strong_buy' WHEN b >= 0.1 THEN 'buy' WHEN b <= -0.3 THEN 'strong_sell' WHEN b <= -0.1 THEN 'sell' ELSE 'hold' END AS signal FROM (SELECT ticker, CAST(b AS DECIMAL(6, 2)) AS b FROM sc)")
 def _(t):
-    return _scored(t).withColumn("b", F.round("b", 2) + 0.001).select("ticker", G.threshold_signal("b").alias("signal"))
+    return _scored(t).withColumn("b", F.col("b").cast("decimal(6,2)")).select("ticker", G.threshold_signal("b").alias("signal"))
 
 
 @query("n33_confidence_weighted", "SELECT c_mktsegment, round(sum((c_acctbal / 10000) * (c_custkey % 10 / 10.0)) / sum(c_custkey % 10 / 10.0), 4) AS aggregate, count(*) AS n, round(CASE WHEN sum(c_acctbal * (c_custkey % 10)) > 0 THEN avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) ELSE avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) END, 4) AS agreement FROM customer GROUP BY 1")
@@ -213,10 +234,14 @@ def _(t):
     return rounded(G.confidence_weighted(c, ["c_mktsegment"]))
 
 
-@query("n34_moat_themes")
+THEMES = [("metal", ["steel", "part"], ["STANDARD"], ["Brand#11"], [1, 2]), ("wood", ["oak"], ["PROMO"], ["Brand#12"], [3])]
+
+
+@query("n34_moat_themes", "WITH th(theme, keywords, sectors, industries, pure) AS (VALUES " + ", ".join(f"('{n}', {_ARR(k)}, {_ARR(x)}, {_ARR(i)}, {p})" for n, k, x, i, p in THEMES) + """), e AS (SELECT p_partkey AS ticker, theme, greatest(CASE WHEN list_contains(pure, p_partkey) THEN 0.8 ELSE 0 END, least(0.1 * len(list_filter(keywords, lambda k: contains(lower(p_name), k))), 0.5), CASE WHEN list_contains(sectors, p_type) THEN 0.4 ELSE 0 END, CASE WHEN list_contains(industries, p_brand) THEN 0.5 ELSE 0 END) AS x FROM part, th)
+ SELECT ticker, theme, round(CAST(x AS DOUBLE), 4) AS exposure FROM e WHERE x >= 0.3""")
 def _(t):
     p = t("part").select(F.col("p_partkey").alias("ticker"), F.col("p_name").alias("description"), F.col("p_type").alias("sector"), F.col("p_brand").alias("industry"))
-    themes = p.sparkSession.createDataFrame([("metal", ["steel", "part"], ["STANDARD"], ["Brand#11"], [1, 2]), ("wood", ["oak"], ["PROMO"], ["Brand#12"], [3])], "theme string, keywords array<string>, sectors array<string>, industries array<string>, pure array<long>")
+    themes = p.sparkSession.createDataFrame(THEMES, "theme string, keywords array<string>, sectors array<string>, industries array<string>, pure array<long>")
     return rounded(G.theme_exposure(p, themes).select("ticker", "theme", "exposure"))
 
 
@@ -225,9 +250,11 @@ def _(t):
     return rounded(t("part").select("p_partkey", G.alpha_decay("p_size", [(5, 1.0), (20, 0.5), (45, 0.1)]).alias("alpha")))
 
 
-@query("n37_penalties", "WITH s AS (SELECT c_custkey, c_nationkey, c_acctbal / 1000 AS s, c_custkey % 40 / 10.0 - 3 AS r, c_nationkey / 50.0 - 0.4 AS y, -c_nationkey / 40.0 AS d FROM customer) SELECT c_custkey, round(s - 0.5 * greatest(-1 - r, 0) - 0.25 * greatest(-1 - r, 0) * greatest(-1 - r, 0) - CASE WHEN y < -0.2 THEN 0.5 ELSE 0 END - CASE WHEN d < -0.4 THEN 0.5 ELSE 0 END, 6) AS score FROM s WHERE c_nationkey NOT IN (10, 16)")
+@query("n37_penalties", "WITH s AS (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(12, 2)) / 1000 AS s, CAST(c_custkey % 40 AS DECIMAL(6, 2)) / 10 - 3 AS r, CAST(c_nationkey * 2 - 40 AS DECIMAL(6, 2)) / 100 AS y, CAST(-c_nationkey * 25 AS DECIMAL(8, 2)) / 1000 AS d FROM customer) SELECT c_custkey, round(CAST(s AS DOUBLE) - 0.5 * greatest(-1 - r, 0) - 0.25 * greatest(-1 - r, 0) * greatest(-1 - r, 0) - CASE WHEN round(y, 6) < -0.2 THEN 0.5 ELSE 0 END - CASE WHEN round(d, 6) < -0.4 THEN 0.5 ELSE 0 END, 6) AS score FROM s")
 def _(t):
-    c = t("customer").filter("c_nationkey not in (10, 16)").select("c_custkey", (F.col("c_acctbal") / 1000).alias("s"), (F.col("c_custkey") % 40 / 10.0 - 3).alias("r"), (F.col("c_nationkey") / 50.0 - 0.4).alias("y"), (-F.col("c_nationkey") / 40.0).alias("d"))
+    # Decimals for what is compared, so that ties with the limits are exact.
+    year, fall = (F.col("c_nationkey") * 2 - 40).cast("decimal(6,2)") / 100, (-F.col("c_nationkey") * 25).cast("decimal(8,2)") / 1000
+    c = t("customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("s"), (F.col("c_custkey") % 40 / 10.0 - 3).alias("r"), year.alias("y"), fall.alias("d"))
     return rounded(c.select("c_custkey", G.penalised("s", "r", "y", "d").alias("score")), digits=6)
 
 
@@ -265,10 +292,12 @@ def _(t):
     return o.select("o_orderkey", B.regime_of("d", [("1995-01-01", "1997-01-01", "early"), ("1997-01-01", "1999-01-01", "late")]).alias("regime"))
 
 
-@query("p14_p15_review_selection")
+@query("p14_p15_review_selection", f"""WITH {_SC}, l AS (SELECT ticker, CAST(b AS DECIMAL(6, 2)) AS score, list_filter([a, b, c], lambda x: abs(x) > 0.05) AS l, [a, b, c] AS v FROM sc), q AS (SELECT ticker, score, coalesce(len(l) >= 2 AND len(list_filter(v, lambda x: x > 0.2)) > 0 AND len(list_filter(v, lambda x: x < -0.2)) > 0, false) AS conflict FROM l),
+ sd AS (SELECT *, row_number() OVER (PARTITION BY score > 0 ORDER BY abs(score) DESC, ticker) AS side FROM q), kd AS (SELECT *, CASE WHEN side <= 5 AND score > 0 THEN 0 WHEN side <= 5 AND score < 0 THEN 1 WHEN conflict THEN 2 ELSE 3 END AS kind FROM sd),
+ o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY abs(score) DESC, ticker) AS o FROM kd) SELECT ticker, CAST(score AS DOUBLE) AS score, ['buy', 'sell', 'conflict', 'fill'][kind + 1] AS reason FROM o ORDER BY kind, o LIMIT 15""")
 def _(t):
-    s = _scored(t).withColumn("score", F.col("b")).withColumn("conflict", F.coalesce(G.conflicting(["a", "b", "c"]), F.lit(False)))
-    return G.review_selection(s, 5).select("ticker", "score", "reason")
+    s = _scored(t).withColumn("conflict", F.coalesce(G.conflicting(["a", "b", "c"]), F.lit(False))).withColumn("score", F.col("b").cast("decimal(6,2)"))
+    return G.review_selection(s, 5).select("ticker", F.col("score").cast("double").alias("score"), "reason")
 
 
 @query("z01_drawdown_states", f"WITH panel AS ({PRICES}), d AS (SELECT *, price / max(price) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM panel) SELECT ticker, date, round(d, 4) AS drawdown, CASE WHEN d <= -0.2 THEN 'halt' WHEN d <= -0.15 THEN 'cut' WHEN d <= -0.1 THEN 'reduce' WHEN d <= -0.05 THEN 'warn' ELSE 'none' END AS action FROM d")
@@ -276,14 +305,17 @@ def _(t):
     return rounded(Z.drawdown_states(prices(t), ["ticker"], "date", "price").select("ticker", "date", "drawdown", "action"))
 
 
-@query("z01_breaker_events")
+@query("z01_breaker_events", f"""WITH RECURSIVE panel AS ({PRICES}), d AS (SELECT *, price / max(price) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM panel), b(limit_, breaker) AS (VALUES {', '.join(f"({x}, '{n}')" for x, n, _ in Z.BREAKERS)}),
+ h AS (SELECT ticker, breaker, date, i FROM d JOIN b ON d <= -limit_), n AS (SELECT a.ticker, a.breaker, a.date, a.i, min(c.i) AS next FROM h a LEFT JOIN h c ON c.ticker = a.ticker AND c.breaker = a.breaker AND c.i > a.i + 5 GROUP BY ALL),
+ f AS (SELECT n.* FROM n JOIN (SELECT ticker, breaker, min(i) AS i FROM h GROUP BY 1, 2) s USING (ticker, breaker, i) UNION ALL SELECT n.* FROM f JOIN n ON n.ticker = f.ticker AND n.breaker = f.breaker AND n.i = f.next)
+ SELECT ticker, breaker, date FROM f""")
 def _(t):
     return Z.breaker_events(prices(t), ["ticker"], "date", "price")
 
 
-@query("z02_position_factor", "SELECT c_custkey, CASE WHEN d <= -0.2 OR v >= 0.5 THEN 0.5::DOUBLE WHEN d <= -0.1 OR v >= 0.35 THEN 0.75 ELSE 1 END AS factor FROM (SELECT c_custkey, -(c_custkey % 30) / 100.0 - 0.001 AS d, c_nationkey / 40.0 + 0.001 AS v FROM customer)")
+@query("z02_position_factor", "SELECT c_custkey, CASE WHEN d <= -0.2 OR v >= 0.5 THEN 0.5::DOUBLE WHEN d <= -0.1 OR v >= 0.35 THEN 0.75 ELSE 1 END AS factor FROM (SELECT c_custkey, CAST(-(c_custkey % 30) AS DECIMAL(6, 2)) / 100 AS d, CAST(c_nationkey AS DECIMAL(6, 2)) / 40 AS v FROM customer)")
 def _(t):
-    return t("customer").select("c_custkey", Z.position_factor(-(F.col("c_custkey") % 30) / 100.0 - 0.001, F.col("c_nationkey") / 40.0 + 0.001).alias("factor"))
+    return t("customer").select("c_custkey", Z.position_factor((-(F.col("c_custkey") % 30)).cast("decimal(6,2)") / 100, F.col("c_nationkey").cast("decimal(6,2)") / 40).alias("factor"))
 
 
 @query("z03_latest_status", "SELECT user_id, max_by(event_type, event_id) AS status, round(max_by(value, event_id) - 50, 4) AS slippage FROM events GROUP BY 1")
@@ -327,12 +359,17 @@ def _(t):
     return rounded(B.blended(m.withColumn("score", F.col("x")), m.withColumn("score", F.col("r")), w))
 
 
-@query("v14_shuffled_labels")
+@query("v14_shuffled_labels", f"{_M}, a AS (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY ticker) AS i FROM m), b AS (SELECT date, x, row_number() OVER (PARTITION BY date ORDER BY sha256('42|' || date || '|' || ticker), ticker) AS i FROM m) SELECT a.date, ticker, round(x, 4) AS x FROM a JOIN b ON a.date = b.date AND a.i = b.i")
 def _(t):
     return rounded(B.shuffled_labels(_momentum(t).select("date", "ticker", "x"), "x"))
 
 
-@query("v03_v07_walk_forward_ridge")
+# MLlib's ridge in standard units: (C + l / sd(y) diag(var)) b = c with moments over n.
+@query("v03_v07_walk_forward_ridge", f"""{_M}, f0 AS (SELECT date, ticker, x, r, lead(price, 4) {W} / price - 1 AS y FROM m), f AS (SELECT * FROM f0 WHERE x IS NOT NULL AND r IS NOT NULL), k AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM f)),
+ dd AS (SELECT date, k FROM k JOIN (SELECT max(date) AS date FROM f GROUP BY date_trunc('year', date) ORDER BY 1 OFFSET 1) USING (date)),
+ s AS (SELECT dd.date, avg(x) AS mx, avg(r) AS mr, avg(y) AS my, var_pop(x) AS vx, var_pop(r) AS vr, covar_pop(x, r) AS cxr, covar_pop(x, y) AS cx, covar_pop(r, y) AS cr, 0.001 / stddev_pop(y) AS l FROM dd JOIN k ON k.k <= dd.k - 4 JOIN f ON f.date = k.date WHERE y IS NOT NULL GROUP BY 1),
+ b AS (SELECT *, (cx * vr * (1 + l) - cr * cxr) / (vx * vr * (1 + l) * (1 + l) - cxr * cxr) AS bx, (cr * vx * (1 + l) - cx * cxr) / (vx * vr * (1 + l) * (1 + l) - cxr * cxr) AS br FROM s)
+ SELECT date, ticker, round(my + bx * (x - mx) + br * (r - mr), 4) AS score FROM b JOIN f USING (date)""")
 def _(t):
     from crosspanel.operators.labels import forward_return
 
@@ -341,7 +378,10 @@ def _(t):
     return rounded(B.walk_forward(m, dates, B.linear_scores(["x", "r"], "y"), 4).select("date", "ticker", "score"))
 
 
-@query("a26_sub_periods")
+@query("a26_sub_periods", f"""{_RB}, p0 AS (SELECT w.date, sum(w * h) AS r FROM w JOIN h ON w.date = h.date AND w.ticker = h.ticker WHERE h IS NOT NULL GROUP BY 1), q AS (SELECT * FROM p0 JOIN (VALUES ('first', DATE '1995-01-01', DATE '1998-12-31'), ('second', DATE '1999-01-01', DATE '2002-12-31')) v(name, a, b) ON date BETWEEN a AND b),
+ nv AS (SELECT name, date, product(1 + r) OVER (PARTITION BY name ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM q), dr AS (SELECT name, min(d) AS max_drawdown FROM (SELECT name, nav / max(nav) OVER (PARTITION BY name ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM nv) GROUP BY 1),
+ g AS (SELECT name, count(r) AS n, pow(product(1 + r), 12.0 / count(r)) - 1 AS ar, stddev_samp(r) * sqrt(12) AS av FROM q GROUP BY 1)
+ SELECT name, n, CASE WHEN n >= 6 THEN round(ar, 4) END AS annual_return, CASE WHEN n >= 6 THEN round(av, 4) END AS annual_volatility, CASE WHEN n >= 6 THEN round(ar / av, 4) END AS sharpe, CASE WHEN n >= 6 THEN round(max_drawdown, 4) END AS max_drawdown FROM g JOIN dr USING (name)""")
 def _(t):
     m = _momentum(t)
     r = B.score_backtest(m, m.select("date", "ticker", "price"), B.rebalance_dates(m, "month"), "x", 5)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from crosspanel.functions.columns import series
+from crosspanel.functions.columns import draw, series
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, columns: list[str] | None = None) -> DataFrame:
@@ -26,8 +26,8 @@ def within(df: DataFrame, entities: list[str] | None, start: str, end: str, enti
 
 
 def sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """n rows in the order of a hash of the key: random, but the same each time."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+    """n rows in the order of a digest of the key: random, but the same each time."""
+    return df.orderBy(draw(key), key).limit(n)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
