@@ -33,8 +33,8 @@ RADIUS, CAP = 2, 4096
 LONG, LONG_RADIUS, SEEDS = 512, 130, 42
 #: Documents of the sample that finds common shingles, and the most of these.  Both only set the order of shingles.
 SAMPLE, COMMON = 5_000, 50_000
-#: Sets of one task of a group.
-SETS = 512
+#: Partners of one set that a task compares with it, and characters of the texts of a group that meet in a task.
+PARTNERS, CHARS = 512, 20_000_000
 
 
 def hashes(words: list[bytes], size: int) -> list[int]:
@@ -337,7 +337,7 @@ def nearest(pairs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
     return near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, most: int = SETS) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, most: int = PARTNERS) -> DataFrame:
     """Those of pairs (a, b) whose similarity is at least 0.8.  The partners of one set are dealt to tasks of ``most`` each."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     ready = pairs.join(counts, "a").withColumn("shard", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / most))))
@@ -362,17 +362,18 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, most: int = SET
 
 
 def dealt(rows: DataFrame, cap: int) -> DataFrame:
-    """Rows (key, node, root) with a ``shard`` of at most about ``cap`` rows, so that any two rows of a key with different roots meet.
+    """Rows (key, node, root, weight) with a ``shard`` of a weight of at most about ``cap``, so that any two rows of a key with
+    different roots meet, and whether the row is outside the key's heaviest root (``minor``).
 
-    A key with more rows is cut into parts.  Rows of its commonest root need not meet one another: each of their parts meets the parts
-    of all other rows, and the latter's parts meet in pairs.  So what is sent grows with the rows outside the commonest root.
+    A key that weighs more is cut into parts.  Rows of its heaviest root need not meet one another: each of their parts meets the parts
+    of all other rows, and the latter's parts meet in pairs.  So what is sent grows with the rows outside the heaviest root.
     """
-    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    counts = rows.groupBy("key", "root").agg(F.sum("weight").alias("c"))
     keys = counts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).filter(F.col("size") > F.col("top.c"))
     half = max(1, cap // 2)
-    whole = F.col("size") <= cap
-    parts = keys.select("key", "top.root", whole.alias("whole"), F.ceil((F.col("size") - F.col("top.c")) / half).alias("few"), F.ceil(F.col("top.c") / half).alias("many"))
-    rows = rows.join(parts.withColumnRenamed("root", "top"), "key").withColumn("minor", F.col("root") != F.col("top"))
+    few, many = F.ceil((F.col("size") - F.col("top.c")) / half), F.ceil(F.col("top.c") / half)
+    parts = keys.select("key", F.col("top.root").alias("top"), (F.col("size") <= cap).alias("whole"), few.alias("few"), many.alias("many"))
+    rows = rows.join(parts, "key").withColumn("minor", F.col("root") != F.col("top"))
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many")))
     rows = rows.withColumn("part", part)
 
@@ -383,14 +384,14 @@ def dealt(rows: DataFrame, cap: int) -> DataFrame:
     across = with_each("many", lambda i: F.xxhash64("key", F.lit("major"), "part", i))
     back = with_each("few", lambda i: F.xxhash64("key", F.lit("major"), i, "part"))
     shards = F.when(F.col("whole"), F.array(F.xxhash64("key"))).when(F.col("minor"), F.concat(among, across)).otherwise(back)
-    return rows.withColumn("shard", F.explode(shards)).drop("key", "top", "whole", "few", "many", "minor", "part")
+    return rows.withColumn("shard", F.explode(shards)).drop("key", "top", "whole", "few", "many", "part", "weight")
 
 
 def shard_links(rows: DataFrame, radius: int, cap: int, size: int | None) -> DataFrame:
-    """Links (a, b) of rows (key, node, root, print), and text if ``size`` is given.
+    """Links (a, b) of rows (key, node, root, weight, print), and text if ``size`` is given.
 
     Roots are joined by all pairs of a key within the radius, whose similarity is at least 0.8 where size is given.  A pair whose roots
-    are joined already is not looked at.
+    are joined already is not looked at, and rows of a key's heaviest root only wait in the tree for the others.
     """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
@@ -403,9 +404,9 @@ def shard_links(rows: DataFrame, radius: int, cap: int, size: int | None) -> Dat
                 return x
 
             out: tuple[list, list] = ([], [])
-            for node, root, data, *text in own:
+            for minor, node, root, data, *text in own:
                 v, grams = int.from_bytes(data, "little"), shingles(text[0], size) if text else None
-                for near in tree.within(v, radius):
+                for near in tree.within(v, radius) if minor else ():
                     for other, its, its_grams in at[near]:
                         if (x := find(root)) != (y := find(its)) and (grams is None or similar(grams, its_grams)):
                             parent[max(x, y)] = min(x, y)
@@ -415,11 +416,12 @@ def shard_links(rows: DataFrame, radius: int, cap: int, size: int | None) -> Dat
                 at[v].append((node, root, grams))
             yield list(out)
 
-    names = ["shard", "node", "root", "print", *(["text"] if size is not None else [])]
-    return map_rows(dealt(rows, cap).repartition("shard").sortWithinPartitions("shard"), names, "a long, b long", run).distinct()
+    names = ["shard", "minor", "node", "root", "print", *(["text"] if size is not None else [])]
+    ready = dealt(rows, cap).repartition("shard").sortWithinPartitions("shard", "minor")
+    return map_rows(ready, names, "a long, b long", run).distinct()
 
 
-def similar_links(texts: DataFrame, size: int = 5, radius: int = LONG_RADIUS, cap: int = CAP, most: int = SETS) -> DataFrame:
+def similar_links(texts: DataFrame, size: int = 5, radius: int = LONG_RADIUS, cap: int = CAP, most: int = CHARS) -> DataFrame:
     """Links (a, b) of ``texts`` (node, text) whose components are those of all pairs with a similarity of at least 0.8.
 
     First each set's nearest partner at a shared shingle: where the similarity itself is 0.8 or more, they are linked.  That joins most
@@ -430,29 +432,33 @@ def similar_links(texts: DataFrame, size: int = 5, radius: int = LONG_RADIUS, ca
     rows = table(shared_shingles(sets), "shingles")
     prints = sets.select("node", "print").join(rows.select("node").distinct(), "node", "left_semi")
     close = table(nearest(partners(rows, cap), prints, radius), "nearest")
-    linked = table(similar_pairs(close, texts, size, most), "verified")
+    linked = table(similar_pairs(close, texts, size), "verified")
     # Candidates: what lies within the radius at a shared shingle.
-    rooted = _rooted(rows.select("key", "node"), components(close))
+    rooted = _rooted(rows.select("key", "node"), components(close)).withColumn("weight", F.lit(1))
     trees = table(shard_links(rooted.join(prints, "node"), radius, cap, None), "candidates")
     groups = components(close.union(trees)).withColumnRenamed("root", "key")
-    left = _rooted(groups, components(linked)).join(prints, "node").join(texts, "node")
+    left = _rooted(groups, components(linked)).join(prints, "node").join(texts, "node").withColumn("weight", F.length("text"))
     return linked.union(table(shard_links(left, radius, most, size), "verified"))
 
 
 def _rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows (key, node) with their ``root`` in ``components``, of keys with two roots or more."""
+    """Rows (key, node, root) from rows (key, node): sets of keys with two roots or more in ``components``.
+
+    The new key is the commonest root of the old one, so a group whose sets share many shingles comes up once and not for each.
+    """
     rows = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    return rows.join(apart, "key", "left_semi").select("key", "node", "root")
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    apart = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    return rows.join(apart.select("key", F.col("top.root").alias("top")), "key").select(F.col("top").alias("key"), "node", "root").distinct()
 
 
-def similar_groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, most: int = SETS) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, most: int = CHARS) -> DataFrame:
     """One row (id, group_id) per row of docs with an id: texts whose sets of shingles have a Jaccard similarity of at least 0.8 are
     linked, and group_id is the least id that can be reached.
 
     Texts without words, null ones too, form one group.  Rows with a null id are left out; rows that share an id are linked by it only
     if their texts are.  Copies of a text are looked at once.  A long text is one row's memory.  An empty table gives an empty result.
-    ``cap`` and ``most`` (sets of a tree, sets compared in a task) bound tasks; the result is the same.
+    ``cap`` and ``most`` (sets of a tree, characters of texts compared in a task) bound tasks; the result is the same.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     empty = text.rlike(r"^[\x20\x09-\x0D]*$")
