@@ -81,9 +81,12 @@ class Compression:
         """Bytes, the whole text's ratio (0 for an empty one), and the chunks'."""
         data = (text or "").encode("utf-8", "replace")
         whole = self.ratio(data) if data else 0.0
-        if len(data) <= self.chunk:
+        if len(data) < 2 * self.chunk:
             return len(data), whole, [whole] if data else []
-        return len(data), whole, [self.ratio(data[i : i + self.chunk]) for i in range(0, len(data), self.chunk)]
+        # The last chunk takes the rest along, as the ratio of a few bytes says little.
+        starts = [*range(0, len(data) - 2 * self.chunk + 1, self.chunk)]
+        starts.append(starts[-1] + self.chunk)
+        return len(data), whole, [self.ratio(data[a:b]) for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
 
 
 @dataclass(frozen=True)
