@@ -199,7 +199,7 @@ def close_links(fps: DataFrame, cap: int = CAP) -> DataFrame:
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of shards with 2 to cap members, and of larger ones."""
         n = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = rows.join(n, "key")
+        rows = table(rows.join(n, "key"), "simhash-shards")  # once, for both parts and the next level
         return rows.filter(F.col("n") <= cap).select("key", "fp"), rows.filter(F.col("n") > cap).drop("n")
 
     level = fps.select("fp", F.explode(F.array(*[F.struct(k.alias("key"), F.lit(n).alias("pair")) for k, n in _first_keys()])).alias("s")).select("s.*", "fp")
@@ -242,8 +242,9 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, fingerprint, component_id) per row of docs; component_id is the least id of the component.
 
-    Texts without words share the fingerprint zero and so a component.  Null ids are kept but never a component's id, unless it has
-    no other.
+    Texts without words share the fingerprint zero and so a component.  Null ids are kept but never a component's id: a component
+    without other ids has null.  Repeated rows and copies share a fingerprint, which is looked at once.  A long text is one row's
+    memory.  An empty table gives an empty result.
     """
     prints = table(fingerprints(docs, size, id_col, text_col), "simhash")
     least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
