@@ -59,11 +59,14 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir.  Where that is unset a new local folder serves a local master (tests);
+    on a cluster executors could not read it, so that raises an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -79,6 +82,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 #: While this is set, Spark drops a query's shuffle files at its end; nothing reads them after a table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables of this process that are not released.
+_written: list[str] = []
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -91,9 +96,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables this process has written; for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Removes the tables written since a ``mark``, once what was made of them is written itself."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df has in no case: ``name``, with as many underscores before it as that takes."""
     taken = {c.lower() for c in df.columns}
