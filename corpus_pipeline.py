@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.llm import bpe, decontaminate, gbdt, pii, simhash
-from crosspanel.llm._rows import documents, fresh, shared_dir
+from crosspanel.llm._rows import documents, fresh, mark, release, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,12 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
+    """All stages over documents; each result but the last is written to the shared folder and read again, and the tables that a stage
+    wrote on its way are removed then."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
+        since = mark()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            release(spark, since)
     return docs
