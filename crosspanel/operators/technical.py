@@ -154,3 +154,39 @@ def volatility_scale(r: str, target: float = 0.15, n: int = 20, low: float = 0.2
     frame = last_rows(w, n)
     sd = F.stddev_samp(r).over(frame) * F.sqrt(F.lit(float(YEAR)))
     return F.when(F.count(r).over(frame) < 5, 1.0).otherwise(F.coalesce(F.greatest(F.least(div(F.lit(target), F.nullif(sd, F.lit(0.0))), F.lit(high)), F.lit(low)), F.lit(1.0)))
+
+
+def with_enhanced(
+    df: DataFrame, benchmark: DataFrame | None = None, reversals: tuple[int, ...] = (5, 10), residual: tuple[int, ...] = (63,), idio: tuple[int, ...] = (63,),
+    beta_rows: int = 60, mad: int = 21, trend: tuple[int, int] = (63, 252), sectors: list[str] | None = None, price: str = "price", w: WindowSpec | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """df with all enhanced features, and their names: short reversals, residual momentum and volatility against a benchmark (date, rb),
+    median deviations of returns and of volatility, trend health, and a 0/1 column for each sector.
+
+    Without a benchmark the residual features are left out.  The window is one exchange and one sort for all of them.
+    """
+    w = w or series()
+    df = df.withColumn("r", simple_return(price, w))
+    df = df.withColumn("__v", volatility("r", 21, w))
+    names = {f"rev_{n}": simple_return(price, w, n) for n in reversals} | {f"mad_ret_{mad}": deviation("r", mad, w), f"mad_vol_{mad}": deviation("__v", mad, w)}
+    names |= {f"trend_{trend[0]}_{trend[1]}": trend_health(price, *trend, w)} | {f"sector_{x}": (F.col("sector") == x).cast("double") for x in sectors or []}
+    df = df.select("*", *[c.alias(n) for n, c in names.items()])
+    if benchmark is not None:
+        df = with_residuals(with_benchmark(df, benchmark), beta_rows, w=w)
+        more = {f"resid_mom_{n}": momentum_sum("resid", n, w) for n in residual} | {f"idio_vol_{n}": volatility("resid", n, w) for n in idio}
+        df, names = df.select("*", *[c.alias(n) for n, c in more.items()]), names | more
+    return df.drop("__v"), list(names)
+
+
+def sector_rotation(df: DataFrame, benchmark: DataFrame, spans: tuple[int, int] = (21, 63), weights: tuple[float, float] = (0.4, 0.6), limit: float = 0.03, entity: str = "ticker", time: str = "date") -> DataFrame:
+    """Latest row of each sector index: strength against the benchmark over two spans of rows, their weighted sum as momentum, a signal
+    beyond the limit, and the rank by momentum (ties by name).  There are as many rows as sectors."""
+    w, bw = series(entity, time), series([], time)
+    last = df.select("*", *[simple_return(w=w, n=n).alias(f"__r{i}") for i, n in enumerate(spans)], F.row_number().over(w.orderBy(F.desc(time))).alias("__n")).filter("__n = 1")
+    b = benchmark.select(time, *[simple_return("price", bw, n).alias(f"__b{i}") for i, n in enumerate(spans)])
+    out = last.join(b, time, "left").select(entity, time, *[(F.col(f"__r{i}") - F.coalesce(f"__b{i}", F.lit(0.0))).alias(f"rs_{n}") for i, n in enumerate(spans)])
+    out = out.withColumn("momentum", weights[0] * F.col(f"rs_{spans[0]}") + weights[1] * F.col(f"rs_{spans[1]}"))
+    signal = F.when(F.col("momentum") > limit, "overweight").when(F.col("momentum") < -limit, "underweight").otherwise("neutral")
+    from pyspark.sql import Window
+
+    return out.withColumn("signal", signal).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("momentum"), entity)).cast("long"))

@@ -209,3 +209,16 @@ def pioneer_score(first: DataFrame, lines: DataFrame, entity: str, term: str, as
     s = joined.groupBy(entity).agg(F.avg("__l").alias("lead_months"), F.count("*").alias("breadth"), F.sum(F.col("__e").cast("long")).alias("emerging"))
     score = 0.4 * clip(F.col("lead_months") / 12, 0, 1) + 0.3 * F.least(F.col("breadth") / 8, F.lit(1.0)) + 0.3 * F.least(F.col("emerging") / 4, F.lit(1.0))
     return s.withColumn("score", score)
+
+
+def labelled_value(text: str | Column, label: str, low: float | None = None, high: float | None = None, default: float | None = None) -> Column:
+    """The number of the first line 'LABEL: number', inside [low, high]; the default if there is no such line or no number in it."""
+    found = F.regexp_extract(text, rf"(?m)^\s*{label}:\s*([-+]?[0-9]*\.?[0-9]+)\s*$", 1)
+    value = F.nullif(found, F.lit("")).try_cast("double")
+    return F.coalesce(clip(value, low, high), F.lit(default).cast("double"))
+
+
+def labelled_text(text: str | Column, label: str, default: str | None = None) -> Column:
+    """The rest of the first line that starts with a label and a colon."""
+    found = F.trim(F.regexp_extract(text, rf"(?m)^\s*{label}:(.*)$", 1))
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit(default).cast("string"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import draw
-from crosspanel.operators.metrics import performance
+from crosspanel.operators.joins import nearest_label
+from crosspanel.operators.metrics import ic_weights, information_coefficient, performance
 from crosspanel.operators.portfolio import portfolio_return, top_equal
 
 
@@ -47,15 +49,11 @@ def walk_forward(frame: DataFrame, dates: list, fit_predict: Callable[[DataFrame
     index = frame.select(time).distinct().withColumn("__k", F.row_number().over(Window.orderBy(time)))  # a row per date
     known = {r[time]: r["__k"] for r in index.filter(F.col(time).isin(dates)).collect()}
     indexed = frame.join(index, time).persist()
-    out = None
-    for d in dates:
-        if d not in known:
-            continue
-        train = indexed.filter(F.col("__k") <= known[d] - horizon_rows).drop("__k")
-        now = indexed.filter(F.col("__k") == known[d]).drop("__k")
-        scored = fit_predict(train, now)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    try:
+        scored = [fit_predict(indexed.filter(F.col("__k") <= known[d] - horizon_rows).drop("__k"), indexed.filter(F.col("__k") == known[d]).drop("__k")) for d in dates if d in known]
+    finally:
+        indexed.unpersist()  # what is scored later is read from the frame's source again
+    return reduce(DataFrame.unionByName, scored) if scored else frame.limit(0).withColumn("score", F.lit(None).cast("double"))
 
 
 def gbt_scores(features: list[str], label: str, trees: int = 20, depth: int = 3, seed: int = 42) -> Callable[[DataFrame, DataFrame], DataFrame]:
@@ -114,12 +112,69 @@ def shuffled_labels(frame: DataFrame, label: str, time: str = "date", entity: st
 
 def regime_switch(scores: dict[str, DataFrame], regimes: DataFrame, time: str = "date") -> DataFrame:
     """Of several score tables (date, ticker, score) the one named by the regime known at the date."""
-    from functools import reduce
-
     both = reduce(DataFrame.unionByName, [s.withColumn("regime", F.lit(n)) for n, s in scores.items()])
     return both.join(regimes.select(time, "regime"), [time, "regime"]).drop("regime")
 
 
+def ensemble(a: DataFrame, b: DataFrame, labels: DataFrame, n: int, floor: float = 0.0, time: str = "date", entity: str = "ticker") -> DataFrame:
+    """Scores (date, ticker, score) of two models, weighted by the rolling mean of their information coefficients over the n dates
+    before: a date's own coefficient needs returns that are not known yet.  labels: (date, ticker, y)."""
+    def coefficients(scores: DataFrame, name: str) -> DataFrame:
+        joined = scores.select(time, entity, "score").join(labels, [time, entity])
+        return information_coefficient(joined, "score", "y", [time]).select(time, F.col("ic").alias(name))
+
+    ics = coefficients(a, "a").join(coefficients(b, "b"), time)
+    known = ics.select(time, *[F.lag(c).over(Window.orderBy(time)).alias(c) for c in "ab"])  # a row per date
+    return blended(a, b, ic_weights(known, "a", "b", n, floor, time), time, entity)
+
+
+def weights_backtest(get_weights: Callable[[object, DataFrame], DataFrame], panel: DataFrame, dates: list, time: str = "date", entity: str = "ticker") -> DataFrame:
+    """(date, portfolio_return) of a strategy: get_weights(date, history) gives (ticker, weight) from the rows up to that date."""
+    chosen = [get_weights(d, panel.filter(F.col(time) <= F.lit(d))).select(F.lit(d).alias(time), entity, "weight") for d in dates]
+    at = panel.sparkSession.createDataFrame([(d,) for d in dates], f"{time} date")
+    returns = holding_returns(panel, at, time=time, entity=entity).filter("r is not null")
+    return portfolio_return(reduce(DataFrame.unionByName, chosen), returns, "r", [time], entity)
+
+
+def frozen_scores(frame: DataFrame, end: str, label_end: str, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], time: str = "date") -> DataFrame:
+    """Scores of all rows after ``end`` by one model that is fitted once, on rows up to ``label_end`` whose labels are known at ``end``."""
+    return fit_predict(frame.filter(F.col(time) <= F.lit(label_end).cast("date")), frame.filter(F.col(time) > F.lit(end).cast("date")))
+
+
+def split_scores(train: DataFrame, now: DataFrame, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], labels: list[str], fallback: str | None = None, regime: str = "regime", least: int = 2) -> DataFrame:
+    """Scores of ``now`` by a model for each regime: rows of a regime with fewer than ``least`` training rows get the fallback's model or
+    the nearest regime's in the order of ``labels``."""
+    sizes = {r[regime]: r["count"] for r in train.filter(F.col(regime).isin(labels)).groupBy(regime).count().collect()}
+    have = {n for n, size in sizes.items() if size >= least}
+    parts = [(n, nearest_label(labels, have, n, fallback)) for n in labels]
+    return reduce(DataFrame.unionByName, [fit_predict(train.filter(F.col(regime) == use), now.filter(F.col(regime) == n)) for n, use in parts if use is not None])
+
+
+def suite(strategies: dict[str, DataFrame], periods: DataFrame, r: str = "portfolio_return", time: str = "date", year: int = 12, least: int = 6) -> DataFrame:
+    """Metrics of each strategy's returns (date, r) in each named period (name, start, end)."""
+    runs = reduce(DataFrame.unionByName, [s.select(time, r).withColumn("strategy", F.lit(n)) for n, s in strategies.items()])
+    j = runs.join(F.broadcast(periods), F.col(time).between(F.col("start"), F.col("end")))
+    p = performance(j, r, ["strategy", "name"], time, year)
+    return p.select("strategy", "name", "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("annual_return", "sharpe", "max_drawdown")])
+
+
+def best_parameters(frame: DataFrame, grid: list[dict], make: Callable[..., Callable[[DataFrame, DataFrame], DataFrame]], label: str, folds: int = 3, time: str = "date") -> list[tuple[float, dict]]:
+    """(mean rank correlation over the folds, parameters), the best first.  Each fold is tested on a model of the folds before it."""
+    dealt = date_folds(frame, folds, time).persist()
+    out = []
+    try:
+        for parameters in grid:
+            found = []
+            for k in range(1, folds + 1):
+                scored = make(**parameters)(dealt.filter(F.col("fold") < k), dealt.filter(F.col("fold") == k))
+                found.append(information_coefficient(scored, "score", label, [time]).agg(F.avg("ic")).first()[0])
+            known = [x for x in found if x is not None]
+            out.append((sum(known) / len(known) if known else float("-inf"), parameters))
+    finally:
+        dealt.unpersist()
+    return sorted(out, key=lambda x: -x[0])
+
+
 def blended(a: DataFrame, b: DataFrame, weights: DataFrame, time: str = "date", entity: str = "ticker") -> DataFrame:
     """Scores of two models mixed by weights (date, weight_a, weight_b)."""
     j = a.select(time, entity, F.col("score").alias("__a")).join(b.select(time, entity, F.col("score").alias("__b")), [time, entity]).join(weights, time)

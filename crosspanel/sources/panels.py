@@ -36,6 +36,28 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return first.join(existing.select(key), key, "left_anti").select(*new.columns)
 
 
+def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """Parquet, or CSV with a header, a folder for each value of ``by``."""
+    writer = df.write.mode(mode).partitionBy(*by) if by else df.write.mode(mode)
+    writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)
+
+
+def date_in_name(name: str | Column) -> Column:
+    """Time stamp in a name such as ranking_20260203_0856.json, or the date alone at midnight; NULL without one or if there is no such
+    day."""
+    both = F.regexp_extract(name, r"([0-9]{8})_([0-9]{4})", 0)
+    day = F.regexp_extract(name, r"[0-9]{8}", 0)
+    exact = F.try_to_timestamp(F.nullif(both, F.lit("")), F.lit("yyyyMMdd_HHmm"))
+    return F.when(both != "", exact).otherwise(F.try_to_timestamp(F.nullif(day, F.lit("")), F.lit("yyyyMMdd")))
+
+
+def next_trading_day(at: str | Column, close: int = 16) -> Column:
+    """The date of a time stamp, or the next one from the closing hour on; weekends go to Monday."""
+    at = F.col(at) if isinstance(at, str) else at
+    day = F.date_add(at.cast("date"), F.when(F.hour(at) >= close, 1).otherwise(0))
+    return F.date_add(day, F.when(F.dayofweek(day) == 7, 2).when(F.dayofweek(day) == 1, 1).otherwise(0))
+
+
 def write_daily_json(df: DataFrame, path: str, time: str) -> None:
     df.withColumn("dt", F.col(time).cast("date")).write.mode("append").partitionBy("dt").json(path)
 
