@@ -293,3 +293,54 @@ def test_tone_of_long_filings(spark):
 
     df = spark.createDataFrame([("x " * 300_000 + "good",)], "html string")
     assert with_tone(df, "html", {"positive": ["good"]}).first().tone_words == 300_001
+
+
+def test_every_mention_counts(spark):
+    """Matches that lie in one another's context, at the ends, and words that only hold the term."""
+    import re
+
+    from crosspanel.operators.text import mentions
+
+    texts = ["with a with", "With", "withe éwith with_ (with) " + "x" * 60 + " with", None, ""]
+    got = sorted((r.id, r.context) for r in mentions(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), ["id"], "t", {"with": "with"}).collect())
+    want = sorted((i, t[max(0, m.start() - 50) : m.end() + 50]) for i, t in enumerate(texts) for m in re.finditer(r"(?i)(?<!\w)with(?!\w)", t or ""))
+    assert got == want and len(got) == 5
+
+
+def test_regime_switch_takes_the_named_scores(spark):
+    from crosspanel.plans.backtest import regime_switch
+
+    a, b = (spark.createDataFrame([(d, "t", float(x)) for d in (1, 2)], "date int, ticker string, score double") for x in (10, 20))
+    regimes = spark.createDataFrame([(1, "up"), (2, "down")], "date int, regime string")
+    assert sorted((r.date, r.score) for r in regime_switch({"up": a, "down": b}, regimes).collect()) == [(1, 10.0), (2, 20.0)]
+
+
+def test_split_models_fall_back_to_the_nearest(spark):
+    from pyspark.sql import functions as F
+
+    from crosspanel.plans.backtest import split_scores
+
+    train = spark.createDataFrame([("a", 1.0)] * 3 + [("c", 5.0)] * 3 + [("b", 9.0)], "regime string, y double")
+    now = spark.createDataFrame([("a",), ("b",), ("c",)], "regime string")
+    mean = lambda tr, n: n.crossJoin(tr.agg(F.avg("y").alias("score")))
+    got = {r.regime: r.score for r in split_scores(train, now, mean, ["a", "b", "c"]).collect()}
+    assert got == {"a": 1.0, "b": 1.0, "c": 5.0}
+
+
+def test_global_row_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from crosspanel.operators.metrics import global_row_number
+
+    df = spark.range(997).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("x"), "id")
+    got = [(r.x, r.id) for r in global_row_number(df, [F.desc("x"), F.col("id")], "n").orderBy("n").collect()]
+    assert got == sorted(got, key=lambda r: (-r[0], r[1]))
+
+
+def test_dates_in_names(spark):
+    from crosspanel.sources.panels import date_in_name, next_trading_day
+
+    names = ["a_20260203_0856.json", "b_20260206_1700", "20260207", "x_20261399", "none", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").withColumn("at", date_in_name("n"))
+    got = [(str(r.at) if r.at else None, str(r.day) if r.day else None) for r in df.withColumn("day", next_trading_day("at")).orderBy("i").collect()]
+    assert got == [("2026-02-03 08:56:00", "2026-02-03"), ("2026-02-06 17:00:00", "2026-02-09"), ("2026-02-07 00:00:00", "2026-02-09"), (None, None), (None, None), (None, None)]
