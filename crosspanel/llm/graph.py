@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm._rows import checkpoint
+from crosspanel.llm._rows import table
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """One large star, then one small star; edges (a, b) with a > b."""
     both = edges.union(edges.select("b", "a").toDF("a", "b"))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(edges.join(least, "a").filter("m < a").select("a", F.col("m").alias("b"))).distinct()
+    large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-    return small.filter("a > b").distinct()
+    ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+    return large.join(low, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the least node that can be reached.  Loops and nulls are left out.
 
-    Each round is checkpointed; the number of rounds grows with the logarithm of the longest path.
+    Each round is written, and its shuffle files go; the number of rounds grows with the logarithm of the longest path.
     """
-    edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
-        seen, edges = now, checkpoint(_star(edges))
+        seen, edges = now, table(_star(edges), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
