@@ -24,18 +24,27 @@ def new_articles(stream: DataFrame, key: str, time: str, late: str) -> DataFrame
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
 
 
-def append_new(target: str, key: str):
-    """For foreachBatch: appends rows whose key the Parquet table lacks.  A batch that is replayed adds nothing."""
+def append_new(target: str, key: str, time: str | None = None):
+    """For foreachBatch: appends rows whose key the Parquet table lacks.  A batch that is replayed adds nothing.
+
+    With ``time`` the table has a folder for each day and a batch is held against the days it has rows of only; a key must keep its day
+    then.  Without it the keys of the whole table are read.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(target).select(key)
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.select(key).limit(0)
-        batch.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(target)
+        rows = batch.dropDuplicates([key])
+        if time:
+            rows = rows.withColumn("dt", F.col(time).cast("date"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            known = spark.read.schema(rows.schema).parquet(target)
+            if time:
+                days = [r.dt for r in rows.select("dt").distinct().collect()]  # a batch has few days
+                known = known.filter(F.col("dt").isin(days))
+            rows = rows.join(known.select(key), key, "left_anti").select(*rows.columns)
+        writer = rows.write.mode("append")
+        (writer.partitionBy("dt") if time else writer).parquet(target)
 
     return write
 
@@ -55,32 +64,25 @@ def drawdown_states(df: DataFrame, by: list[str], time: str, value: str, breaker
     return df.withColumn("action", action).withColumn("exposure", exposure)
 
 
-def _fire(limit: float, cooldown_rows: int):
-    """One step of a fold: state (row of the last firing, times of all) and the next row."""
-
-    def step(s: Column, x: Column) -> Column:
-        fires = (x["drawdown"] <= -limit) & (x["__i"] - s["last"] > cooldown_rows)
-        return F.struct(F.when(fires, x["__i"]).otherwise(s["last"]).alias("last"), F.when(fires, F.concat(s["fired"], F.array(x["t"]))).otherwise(s["fired"]).alias("fired"))
-
-    return step
-
-
 def breaker_events(df: DataFrame, by: list[str], time: str, value: str, cooldown_rows: int = 5, breakers: tuple[tuple[float, str, float], ...] = BREAKERS) -> DataFrame:
     """Rows on which a breaker fires: the drawdown passes its limit and it has not fired within the cool-down before.
 
-    A series is folded once in order, with the row of the last firing of each breaker as state.
+    A series is folded once in order; the state is the row of each breaker's last firing, and what fired so far.  Only rows beyond the
+    mildest limit are folded.
     """
     rows = drawdown_states(df, by, time, value, breakers)
-    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(time)))
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(time))).filter(F.col("drawdown") <= -min(x for x, _, _ in breakers))
     folded = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", F.col(time).alias("t"), "drawdown"))).alias("__a"))
-    out = None
-    for limit, name, _ in breakers:
-        start = F.struct(F.lit(-(10**9)).alias("last"), F.slice(F.transform("__a", lambda x: x["t"]), 1, 0).alias("fired"))
-
-        fired = F.aggregate("__a", start, _fire(limit, cooldown_rows), lambda s: s["fired"])
-        part = folded.select(*by, F.lit(name).alias("breaker"), F.explode(fired).alias(time))
-        out = part if out is None else out.union(part)
-    return out
+    event = F.struct(F.lit("").alias("breaker"), F.element_at("__a", 1)["t"].alias("t"))
+    start = F.struct(F.array(*[F.lit(-(10**9)) for _ in breakers]).alias("last"), F.slice(F.array(event), 1, 0).alias("fired"))
+
+    def step(s: Column, x: Column) -> Column:
+        fires = [(x["drawdown"] <= -limit) & (x["__i"] - s["last"][k] > cooldown_rows) for k, (limit, _, _) in enumerate(breakers)]
+        last = F.array(*[F.when(f, x["__i"]).otherwise(s["last"][k]) for k, f in enumerate(fires)])
+        new = F.filter(F.array(*[F.when(f, F.struct(F.lit(n).alias("breaker"), x["t"].alias("t"))) for f, (_, n, _) in zip(fires, breakers, strict=True)]), lambda e: e.isNotNull())
+        return F.struct(last.alias("last"), F.concat(s["fired"], new).alias("fired"))
+
+    return folded.select(*by, F.inline(F.aggregate("__a", start, step, lambda s: s["fired"]))).withColumnRenamed("t", time)
 
 
 def position_factor(drawdown: str | Column, vol: str | Column) -> Column:
