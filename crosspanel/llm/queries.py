@@ -12,18 +12,22 @@ from crosspanel.llm._rows import documents
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through an archive and back (``warc.archive`` says what nulls, repeats and empty tables give)."""
     return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that an earlier 100-byte string covers, for every document (``suffixes.remove_earlier``)."""
     return suffixes.remove_earlier(documents(spark, sf_dir)).drop("kept")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item within the item's edit budget (``decontaminate.contaminated``)."""
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests (``bpe.round_trip``)."""
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -31,26 +35,31 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the compression bands for every document (``rules.quality_rules``)."""
     return rules.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document; a null id is not held out (``gbdt.score_quality``)."""
     docs = documents(spark, sf_dir)
     trees = gbdt.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return gbdt.score_quality(docs, trees).select("doc_id", gbdt.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
 def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a repeated window of 35 words covers, for every document (``substring.remove_repeats``)."""
     return substring.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a null id is not held out (``langid.predict_languages``)."""
     docs = documents(spark, sf_dir)
     found = langid.predict_languages(docs, langid.fit_languages(docs))
     return found.select("doc_id", gbdt.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document, counted by kind; n_spans counts all, those of the contexts too (``pii.private_spans``)."""
     found = pii.private_spans(documents(spark, sf_dir))
     counts = [F.size(F.filter(F.split("base", ","), lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
     n = F.when(F.length("spans") > 0, F.size(F.split("spans", ","))).otherwise(0).cast("long").alias("n_spans")
@@ -58,10 +67,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (``simhash.near_duplicates``)."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover, op9_language_id, op10_simhash)}
+_ALL = (op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover, op9_language_id, op10_simhash)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), t AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p)
