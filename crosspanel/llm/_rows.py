@@ -8,13 +8,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
     "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
-    "array<double>": pa.list_(pa.float64()),
+    "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "float": pa.float32(),
 }
 
 #: Arrow bytes that are Python objects at a time.
@@ -113,6 +113,65 @@ def release(spark: SparkSession, since: int) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """The tables of one call: written in the shared folder under a folder of their own, removed one by one or at the end of the call."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.schemas = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once and read again."""
+        df.write.parquet(f"{self.path}/{name}")
+        self.schemas[name] = df.schema
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        """A written table, with columns of its own each time."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing will read any more."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
+def in_blocks(df: DataFrame, id_column: Column, text_column: Column, size: int, extra: Column | None = None) -> DataFrame:
+    """(block, id, text, extra): the rows with null texts as empty ones, in blocks of about ``size`` characters.
+
+    A block's rows are neighbours of one partition, so nothing is shuffled.  Block numbers are those of a task and its count; write the
+    result before two things read it.
+    """
+    rows = df.select(id_column.cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), (F.lit("") if extra is None else extra).alias("extra"))
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        from pyspark import TaskContext
+
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for ids, texts, extras in batches:
+            own = []
+            for t in texts:
+                own.append(block)
+                held += len(t) + 16
+                if held >= size:
+                    block, held = block + 1, 0
+            yield [own, ids, texts, extras]
+
+    return map_rows(rows, ["id", "text", "extra"], "block long, id long, text string, extra string", run)
+
+
+def by_block(left: DataFrame, right: DataFrame, schema: str, fn: Callable[[pa.Table, pa.Table], dict]) -> DataFrame:
+    """What fn makes of the rows that two tables have for a block: a dict of columns."""
+    arrow = pa.schema([(n, _ARROW[t]) for n, t in (f.strip().split(" ", 1) for f in schema.split(", "))])
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        out = fn(one, two)
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((out[f.name] for f in arrow), arrow, strict=True)], schema=arrow)
+
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df has in no case: ``name``, with as many underscores before it as that takes."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, decontaminate, gbdt, langid, pii, rules, simhash, substring, suffixes, warc
+from crosspanel.llm import align, bpe, decontaminate, gbdt, langid, pii, rules, simhash, substring, suffixes, warc
 from crosspanel.llm._rows import documents
 
 
@@ -71,7 +71,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-_ALL = (op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover, op9_language_id, op10_simhash)
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document by two tokenizers, aligned by bytes (``align.align_tokens``)."""
+    import public_tokenizers
+
+    return align.align_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_ALL = (
+    op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover,
+    op9_language_id, op10_simhash, op11_alignment,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
