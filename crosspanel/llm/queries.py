@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import align, bpe, decontaminate, gbdt, langid, pii, rules, simhash, substring, suffixes, warc
+from crosspanel.llm import align, bpe, decontaminate, gbdt, langid, phrases, pii, rules, simhash, substring, suffixes, warc
 from crosspanel.llm._rows import documents
 
 
@@ -78,9 +78,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language over all documents (``phrases.collocations``)."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 _ALL = (
     op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover,
-    op9_language_id, op10_simhash, op11_alignment,
+    op9_language_id, op10_simhash, op11_alignment, op12_collocations,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -94,4 +99,18 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT doc_id, list(j) AS gone, count(*) FILTER (NOT follows) AS n_spans FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) IS NOT DISTINCT FROM j - 1 AS follows FROM r) GROUP BY 1)
         SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "op12_collocations": r"""WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+        g AS (SELECT lang, k, w[i:i + k - 1] AS ws FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+        n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+        f AS (SELECT lang, k, ws, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+        cut AS (SELECT lang, ws, f AS a, c, ws[1:c] AS x, ws[c + 1:] AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+        cs AS (SELECT cut.lang, cut.ws, a, c, fl.f AS l, fr.f AS r, (2000000::HUGEINT * a) // (fl.f + fr.f) AS score
+          FROM cut JOIN f fl ON fl.lang = cut.lang AND fl.ws = x JOIN f fr ON fr.lang = cut.lang AND fr.ws = y),
+        best AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, c) = 1),
+        sub AS (SELECT lang, ws[i:i + s - 1] AS ws, max(f) AS longer FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM f WHERE k > 2)) GROUP BY 1, 2)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM (SELECT best.*, array_to_string(best.ws, ' ') AS phrase, n FROM best JOIN n USING (lang) LEFT JOIN sub ON sub.lang = best.lang AND sub.ws = best.ws WHERE longer IS NULL OR 100 * longer < 80 * a)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
