@@ -121,7 +121,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read again."""
-        df.write.parquet(f"{self.path}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         self.schemas[name] = df.schema
         return self.read(name)
 
@@ -130,11 +130,12 @@ class Scratch:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Removes tables that nothing will read any more."""
+        """Removes tables that nothing will read any more; collecting the driver's garbage lets Spark remove the shuffles behind them."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(conf).delete(path, True)
+        jvm.System.gc()
 
 
 def in_blocks(df: DataFrame, id_column: Column, text_column: Column, size: int, extra: Column | None = None) -> DataFrame:

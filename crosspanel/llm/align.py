@@ -4,8 +4,8 @@ A text is cut before its runs of white space, where neither vocabulary can merge
 and no piece of B holds the two characters side by side (``cutter`` verifies both from the files, and cuts nowhere else).  So the
 tokens of a text are those of its segments in turn.
 
-Texts lie in blocks.  A block asks for its distinct segments; these meet over all blocks, are tokenised and aligned once each, and
-come back to the blocks that asked, where documents are composed of them.  Link counts go the same way: a block sends each of its id
+Texts lie in blocks.  A block asks for its distinct segments; what all blocks ask for meets by segment, is tokenised and aligned once,
+and goes back, packed, to the blocks that asked, where documents are composed of it.  Link counts go the same way: a block sends each of its id
 pairs once, with the number of its documents that hold it, and gets the pair's count back.  No word occurrence is ever shuffled.
 """
 
@@ -20,16 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import Scratch, by_block, in_blocks, map_rows
 
 #: Characters of a block.  A longer text is a block of its own.
-BLOCK = 24_000_000
+BLOCK = 16_000_000
 #: White space before which a text may be cut.
 SPACES = " \n\t"
+_PLAIN = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: What B writes for a space.
 MARK = "▁"
 
@@ -50,12 +50,17 @@ class Tokenizers:
     a_bytes: list[bytes]
     b_bytes: list[bytes]
     cut: re.Pattern | None
+    odd: re.Pattern | None
     prefix: str
     skip: int
 
     def segments(self, text: str) -> list[str]:
-        """The text with a space before it, cut."""
-        return self.cut.split(f" {text}") if self.cut else [f" {text}"]
+        """The text with a space before it, cut.  Where no character needs a second look, a plain pattern gives the same faster."""
+        if not self.cut:
+            return [f" {text}"]
+        if not self.odd or self.odd.search(text):
+            return self.cut.split(f" {text}")
+        return _PLAIN.findall(f" {text}")
 
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids by A and by B.  B puts a space before what it encodes, so a segment's own first space is left to it; other segments
@@ -88,12 +93,13 @@ def read_tokenizers(a_path: str, b_path: str) -> Tokenizers:
     normal = [p for i, p in enumerate(pieces) if not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i))]
     with open(a_path, encoding="utf-8") as f:
         spec = json.load(f)
-    cut, prefix = cutter(spec, normal)
-    return Tokenizers(a, b, a_bytes, b_bytes, cut, prefix, len(b.encode(prefix)) if prefix else 0)
+    cut, odd, prefix = cutter(spec, normal)
+    return Tokenizers(a, b, a_bytes, b_bytes, cut, odd, prefix, len(b.encode(prefix)) if prefix else 0)
 
 
-def cutter(spec: dict, pieces: list[str]) -> tuple[re.Pattern | None, str]:
-    """Where a text may be cut, as a pattern of empty matches, and a character that no piece holds.
+def cutter(spec: dict, pieces: list[str]) -> tuple[re.Pattern | None, re.Pattern | None, str]:
+    """Where a text may be cut, as a pattern of empty matches; a pattern of the characters for which it cuts less than before each of
+    SPACES that follows another character (None: always); and a character that no piece holds.
 
     A cut lies before a white space and behind a character that is none.  A is sure if its file says that it normalises nothing and
     splits by the byte-level pattern, none of whose matches goes on from other characters into white space.  B is sure if no piece
@@ -105,57 +111,59 @@ def cutter(spec: dict, pieces: list[str]) -> tuple[re.Pattern | None, str]:
     held = set("".join(pieces))
     alone = next((c for c in "\n\x01\x02" if c not in held), "")
     if not sure or not alone:
-        return None, ""
-    ways = []
+        return None, None, ""
+    ways, odd = [], set(MARK)
     for space in SPACES:
         inner = MARK if space == " " else space
         pairs = {p[i - 1] for p in pieces for i in range(1, len(p)) if p[i] == inner and p[i - 1] != inner}
         if space == " " or MARK not in pairs:
+            odd |= pairs
             ways.append(rf"(?<=[^\s\x1c-\x1f{MARK}{re.escape(''.join(sorted(pairs)))}])(?={space})")
-    return re.compile("|".join(ways)), alone
+    seen = re.compile(rf"[^\S{SPACES}]|[{re.escape(''.join(sorted(odd)))}]") if len(ways) == len(SPACES) else None
+    return re.compile("|".join(ways)), seen, alone
 
 
-def aligned(tools: Tokenizers, segments: list[str]) -> dict:
-    """For each segment its tokens, groups and links: the text of the groups, numbers, and the linked ids as a * len(B) + b.
+def aligned(tools: Tokenizers, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all links of all segments in turn their ids as a * len(B) + b and steps, and the number of links of each segment.
 
-    A segment whose joined bytes differ from it under A or B has -1 for n_a.  All segments are laid end to end, so that ends that
-    agree and tokens that overlap are found by two sorted searches.
+    A link's step says what differs from the link before it: 0 another group, 1 the token of A, 2 that of B (where both change, a group
+    ends).  A segment whose joined bytes differ from it under A or B has no link.  All segments are laid end to end, so that ends
+    that agree and tokens that overlap are found by sorted searches.
     """
     a, b = tools.encode(segments)
     data = [s.encode() for s in segments]
-    good = np.array([b"".join(map(tools.a_bytes.__getitem__, x)) == d and b"".join(map(tools.b_bytes.__getitem__, y)) == d for x, y, d in zip(a, b, data, strict=True)], bool)
+    good = [b"".join(map(tools.a_bytes.__getitem__, x)) == d and b"".join(map(tools.b_bytes.__getitem__, y)) == d for x, y, d in zip(a, b, data, strict=True)]
     a, b = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (a, b))
-    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
+    n_a = np.fromiter(map(len, a), np.int64, len(a))
     all_a, all_b = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
-    end_a = np.cumsum(np.array([len(tools.a_bytes[i]) for i in all_a.tolist()], np.int64))
-    end_b = np.cumsum(np.array([len(tools.b_bytes[i]) for i in all_b.tolist()], np.int64))
+    if not len(all_a):
+        return all_a, np.zeros(0, np.int8), n_a
+    end_a, end_b = (np.cumsum([len(own[i]) for i in ids.tolist()]) for own, ids in ((tools.a_bytes, all_a), (tools.b_bytes, all_b)))
     # Token i of A overlaps those of B from the first that ends behind its start to the first that ends at or behind its end.
-    start_a = np.concatenate([[0], end_a])[: len(end_a)]
-    first, last = np.searchsorted(end_b, start_a, "right"), np.searchsorted(end_b, end_a, "left")
+    first, last = np.searchsorted(end_b, np.concatenate([[0], end_a[:-1]]), "right"), np.searchsorted(end_b, end_a, "left")
     links = last - first + 1
-    from_b = np.arange(int(links.sum())) - np.repeat(np.cumsum(links) - links, links) + np.repeat(first, links)
-    codes = np.repeat(all_a, links) * len(tools.b_bytes) + all_b[from_b]
-    closes_a = end_b[np.minimum(last, max(0, len(end_b) - 1))] == end_a if len(end_b) else np.zeros(0, bool)
-    closes_b = np.zeros(len(end_b), bool)
-    closes_b[last[closes_a]] = True
-    at_a, at_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
-    n_links = np.concatenate([[0], np.cumsum(links)])[at_a]
-    n_groups = np.concatenate([[0], np.cumsum(closes_a)])[at_a]
-    groups = _groups(all_a, closes_a, all_b, closes_b)
-    text = [";".join(groups[i:j]) for i, j in zip(n_groups[:-1].tolist(), n_groups[1:].tolist(), strict=True)]
-    return {
-        "segment": segments, "n_a": np.where(good, n_a, -1), "n_groups": np.diff(n_groups), "groups": text,
-        "links": pa.ListArray.from_arrays(pa.array(n_links, pa.int32()), pa.array(codes, pa.int64())),
-    }
-
-
-def _groups(ids_a: np.ndarray, closes_a: np.ndarray, ids_b: np.ndarray, closes_b: np.ndarray) -> list[str]:
-    """The text of each group, such as 1,2|3."""
+    starts = np.cumsum(links) - links
+    from_b = np.arange(int(links.sum())) - np.repeat(starts - first, links)
+    steps = np.full(len(from_b), 2, np.int8)
+    # A token of A begins a group if a token of B ended with the one before it; else the same token of B goes on.
+    steps[starts] = np.concatenate([[0], np.where(end_b[last[:-1]] == end_a[:-1], 0, 1)])
+    n = np.concatenate([[0], np.cumsum(links)])[np.concatenate([[0], np.cumsum(n_a)])]
+    return np.repeat(all_a, links) * len(tools.b_bytes) + all_b[from_b], steps, np.diff(n)
+
+
+def spelt(codes: np.ndarray, steps: np.ndarray, sizes: np.ndarray, b_size: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """For each segment the number of A's tokens, of groups, and the groups as text, such as 1,2|3;4|5."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    new = steps == 0
     sides = []
-    for ids, closes in ((ids_a, closes_a), (ids_b, closes_b)):
-        ends, text = np.flatnonzero(closes) + 1, list(map(str, ids.tolist()))
-        sides.append([",".join(text[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
-    return [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+    for ids, fresh in ((codes // b_size, steps != 2), (codes % b_size, steps != 1)):
+        at = np.flatnonzero(fresh)
+        text = list(map(str, ids[at].tolist()))
+        cuts = np.append(np.flatnonzero(new[at]), len(at)).tolist()
+        sides.append([",".join(text[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+    groups = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+    n_a, n_groups = (np.concatenate([[0], np.cumsum(x)])[ends] for x in (steps != 2, new))
+    return np.diff(n_a), np.diff(n_groups), [";".join(groups[i:j]) for i, j in zip(n_groups[:-1].tolist(), n_groups[1:].tolist(), strict=True)]
 
 
 def _wanted(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -178,27 +186,60 @@ def _wanted(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return map_rows(texts, ["block", "text"], "block long, segment string", run)
 
 
+def _packed(wanted: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """The alignments of the rows (block, segment), which meet by segment and come sorted: equal ones follow one another and are aligned
+    once.  What a batch has for a block is one row: the segments joined, with their lengths, and their links."""
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        tools = read_tokenizers(a_path, b_path)
+        for blocks, segments in batches:
+            place = {s: i for i, s in enumerate(dict.fromkeys(segments))}
+            distinct = list(place)
+            codes, steps, sizes = aligned(tools, distinct)
+            starts = np.cumsum(sizes) - sizes
+            own, block = np.array([place[s] for s in segments], np.int64), np.array(blocks, np.int64)
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            for part in np.split(order, cuts):
+                rows = own[part]
+                n = sizes[rows]
+                take = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                texts = [distinct[i] for i in rows.tolist()]
+                yield [[int(block[part[0]])], ["".join(texts)], [np.array(list(map(len, texts)), np.int32)], [n.astype(np.int32)], [codes[take]], [steps[take].tobytes()]]
+
+    ready = wanted.repartition("segment").sortWithinPartitions("segment")
+    return map_rows(ready, ["block", "segment"], "block long, segments string, sizes array<int>, n_links array<int>, links array<long>, steps binary", run)
+
+
 def _composed(a_path: str, b_path: str):
     """A function from a block's texts and its aligned segments to rows of three kinds: 0, a document with the segments it has; 1, the
     block's links by segment; 2, an id pair and the number of the block's documents that hold it."""
 
     def run(texts: pa.Table, found: pa.Table) -> dict:
         tools = read_tokenizers(a_path, b_path)
-        place = {s: i for i, s in enumerate(found["segment"].to_pylist())}
-        groups = found["groups"].to_pylist()
-        n_a, n_groups = (found[c].to_numpy() for c in ("n_a", "n_groups"))
-        lists = found["links"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-        codes = lists.flatten().to_numpy() if len(found) else np.zeros(0, np.int64)
-        n_links = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) if len(found) else np.zeros(0, np.int64)
+        place: dict[str, int] = {}
+        for joined, sizes in zip(found["segments"].to_pylist(), found["sizes"].to_pylist(), strict=True):
+            at = 0
+            for n in sizes:
+                place[joined[at : at + n]] = len(place)
+                at += n
+        codes, n_links = (np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in found[name].chunks]]) for name in ("links", "n_links"))
+        steps = np.frombuffer(b"".join(found["steps"].to_pylist()), np.int8)
         starts = np.concatenate([[0], np.cumsum(n_links)])
+        groups, counts = [], []
+        for i in range(0, len(n_links), 10_000):  # ids as text take many times the room
+            part = slice(starts[i], starts[min(i + 10_000, len(n_links))])
+            *own, text = spelt(codes[part], steps[part], n_links[i : i + 10_000], len(tools.b_bytes))
+            counts.append(own)
+            groups += text
+        n_a, n_groups = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*counts, strict=True)) if counts else (n_links, n_links)
         pairs, codes = np.unique(codes, return_inverse=True)  # codes: numbers of pairs from here on
         df = np.zeros(len(pairs), np.int64)
         out: list[tuple] = []
         for chunk in texts.to_batches(max_chunksize=256):
             for id_, text in zip(chunk["id"].to_pylist(), chunk["text"].to_pylist(), strict=True):
                 own = np.fromiter(map(place.__getitem__, tools.segments(text) if text else ()), np.int64)
-                if not len(own) or (n_a[own] < 0).any():
+                if not len(own) or not n_links[own].all():
                     out.append((id_, 0, 0, 0, 0, "", [], []))
                     continue
                 digest = hashlib.sha256(";".join(map(groups.__getitem__, own.tolist())).encode()).hexdigest()
@@ -216,21 +257,21 @@ def _composed(a_path: str, b_path: str):
         return {
             "block": [block] * (d + 1 + k), "kind": [0] * d + [1] + [2] * k, "id": [*columns[0], *blank], "n_a": [*columns[1], *blank],
             "n_b": [*columns[2], *blank], "n_groups": [*columns[3], *blank], "n_links": [*columns[4], *blank],
-            "groups_sha256": [*columns[5], *blank], "at": [*columns[6], pairs[codes], *[None] * k], "times": [*columns[7], n_links, *[None] * k],
+            "groups_sha256": [*columns[5], *blank], "at": [*columns[6], *blank], "links": [*[None] * d, pairs[codes], *[None] * k], "times": [*columns[7], n_links, *[None] * k],
             "pair": [*[None] * (d + 1), *pairs[held].tolist()], "df": [*[None] * (d + 1), *df[held].tolist()],
         }
 
     return run
 
 
-_COMPOSED = "block long, kind int, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at array<long>, times array<int>, pair long, df long"
+_COMPOSED = "block long, kind int, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at array<int>, links array<long>, times array<int>, pair long, df long"
 
 
 def _scored(rows: pa.Table, counts: pa.Table) -> dict:
     """The documents of a block with the counts of their links."""
     kind = rows["kind"].to_numpy()
     docs, one = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
-    codes = np.asarray(one["at"][0].values) if len(one) else np.zeros(0, np.int64)
+    codes = np.asarray(one["links"][0].values) if len(one) else np.zeros(0, np.int64)
     sizes = np.asarray(one["times"][0].values).astype(np.int64) if len(one) else np.zeros(0, np.int64)
     order = np.argsort(counts["pair"].to_numpy())
     pairs = counts["pair"].to_numpy()[order]
@@ -264,18 +305,9 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     """
     work = Scratch(docs.sparkSession, "align")
     texts = work.write(in_blocks(docs, F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), block).drop("extra"), "texts")
-    wanted = work.write(_wanted(texts, a_path, b_path), "wanted")
-
-    def tokenised(batches: Iterator[list[list]]) -> Iterator[list]:
-        tools = read_tokenizers(a_path, b_path)
-        for (segments,) in batches:
-            for i in range(0, len(segments), 2_000):
-                yield list(aligned(tools, segments[i : i + 2_000]).values())
-
-    schema = "segment string, n_a int, n_groups int, groups string, links array<long>"
-    known = work.write(map_rows(wanted.select("segment").distinct(), ["segment"], schema, tokenised), "segments")
-    rows = work.write(by_block(texts, wanted.join(known, "segment"), _COMPOSED, _composed(a_path, b_path)), "composed")
-    work.drop("texts", "wanted", "segments")
+    known = _packed(_wanted(work.read("texts"), a_path, b_path), a_path, b_path)
+    rows = work.write(by_block(texts, known, _COMPOSED, _composed(a_path, b_path)), "composed")
+    work.drop("texts")
     pairs = rows.filter("kind = 2").select("block", "pair", "df")
     counts = pairs.groupBy("pair").agg(F.sum("df").alias("n"))
     b_size = len(read_tokenizers(a_path, b_path).b_bytes)

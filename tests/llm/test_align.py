@@ -101,7 +101,9 @@ def test_cuts_only_where_no_piece_merges():
 
     with open(A, encoding="utf-8") as f:
         spec = json.load(f)
-    cut, alone = cutter(spec, ["a", "▁b", ".▁", "x\ty"])
+    cut, odd, alone = cutter(spec, ["a", "▁b", ".▁", "x\ty"])
     assert cut.split("a b. c x\ty\nz d\n e") == ["a", " b. c", " x\ty", "\nz", " d", "\n e"] and alone == "\n"
-    assert cutter(spec | {"normalizer": {"type": "NFC"}}, ["a"]) == (None, "")
-    assert cutter(spec, ["\n\x01\x02"]) == (None, "")
+    assert [bool(odd.search(t)) for t in ("a b\n", ".", "x", "\r", "\u3000", "▁", "\x1c")] == [False, *[True] * 6]
+    assert cutter(spec, ["a", "▁\t"])[1] is None
+    assert cutter(spec | {"normalizer": {"type": "NFC"}}, ["a"]) == (None, None, "")
+    assert cutter(spec, ["\n\x01\x02"]) == (None, None, "")
