@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import series
@@ -10,6 +11,7 @@ from crosspanel.operators import text as N
 from crosspanel.plans import backtest as B
 from crosspanel.plans.panel_queries import W, _M, _momentum
 from crosspanel.plans.registry import PRICES, prices, query, rounded
+from crosspanel.streaming import drawdown as D
 from crosspanel.streaming import stateful as Z
 
 #: Words that occur in the synthetic texts stand for the domain's word lists.
@@ -300,22 +302,76 @@ def _(t):
     return G.review_selection(s, 5).select("ticker", F.col("score").cast("double").alias("score"), "reason")
 
 
-@query("z01_drawdown_states", f"WITH panel AS ({PRICES}), d AS (SELECT *, price / max(price) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM panel) SELECT ticker, date, round(d, 4) AS drawdown, CASE WHEN d <= -0.2 THEN 'halt' WHEN d <= -0.15 THEN 'cut' WHEN d <= -0.1 THEN 'reduce' WHEN d <= -0.05 THEN 'warn' ELSE 'none' END AS action FROM d")
+def _names(flags: dict[int, str]) -> str:
+    """SQL of the joined names of the breakers whose flag is true."""
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {flag} THEN '{D.BREAKERS[i - 1].name}' END" for i, flag in flags.items()) + ")"
+
+
+def _controller_sql(events: str) -> str:
+    """The controller row by row over events(k, ts, value, reset), from a peak of 1,000: t1 to t6 say when each active breaker fired, f1 to
+    f6 which fire at the row, e1 to e6 which cool-downs ended by it."""
+    each = list(enumerate(D.BREAKERS, 1))
+    end = {i: f"(s.t{i} + INTERVAL {b.hours} HOUR)" for i, b in each}
+    peak = "CASE WHEN d.reset = 'all' THEN coalesce(s.value, s.peak) WHEN d.reset IS NULL THEN greatest(s.peak, d.value) ELSE s.peak END"
+    value = "CASE WHEN d.reset IS NULL THEN d.value ELSE s.value END"
+    drawdown = f"(({value}) - ({peak})) / ({peak})"
+    fires = {i: f"coalesce(d.reset IS NULL AND {drawdown} <= -{b.limit} AND (s.t{i} IS NULL OR {end[i]} <= d.ts), false)" for i, b in each}
+    times = ", ".join(
+        f"CASE WHEN {fires[i]} THEN d.ts WHEN d.reset IN ('all', '{b.name}') THEN NULL " + (f"ELSE s.t{i} END" if b.latched else f"WHEN {end[i]} > d.ts THEN s.t{i} END") for i, b in each
+    )
+    freed = ", ".join("CAST(NULL AS TIMESTAMP)" if b.latched else f"CASE WHEN {end[i]} <= d.ts THEN {end[i]} END" for i, b in each)
+    blank = ", ".join(f"CAST(NULL AS TIMESTAMP) AS {c}{i}" for c in "te" for i, _ in each) + ", " + ", ".join(f"false AS f{i}" for i, _ in each)
+    exposure = "least(1.0, " + ", ".join(f"CASE WHEN t{i} IS NOT NULL THEN {b.exposure} END" for i, b in each if b.exposure is not None) + ")"
+    action = "CASE " + " ".join(f"WHEN f{i} THEN '{b.action}'" for i, b in reversed(each)) + " ELSE 'none' END"
+    halted = " OR ".join(f"t{i} IS NOT NULL" for i, b in each if b.action in D.HALTS)
+    active, fired = _names({i: f"t{i} IS NOT NULL" for i, _ in each}), _names({i: f"f{i}" for i, _ in each})
+    released = " UNION ALL ".join(f"SELECT k, e{i}, 'release', '{b.name}', NULL, NULL, NULL, NULL, NULL, NULL FROM s WHERE e{i} IS NOT NULL" for i, b in each)
+    return f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, reset IS NOT NULL, value, reset) AS i FROM ({events})),
+        s AS (SELECT DISTINCT k, 0 AS i, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS reset, CAST(NULL AS DOUBLE) AS value, CAST(1000 AS DOUBLE) AS peak, {blank} FROM d
+          UNION ALL SELECT d.k, d.i, d.ts, d.reset, {value}, {peak}, {times}, {freed}, {', '.join(fires.values())} FROM s JOIN d ON d.k = s.k AND d.i = s.i + 1)
+        SELECT k AS user_id, ts, CASE WHEN reset IS NULL THEN 'value' ELSE 'reset' END AS event, reset AS breaker, round((value - peak) / peak, 6) AS drawdown,
+          {fired} AS fired, {active} AS active, {action} AS action, CAST({exposure} AS DOUBLE) AS exposure, ({halted}) AS halted FROM s WHERE i > 0 UNION ALL {released}"""
+
+
+_BOOKS = """SELECT user_id AS k, ts, CASE WHEN event_type <> 'signup' THEN CAST(1000 + sum(CAST(value - 50 AS DECIMAL(12, 2))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) END AS value,
+ CASE WHEN event_type = 'signup' THEN CASE WHEN value < 20 THEN 'all' ELSE 'drawdown_20pct' END END AS reset FROM events"""
+
+
+def _books(t) -> DataFrame:
+    """A portfolio per user from 1,000, moved by its events; sign-ups are manual resets, of all breakers or of the latched one."""
+    moved = F.sum((F.col("value") - 50).cast("decimal(12,2)")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    reset = F.when(F.col("event_type") == "signup", F.when(F.col("value") < 20, "all").otherwise("drawdown_20pct"))
+    return t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (moved + 1000).cast("double").alias("worth"), reset.alias("reset"))
+
+
+@query("z01_drawdown_controller", _controller_sql(_BOOKS))
+def _(t):
+    out = D.controlled(_books(t), ["user_id"], "ts", "worth", "reset", initial=1000.0)
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event", "breaker", F.round("drawdown", 6).alias("drawdown"), "fired", "active", "action", "exposure", "halted")
+
+
+@query("z01_breaker_events", f"SELECT user_id, ts, unnest(string_split(fired, ',')) AS breaker FROM ({_controller_sql(_BOOKS)}) WHERE fired <> ''")
 def _(t):
-    return rounded(Z.drawdown_states(prices(t), ["ticker"], "date", "price").select("ticker", "date", "drawdown", "action"))
+    out = D.controlled(_books(t), ["user_id"], "ts", "worth", "reset", initial=1000.0).filter("fired <> ''")
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.explode(F.split("fired", ",")).alias("breaker"))
+
+
+_STATES = "CASE " + " ".join(f"WHEN d <= -{b.limit} THEN '{b.name}'" for b in reversed(D.BREAKERS)) + " ELSE 'none' END"
 
 
-@query("z01_breaker_events", f"""WITH RECURSIVE panel AS ({PRICES}), d AS (SELECT *, price / max(price) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM panel), b(limit_, breaker) AS (VALUES {', '.join(f"({x}, '{n}')" for x, n, _ in Z.BREAKERS)}),
- h AS (SELECT ticker, breaker, date, i FROM d JOIN b ON d <= -limit_), n AS (SELECT a.ticker, a.breaker, a.date, a.i, min(c.i) AS next FROM h a LEFT JOIN h c ON c.ticker = a.ticker AND c.breaker = a.breaker AND c.i > a.i + 5 GROUP BY ALL),
- f AS (SELECT n.* FROM n JOIN (SELECT ticker, breaker, min(i) AS i FROM h GROUP BY 1, 2) s USING (ticker, breaker, i) UNION ALL SELECT n.* FROM f JOIN n ON n.ticker = f.ticker AND n.breaker = f.breaker AND n.i = f.next)
- SELECT ticker, breaker, date FROM f""")
+@query("z01_drawdown_states", f"""WITH panel AS ({PRICES}), d AS (SELECT *, price / max(price) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM panel)
+ SELECT ticker, date, round(d, 4) AS drawdown, {_STATES} AS breaker FROM d""")
 def _(t):
-    return Z.breaker_events(prices(t), ["ticker"], "date", "price")
+    return rounded(D.drawdown_states(prices(t), ["ticker"], "date", "price").select("ticker", "date", "drawdown", "breaker"))
 
 
-@query("z02_position_factor", "SELECT c_custkey, CASE WHEN d <= -0.2 OR v >= 0.5 THEN 0.5::DOUBLE WHEN d <= -0.1 OR v >= 0.35 THEN 0.75 ELSE 1 END AS factor FROM (SELECT c_custkey, CAST(-(c_custkey % 30) AS DECIMAL(6, 2)) / 100 AS d, CAST(c_nationkey AS DECIMAL(6, 2)) / 40 AS v FROM customer)")
+@query("z02_position_factor", """SELECT c_custkey, CASE WHEN d < -0.2 THEN 0.5 WHEN d < -0.1 THEN 0.75 ELSE 1 END::DOUBLE * CASE WHEN n >= 20 AND v > 0.5 THEN 0.5 WHEN n >= 20 AND v > 0.35 THEN 0.75 ELSE 1 END::DOUBLE AS factor,
+ CASE WHEN n >= 5 AND v > 0 THEN greatest(0.25, least(2, 0.15 / v::DOUBLE)) ELSE 1 END::DOUBLE AS scale
+ FROM (SELECT c_custkey, CAST(-(c_custkey % 30) AS DECIMAL(6, 2)) / 100 AS d, CAST(c_nationkey AS DECIMAL(6, 2)) / 40 AS v, c_custkey % 41 AS n FROM customer)""")
 def _(t):
-    return t("customer").select("c_custkey", Z.position_factor((-(F.col("c_custkey") % 30)).cast("decimal(6,2)") / 100, F.col("c_nationkey").cast("decimal(6,2)") / 40).alias("factor"))
+    vol, n = F.col("c_nationkey").cast("decimal(6,2)") / 40, F.col("c_custkey") % 41
+    factor = Z.position_factor((-(F.col("c_custkey") % 30)).cast("decimal(6,2)") / 100, vol, n)
+    return t("customer").select("c_custkey", factor.alias("factor"), Z.volatility_scale(vol.cast("double"), n).alias("scale"))
 
 
 @query("z03_latest_status", "SELECT user_id, max_by(event_type, event_id) AS status, round(max_by(value, event_id) - 50, 4) AS slippage FROM events GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,48 +49,18 @@ def append_new(target: str, key: str, time: str | None = None):
     return write
 
 
-#: Drawdown from the peak, action and exposure of each breaker, mildest first.
-BREAKERS = ((0.05, "warn", 1.0), (0.10, "reduce", 0.5), (0.15, "cut", 0.25), (0.20, "halt", 0.0))
-
-
-def drawdown_states(df: DataFrame, by: list[str], time: str, value: str, breakers: tuple[tuple[float, str, float], ...] = BREAKERS) -> DataFrame:
-    """Running peak, drawdown, the severest breaker passed at that row, and its exposure."""
-    w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("peak", F.max(value).over(w)).withColumn("drawdown", F.try_divide(F.col(value), "peak") - 1)
-    action, exposure = F.lit("none"), F.lit(1.0)
-    for limit, name, size in breakers:
-        action = F.when(F.col("drawdown") <= -limit, name).otherwise(action)
-        exposure = F.when(F.col("drawdown") <= -limit, size).otherwise(exposure)
-    return df.withColumn("action", action).withColumn("exposure", exposure)
-
-
-def breaker_events(df: DataFrame, by: list[str], time: str, value: str, cooldown_rows: int = 5, breakers: tuple[tuple[float, str, float], ...] = BREAKERS) -> DataFrame:
-    """Rows on which a breaker fires: the drawdown passes its limit and it has not fired within the cool-down before.
-
-    A series is folded once in order; the state is the row of each breaker's last firing, and what fired so far.  Only rows beyond the
-    mildest limit are folded.
-    """
-    rows = drawdown_states(df, by, time, value, breakers)
-    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(time))).filter(F.col("drawdown") <= -min(x for x, _, _ in breakers))
-    folded = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", F.col(time).alias("t"), "drawdown"))).alias("__a"))
-    event = F.struct(F.lit("").alias("breaker"), F.element_at("__a", 1)["t"].alias("t"))
-    start = F.struct(F.array(*[F.lit(-(10**9)) for _ in breakers]).alias("last"), F.slice(F.array(event), 1, 0).alias("fired"))
-
-    def step(s: Column, x: Column) -> Column:
-        fires = [(x["drawdown"] <= -limit) & (x["__i"] - s["last"][k] > cooldown_rows) for k, (limit, _, _) in enumerate(breakers)]
-        last = F.array(*[F.when(f, x["__i"]).otherwise(s["last"][k]) for k, f in enumerate(fires)])
-        new = F.filter(F.array(*[F.when(f, F.struct(F.lit(n).alias("breaker"), x["t"].alias("t"))) for f, (_, n, _) in zip(fires, breakers, strict=True)]), lambda e: e.isNotNull())
-        return F.struct(last.alias("last"), F.concat(s["fired"], new).alias("fired"))
-
-    return folded.select(*by, F.inline(F.aggregate("__a", start, step, lambda s: s["fired"]))).withColumnRenamed("t", time)
+def position_factor(drawdown: str | Column, vol: str | Column, n_returns: str | Column | None = None) -> Column:
+    """Cut of a position: .5 for a drawdown below -20 %, .75 below -10 %; times .5 for a yearly volatility above .50, .75 above .35, which
+    needs 20 returns at least (``n_returns``; None: enough).  An unknown drawdown or volatility cuts nothing."""
+    d, v = (F.col(x) if isinstance(x, str) else x for x in (drawdown, vol))
+    enough = F.lit(True) if n_returns is None else (F.col(n_returns) if isinstance(n_returns, str) else n_returns) >= 20
+    return F.when(d < -0.2, 0.5).when(d < -0.1, 0.75).otherwise(1.0) * F.when(enough & (v > 0.5), 0.5).when(enough & (v > 0.35), 0.75).otherwise(1.0)
 
 
-def position_factor(drawdown: str | Column, vol: str | Column) -> Column:
-    """Cut of a position by its drawdown (-10 / -20 %) and volatility (.35 / .50); the smaller counts."""
-    d, v = (F.col(x) if isinstance(x, str) else x for x in (drawdown, vol))
-    a = F.when(d <= -0.2, 0.5).when(d <= -0.1, 0.75).otherwise(1.0)
-    b = F.when(v >= 0.5, 0.5).when(v >= 0.35, 0.75).otherwise(1.0)
-    return F.least(a, b)
+def volatility_scale(vol: str | Column, n_returns: str | Column, target: float = 0.15, lowest: float = 0.25, highest: float = 2.0) -> Column:
+    """Exposure that brings a yearly volatility to ``target``, within limits; 1 with fewer than 5 returns or without volatility."""
+    v, n = (F.col(x) if isinstance(x, str) else x for x in (vol, n_returns))
+    return F.when((n >= 5) & (v > 0), F.greatest(F.lit(lowest), F.least(F.lit(highest), target / v))).otherwise(1.0)
 
 
 def latest_status(updates: DataFrame, key: str, time: str, status: str, fill: str, price: str) -> DataFrame:

@@ -238,13 +238,11 @@ def test_gbt_scores_order(spark):
     assert out.stat.corr("score", "y") > 0.9
 
 
-def test_breakers(spark):
-    v = [100, 94, 93, 96, 101, 79, 78, 77, 102]
-    df = spark.createDataFrame([("p", i, float(x)) for i, x in enumerate(v)], "k string, t int, v double")
-    states = [r.action for r in Z.drawdown_states(df, ["k"], "t", "v").orderBy("t").collect()]
-    assert states == ["none", "warn", "warn", "none", "none", "halt", "halt", "halt", "none"]
-    fired = sorted((r.breaker, r.t) for r in Z.breaker_events(df, ["k"], "t", "v", cooldown_rows=1).collect())
-    assert fired == [("cut", 5), ("cut", 7), ("halt", 5), ("halt", 7), ("reduce", 5), ("reduce", 7), ("warn", 1), ("warn", 5), ("warn", 7)]
+def test_position_factor_by_hand(spark):
+    rows = [(-0.2, 0.35, 30), (-0.21, 0.51, 30), (-0.11, 0.36, 20), (-0.11, 0.9, 19), (None, None, 30)]
+    df = spark.createDataFrame(rows, "d double, v double, n int")
+    assert [r.f for r in df.select(Z.position_factor("d", "v", "n").alias("f")).collect()] == [0.75, 0.25, 0.5625, 0.75, 1.0]
+    assert [r.f for r in df.select(Z.volatility_scale("v", "n").alias("f")).collect()][:2] == [pytest.approx(0.15 / 0.35), pytest.approx(0.15 / 0.51)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
