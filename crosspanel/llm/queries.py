@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import align, bpe, decontaminate, gbdt, langid, phrases, pii, rules, simhash, substring, suffixes, warc
+from crosspanel.llm import align, bpe, decontaminate, gbdt, langid, phrases, pii, rules, simhash, substring, suffixes, toxic, warc
 from crosspanel.llm._rows import documents
 
 
@@ -83,9 +83,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document; a null id is not held out (``toxic.score_toxicity``)."""
+    docs = documents(spark, sf_dir)
+    model = toxic.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic.score_toxicity(docs, model).select("doc_id", gbdt.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 _ALL = (
     op1_warc, op2_suffix_array, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_pii, op8_difference_cover,
-    op9_language_id, op10_simhash, op11_alignment, op12_collocations,
+    op9_language_id, op10_simhash, op11_alignment, op12_collocations, op13_toxicity,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
