@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from crosspanel.functions.storage import kept
+
 #: Trading rows of a year.
 YEAR = 252
 
@@ -49,10 +51,13 @@ def draw(*parts: Column | str | int) -> Column:
 
 
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
-    """df dealt to ranges of an order, with the range as ``__p``.  The number of ranges is fixed, so they are the same wherever the plan
-    reads them."""
+    """df dealt to ranges of an order, with the range as ``__p``.
+
+    Spark samples the bounds of the ranges, and two reads of a plan may sample different ones; so the dealt rows are kept (a checkpoint),
+    and every later read sees the same ranges.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    return kept(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
 
 
 def upper_median(x: str) -> Column:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import draw
+from crosspanel.functions.storage import kept
 from crosspanel.operators.joins import nearest_label
 from crosspanel.operators.metrics import ic_weights, information_coefficient, performance
 from crosspanel.operators.portfolio import portfolio_return, top_equal
@@ -43,19 +46,75 @@ def summary(returns: DataFrame, year: int = 12) -> DataFrame:
 def walk_forward(frame: DataFrame, dates: list, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], horizon_rows: int, time: str = "date") -> DataFrame:
     """Scores of each date from a model that saw only rows whose label lies in the past.
 
-    ``frame`` has all features and labels; a row's label is known ``horizon_rows`` dates after its own.  Only the fits loop; each is a
-    job of its own over the one prepared table.
+    ``frame`` has all features and labels; a row's label is known ``horizon_rows`` dates after its own.  Only the fits loop, over the one
+    kept table; ridge regressions of any number of dates need no loop (``one_pass_ridge``).
     """
     index = frame.select(time).distinct().withColumn("__k", F.row_number().over(Window.orderBy(time)))  # a row per date
-    known = {r[time]: r["__k"] for r in index.filter(F.col(time).isin(dates)).collect()}
-    indexed = frame.join(index, time).persist()
-    try:
-        scored = [fit_predict(indexed.filter(F.col("__k") <= known[d] - horizon_rows).drop("__k"), indexed.filter(F.col("__k") == known[d]).drop("__k")) for d in dates if d in known]
-    finally:
-        indexed.unpersist()  # what is scored later is read from the frame's source again
+    indexed = kept(frame.join(F.broadcast(index), time))
+    known = {r[time]: r["__k"] for r in indexed.filter(F.col(time).isin(dates)).select(time, "__k").distinct().collect()}
+    scored = [fit_predict(indexed.filter(F.col("__k") <= known[d] - horizon_rows).drop("__k"), indexed.filter(F.col("__k") == known[d]).drop("__k")) for d in dates if d in known]
     return reduce(DataFrame.unionByName, scored) if scored else frame.limit(0).withColumn("score", F.lit(None).cast("double"))
 
 
+def ridge_coefficients(frame: DataFrame, features: list[str], label: str, horizon_rows: int, ridge: float = 1e-3, time: str = "date") -> DataFrame:
+    """(date, n, intercept, coefficients): the ridge regression that each date of ``frame`` may use, from the rows whose labels lie
+    ``horizon_rows`` dates or more before it.
+
+    Sums of products are taken by date, then accumulated over the dates; so the rows are read once, whatever the number of dates, and
+    what the window sees is one row per date.  The penalty is MLlib's: ``ridge`` in units of the label's and the features' deviation.  A
+    feature that does not vary has the coefficient 0; without two rows or a label that varies all are 0 and the intercept is the mean
+    (NULL without rows).  Rows with a NULL in a feature or the label are not learned from.
+    """
+    m = len(features)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    known = F.col(label).isNotNull()
+    for c in features:
+        known &= F.col(c).isNotNull()
+    x = [F.when(known, F.col(c).cast("double")) for c in features]
+    y = F.when(known, F.col(label).cast("double"))
+    terms = [F.when(known, F.lit(1.0)), y, y * y, *x, *[c * y for c in x], *[x[i] * x[j] for i, j in pairs]]
+    names = [f"__s{i}" for i in range(len(terms))]
+    sums = frame.groupBy(time).agg(*[F.coalesce(F.sum(t), F.lit(0.0)).alias(n) for t, n in zip(terms, names, strict=True)])
+    before = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -horizon_rows)  # a row per date
+    moments = sums.select(time, F.array(*[F.coalesce(F.sum(n).over(before), F.lit(0.0)) for n in names]).alias("s"))
+
+    def solve(parts):
+        for part in parts:
+            out = []
+            for s in part["s"]:
+                n = s[0]
+                if n == 0:
+                    out.append((0, None, [0.0] * m))
+                    continue
+                mean_y, mean = s[1] / n, np.asarray(s[3 : 3 + m]) / n
+                cov = np.zeros((m, m))
+                for (i, j), v in zip(pairs, s[3 + 2 * m :], strict=True):
+                    cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
+                with_y, sd = np.asarray(s[3 + m : 3 + 2 * m]) / n - mean * mean_y, max(0.0, s[2] / n - mean_y**2) ** 0.5
+                varies = np.diag(cov) > 1e-14 * np.maximum(1.0, mean**2)
+                b = np.zeros(m)
+                if n > 1 and sd > 0 and varies.any():
+                    a = cov[np.ix_(varies, varies)]
+                    b[varies] = np.linalg.solve(a + ridge / sd * np.diag(np.diag(a)), with_y[varies])
+                out.append((int(n), float(mean_y - b @ mean), b.tolist()))
+            found = pd.DataFrame(out, columns=["n", "intercept", "coefficients"])
+            found.insert(0, time, part[time].to_numpy())
+            yield found
+
+    kind = dict(moments.dtypes)[time]
+    return moments.mapInPandas(solve, f"`{time}` {kind}, n long, intercept double, coefficients array<double>")
+
+
+def one_pass_ridge(frame: DataFrame, dates: DataFrame, features: list[str], label: str, horizon_rows: int, ridge: float = 1e-3, time: str = "date") -> DataFrame:
+    """``walk_forward`` with ridge regressions for all dates at once: (columns of frame, score) of the rows of ``dates``, each by the
+    model of its own date.  Scoring is one join with a row per date."""
+    models = ridge_coefficients(frame, features, label, horizon_rows, ridge, time).join(F.broadcast(dates), time, "left_semi")
+    score = F.col("intercept")
+    for i, c in enumerate(features):
+        score = score + F.col("coefficients")[i] * F.col(c)
+    return frame.join(F.broadcast(models), time).withColumn("score", score).drop("n", "intercept", "coefficients")
+
+
 def gbt_scores(features: list[str], label: str, trees: int = 20, depth: int = 3, seed: int = 42) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """fit_predict with MLlib's gradient-boosted trees."""
     from pyspark.ml.feature import VectorAssembler
