@@ -14,19 +14,21 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import Scratch, by_block, in_blocks, map_rows
 
-#: Characters of a block.  A longer text is a block of its own.
-BLOCK = 16_000_000
+#: Characters of a block, and of the texts that are packed together.  A longer text is a block of its own.
+BLOCK, PACK = 16_000_000, 1_000_000
 #: White space before which a text may be cut.
 SPACES = " \n\t"
 _PLAIN = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -166,29 +168,71 @@ def spelt(codes: np.ndarray, steps: np.ndarray, sizes: np.ndarray, b_size: int)
     return np.diff(n_a), np.diff(n_groups), [";".join(groups[i:j]) for i, j in zip(n_groups[:-1].tolist(), n_groups[1:].tolist(), strict=True)]
 
 
+def _pack(*parts: np.ndarray | str) -> bytes:
+    """Arrays and texts in one compressed value; what is shuffled is mostly these."""
+    return zstandard.compress(pickle.dumps([p if isinstance(p, str) else p.tobytes() for p in parts]), 1)
+
+
+def _split(text: str, sizes: np.ndarray) -> list[str]:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return [text[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _packed_texts(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+    """(block, data): the ids and texts of about PACK characters of a block each."""
+    rows = in_blocks(docs, F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), block)
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        block, ids, texts, held = None, [], [], 0
+
+        def row() -> list:
+            known = np.array([i is not None for i in ids])
+            return [[block], [_pack(np.array([i or 0 for i in ids], np.int64), known, np.array(list(map(len, texts)), np.int32), "".join(texts))]]
+
+        for blocks, own, found in batches:
+            for b, i, text in zip(blocks, own, found, strict=True):
+                if ids and (b != block or held >= PACK):
+                    yield row()
+                    ids, texts, held = [], [], 0
+                block, held = b, held + len(text)
+                ids.append(i)
+                texts.append(text)
+        if ids:
+            yield row()
+
+    return map_rows(rows, ["block", "id", "text"], "block long, data binary", run)
+
+
+def _texts(data: bytes) -> tuple[list[int | None], list[str]]:
+    ids, known, sizes, text = pickle.loads(zstandard.decompress(data))
+    ids = [i if ok else None for i, ok in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(known, bool).tolist(), strict=True)]
+    return ids, _split(text, np.frombuffer(sizes, np.int32))
+
+
 def _wanted(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(block, segment): the distinct segments of each block."""
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         tools = read_tokenizers(a_path, b_path)
         block, held = None, {}
-        for blocks, rows in batches:
-            for own, text in zip(blocks, rows, strict=True):
+        for blocks, packs in batches:
+            for own, data in zip(blocks, packs, strict=True):
                 if own != block:
                     if held:
                         yield [[block] * len(held), list(held)]
                     block, held = own, {}
-                if text:
-                    held.update(dict.fromkeys(tools.segments(text)))
+                for text in _texts(data)[1]:
+                    if text:
+                        held.update(dict.fromkeys(tools.segments(text)))
         if held:
             yield [[block] * len(held), list(held)]
 
-    return map_rows(texts, ["block", "text"], "block long, segment string", run)
+    return map_rows(texts, ["block", "data"], "block long, segment string", run)
 
 
-def _packed(wanted: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _aligned_rows(wanted: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """The alignments of the rows (block, segment), which meet by segment and come sorted: equal ones follow one another and are aligned
-    once.  What a batch has for a block is one row: the segments joined, with their lengths, and their links."""
+    once.  What a batch has for a block is one row: the segments, what ``spelt`` says of them, and their links."""
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         tools = read_tokenizers(a_path, b_path)
@@ -196,19 +240,20 @@ def _packed(wanted: DataFrame, a_path: str, b_path: str) -> DataFrame:
             place = {s: i for i, s in enumerate(dict.fromkeys(segments))}
             distinct = list(place)
             codes, steps, sizes = aligned(tools, distinct)
+            n_a, n_groups, groups = spelt(codes, steps, sizes, len(tools.b_bytes))
             starts = np.cumsum(sizes) - sizes
             own, block = np.array([place[s] for s in segments], np.int64), np.array(blocks, np.int64)
             order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            for part in np.split(order, cuts):
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
                 rows = own[part]
                 n = sizes[rows]
                 take = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 texts = [distinct[i] for i in rows.tolist()]
-                yield [[int(block[part[0]])], ["".join(texts)], [np.array(list(map(len, texts)), np.int32)], [n.astype(np.int32)], [codes[take]], [steps[take].tobytes()]]
+                counts = [np.array(list(map(len, texts)), np.int32), *(x[rows].astype(np.int32) for x in (sizes, n_a, n_groups))]
+                yield [[int(block[part[0]])], [_pack(*counts, codes[take], "".join(texts), " ".join([groups[i] for i in rows.tolist()]))]]
 
     ready = wanted.repartition("segment").sortWithinPartitions("segment")
-    return map_rows(ready, ["block", "segment"], "block long, segments string, sizes array<int>, n_links array<int>, links array<long>, steps binary", run)
+    return map_rows(ready, ["block", "segment"], "block long, data binary", run)
 
 
 def _composed(a_path: str, b_path: str):
@@ -218,26 +263,23 @@ def _composed(a_path: str, b_path: str):
     def run(texts: pa.Table, found: pa.Table) -> dict:
         tools = read_tokenizers(a_path, b_path)
         place: dict[str, int] = {}
-        for joined, sizes in zip(found["segments"].to_pylist(), found["sizes"].to_pylist(), strict=True):
-            at = 0
-            for n in sizes:
-                place[joined[at : at + n]] = len(place)
-                at += n
-        codes, n_links = (np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in found[name].chunks]]) for name in ("links", "n_links"))
-        steps = np.frombuffer(b"".join(found["steps"].to_pylist()), np.int8)
-        starts = np.concatenate([[0], np.cumsum(n_links)])
-        groups, counts = [], []
-        for i in range(0, len(n_links), 10_000):  # ids as text take many times the room
-            part = slice(starts[i], starts[min(i + 10_000, len(n_links))])
-            *own, text = spelt(codes[part], steps[part], n_links[i : i + 10_000], len(tools.b_bytes))
+        groups: list[str] = []
+        counts, found_codes = [], []
+        for data in found["data"].to_pylist():
+            *own, codes, text, spelling = pickle.loads(zstandard.decompress(data))
+            sizes, *own = (np.frombuffer(x, np.int32).astype(np.int64) for x in own)
+            place.update(zip(_split(text, sizes), range(len(place), len(place) + len(sizes)), strict=True))
+            groups += spelling.split(" ")
             counts.append(own)
-            groups += text
-        n_a, n_groups = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*counts, strict=True)) if counts else (n_links, n_links)
+            found_codes.append(np.frombuffer(codes, np.int64))
+        codes = np.concatenate([np.zeros(0, np.int64), *found_codes])
+        n_links, n_a, n_groups = (np.concatenate(c) for c in zip(*counts, strict=True)) if counts else [np.zeros(0, np.int64)] * 3
+        starts = np.concatenate([[0], np.cumsum(n_links)])
         pairs, codes = np.unique(codes, return_inverse=True)  # codes: numbers of pairs from here on
         df = np.zeros(len(pairs), np.int64)
         out: list[tuple] = []
-        for chunk in texts.to_batches(max_chunksize=256):
-            for id_, text in zip(chunk["id"].to_pylist(), chunk["text"].to_pylist(), strict=True):
+        for data in texts["data"]:
+            for id_, text in zip(*_texts(data.as_py()), strict=True):
                 own = np.fromiter(map(place.__getitem__, tools.segments(text) if text else ()), np.int64)
                 if not len(own) or not n_links[own].all():
                     out.append((id_, 0, 0, 0, 0, "", [], []))
@@ -304,8 +346,8 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     a block of its own.  An empty table gives an empty one; columns of docs other than the two named are ignored.
     """
     work = Scratch(docs.sparkSession, "align")
-    texts = work.write(in_blocks(docs, F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), block).drop("extra"), "texts")
-    known = _packed(_wanted(work.read("texts"), a_path, b_path), a_path, b_path)
+    texts = work.write(_packed_texts(docs, id_col, text_col, block), "texts")
+    known = _aligned_rows(_wanted(work.read("texts"), a_path, b_path), a_path, b_path)
     rows = work.write(by_block(texts, known, _COMPOSED, _composed(a_path, b_path)), "composed")
     work.drop("texts")
     pairs = rows.filter("kind = 2").select("block", "pair", "df")

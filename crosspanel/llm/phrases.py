@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import Scratch, by_block, map_rows
 
 #: Characters of a block.  A longer text is a block of its own.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 #: Piece ends become a line feed and white space a space; A to Z become a to z.
 _TABLE = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 SALTS = 64
@@ -34,24 +35,35 @@ def placed(text: str) -> tuple[list[bytes], np.ndarray]:
     return data.split(), np.arange(len(starts)) + np.cumsum(ends)[starts]
 
 
+def packed(keys: np.ndarray, sizes: np.ndarray, pos: np.ndarray) -> bytes:
+    """Positional lists as one compressed value: the words of each phrase, the lengths of the lists, and steps between positions."""
+    steps = np.diff(pos.astype(np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T
+    head = np.array([keys.size, len(sizes), len(pos)], np.int64)
+    return zstandard.compress(b"".join([head.tobytes(), keys.astype(np.int64).tobytes(), sizes.astype(np.int32).tobytes(), steps.tobytes()]), 3)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.decompress(data)
+    k, n, m = np.frombuffer(data, np.int64, 3).tolist()
+    keys, sizes = np.frombuffer(data, np.int64, k, 24), np.frombuffer(data, np.int32, n, 24 + 8 * k)
+    steps = np.frombuffer(data, np.uint8, 4 * m, 24 + 8 * k + 4 * n).reshape(4, m).T
+    return keys, sizes.astype(np.int64), np.cumsum(np.ascontiguousarray(steps).view(np.int32).ravel(), dtype=np.int64)
+
+
 def postings(docs: DataFrame, text_col: str, lang_col: str, block: int) -> DataFrame:
-    """(block, w, lang, word, n, pos): the positions of each word of each language in a block; w numbers the words of a block."""
+    """(block, w, lang, word, n, data): each word of each language in a block, numbered in the block, with its number of occurrences; and
+    one row (w null) with the positional lists of all of them in the order of w."""
     rows = docs.select(F.coalesce(f"`{text_col}`", F.lit("")).alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
 
     def lists(number: int, words: dict[str, dict[bytes, int]], ids: list[np.ndarray], places: list[np.ndarray]) -> Iterator[list]:
         flat, pos = np.concatenate(ids), np.concatenate(places)
-        order = np.lexsort((pos, flat))
+        order = np.argsort(flat, kind="stable")  # positions ascend already
         sizes = np.bincount(flat, minlength=sum(map(len, words.values())))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        pos = pos[order].astype(np.int32)
+        yield [[number], [None], [None], [None], [None], [packed(np.zeros(0, np.int64), sizes, pos[order])]]
         own = [(i, lang, w.decode("utf-8", "replace")) for lang, known in words.items() for w, i in known.items()]
         for k in range(0, len(own), 20_000):
             at, langs, texts = zip(*own[k : k + 20_000], strict=True)
-            found = np.array(at)
-            n = sizes[found]
-            take = np.repeat(ends[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield [[number] * len(at), list(at), list(langs), list(texts), n.tolist(), pa.ListArray.from_arrays(offsets, pa.array(pos[take]))]
+            yield [[number] * len(at), list(at), list(langs), list(texts), sizes[np.array(at)].tolist(), [None] * len(at)]
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         from pyspark import TaskContext
@@ -77,7 +89,7 @@ def postings(docs: DataFrame, text_col: str, lang_col: str, block: int) -> DataF
         if ids:
             yield from lists(number, words, ids, places)
 
-    return map_rows(rows, ["text", "lang"], "block long, w int, lang string, word string, n long, pos array<int>", run)
+    return map_rows(rows, ["text", "lang"], "block long, w int, lang string, word string, n long, data binary", run)
 
 
 def extended(phrase: np.ndarray, pos: np.ndarray, word: np.ndarray, word_pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,31 +113,24 @@ def _grown(length: int):
     """A function from a block's lists and the frequent phrases of ``length`` words to the lists of these (kind 0) and the numbers of
     occurrences of the phrases that are one word longer (kind 1).
 
-    Lists of words come one row each (length 1); later as kind 0: keys holds the words of each phrase, sizes the lengths of the lists,
-    pos the lists.  code is a phrase's number in its block: that of its first words' list times the words, plus its last word.
+    Lists come packed, one row for each length.  code is a phrase's number in its block: that of its first words' list times the words,
+    plus its last word; at first it is a word's number.
     """
 
     def run(state: pa.Table, frequent: pa.Table) -> dict:
         block = (state if len(state) else frequent)["block"][0].as_py()
+        held = dict(zip(state["length"].to_pylist(), state["data"].to_pylist(), strict=True))
         if length == 1:
-            lists = dict(zip(state["w"].to_pylist(), range(len(state)), strict=True))
-            rows = np.array([lists[w] for w in frequent["code"].to_pylist()], np.int64)
-            kept = state["pos"].take(pa.array(rows)).combine_chunks()
-            kept = kept.chunk(0) if isinstance(kept, pa.ChunkedArray) and kept.num_chunks else kept
-            keys = frequent["w1"].to_numpy()[:, None]
-            sizes = state["n"].to_numpy()[rows]
-            pos = kept.flatten().to_numpy() if len(rows) else np.zeros(0, np.int32)
+            _, sizes, pos = unpacked(held[1])
+            rows = frequent["code"].to_numpy()
+            starts, keys, sizes = (np.cumsum(sizes) - sizes)[rows], frequent["w1"].to_numpy()[:, None], sizes[rows]
+            pos = pos[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
             words, (own, at) = keys[:, 0], _by_position(sizes, pos)
             word, word_pos = own, at
         else:
-            held = {n: i for i, n in enumerate(state["length"].to_pylist())}
-
-            def arrays(n: int) -> list[np.ndarray]:
-                return [state[c][held[n]].values.to_numpy() for c in ("keys", "sizes", "pos")]
-
-            words, sizes, pos = arrays(1)
+            words, sizes, pos = unpacked(held[1])
             word, word_pos = _by_position(sizes, pos)
-            before, sizes, pos = arrays(length - 1)
+            before, sizes, pos = unpacked(held[length - 1])
             before = before.reshape(-1, length - 1)
             first, last, at = extended(*_by_position(sizes, pos), word, word_pos, length - 1)
             codes, wanted = first * len(words) + last, np.sort(frequent["code"].to_numpy())
@@ -141,28 +146,36 @@ def _grown(length: int):
         codes, n = np.unique(phrase * max(1, len(words)) + last, return_counts=True)
         k = len(codes)
         grown = np.column_stack([keys[codes // max(1, len(words))], words[codes % max(1, len(words))]]) if k else np.zeros((0, length + 1), np.int64)
-        out = {f"w{i + 1}": pa.array([None] * (k + 1), pa.int64()) if i > length else pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(grown[:, i])]) for i in range(4)}
+
+        def column(name: str, values: np.ndarray | None = None, first=None) -> pa.Array:
+            kind = _KINDS[name]
+            return pa.concat_arrays([pa.array([first], kind), pa.nulls(k, kind) if values is None else pa.array(values, kind)])
+
+        out = {f"w{i + 1}": column("w1", grown[:, i] if i <= length else None) for i in range(4)}
         return out | {
-            "block": [block] * (k + 1), "kind": [0] + [1] * k, "length": [length] * (k + 1), "keys": [keys.ravel(), *[None] * k],
-            "sizes": [sizes.astype(np.int32), *[None] * k], "pos": [pos.astype(np.int32), *[None] * k], "code": [None, *codes.tolist()], "n": [None, *n.tolist()],
+            "block": column("block", np.full(k, block), block), "kind": column("kind", np.ones(k, np.int32), 0), "length": column("length", np.full(k, length), length),
+            "data": column("data", None, packed(keys.ravel(), sizes, pos)), "code": column("code", codes), "n": column("n", n),
         }
 
     return run
 
 
-_GROWN = "block long, kind int, length int, keys array<long>, sizes array<int>, pos array<int>, code long, n long, w1 long, w2 long, w3 long, w4 long"
+_KINDS = {
+    "block": pa.int64(), "kind": pa.int32(), "length": pa.int32(), "data": pa.binary(), "code": pa.int64(), "n": pa.int64(), "w1": pa.int64(),
+}
+_GROWN = "block long, kind int, length int, data binary, code long, n long, w1 long, w2 long, w3 long, w4 long"
 
 
 def frequent_phrases(docs: DataFrame, work: Scratch, least: int, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n) for each language; (id, lang, word, f) of the frequent words; (ws, f) of the frequent phrases of 1 to 4 words, ws being
     the ids of their words.  The results are tables of ``work``."""
-    lists = work.write(postings(docs, text_col, lang_col, block), "postings")
+    lists = work.write(postings(docs, text_col, lang_col, block), "postings").filter("w is not null")
     totals = lists.groupBy("lang").agg(F.sum("n").alias("n"))
     words = lists.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     words = work.write(words.withColumn("id", F.monotonically_increasing_id()), "words")
     totals = work.write(totals, "totals")
     found = lists.select("block", F.col("w").cast("long").alias("code"), "lang", "word").join(words, ["lang", "word"]).select("block", "code", F.col("id").alias("w1"))
-    grown = work.write(by_block(work.read("postings"), found, _GROWN, _grown(1)), "grown1")
+    grown = work.write(by_block(work.read("postings").filter("w is null").select("block", F.lit(1).alias("length"), "data"), found, _GROWN, _grown(1)), "grown1")
     work.drop("postings")
     phrases = words.select(F.array("id").alias("ws"), "f")
     for length in (2, 3):
