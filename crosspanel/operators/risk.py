@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +57,6 @@ def factor_exposures(df: DataFrame, r: str, factors: list[str], by: list[str], l
 
     Spark sums the cross products of a group, which are few numbers however long the series; only these reach the solver.
     """
-    import numpy as np
-    import pandas as pd
-
     names = ["intercept", *factors]
     complete = df.dropna(subset=[r, *factors]).withColumn("intercept", F.lit(1.0))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
@@ -82,11 +81,59 @@ def factor_exposures(df: DataFrame, r: str, factors: list[str], by: list[str], l
     return sums.mapInPandas(solve, schema)
 
 
-def covariances(df: DataFrame, r: str, entity: str = "ticker", time: str = "date") -> DataFrame:
-    """(a, b, cov) of the chosen entities' returns over their common dates; pairs of one portfolio's positions."""
-    x = df.filter(F.col(r).isNotNull()).select(time, F.col(entity).alias("a"), F.col(r).alias("__x"))
-    y = x.select(time, F.col("a").alias("b"), F.col("__x").alias("__y"))
-    return x.join(y, time).groupBy("a", "b").agg(F.covar_samp("__x", "__y").alias("cov"))
+def covariances(df: DataFrame, r: str, entity: str = "ticker", time: str = "date", block: int = 512, days: int = 512) -> DataFrame:
+    """(a, b, cov) of all pairs of entities over their common dates.
+
+    Entities and dates are dealt to blocks; a task multiplies two blocks of entities over one block of dates, counts of common dates
+    among the products, and Spark sums the products by pair of blocks.  What is shuffled is each row once per block of entities, and never
+    a row per pair and date.
+    """
+    rows = df.filter(F.col(r).isNotNull()).groupBy(entity, time).agg(F.avg(F.col(r).cast("double")).alias("x"))
+    names = rows.select(entity).distinct().withColumn("e", F.row_number().over(Window.orderBy(entity)) - 1)  # a row per entity
+    names = names.withColumn("blocks", F.floor(F.max("e").over(Window.partitionBy()) / block) + 1)
+    dates = rows.select(time).distinct().withColumn("t", F.row_number().over(Window.orderBy(time)) - 1)  # a row per date
+    cells = rows.join(names, entity).join(dates, time).select("e", "t", "x", F.floor(F.col("e") / block).alias("own"), F.floor(F.col("t") / days).alias("span"), "blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    sides = cells.withColumn("other", other)
+    sides = sides.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("i", "j", "span", "own", "e", "t", "x")
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        i, j, span = (int(part[c].iloc[0]) for c in ("i", "j", "span"))
+        first = int(part["t"].min())
+        width = int(part["t"].max()) - first + 1
+        x, m = np.zeros((2, block, width)), np.zeros((2, block, width))
+        for side, k in enumerate((i, j)):
+            own = part[part["own"] == k]
+            at = (own["e"].to_numpy() - k * block, own["t"].to_numpy() - first)
+            x[side][at], m[side][at] = own["x"].to_numpy(), 1
+        parts = [m[0] @ m[1].T, x[0] @ m[1].T, m[0] @ x[1].T, x[0] @ x[1].T]
+        a, b = np.nonzero(parts[0])
+        return pd.DataFrame({"a": a + i * block, "b": b + j * block, **{c: p[a, b] for c, p in zip(("n", "sa", "sb", "sab"), parts, strict=True)}})
+
+    sums = sides.groupBy("i", "j", "span").applyInPandas(products, "a long, b long, n double, sa double, sb double, sab double")
+    sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab")])
+    cov = F.when(F.col("n") > 1, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1))
+    one = sums.select("a", "b", cov.alias("cov"))
+    mirrored = one.filter(F.floor(F.col("a") / block) < F.floor(F.col("b") / block)).select(F.col("b").alias("a"), F.col("a").alias("b"), "cov")
+    label = lambda c: names.select(F.col("e").alias(c), F.col(entity).alias(f"__{c}"))
+    return one.union(mirrored).join(label("a"), "a").join(label("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"), "cov")
+
+
+def series_contributions(weights: DataFrame, returns: DataFrame, r: str, year: int = YEAR, z: float = 1.645, entity: str = "ticker", time: str = "date", weight: str = "weight") -> DataFrame:
+    """``risk_contributions`` without pairs: an entity's marginal risk is its covariance with the portfolio's own returns.
+
+    Only dates on which every position has a return count, so that the portfolio is the same on all of them; on complete data the
+    result is that of all pairs.  Work grows with the rows.
+    """
+    rows = returns.filter(F.col(r).isNotNull()).join(weights.select(entity, F.col(weight).alias("__w")), entity)
+    size = weights.select(entity).distinct().agg(F.count("*").alias("__all"))
+    own = rows.groupBy(time).agg(F.sum(F.col("__w") * F.col(r)).alias("__p"), F.count_distinct(entity).alias("__k")).join(F.broadcast(size), F.col("__k") == F.col("__all"))
+    both = rows.join(own.select(time, "__p"), time)
+    line = both.groupBy(entity, F.col("__w").alias(weight)).agg((F.covar_samp(r, "__p") * year).alias("__s"))
+    total = F.sqrt(F.sum(F.col(weight) * F.col("__s")).over(Window.partitionBy()))  # one row per position
+    out = line.withColumn("__t", total).withColumn("marginal", div("__s", F.nullif(F.col("__t"), F.lit(0.0))))
+    contribution = F.col(weight) * F.col("marginal")
+    return out.select(entity, weight, "marginal", contribution.alias("contribution"), div(contribution, F.nullif(F.col("__t"), F.lit(0.0))).alias("share"), (contribution * z).alias("component_var"))
 
 
 def risk_contributions(weights: DataFrame, cov: DataFrame, year: int = YEAR, z: float = 1.645, entity: str = "ticker", weight: str = "weight") -> DataFrame:
