@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.llm._rows import Scratch, by_block, in_blocks, map_rows
@@ -88,42 +88,37 @@ def count_grams(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame)
     return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _by_context(df: DataFrame, **sums) -> DataFrame:
-    """df with its gram's context and the sums over all grams of that context."""
-    df = df.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
-    return df.join(df.groupBy("context").agg(*[v.alias(k) for k, v in sums.items()]), "context")
+def _suffixes(least: int, most: int):
+    """The suffixes of a gram, from those of ``least`` symbols to those that leave ``most`` symbols out at least."""
+    return F.expr(f"transform(sequence({most} + 1, length(gram) - {least} + 1), i -> substring(gram, i))")
 
 
-def shared_backoff(counted: DataFrame, work: Scratch) -> DataFrame:
-    """(gram, p): the interpolated continuation probability of the last symbol of each gram that backing off may lead to.
+def shared_backoff(counted: DataFrame) -> DataFrame:
+    """(part, size, own, rest): for each gram that backing off may lead to what its continuation count gives its last symbol, and what
+    share the order below gets.
 
-    The count of a gram is the number of distinct symbols before it, over both classes; the order below gets what the discount leaves,
-    down to equal shares of all symbols.
+    The count of a gram is the number of distinct symbols before it, over both classes and in grams of any order.
     """
-    shorter = F.expr("substring(gram, 2)").alias("gram")
-    level, levels = None, []
-    for size in range(ORDER, 1, -1):
-        above = counted.filter(F.length("gram") == size).select("gram")
-        above = above if level is None else above.union(level.select("gram"))
-        level = work.write(above.select(shorter).groupBy("gram").agg(F.count("*").alias("n")), f"level{size - 1}")
-        levels.append(level)
-    n = max(1, levels[-1].count())
-    below = None
-    for i, level in enumerate(reversed(levels)):
-        full = _by_context(level, total=F.sum("n"), kinds=F.count("*"))
-        p0 = F.lit(1.0 / n) if below is None else F.col("p0")
-        full = full if below is None else full.withColumn("short", shorter).join(below.select(F.col("gram").alias("short"), F.col("p").alias("p0")), "short")
-        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * p0) / F.col("total")
-        below = work.write(full.select("gram", p.alias("p")), f"p{i}")
-    return work.spark.read.schema(below.schema).parquet(*[f"{work.path}/p{i}" for i in range(len(levels))])
+    longer = counted.select(F.explode(_suffixes(2, 0)).alias("gram")).distinct()
+    counts = longer.groupBy(F.expr("substring(gram, 2)").alias("part")).agg(F.count("*").alias("n"))
+    context = Window.partitionBy(F.expr("substring(part, 1, length(part) - 1)"), F.length("part"))
+    total = F.sum("n").over(context)
+    own, rest = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / total, DISCOUNT * F.count("*").over(context) / total
+    return counts.select("part", F.length("part").alias("size"), own.alias("own"), rest.alias("rest"))
 
 
 def log_ratios(counted: DataFrame, work: Scratch) -> DataFrame:
     """(gram, kind, ratio): log P(toxic) - log P(ordinary) of the last symbol, for grams that either class has (kind 0); and for contexts
-    that either has (kind 1) of any other symbol, where both back off to the same."""
-    full = _by_context(
-        counted, toxic_n=F.sum("toxic"), ordinary_n=F.sum("ordinary"), toxic_kinds=F.sum((F.col("toxic") > 0).cast("long")), ordinary_kinds=F.sum((F.col("ordinary") > 0).cast("long"))
-    )
+    that either has (kind 1) of any other symbol, where both back off to the same.
+
+    The shared probability of a gram is folded from its suffixes, the shortest first, on top of equal shares of all symbols.
+    """
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    same = Window.partitionBy("context")
+    sums = [F.sum(c).over(same).alias(f"{c}_n") for c in ("toxic", "ordinary")] + [F.sum((F.col(c) > 0).cast("long")).over(same).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
+    full = work.write(counted.withColumn("context", context).select("*", *sums), "contexts")
+    shared = work.write(shared_backoff(counted), "shared")
+    symbols = max(1, shared.filter("size = 1").count())
 
     def rest(c: str):
         return F.when(F.col(f"{c}_n") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_n")).otherwise(1.0)
@@ -132,8 +127,10 @@ def log_ratios(counted: DataFrame, work: Scratch) -> DataFrame:
         seen = F.when(F.col(f"{c}_n") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_n")).otherwise(0.0)
         return seen + rest(c) * F.col("p")
 
-    full = work.write(full, "contexts")
-    seen = full.withColumn("short", F.expr("substring(gram, 2)")).join(shared_backoff(counted, work).withColumnRenamed("gram", "short"), "short")
+    columns = [c for c in full.columns if c != "context"]
+    parts = full.select(*columns, F.explode(_suffixes(1, 1)).alias("part")).join(shared, "part")
+    levels = F.sort_array(F.collect_list(F.struct("size", "own", "rest")))  # at most ORDER - 1 rows
+    seen = parts.groupBy(*columns).agg(F.aggregate(levels, F.lit(1.0 / symbols), lambda q, x: x["own"] + x["rest"] * q).alias("p"))
     known = seen.select("gram", F.lit(0).alias("kind"), (F.log(p("toxic")) - F.log(p("ordinary"))).alias("ratio"))
     other = full.select("context", "toxic_n", "ordinary_n", "toxic_kinds", "ordinary_kinds").distinct()
     return known.union(other.select(F.col("context").alias("gram"), F.lit(1).alias("kind"), (F.log(rest("toxic")) - F.log(rest("ordinary"))).alias("ratio")))
@@ -285,7 +282,7 @@ def fit_toxicity(
     marked = learn.filter("part < 2").drop("part")
     counted = work.write(count_grams(docs, id_col, text_col, F.broadcast(marked) if few else marked), "grams")
     table = work.write(_coded(log_ratios(counted, work)), "model")
-    work.drop("grams", "contexts", *[f"level{i}" for i in range(1, ORDER)], *[f"p{i}" for i in range(ORDER - 1)])
+    work.drop("grams", "contexts", "shared")
     arrays = None
     if table.count() <= small:
         got = table.toArrow()
