@@ -176,6 +176,14 @@ def _(t):
     return rounded(K.risk_contributions(r.select("ticker").distinct().withColumn("weight", F.lit(0.04)), K.covariances(r, "r"), 52), "weight")
 
 
+@query("k05_series_contributions", f"""{_R}, q AS (SELECT date, ticker, r FROM r WHERE r IS NOT NULL), c AS (SELECT date, sum(0.04::DOUBLE * r) AS p FROM q GROUP BY 1 HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM panel)),
+ l AS (SELECT ticker, covar_samp(r, p) * 52 AS s FROM q JOIN c USING (date) GROUP BY 1), t AS (SELECT sqrt(sum(0.04::DOUBLE * s)) AS t FROM l)
+ SELECT ticker, 0.04::DOUBLE AS weight, round(s / t, 4) AS marginal, round(0.04 * s / t, 4) AS contribution, round(0.04 * s / t / t, 4) AS share, round(0.04 * s / t * 1.645, 4) AS component_var FROM l, t""")
+def _(t):
+    r = _returns(t)
+    return rounded(K.series_contributions(r.select("ticker").distinct().withColumn("weight", F.lit(0.04)), r, "r", 52), "weight")
+
+
 _BR = f"{_R}, p AS (SELECT date, ticker, sector, r, weight FROM (SELECT *, 1.0 / count(*) {XS} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY r DESC, ticker) AS k FROM r WHERE r IS NOT NULL) WHERE k <= 8)), b AS (SELECT *, 1.0 / count(*) {XS} AS weight FROM r WHERE r IS NOT NULL), gp AS (SELECT date, sector, sum(weight) AS wp, sum(weight * r) / sum(weight) AS rp FROM p GROUP BY 1, 2), gb AS (SELECT date, sector, sum(weight) AS wb, sum(weight * r) / sum(weight) AS rb FROM b GROUP BY 1, 2), j AS (SELECT date, sector, coalesce(wp, 0) AS wp, coalesce(rp, 0) AS rp, coalesce(wb, 0) AS wb, coalesce(rb, 0) AS rb FROM gp FULL JOIN gb USING (date, sector)), t AS (SELECT *, sum(wb * rb) {XS} AS t FROM j)"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import series
@@ -133,7 +134,7 @@ def _(t):
 @query("v04_tree_walk_forward")
 def _(t):
     f = _frame(t)
-    dates = [r["date"] for r in B.rebalance_dates(f, "year").orderBy("date").collect()][-2:]
+    dates = [r["date"] for r in B.rebalance_dates(f, "year").orderBy("date").collect()][1:]
     return rounded(B.walk_forward(f, dates, B.gbt_scores(["x", "r"], "y", trees=5), 4).select("date", "ticker", "score"))
 
 
@@ -189,3 +190,128 @@ def _(t):
     signals = li.select((F.col("l_tax") * 20 - 0.5).alias("signal"), (F.col("l_discount") * 12).alias("confidence"))
     bars = li.select(F.col("l_quantity").alias("high"), (F.col("l_linenumber") * 10).alias("low"), F.lit(25.0).alias("open"), F.lit(25.0).alias("close"), F.lit(1.0).alias("volume"))
     return V.counts(signals, V.SCHEMAS["signals"]).select(F.lit("signals").alias("name"), "rule", "violations").unionByName(V.counts(bars, V.SCHEMAS["ohlcv"]).select(F.lit("ohlcv").alias("name"), "rule", "violations"))
+
+
+_RELEVANT = f"""{_FR}, q AS (SELECT date, ticker, x, y, row_number() OVER (PARTITION BY date ORDER BY y, ticker) AS i, count(*) OVER (PARTITION BY date) AS n FROM f WHERE y IS NOT NULL),
+ rel AS (SELECT date, ticker, x, CAST(floor((i - 1) * 5 / n) AS INTEGER) AS rel FROM q)"""
+
+
+def _relevant(t) -> DataFrame:
+    """The frame with the fifth of its date, by return, that each row falls in: 0 to 4."""
+    w = Window.partitionBy("date")
+    f = _frame(t).filter("y is not null")
+    return f.withColumn("rel", F.floor((F.row_number().over(w.orderBy("y", "ticker")) - 1) * 5 / F.count("*").over(w)).cast("int"))
+
+
+@query("v04_lambda_gradients", f"""{_RELEVANT}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY x DESC, ticker) AS k, row_number() OVER (PARTITION BY date ORDER BY rel DESC, ticker) AS b FROM rel),
+ ideal AS (SELECT date, sum((2 ** rel - 1) / log2(b + 1)) AS ideal FROM k GROUP BY 1),
+ pairs AS (SELECT u.date, u.ticker AS up, v.ticker AS down, 1 / (1 + exp(u.x - v.x)) AS rho, abs(2 ** u.rel - 2 ** v.rel) * abs(1 / log2(1 + u.k) - 1 / log2(1 + v.k)) / ideal AS w
+  FROM k u JOIN k v ON u.date = v.date AND u.rel > v.rel JOIN ideal ON ideal.date = u.date),
+ sides AS (SELECT date, up AS ticker, rho * w AS g, rho * (1 - rho) * w AS h FROM pairs UNION ALL SELECT date, down, -rho * w, rho * (1 - rho) * w FROM pairs)
+ SELECT k.date, k.ticker, round(coalesce(sum(g), 0), 6) AS gradient, round(coalesce(sum(h), 0), 6) AS hessian FROM k LEFT JOIN sides USING (date, ticker) GROUP BY 1, 2""")
+def _(t):
+    from crosspanel.plans.ranking import lambda_gradients
+
+    return rounded(lambda_gradients(_relevant(t), "x", "rel"), digits=6)
+
+
+@query("v04_ranker")
+def _(t):
+    """The rows after 1997 by a ranker that learns from the years before."""
+    from crosspanel.plans.ranking import rank_scores
+
+    found = B.frozen_scores(_relevant(t), "1997-12-31", "1997-11-30", rank_scores(["x", "r"], "rel", trees=5, depth=2))
+    return rounded(found.select("date", "ticker", "score"))
+
+
+@query("v04_ndcg", f"""{_RELEVANT}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY x DESC, ticker) AS k, row_number() OVER (PARTITION BY date ORDER BY rel DESC, ticker) AS b FROM rel)
+ SELECT date, round(sum(CASE WHEN k <= 10 THEN (2 ** rel - 1) / log2(k + 1) ELSE 0 END) / nullif(sum(CASE WHEN b <= 10 THEN (2 ** rel - 1) / log2(b + 1) ELSE 0 END), 0), 6) AS ndcg FROM k GROUP BY 1""")
+def _(t):
+    from crosspanel.plans.ranking import ndcg
+
+    return rounded(ndcg(_relevant(t), "x", "rel", top=10), digits=6)
+
+
+@query("v07_one_pass_ridge", f"""{_FR}, k AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM f)),
+ dd AS (SELECT date, k FROM k JOIN (SELECT max(date) AS date FROM f GROUP BY date_trunc('month', date) ORDER BY 1 OFFSET 3) USING (date)),
+ s AS (SELECT dd.date, avg(x) AS mx, avg(r) AS mr, avg(y) AS my, var_pop(x) AS vx, var_pop(r) AS vr, covar_pop(x, r) AS cxr, covar_pop(x, y) AS cx, covar_pop(r, y) AS cr, 0.001 / stddev_pop(y) AS l
+  FROM dd JOIN k ON k.k <= dd.k - 4 JOIN f ON f.date = k.date WHERE y IS NOT NULL GROUP BY 1),
+ b AS (SELECT *, (cx * vr * (1 + l) - cr * cxr) / (vx * vr * (1 + l) * (1 + l) - cxr * cxr) AS bx, (cr * vx * (1 + l) - cx * cxr) / (vx * vr * (1 + l) * (1 + l) - cxr * cxr) AS br FROM s)
+ SELECT date, ticker, round(my + bx * (x - mx) + br * (r - mr), 4) AS score FROM b JOIN f USING (date)""")
+def _(t):
+    """A model for every month but the first three, all from one pass."""
+    f = _frame(t)
+    dates = B.rebalance_dates(f, "month").withColumn("i", F.row_number().over(Window.orderBy("date"))).filter("i > 3").select("date")  # a row per month
+    return rounded(B.one_pass_ridge(f, dates, ["x", "r"], "y", 4).select("date", "ticker", "score"))
+
+
+_TONES = "(SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(the|and)\\b')) AS positive, len(regexp_extract_all(lower(text), '\\b(is|of)\\b')) AS negative FROM documents)"
+
+
+def _passages(t) -> DataFrame:
+    """Passages with a vector, the company (label) they are of, and counts of words that stand for a lexicon."""
+    from crosspanel.operators.vectors import word_count
+
+    words = t("documents").select(F.col("doc_id").alias("id"), word_count("text", ["the", "and"]).cast("long").alias("positive"), word_count("text", ["is", "of"]).cast("long").alias("negative"))
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("group"), "embedding").join(words, "id")
+
+
+@query("n12_peer_tone", f"""WITH p AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS grp, embedding::DOUBLE[64] AS v, positive, negative FROM embeddings JOIN {_TONES} ON doc_id = vec_id),
+ hit AS (SELECT q.id AS theme, p.* FROM p q JOIN p ON q.id <> p.id WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY array_cosine_similarity(q.v, p.v) DESC, p.id) <= 30),
+ peer AS (SELECT theme, grp, coalesce((sum(positive) - sum(negative)) / nullif(sum(positive) + sum(negative), 0), 0) AS t FROM hit GROUP BY 1, 2),
+ own AS (SELECT grp, coalesce((sum(positive) - sum(negative)) / nullif(sum(positive) + sum(negative), 0), 0) AS tone FROM p GROUP BY 1),
+ pairs AS (SELECT th.theme, own.grp, tone, count(peer.t) AS peers, avg(peer.t) AS m FROM (SELECT DISTINCT theme FROM peer) th, own LEFT JOIN peer ON peer.theme = th.theme AND peer.grp <> own.grp GROUP BY ALL)
+ SELECT theme, grp AS company, CAST(peers AS BIGINT) AS peers, round(CASE WHEN peers >= 2 THEN greatest(-1, least(1, (tone - m) * 3)) ELSE 0 END, 6) AS gap FROM pairs""")
+def _(t):
+    from crosspanel.operators import vectors as V
+
+    p = _passages(t)
+    index = V.build_index(p)
+    hits = V.search(index, p.filter("id % 100 = 0"), 30, probes=len(index.centroids)).select(F.col("query").alias("theme"), "id")
+    sums = p.groupBy("group").agg(F.sum("positive").alias("p"), F.sum("negative").alias("n"))
+    tones = sums.select("group", F.coalesce(F.try_divide(F.col("p") - F.col("n"), F.nullif(F.col("p") + F.col("n"), F.lit(0))), F.lit(0.0)).alias("tone"))
+    found = V.peer_tone(hits, p.select("id", "group", "positive", "negative"), tones, by=["theme"])
+    return rounded(found.select("theme", F.col("group").alias("company"), "peers", "gap"), digits=6)
+
+
+@query("j15_indexed_vectors")
+def _(t):
+    """The ten nearest of every hundredth vector by the index, with as many probes as other vectors need for 95 % of their neighbours."""
+    from crosspanel.operators import vectors as V
+    from crosspanel.operators.joins import nearest_vectors
+
+    e = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index, others = V.build_index(e), e.filter("id % 100 = 50")
+    probes = V.tuned_probes(index, nearest_vectors(others, e, 10), others, 0.95)
+    return V.search(index, e.filter("id % 100 = 0"), 10, probes).drop("group")
+
+
+def _feistel_sql() -> str:
+    """One pass of the network of ``resampling.permuted`` over v, with b bits in each half: (draw, i, v, b, n)."""
+    from crosspanel.operators.resampling import M1, M2, M3, ROUNDS
+
+    body = "SELECT draw, i, b, n, v >> b AS l, v & ((1::HUGEINT << b) - 1) AS r FROM walk WHERE steps = 0 OR v >= n"
+    for k in range(ROUNDS):
+        key = f"((draw::HUGEINT * {M2} + {k * M3} + {42 * M1}) % 4294967296)"
+        body = f"SELECT draw, i, b, n, r AS l, xor(l, xor(t, t >> 13) >> (32 - b)) AS r FROM (SELECT *, (xor(t0, t0 >> 15) * {M2}) % 4294967296 AS t FROM (SELECT *, (r * {M1} + {key}) % 4294967296 AS t0 FROM ({body})))"
+    return f"SELECT draw, i, ((l << b) | r)::HUGEINT AS v, b, n, steps + 1 FROM (SELECT *, 1 AS steps FROM ({body}))"
+
+
+@query("a24_permutation", f"""WITH RECURSIVE s AS (SELECT s_acctbal AS x, s_nationkey < 10 AS a, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier),
+ z AS (SELECT max(n) AS n, CAST(greatest(4, ceil(ceil(log2(max(n))) / 2)) AS INTEGER) AS b, count(*) FILTER (a) AS k, sum(x) AS total FROM s),
+ walk AS (SELECT draw, i::HUGEINT AS i, i::HUGEINT AS v, b, z.n AS n, 0 AS steps FROM s, z, range(0, 100) d(draw) UNION ALL {_feistel_sql()}),
+ done AS (SELECT draw, walk.i AS i, v FROM walk WHERE steps > 0 AND v < n)
+ SELECT draw, round(p / k - (total - p) / (z.n - k), 4) AS permuted FROM (SELECT draw, sum(CASE WHEN v < k THEN x ELSE 0 END) AS p FROM done JOIN s ON s.i = done.i, z GROUP BY 1), z""")
+def _(t):
+    from crosspanel.operators.resampling import resampled_spreads
+
+    rows = t("supplier").withColumn("first", F.col("s_nationkey") < 10)
+    return rounded(resampled_spreads(rows, "s_acctbal", "first", ["s_suppkey"], 100).select("draw", "permuted"))
+
+
+@query("a24_spread_test")
+def _(t):
+    """2,000 permutations and bootstrap draws of the spread between customers of two groups of nations."""
+    from crosspanel.operators.resampling import spread_test
+
+    return spread_test(t("customer").withColumn("first", F.col("c_nationkey") < 5), "c_acctbal", "first", ["c_custkey"], 2_000)
