@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from crosspanel.llm._rows import Scratch, by_block, in_blocks, map_rows
 
 #: Characters of a block, and of the texts that are packed together.  A longer text is a block of its own.
-BLOCK, PACK = 16_000_000, 1_000_000
+BLOCK, PACK = 12_000_000, 1_000_000
 #: White space before which a text may be cut.
 SPACES = " \n\t"
 _PLAIN = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -168,9 +168,28 @@ def spelt(codes: np.ndarray, steps: np.ndarray, sizes: np.ndarray, b_size: int)
     return np.diff(n_a), np.diff(n_groups), [";".join(groups[i:j]) for i, j in zip(n_groups[:-1].tolist(), n_groups[1:].tolist(), strict=True)]
 
 
+def read_links(text: str, steps: np.ndarray, b_size: int) -> np.ndarray:
+    """The linked ids, as a * len(B) + b, of groups that ``spelt`` wrote (segments joined by spaces), from the links' steps."""
+    data = np.frombuffer(f"{text} ".encode(), np.uint8)
+    digit = data >= 48
+    digit &= data < 58
+    last = np.flatnonzero(digit[:-1] & ~digit[1:])
+    value, own = np.zeros(len(last), np.int64), np.ones(len(last), bool)
+    for k in range(int(np.diff(np.flatnonzero(~digit), prepend=-1).max(initial=0))):  # as many as the longest number has digits
+        at = last - k
+        own &= (at >= 0) & digit[np.maximum(at, 0)]
+        value += np.where(own, (data[np.maximum(at, 0)].astype(np.int64) - 48) * 10**k, 0)
+    bar, end = np.cumsum(data == 124), np.cumsum(data == 59)
+    closed = np.cumsum((data == 32) & np.concatenate([[False], digit[:-1]]))  # a space behind a group ends it too
+    of_b = bar[last] > end[last] + closed[last]
+    if not len(steps):
+        return np.zeros(0, np.int64)
+    return value[~of_b][np.cumsum(steps != 2) - 1] * b_size + value[of_b][np.cumsum(steps != 1) - 1]
+
+
 def _pack(*parts: np.ndarray | str) -> bytes:
     """Arrays and texts in one compressed value; what is shuffled is mostly these."""
-    return zstandard.compress(pickle.dumps([p if isinstance(p, str) else p.tobytes() for p in parts]), 1)
+    return zstandard.compress(pickle.dumps([p if isinstance(p, str) else p.tobytes() for p in parts]), 3)
 
 
 def _split(text: str, sizes: np.ndarray) -> list[str]:
@@ -250,7 +269,7 @@ def _aligned_rows(wanted: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 take = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 texts = [distinct[i] for i in rows.tolist()]
                 counts = [np.array(list(map(len, texts)), np.int32), *(x[rows].astype(np.int32) for x in (sizes, n_a, n_groups))]
-                yield [[int(block[part[0]])], [_pack(*counts, codes[take], "".join(texts), " ".join([groups[i] for i in rows.tolist()]))]]
+                yield [[int(block[part[0]])], [_pack(*counts, steps[take], "".join(texts), " ".join([groups[i] for i in rows.tolist()]))]]
 
     ready = wanted.repartition("segment").sortWithinPartitions("segment")
     return map_rows(ready, ["block", "segment"], "block long, data binary", run)
@@ -266,12 +285,12 @@ def _composed(a_path: str, b_path: str):
         groups: list[str] = []
         counts, found_codes = [], []
         for data in found["data"].to_pylist():
-            *own, codes, text, spelling = pickle.loads(zstandard.decompress(data))
+            *own, steps, text, spelling = pickle.loads(zstandard.decompress(data))
             sizes, *own = (np.frombuffer(x, np.int32).astype(np.int64) for x in own)
             place.update(zip(_split(text, sizes), range(len(place), len(place) + len(sizes)), strict=True))
             groups += spelling.split(" ")
             counts.append(own)
-            found_codes.append(np.frombuffer(codes, np.int64))
+            found_codes.append(read_links(spelling, np.frombuffer(steps, np.int8), len(tools.b_bytes)))
         codes = np.concatenate([np.zeros(0, np.int64), *found_codes])
         n_links, n_a, n_groups = (np.concatenate(c) for c in zip(*counts, strict=True)) if counts else [np.zeros(0, np.int64)] * 3
         starts = np.concatenate([[0], np.cumsum(n_links)])
@@ -282,39 +301,43 @@ def _composed(a_path: str, b_path: str):
             for id_, text in zip(*_texts(data.as_py()), strict=True):
                 own = np.fromiter(map(place.__getitem__, tools.segments(text) if text else ()), np.int64)
                 if not len(own) or not n_links[own].all():
-                    out.append((id_, 0, 0, 0, 0, "", [], []))
+                    out.append((id_, 0, 0, 0, 0, "", None))
                     continue
                 digest = hashlib.sha256(";".join(map(groups.__getitem__, own.tolist())).encode()).hexdigest()
                 a, g, n = int(n_a[own].sum()), int(n_groups[own].sum()), int(n_links[own].sum())
                 at, times = np.unique(own, return_counts=True)
                 size = n_links[at]
                 df[np.unique(codes[np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())])] += 1
-                out.append((id_, a, n + g - a, g, n, digest, at.astype(np.int32), times.astype(np.int32)))
+                out.append((id_, a, n + g - a, g, n, digest, _pack(at.astype(np.int32), times.astype(np.int32))))
         # A pair that only documents without tokens would hold has no document.
         held = np.flatnonzero(df)
         d, k = len(out), len(held)
         block = (texts if len(texts) else found)["block"][0].as_py()
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in range(8)]
+        columns = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
         blank = [None] * (1 + k)
         return {
             "block": [block] * (d + 1 + k), "kind": [0] * d + [1] + [2] * k, "id": [*columns[0], *blank], "n_a": [*columns[1], *blank],
             "n_b": [*columns[2], *blank], "n_groups": [*columns[3], *blank], "n_links": [*columns[4], *blank],
-            "groups_sha256": [*columns[5], *blank], "at": [*columns[6], *blank], "links": [*[None] * d, pairs[codes], *[None] * k], "times": [*columns[7], n_links, *[None] * k],
+            "groups_sha256": [*columns[5], *blank], "data": [*columns[6], _pack(pairs[codes], n_links.astype(np.int32)), *[None] * k],
             "pair": [*[None] * (d + 1), *pairs[held].tolist()], "df": [*[None] * (d + 1), *df[held].tolist()],
         }
 
     return run
 
 
-_COMPOSED = "block long, kind int, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at array<int>, links array<long>, times array<int>, pair long, df long"
+_COMPOSED = "block long, kind int, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, data binary, pair long, df long"
 
 
 def _scored(rows: pa.Table, counts: pa.Table) -> dict:
     """The documents of a block with the counts of their links."""
     kind = rows["kind"].to_numpy()
     docs, one = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
-    codes = np.asarray(one["links"][0].values) if len(one) else np.zeros(0, np.int64)
-    sizes = np.asarray(one["times"][0].values).astype(np.int64) if len(one) else np.zeros(0, np.int64)
+
+    def unpack(data: bytes, first: type) -> tuple[np.ndarray, np.ndarray]:
+        values, sizes = pickle.loads(zstandard.decompress(data))
+        return np.frombuffer(values, first), np.frombuffer(sizes, np.int32).astype(np.int64)
+
+    codes, sizes = unpack(one["data"][0].as_py(), np.int64) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     order = np.argsort(counts["pair"].to_numpy())
     pairs = counts["pair"].to_numpy()[order]
     values = np.stack([counts["n"].to_numpy()[order], counts["best"].to_numpy()[order].astype(np.int64)], 1)
@@ -326,8 +349,9 @@ def _scored(rows: pa.Table, counts: pa.Table) -> dict:
         ends = np.cumsum(sizes)
         sums = total[ends] - total[ends - sizes]
     best, total = [], []
-    for at, times in zip(docs["at"], docs["times"], strict=True):
-        own = times.values.to_numpy().astype(np.int64) @ sums[at.values.to_numpy()]
+    for data in docs["data"].to_pylist():
+        at, times = unpack(data, np.int32) if data else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        own = times @ sums[at]
         total.append(int(own[0]))
         best.append(int(own[1]))
     same = {c: docs[c].combine_chunks() for c in ("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
