@@ -100,15 +100,56 @@ def grade(score: str) -> Column:
     return F.when(c >= 80, "A").when(c >= 65, "B").when(c >= 50, "C").when(c >= 35, "D").when(c.isNotNull(), "F")
 
 
+#: Medians of the gross margin and of price to earnings by sector; others have .40 and 18.
+MARGINS = {
+    "Technology": 0.55, "Healthcare": 0.50, "Financial Services": 0.60, "Consumer Cyclical": 0.35, "Consumer Defensive": 0.35, "Industrials": 0.30,
+    "Basic Materials": 0.25, "Energy": 0.30, "Utilities": 0.35, "Real Estate": 0.55, "Communication Services": 0.45,
+}
+EARNINGS_MULTIPLES = {
+    "Technology": 28, "Healthcare": 22, "Financial Services": 12, "Consumer Cyclical": 18, "Consumer Defensive": 20, "Industrials": 18,
+    "Basic Materials": 12, "Energy": 10, "Utilities": 16, "Real Estate": 35, "Communication Services": 18,
+}
+
+
 def quality_value(df: DataFrame, sector: str = "sector") -> DataFrame:
-    """Quality and value points on fixed bands and against sector medians; debt given in percent is brought to a ratio."""
-    g = section("date", sector)
-    debt = F.when(F.col("debt_equity") > 10, F.col("debt_equity") / 100).otherwise(F.col("debt_equity"))
-    quality = {"roe": (points("roe", [(0.2, 25), (0.15, 20), (0.1, 12), (0.0, 5)]), 25), "margin": (points(F.col("gross_margin") - F.median("gross_margin").over(g), [(0.1, 25), (0.0, 15), (-0.1, 5)]), 25), "debt": (points(-debt, [(-0.5, 25), (-1.0, 15), (-2.0, 5)]), 25)}
-    value = {"pe": (points(-div("pe_ratio", F.nullif(F.median("pe_ratio").over(g), F.lit(0.0))), [(-0.7, 50), (-1.0, 30), (-1.3, 10)]), 50), "pb": (points(-F.col("pb_ratio"), [(-1.5, 50), (-3.0, 30), (-5.0, 10)]), 50)}
-    out = df.withColumn("quality_score", point_score(quality)).withColumn("value_score", point_score(value))
-    out = out.withColumn("combined", F.coalesce((F.col("quality_score") + F.col("value_score")) / 2, "quality_score", "value_score"))
-    return out.withColumn("grade", grade("combined"))
+    """Adds quality_score, value_score, composite_score (0 to 100), grade of each of the first two, direction and strength.
+
+    Seven parts of quality and five of value give points on fixed bands; a score is the share of the points that the known parts could
+    give, 0 without any.  Columns: roe, roa, gross_margin, operating_margin, debt_equity (above 10: in percent), current_ratio,
+    earnings_growth; pe_ratio, pb_ratio, ev_ebitda, ps_ratio, fcf_yield.  Absent columns and NULLs are unknown; multiples of 0 or less
+    too, but a negative price to earnings gives 0 points.
+    """
+    have = {c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double") for c in (
+        "roe", "roa", "gross_margin", "operating_margin", "debt_equity", "current_ratio", "earnings_growth", "pe_ratio", "pb_ratio", "ev_ebitda", "ps_ratio", "fcf_yield",
+    )}
+    of_sector = lambda table, other: F.coalesce(*[F.when(F.col(sector) == k, F.lit(float(v))) for k, v in table.items()], F.lit(float(other)))
+    margin, multiple = of_sector(MARGINS, 0.40), of_sector(EARNINGS_MULTIPLES, 18)
+
+    def from_(c: str, *bands: tuple) -> Column:
+        """Points of the first band whose limit the value reaches; NULL for an unknown value."""
+        return F.when(have[c].isNotNull(), F.coalesce(*[F.when(have[c] >= limit, p) for limit, p in bands], F.lit(0)))
+
+    def below(x: Column, *bands: tuple) -> Column:
+        return F.when(x > 0, F.coalesce(*[F.when(x < limit, p) for limit, p in bands], F.lit(0)))
+
+    debt = F.when(have["debt_equity"] > 10, have["debt_equity"] / 100).otherwise(have["debt_equity"])
+    owed = F.when(debt.isNotNull(), F.when(debt <= 0.5, 15).when(debt <= 1.0, 10).when(debt <= 2.0, 5).otherwise(0))
+    pe = have["pe_ratio"]
+    quality = {
+        "roe": (from_("roe", (0.15, 20), (0.10, 12), (0.05, 5)), 20), "roa": (from_("roa", (0.08, 15), (0.05, 10), (0.02, 5)), 15),
+        "gross": (from_("gross_margin", (margin * 1.2, 15), (margin, 10), (margin * 0.8, 5)), 15), "operating": (from_("operating_margin", (0.15, 15), (0.10, 10), (0.05, 5)), 15),
+        "debt": (owed, 15), "current": (from_("current_ratio", (1.5, 10), (1.0, 6)), 10), "growth": (from_("earnings_growth", (0.20, 10), (0.10, 7), (0.0, 4)), 10),
+    }
+    value = {
+        "pe": (F.when(pe < 0, 0).otherwise(below(pe, (15, 25), (multiple, 15), (multiple * 1.5, 8))), 25), "pb": (below(have["pb_ratio"], (3, 20), (5, 12), (10, 5)), 20),
+        "ev": (below(have["ev_ebitda"], (10, 20), (15, 12), (20, 5)), 20), "ps": (below(have["ps_ratio"], (2, 15), (5, 8), (10, 3)), 15),
+        "fcf": (from_("fcf_yield", (0.05, 20), (0.03, 12), (0.01, 5)), 20),
+    }
+    out = df.withColumn("quality_score", F.coalesce(point_score(quality), F.lit(0.0))).withColumn("value_score", F.coalesce(point_score(value), F.lit(0.0)))
+    out = out.withColumn("composite_score", (F.col("quality_score") + F.col("value_score")) / 2).withColumn("quality_grade", grade("quality_score")).withColumn("value_grade", grade("value_score"))
+    c = F.col("composite_score")
+    out = out.withColumn("direction", F.when(c >= 65, "long").when(c <= 35, "short"))
+    return out.withColumn("strength", F.when(c >= 80, "strong").when(c >= 65, "moderate").when(c <= 20, "strong").when(c <= 35, "weak").otherwise("none"))
 
 
 def pivot_items(df: DataFrame, items: list[str], keys: tuple[str, ...] = ("symbol", "report_date"), name: str = "item_name", value: str = "item_value") -> DataFrame:

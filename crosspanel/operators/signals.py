@@ -66,27 +66,48 @@ def review_selection(df: DataFrame, n: int, score: str = "score", conflict: str
     return keep.orderBy("__kind", "__o").limit(3 * n).select(*[c for c in df.columns if not c.startswith("__")], F.element_at(F.array(*map(F.lit, ("buy", "sell", "conflict", "fill"))), F.col("__kind") + 1).alias("reason"))
 
 
-def surprise_signal(df: DataFrame, as_of: str, surprise: str = "surprise", revenue: str = "revenue_surprise", time: str = "announcement_date") -> DataFrame:
-    """Signal from the earnings surprise in percent, confirmed by revenue and faded with age."""
-    s = F.col(surprise) / 100
-    base = F.when(s > 0.20, 1.0).when(s > 0.05, 0.6).when(s < -0.20, -1.0).when(s < -0.05, -0.6).otherwise(0.0)
-    same = F.signum(F.col(revenue)) == F.signum(s)
-    confirmed = base * F.when(F.col(revenue).isNull(), 1.0).when(same, 1.2).otherwise(0.7)
+#: A big surprise, a small one, a big one in revenue; expected returns of 40 days of the two models; share of revenue in the
+#: blended surprise; how revenue that confirms or contradicts changes the expected return.
+BIG, SMALL, BIG_REVENUE, BASE_RETURN, ENHANCED_RETURN, REVENUE_SHARE, CONFIRMED, CONTRADICTED = 0.20, 0.05, 0.05, 0.0184, 0.0302, 0.30, 1.4, 0.7
+
+
+def surprise_signal(
+    df: DataFrame, as_of: str, surprise: str = "surprise", beat: str = "beat", before: str = "prior_beat", revenue: str = "revenue_surprise", time: str = "announcement_date",
+) -> DataFrame:
+    """Drift after earnings: adds days, freshness, composite_surprise, direction, strength, expected_return, actionable, hold_days.
+
+    Surprises are shares (.2 is 20 %).  A big one is moderate, and strong if the quarter before went the same way; revenue that agrees
+    raises a moderate one and the expected return, revenue that disagrees lowers both (revenue beats if its surprise is above 0).  A
+    small one is weak, and moderate if a big revenue surprise agrees.  Otherwise the direction is neutral.
+    """
+    s, b, r = F.col(surprise), F.col(beat), F.col(revenue)
+    big, small, known = F.abs(s) > BIG, F.abs(s) >= SMALL, r.isNotNull()
+    same = known & (b == (r > 0))
+    streak = F.coalesce(F.col(before) == b, F.lit(False))
+    strength = F.when(big & same, "strong").when(big & known, "moderate").when(big & streak, "strong").when(big, "moderate")
+    strength = strength.when(small & same & (F.abs(r) >= BIG_REVENUE), "moderate").otherwise("weak")
+    sign = F.when(b, 1.0).otherwise(-1.0)
+    size = F.when(big & same, ENHANCED_RETURN * CONFIRMED).when(big & known, ENHANCED_RETURN * CONTRADICTED).when(big, ENHANCED_RETURN).when(small, BASE_RETURN).otherwise(0.0)
     days = F.datediff(F.lit(as_of).cast("date"), time)
-    fresh = F.when(days < 0, 0.0).when(days <= 10, 1.0).when(days <= 30, 0.7).when(days <= 60, 0.4).otherwise(0.0)
-    return df.withColumn("signal", clip(confirmed * fresh, -1, 1)).withColumn("days", days)
+    out = df.withColumn("days", days).withColumn("freshness", F.when(days <= 10, "fresh").when(days <= 30, "recent").when(days <= 60, "stale").otherwise("expired"))
+    out = out.withColumn("composite_surprise", F.when(known, (1 - REVENUE_SHARE) * s + REVENUE_SHARE * r).otherwise(s))
+    out = out.withColumn("direction", F.when(big | small, F.when(b, "long").otherwise("short")).otherwise("neutral")).withColumn("strength", strength).withColumn("expected_return", size * sign)
+    firm, early = F.col("strength") != "weak", F.col("freshness").isin("fresh", "recent")
+    hold = F.when(firm & early, 40).when(firm & (F.col("freshness") == "stale"), 20).when(early & small, 40)
+    return out.withColumn("hold_days", hold).withColumn("actionable", F.col("hold_days").isNotNull())
 
 
-def insider_clusters(df: DataFrame, days: int = 30, least: int = 2, entity: str = "ticker", who: str = "insider_name", side: str = "transaction_type", time: str = "transaction_date", value: str = "total_value") -> DataFrame:
+def insider_clusters(df: DataFrame, days: int = 30, least: int = 2, entity: str = "ticker", who: str = "insider_name", side: str = "transaction_type", time: str = "transaction_date", value: str = "total_value", role: str | None = None) -> DataFrame:
     """Windows of ``days`` from each transaction's day on in which at least so many different insiders act on the same side.
 
     An insider's day counts in the windows that start on it or up to ``days`` before, so each row meets a bounded number of windows and
     everything is summed by group.
     """
-    own = df.groupBy(entity, side, who, F.col(time).alias("day")).agg(F.sum(value).alias("value"))
+    weight = F.col(role) if role else F.lit(1.0)
+    own = df.groupBy(entity, side, who, F.col(time).alias("day")).agg(F.sum(value).alias("value"), F.sum(weight).alias("__w"), F.count("*").alias("__k"))
     starts = own.select(entity, side, F.col("day").alias("start")).distinct()
     reach = own.withColumn("start", F.explode(F.sequence(F.date_sub("day", days), F.col("day")))).join(starts, [entity, side, "start"], "left_semi")
-    found = reach.groupBy(entity, side, "start").agg(F.count_distinct(who).alias("insiders"), F.sum("value").alias("value"), F.max("day").alias("end"))
+    found = reach.groupBy(entity, side, "start").agg(F.count_distinct(who).alias("insiders"), F.sum("value").alias("value"), F.max("day").alias("end"), div(F.sum("__w"), F.sum("__k")).alias("role_weight"))
     return found.filter(F.col("insiders") >= least)
 
 
@@ -96,39 +117,66 @@ def separate_clusters(clusters: DataFrame, entity: str = "ticker", side: str = "
     The choice is sequential within an entity and side, whose clusters are folded as one array (at most one for each of its dates).
     """
     size = (F.col("insiders") * F.col("value")).alias("__s")
-    rows = clusters.groupBy(entity, side).agg(F.sort_array(F.collect_list(F.struct(size, F.col("start"), F.col("end"), F.col("insiders"), F.col("value"))), asc=False).alias("__a"))
+    rows = clusters.groupBy(entity, side).agg(F.sort_array(F.collect_list(F.struct(size, F.col("start"), F.col("end"), F.col("insiders"), F.col("value"), F.col("role_weight"))), asc=False).alias("__a"))
     empty = F.slice("__a", 1, 0)
     chosen = F.aggregate("__a", empty, lambda s, x: F.when(F.exists(s, lambda y: (y["start"] <= x["end"]) & (x["start"] <= y["end"])), s).otherwise(F.concat(s, F.array(x))))
-    return rows.select(entity, side, F.inline(chosen)).select(entity, side, "start", "end", "insiders", "value")
+    return rows.select(entity, side, F.inline(chosen)).select(entity, side, "start", "end", "insiders", "value", "role_weight")
 
 
 def role_weight(title: str) -> Column:
-    t = F.lower(title)
-    return F.when(t.rlike("chief executive|ceo|chief financial|cfo"), 3.0).when(t.rlike("president|chairman|chief"), 2.0).when(t.rlike("director"), 1.5).otherwise(1.0)
+    """Weight of an insider by title, from 1 for a chief executive to .3 for an unknown one.  The words are looked for anywhere, so a
+    director ("cto" within) weighs .7."""
+    t = F.lower(F.coalesce(title, F.lit("")))
+    ranks = (
+        ("ceo|chief executive", 1.0), ("cfo|chief financial", 0.9), ("coo|chief operating|president", 0.8), ("cto|chief tech|chief product", 0.7),
+        ("director", 0.6), ("vp|vice president|evp|svp", 0.5), ("officer", 0.4),
+    )
+    return F.coalesce(*[F.when(t.rlike(words), weight) for words, weight in ranks], F.lit(0.3))
 
 
 def insider_score(trades: DataFrame, clusters: DataFrame, entity: str = "ticker") -> DataFrame:
-    """.4 role-weighted net share of purchases + .6 cluster balance, inside [-1, 1]."""
-    signed = F.when(F.col("transaction_type") == "P", 1.0).otherwise(-1.0) * F.col("total_value") * F.col("role_weight")
-    net = trades.groupBy(entity).agg(div(F.sum(signed), F.nullif(F.sum(F.abs(signed)), F.lit(0.0))).alias("net"))
-    c = clusters.groupBy(entity).agg(clip(F.sum(F.when(F.col("transaction_type") == "P", 0.3).otherwise(-0.3) * F.col("insiders")), -1, 1).alias("cluster"))
-    return net.join(c, entity, "left").select(entity, clip(0.4 * F.coalesce("net", F.lit(0.0)) + 0.6 * F.coalesce("cluster", F.lit(0.0)), -1, 1).alias("insider_score"))
-
+    """(entity, insider_score, confidence): .4 role-weighted net share of purchases + .6 of the clusters, inside [-1, 1].
 
-def patent_score(df: DataFrame, as_of: str, entity: str = "ticker", time: str = "filing_date") -> DataFrame:
-    """Filings of the last and the previous year, their trend at 20 %, and 25 points each for speed, citations, breadth and claims."""
+    A cluster of n insiders counts (n - 2) x .15 x its mean role weight, one of sales minus half of that.  Confidence: up to .5 for ten
+    trades, .3 for a cluster, .2 for a total value above a million.
+    """
+    buys = F.col("transaction_type") == "P"
+    worth = F.col("total_value") * F.col("role_weight")
+    up, down = F.coalesce(F.sum(F.when(buys, worth)), F.lit(0.0)), F.coalesce(F.sum(F.when(~buys, worth)), F.lit(0.0))
+    total = F.coalesce(F.sum("total_value"), F.lit(0.0))
+    net = trades.groupBy(entity).agg(F.when(total > 0, (up - down) / (up + down + 1)).otherwise(0.0).alias("net"), total.alias("__v"), F.count("*").alias("__n"))
+    impact = (F.col("insiders") - 2) * 0.15 * F.col("role_weight") * F.when(buys, 1.0).otherwise(-0.5)
+    both = net.join(clusters.groupBy(entity).agg(F.sum(impact).alias("cluster")), entity, "left")
+    confidence = F.least(F.lit(1.0), F.col("__n") / 10) * 0.5 + F.when(F.col("cluster").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("__v") > 1_000_000, 0.2).otherwise(0.0)
+    return both.select(entity, clip(0.4 * F.col("net") + 0.6 * F.coalesce("cluster", F.lit(0.0)), -1, 1).alias("insider_score"), F.least(F.lit(1.0), confidence).alias("confidence"))
+
+
+def patent_score(df: DataFrame, as_of: str, emerging: list[str], entity: str = "ticker", time: str = "filing_date") -> DataFrame:
+    """Patents of each entity up to a date: number, filings a year since the first, trend of the last year against the one before
+    (20 %), 25 points each for number (of 100), speed (of 20), claims (of 20) and the share of emerging areas; the rank and signal that
+    these give; and the moat, breadth x sqrt(depth) / 20 up to 1.  A row is a patent in one area."""
     age = F.datediff(F.lit(as_of).cast("date"), time)
-    s = df.filter(age >= 0).groupBy(entity).agg(F.count(F.when(age < 365, 1)).alias("recent"), F.count(F.when((age >= 365) & (age < 730), 1)).alias("before"), F.avg("citation_count").alias("__c"), F.count_distinct("area").alias("__a"), F.avg("claims_count").alias("__k"))
-    change = div(F.col("recent") - F.col("before"), F.nullif(F.col("before"), F.lit(0)))
-    points = 25 * F.least(F.col("recent") / 50, F.lit(1.0)) + 25 * F.least(F.coalesce("__c", F.lit(0.0)) / 20, F.lit(1.0)) + 25 * F.least(F.col("__a") / 5, F.lit(1.0)) + 25 * F.least(F.coalesce("__k", F.lit(0.0)) / 20, F.lit(1.0))
-    return s.select(entity, "recent", "before", F.when(change > 0.2, "rising").when(change < -0.2, "falling").otherwise("stable").alias("trend"), points.alias("score"))
-
-
-def sector_boost(df: DataFrame, strength: str = "strength", n: int = 3, size: float = 0.1) -> DataFrame:
-    """Rank of each sector; the best n get a boost, the worst n a malus of the same size."""
-    whole = Window.partitionBy()  # a row per sector
-    df = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(strength), "sector")).cast("long")).withColumn("__n", F.count(F.lit(1)).over(whole))
-    return df.withColumn("boost", F.when(F.col("rank") <= n, size).when(F.col("rank") > F.col("__n") - n, -size).otherwise(0.0)).drop("__n")
+    rows = df.filter(age >= 0)
+    s = rows.groupBy(entity).agg(
+        F.count("*").alias("patents"), F.max(age).alias("__first"), F.count(F.when(age < 365, 1)).alias("recent"), F.count(F.when((age > 365) & (age < 730), 1)).alias("before"),
+        F.avg("claims_count").alias("__k"), F.count("area").alias("__in"), F.count(F.when(F.col("area").isin(emerging), 1)).alias("__e"), F.count_distinct("area").alias("__a"),
+    )
+    speed = F.col("patents") / F.greatest(F.col("__first") / 365, F.lit(1.0))
+    part = lambda x: 25 * F.least(F.coalesce(x, F.lit(0.0)), F.lit(1.0))
+    s = s.withColumn("velocity", speed).withColumn("score", part(F.col("patents") / 100) + part(speed / 20) + part(F.col("__k") / 20) + part(div("__e", F.nullif(F.col("__in"), F.lit(0)))))
+    s = s.withColumn("trend", F.when(F.col("recent") > F.col("before") * 1.2, "accelerating").when(F.col("recent") < F.col("before") * 0.8, "decelerating").otherwise("stable"))
+    s = s.withColumn("rank", F.when(F.col("score") >= 75, "pioneer").when(F.col("score") >= 50, "leader").when(F.col("score") >= 25, "average").otherwise("laggard"))
+    s = s.withColumn("strength", F.when(F.col("score") >= 75, 0.8).when(F.col("score") >= 50, 0.5).when(F.col("score") >= 25, 0.0).otherwise(-0.3))
+    moat = F.least(F.col("__a") * F.sqrt(div("__in", F.nullif(F.col("__a"), F.lit(0)))) / 20, F.lit(1.0))
+    return s.withColumn("moat", F.coalesce(moat, F.lit(0.0))).drop("__first", "__k", "__in", "__e", "__a")
+
+
+def sector_boost(df: DataFrame, strength: str = "strength", top: int = 3, bottom: int = 3, best: float = 0.30, worst: float = -0.25) -> DataFrame:
+    """Rank of each sector; the boost falls from ``best`` for the first by equal steps over the ``top`` sectors, the headwind grows by equal
+    steps over the ``bottom`` ones to ``worst`` for the last; others have none."""
+    df = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(strength), "sector")).cast("long")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))  # a row per sector
+    headwind = worst * (F.col("rank") - (F.col("__n") - bottom)) / bottom
+    return df.withColumn("boost", F.when(F.col("rank") <= top, best * (1 - (F.col("rank") - 1) / top)).when(F.col("rank") > F.col("__n") - bottom, headwind).otherwise(0.0)).drop("__n")
 
 
 def breadth_tilt(df: DataFrame, score: str = "score", sector: str = "sector", weight: str | None = None, limit: float = 0.05, least: int = 3) -> DataFrame:
@@ -159,16 +207,19 @@ def tilted_ic(ic: str, multiplier: str, strength: float, confidence: str | Colum
 
 
 def composite(df: DataFrame, weights: dict[str, float], missing: float = 0.05, most: float = 0.2, tilt: str | None = None) -> DataFrame:
-    """Weighted sum of scores (missing ones 0), confidence from the share of scores with the majority's sign, less a penalty for what is
-    missing."""
+    """Weighted sum of scores (missing ones 0) less ``missing`` for each missing one, up to ``most``; then times the tilt.
+
+    Confidence: .5 + .5 x the share that the commoner sign has among the scores beyond .1, less .1 for each missing one up to .5.
+    """
     total = sum(weights.values()) or 1.0
     s = sum((F.coalesce(F.col(c), F.lit(0.0)) * (w / total) for c, w in weights.items()), F.lit(0.0))
     absent = sum((F.col(c).isNull().cast("int") for c in weights), F.lit(0))
-    pos = sum((F.coalesce(F.col(c) > 0.05, F.lit(False)).cast("int") for c in weights), F.lit(0))
-    neg = sum((F.coalesce(F.col(c) < -0.05, F.lit(False)).cast("int") for c in weights), F.lit(0))
-    score = s * (1 - F.least(absent * missing, F.lit(most)))
-    df = df.withColumn("composite", score * F.col(tilt) if tilt else score).withColumn("missing", absent)
-    return df.withColumn("confidence", F.coalesce(div(F.greatest(pos, neg), F.nullif(pos + neg, F.lit(0))), F.lit(0.0)))
+    pos = sum((F.coalesce(F.col(c) > 0.1, F.lit(False)).cast("int") for c in weights), F.lit(0))
+    neg = sum((F.coalesce(F.col(c) < -0.1, F.lit(False)).cast("int") for c in weights), F.lit(0))
+    score = s - F.least(absent * missing, F.lit(most))
+    consensus = F.coalesce(div(F.greatest(pos, neg), F.nullif(pos + neg, F.lit(0))), F.lit(0.0))
+    confidence = F.round(F.greatest(F.lit(0.0), F.round(0.5 + 0.5 * consensus, 3) - F.least(absent * 0.1, F.lit(0.5))), 3)
+    return df.withColumn("composite", score * F.col(tilt) if tilt else score).withColumn("missing", absent).withColumn("confidence", confidence)
 
 
 def percentile_signals(df: DataFrame, score: str = "composite", entity: str = "ticker", by: tuple[str, ...] = ()) -> DataFrame:
@@ -211,11 +262,35 @@ def confidence_weighted(df: DataFrame, by: list[str], score: str = "score", conf
     return s.select(*by, "aggregate", "n", F.when(F.col("aggregate") > 0, F.col("__p")).when(F.col("aggregate") < 0, F.col("__m")).otherwise(0.0).alias("agreement"))
 
 
-def moat_score(margin: str, roe: str, cap: str, growth: str, debt: str) -> Column:
-    """Banded points for margins, return on equity, size, growth and debt, inside [0, 1]."""
-    z = lambda c, *bands: F.coalesce(F.coalesce(*[F.when(F.col(c) >= b, p) for b, p in bands]), F.lit(0.0))
-    points = z(margin, (0.6, 0.25), (0.4, 0.15)) + z(roe, (0.2, 0.2), (0.12, 0.1)) + z(cap, (2e11, 0.2), (5e10, 0.1)) + z(growth, (0.15, 0.15), (0.05, 0.05)) - F.coalesce(F.when(F.col(debt) > 2, 0.1), F.lit(0.0))
-    return clip(points + 0.2, 0, 1)
+def moat_score(gross: str, roe: str, cap: str, profit: str, growth: str, operating: str, debt: str) -> Column:
+    """Points for margins, return on equity, size, growth and debt (in percent of equity), inside [0, 1]; unknown and zero values give
+    none."""
+    def points(c: str, *bands: tuple[float, float]) -> Column:
+        return F.coalesce(*[F.when(F.col(c) > limit, p) for limit, p in bands], F.lit(0.0))
+
+    falling = F.when(F.col(growth) < 0, -0.1).otherwise(0.0)
+    owed = F.when(F.col(debt) > 200, -0.1).when((F.col(debt) < 50) & (F.col(debt) != 0), 0.1).otherwise(0.0)
+    total = points(gross, (0.6, 0.2), (0.4, 0.1)) + points(roe, (0.25, 0.2), (0.15, 0.1)) + points(cap, (500e9, 0.15), (100e9, 0.1)) + points(profit, (0.25, 0.15), (0.15, 0.08))
+    return clip(total + points(growth, (0.2, 0.1)) + falling + points(operating, (0.3, 0.1)) + owed, 0, 1)
+
+
+#: Themes that weigh half as much again.
+HOT = ["artificial_intelligence", "cybersecurity", "energy_transition"]
+
+
+def forward_score(momentum: str, moat: str, themes: Column | str, hot: list[str] | None = None) -> Column:
+    """Outlook in [-1, 1]: .6 of the sector's momentum, .18 of the moat beyond .3, and .3 of each of the first three exposures (half as
+    much again for hot themes), up to .4.  themes is an array of (theme, exposure) structs; what is NULL adds nothing."""
+    col_ = F.col(themes) if isinstance(themes, str) else themes
+    worth = F.transform(F.slice(col_, 1, 3), lambda x: x["exposure"] * 0.3 * F.when(x["theme"].isin(hot or HOT), 1.5).otherwise(1.0))
+    theme = F.least(F.lit(0.4), F.aggregate(worth, F.lit(0.0), lambda s, x: s + x))
+    parts = [F.col(momentum) * 2 * 0.3, (F.col(moat) - 0.3) * 0.6 * 0.3, theme]
+    return clip(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)), -1, 1)
+
+
+def outlook(score: str | Column) -> Column:
+    s = col(score)
+    return F.when(s >= 0.3, "strong_tailwinds").when(s >= 0.1, "tailwinds").when(s > -0.1, "neutral").when(s > -0.3, "headwinds").otherwise("strong_headwinds")
 
 
 def moat_width(score: str) -> Column:
@@ -259,7 +334,12 @@ def alpha_decay(days: str | Column, points: list[tuple[float, float]]) -> Column
     return out.otherwise(points[-1][1])
 
 
-def penalised(score: str, residual: str, year_return: str, drawdown: str) -> Column:
-    """Linear and quadratic malus for weak residual momentum, and extras for a bad year or a deep drawdown."""
+def penalised(score: str, residual: str, year_return: str, drawdown: str, threshold: float = -40.0, scale: float = 0.5) -> Column:
+    """Score less a malus for residual momentum below -1 (.5 and .2 of its excess and its square), .5 for each 10 % that the year's
+    return lies below -30 %, and ``scale`` for each 10 % that the drawdown lies below ``threshold`` (in percent); NULLs cost nothing."""
     weak = F.greatest(-1 - F.coalesce(residual, F.lit(0.0)), F.lit(0.0))
-    return F.col(score) - 0.5 * weak - 0.25 * weak * weak - F.when(F.col(year_return) < -0.2, 0.5).otherwise(0.0) - F.when(F.col(drawdown) < -0.4, 0.5).otherwise(0.0)
+    year = F.least(F.lit(0.0), (F.col(year_return) * 100 + 30) / 10 * 0.5)
+    deep = F.least(F.lit(0.0), (F.col(drawdown) * 100 - threshold) / 10) * scale
+    return F.col(score) - 0.5 * weak - 0.2 * weak * weak + F.coalesce(year.cast("double"), F.lit(0.0)) + F.coalesce(deep.cast("double"), F.lit(0.0))
+
+

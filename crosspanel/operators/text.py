@@ -200,15 +200,30 @@ def timeline(first: DataFrame, entity: str, term: str) -> DataFrame:
     return t.withColumn("median_date", F.date_from_unix_date(F.col("median_date").cast("int")) if kind == "date" else F.col("median_date").cast(kind))
 
 
-def pioneer_score(first: DataFrame, lines: DataFrame, entity: str, term: str, as_of: str, emerging: list[str] | None = None, half: float = 24.0) -> DataFrame:
-    """Per entity: months of lead over the median adopter faded with a half-life, breadth, emerging terms, and their mix in [0, 1]."""
+def pioneer_score(first: DataFrame, lines: DataFrame, entity: str, term: str, as_of: str, emerging: list[str] | None = None, half: float = 24.0, relevance: DataFrame | None = None) -> DataFrame:
+    """Per entity: months of lead over the median adopter faded with a half-life, breadth, emerging terms, and their mix in [0, 1]: .3
+    breadth (of 8), .4 emerging (of 4), .3 lead (of 12 months).
+
+    ``relevance`` (entity, term, weight), where given, adds the sector's part: half the number of terms of weight 1.5 or more (of 4),
+    half the weighted lead (terms not named weigh 1).  Where that is above 0 it makes a quarter of the score.
+    """
     joined = first.join(lines.select(term, "median_date"), term)
     lead = F.datediff("median_date", "first_date") / 30.44
     age = F.datediff(F.lit(as_of).cast("date"), "first_date") / 30.44
     joined = joined.withColumn("__l", lead * F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / half)).withColumn("__e", F.col(term).isin(*(emerging or [""])))
-    s = joined.groupBy(entity).agg(F.avg("__l").alias("lead_months"), F.count("*").alias("breadth"), F.sum(F.col("__e").cast("long")).alias("emerging"))
-    score = 0.4 * clip(F.col("lead_months") / 12, 0, 1) + 0.3 * F.least(F.col("breadth") / 8, F.lit(1.0)) + 0.3 * F.least(F.col("emerging") / 4, F.lit(1.0))
-    return s.withColumn("score", score)
+    if relevance is None:
+        joined = joined.withColumn("__w", F.lit(None).cast("double"))
+    else:
+        known = relevance.select(entity).distinct().withColumn("__in", F.lit(True))
+        joined = joined.join(relevance.select(entity, term, F.col("weight").alias("__w")), [entity, term], "left").join(known, entity, "left")
+        joined = joined.withColumn("__w", F.when(F.col("__in"), F.coalesce("__w", F.lit(1.0)))).drop("__in")
+    s = joined.groupBy(entity).agg(
+        F.avg("__l").alias("lead_months"), F.count("*").alias("breadth"), F.sum(F.col("__e").cast("long")).alias("emerging"),
+        F.count(F.when(F.col("__w") >= 1.5, 1)).alias("__near"), F.avg(F.col("__l") * F.col("__w")).alias("__sl"),
+    )
+    base = 0.3 * F.least(F.col("breadth") / 8, F.lit(1.0)) + 0.4 * F.least(F.col("emerging") / 4, F.lit(1.0)) + 0.3 * clip(F.col("lead_months") / 12, 0, 1)
+    sector = F.when(F.col("__sl").isNotNull(), 0.5 * F.least(F.col("__near") / 4, F.lit(1.0)) + 0.5 * clip(F.col("__sl") / 12, 0, 1)).otherwise(0.0)
+    return s.withColumn("score", F.when(sector > 0, 0.75 * base + 0.25 * sector).otherwise(base)).drop("__near", "__sl")
 
 
 def labelled_value(text: str | Column, label: str, low: float | None = None, high: float | None = None, default: float | None = None) -> Column:

@@ -255,13 +255,29 @@ def _(t):
     return rounded(U.well_covered(U.coverage(h, ["a", "b"]), 0.3))
 
 
-@query("u10_quality_value", f"""{_FUND}, m AS (SELECT *, gross_margin - median(gross_margin) OVER g AS gm, pe_ratio / nullif(median(pe_ratio) OVER g, 0) AS pe, CASE WHEN debt_equity > 10 THEN debt_equity / 100 ELSE debt_equity END AS de FROM f WINDOW g AS (PARTITION BY date, sector)),
- p AS (SELECT *, CASE WHEN roe IS NULL THEN NULL WHEN roe >= 0.2 THEN 25 WHEN roe >= 0.15 THEN 20 WHEN roe >= 0.1 THEN 12 WHEN roe >= 0 THEN 5 ELSE 0 END AS a, CASE WHEN gm IS NULL THEN NULL WHEN gm >= 0.1 THEN 25 WHEN gm >= 0 THEN 15 WHEN gm >= -0.1 THEN 5 ELSE 0 END AS b, CASE WHEN de IS NULL THEN NULL WHEN de <= 0.5 THEN 25 WHEN de <= 1 THEN 15 WHEN de <= 2 THEN 5 ELSE 0 END AS c,
-  CASE WHEN pe IS NULL THEN NULL WHEN pe <= 0.7 THEN 50 WHEN pe <= 1 THEN 30 WHEN pe <= 1.3 THEN 10 ELSE 0 END AS d, CASE WHEN pb_ratio IS NULL THEN NULL WHEN pb_ratio <= 1.5 THEN 50 WHEN pb_ratio <= 3 THEN 30 WHEN pb_ratio <= 5 THEN 10 ELSE 0 END AS e FROM m),
- q AS (SELECT date, ticker, 100.0 * (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif(25 * ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT), 0) AS q, 100.0 * (coalesce(d, 0) + coalesce(e, 0)) / nullif(50 * ((d IS NOT NULL)::INT + (e IS NOT NULL)::INT), 0) AS v FROM p), z AS (SELECT *, coalesce((q + v) / 2, q, v) AS z FROM q)
- SELECT date, ticker, round(q, 4) AS quality_score, round(v, 4) AS value_score, round(z, 4) AS combined, CASE WHEN z >= 80 THEN 'A' WHEN z >= 65 THEN 'B' WHEN z >= 50 THEN 'C' WHEN z >= 35 THEN 'D' WHEN z IS NOT NULL THEN 'F' END AS grade FROM z""")
-def _(t):
-    return rounded(U.quality_value(_fundamentals(t)).select("date", "ticker", "quality_score", "value_score", "combined", "grade"))
+_BAND = lambda x, *bands: f"CASE WHEN {x} IS NOT NULL THEN CASE " + " ".join(f"WHEN {x} >= {b} THEN {p}" for b, p in bands) + " ELSE 0 END END"
+_UNDER = lambda x, *bands: f"CASE WHEN {x} > 0 THEN CASE " + " ".join(f"WHEN {x} < {b} THEN {p}" for b, p in bands) + " ELSE 0 END END"
+_PARTS = {
+    "q": [(_BAND("roe", (0.15, 20), (0.10, 12), (0.05, 5)), 20), (_BAND("roa", (0.08, 15), (0.05, 10), (0.02, 5)), 15), (_BAND("gross_margin", ("gm * 1.2::DOUBLE", 15), ("gm", 10), ("gm * 0.8::DOUBLE", 5)), 15),
+          (_BAND("operating_margin", (0.15, 15), (0.10, 10), (0.05, 5)), 15), ("CASE WHEN de IS NOT NULL THEN CASE WHEN de <= 0.5 THEN 15 WHEN de <= 1 THEN 10 WHEN de <= 2 THEN 5 ELSE 0 END END", 15),
+          (_BAND("current_ratio", (1.5, 10), (1.0, 6)), 10), (_BAND("earnings_growth", (0.2, 10), (0.1, 7), (0, 4)), 10)],
+    "v": [(f"CASE WHEN pe_ratio < 0 THEN 0 ELSE {_UNDER('pe_ratio', (15, 25), ('pm', 15), ('pm * 1.5::DOUBLE', 8))} END", 25), (_UNDER("pb_ratio", (3, 20), (5, 12), (10, 5)), 20), (_UNDER("ev_ebitda", (10, 20), (15, 12), (20, 5)), 20),
+          (_UNDER("ps_ratio", (2, 15), (5, 8), (10, 3)), 15), (_BAND("fcf_yield", (0.05, 20), (0.03, 12), (0.01, 5)), 20)],
+}
+_SHARE = {k: "coalesce(100.0 * (" + " + ".join(f"coalesce({x}, 0)" for x, _ in parts) + ") / nullif(" + " + ".join(f"CASE WHEN ({x}) IS NOT NULL THEN {m} ELSE 0 END" for x, m in parts) + ", 0), 0)" for k, parts in _PARTS.items()}
+_GRADE = lambda x: f"CASE WHEN {x} >= 80 THEN 'A' WHEN {x} >= 65 THEN 'B' WHEN {x} >= 50 THEN 'C' WHEN {x} >= 35 THEN 'D' ELSE 'F' END"
+
+
+@query("u10_quality_value", f"""{_FUND}, m AS (SELECT *, CASE ticker WHEN 'BUILDING' THEN 0.55 WHEN 'MACHINERY' THEN 0.30 ELSE 0.40 END::DOUBLE AS gm, CASE ticker WHEN 'BUILDING' THEN 28 WHEN 'MACHINERY' THEN 18 ELSE 18 END::DOUBLE AS pm, roe / 2 AS roa,
+  gross_margin * 3 AS operating_margin, CASE WHEN debt_equity > 10 THEN debt_equity / 100 ELSE debt_equity END AS de, pb_ratio / 3 AS current_ratio, roe - 0.1 AS earnings_growth, pe_ratio - 1 AS ev_ebitda, CASE WHEN ps_ratio > 5 THEN roe / 4 END AS fcf_yield FROM f),
+ s AS (SELECT date, ticker, {_SHARE['q']} AS q, {_SHARE['v']} AS v FROM m), c AS (SELECT *, (q + v) / 2 AS c FROM s)
+ SELECT date, ticker, round(q, 4) AS quality_score, round(v, 4) AS value_score, round(c, 4) AS composite_score, {_GRADE('q')} AS quality_grade, {_GRADE('v')} AS value_grade, CASE WHEN c >= 65 THEN 'long' WHEN c <= 35 THEN 'short' END AS direction,
+  CASE WHEN c >= 80 THEN 'strong' WHEN c >= 65 THEN 'moderate' WHEN c <= 20 THEN 'strong' WHEN c <= 35 THEN 'weak' ELSE 'none' END AS strength FROM c""")
+def _(t):
+    f = _fundamentals(t).withColumn("sector", F.when(F.col("ticker") == "BUILDING", "Technology").when(F.col("ticker") == "MACHINERY", "Industrials").otherwise("Other"))
+    more = {"roa": F.col("roe") / 2, "operating_margin": F.col("gross_margin") * 3, "current_ratio": F.col("pb_ratio") / 3, "earnings_growth": F.col("roe") - 0.1, "ev_ebitda": F.col("pe_ratio") - 1, "fcf_yield": F.when(F.col("ps_ratio") > 5, F.col("roe") / 4)}
+    out = U.quality_value(f.withColumns(more))
+    return rounded(out.select("date", "ticker", "quality_score", "value_score", "composite_score", "quality_grade", "value_grade", "direction", "strength"))
 
 
 @query("u11_ttm_growth", f"{_FUND}, s AS (SELECT *, {roll('sum', 'revenue', 4)} AS ttm FROM f), g AS (SELECT *, lag(ttm, 4) {W} AS b FROM s) SELECT ticker, date, round(ttm, 2) AS revenue_ttm, round((ttm - b) / nullif(abs(b), 0), 4) AS revenue_growth FROM g")

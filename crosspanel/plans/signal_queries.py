@@ -106,11 +106,20 @@ def _(t):
     return N.timeline(N.first_mentions(_mentions(t), "source", "term", "doc_id"), "source", "term")
 
 
-@query("n18_pioneer_score", f"WITH {_MENT}, f AS (SELECT source, term, min(DATE '2020-01-01' + CAST(doc_id AS INTEGER)) AS d FROM m GROUP BY 1, 2), t AS (SELECT term, list_sort(list(d))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS md FROM f GROUP BY 1), j AS (SELECT source, term, (md - d) / 30.44 * pow(0.5, greatest((DATE '2023-01-01' - d) / 30.44, 0) / 24) AS l FROM f JOIN t USING (term)), s AS (SELECT source, avg(l) AS l, count(*) AS b, count(*) FILTER (term = 'with') AS e FROM j GROUP BY 1) SELECT source, round(l, 4) AS lead_months, b AS breadth, e AS emerging, round(0.4 * greatest(least(l / 12, 1), 0) + 0.3 * least(b / 8, 1) + 0.3 * least(e / 4, 1), 4) AS score FROM s")
+_LEADS = f"""{_MENT}, f AS (SELECT source, term, min(DATE '2020-01-01' + CAST(doc_id AS INTEGER)) AS d FROM m GROUP BY 1, 2),
+ t AS (SELECT term, list_sort(list(d))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS md FROM f GROUP BY 1),
+ j AS (SELECT source, term, (md - d) / 30.44 * pow(0.5, greatest((DATE '2023-01-01' - d) / 30.44, 0) / 24) AS l FROM f JOIN t USING (term))"""
+
+
+@query("n18_pioneer_score", f"""WITH {_LEADS}, w AS (SELECT *, CASE WHEN source LIKE '%1%' THEN CASE WHEN term = 'with' THEN 2.0 ELSE 1.0 END END AS w FROM j),
+ s AS (SELECT source, avg(l) AS l, count(*) AS b, count(*) FILTER (term = 'with') AS e, count(*) FILTER (w >= 1.5) AS near, avg(l * w) AS sl FROM w GROUP BY 1),
+ q AS (SELECT *, 0.3 * least(b / 8, 1) + 0.4 * least(e / 4, 1) + 0.3 * greatest(least(l / 12, 1), 0) AS base, CASE WHEN sl IS NULL THEN 0 ELSE 0.5 * least(near / 4, 1) + 0.5 * greatest(least(sl / 12, 1), 0) END AS sector FROM s)
+ SELECT source, round(l, 4) AS lead_months, b AS breadth, e AS emerging, round(CASE WHEN sector > 0 THEN 0.75 * base + 0.25 * sector ELSE base END, 4) AS score FROM q""")
 def _(t):
     m = _mentions(t).withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")))
     f = N.first_mentions(m, "source", "term", "day")
-    return rounded(N.pioneer_score(f, N.timeline(f, "source", "term"), "source", "term", "2023-01-01", ["with"]))
+    relevance = f.select("source").distinct().filter(F.contains("source", F.lit("1"))).withColumn("term", F.lit("with")).withColumn("weight", F.lit(2.0))
+    return rounded(N.pioneer_score(f, N.timeline(f, "source", "term"), "source", "term", "2023-01-01", ["with"], relevance=relevance))
 
 
 @query("n15_period_change", "WITH q AS (SELECT o_custkey AS k, CAST(date_trunc('year', o_orderdate) AS DATE) AS y, count(*) AS n, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders GROUP BY 1, 2), c AS (SELECT *, (n - lag(n) OVER w) / nullif(lag(n) OVER w, 0) AS change, lag(p) OVER w AS o FROM q WINDOW w AS (PARTITION BY k ORDER BY y)) SELECT k, y, round(change, 4) AS change, CASE WHEN change > 0.2 THEN 'accelerating' WHEN change < -0.2 THEN 'declining' WHEN change IS NOT NULL THEN 'stable' END AS trajectory, len(list_filter(p, lambda x: NOT list_contains(o, x))) AS n_added FROM c WHERE o IS NOT NULL")
@@ -120,14 +129,25 @@ def _(t):
     return rounded(d.select("k", "y", "change", "trajectory", F.size("added").cast("long").alias("n_added")))
 
 
-@query("n19_surprise_signal", """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, (CAST(l_tax AS DECIMAL(10, 2)) - CAST(l_discount AS DECIMAL(10, 2))) * 10 AS s, CASE WHEN l_quantity > 25 THEN 1.0 ELSE -1.0 END AS rev FROM lineitem),
- b AS (SELECT *, CASE WHEN s > 0.2 THEN 1 WHEN s > 0.05 THEN 0.6 WHEN s < -0.2 THEN -1 WHEN s < -0.05 THEN -0.6 ELSE 0 END * CASE WHEN sign(rev) = sign(s) THEN 1.2 ELSE 0.7 END AS b, DATE '1996-02-20' - d AS days FROM s)
- SELECT l_orderkey, l_linenumber, days, round(CAST(greatest(least(b * CASE WHEN days < 0 THEN 0 WHEN days <= 10 THEN 1 WHEN days <= 30 THEN 0.7 WHEN days <= 60 THEN 0.4 ELSE 0 END, 1), -1) AS DOUBLE), 4) AS signal FROM b""")
+@query("n19_surprise_signal", """WITH s AS (SELECT l_orderkey, l_linenumber, DATE '1996-02-20' - CAST(l_shipdate AS DATE) AS days, (CAST(l_tax AS DECIMAL(10, 2)) - CAST(l_discount AS DECIMAL(10, 2))) * 5 AS s, l_tax > l_discount AS beat,
+  CASE WHEN l_linenumber > 1 THEN l_linenumber % 2 = 0 END AS prior, CASE WHEN l_returnflag <> 'N' THEN (CAST(l_quantity AS DECIMAL(10, 3)) - 25) / 500 END AS r FROM lineitem),
+ a AS (SELECT *, abs(s) > 0.2 AS big, abs(s) >= 0.05 AS small, r IS NOT NULL AND (r > 0) = beat AS same, CASE WHEN days <= 10 THEN 'fresh' WHEN days <= 30 THEN 'recent' WHEN days <= 60 THEN 'stale' ELSE 'expired' END AS freshness FROM s),
+ b AS (SELECT *, CASE WHEN big THEN CASE WHEN r IS NULL THEN CASE WHEN prior IS NOT DISTINCT FROM beat THEN 'strong' ELSE 'moderate' END WHEN same THEN 'strong' ELSE 'moderate' END
+   WHEN small AND same AND abs(r) >= 0.05 THEN 'moderate' ELSE 'weak' END AS strength,
+  CASE WHEN big AND r IS NULL THEN 0.0302 WHEN big AND same THEN 0.0302 * 1.4 WHEN big THEN 0.0302 * 0.7 WHEN small THEN 0.0184 ELSE 0 END * CASE WHEN beat THEN 1 ELSE -1 END AS e FROM a)
+ SELECT l_orderkey, l_linenumber, days, freshness, CASE WHEN small THEN CASE WHEN beat THEN 'long' ELSE 'short' END ELSE 'neutral' END AS direction, strength, round(CAST(e AS DOUBLE), 6) AS expected_return,
+  CASE WHEN freshness IN ('fresh', 'recent') AND (strength <> 'weak' OR small) THEN 40 WHEN freshness = 'stale' AND strength <> 'weak' THEN 20 END AS hold_days,
+  round(CAST(CASE WHEN r IS NULL THEN s ELSE 0.7 * s + 0.3 * r END AS DOUBLE), 6) AS composite_surprise FROM b""")
 def _(t):
     # Decimals, so that surprises that equal a threshold do so in any engine.
-    surprise = (F.col("l_tax").cast("decimal(10,2)") - F.col("l_discount").cast("decimal(10,2)")) * 1000
-    s = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("announcement_date"), surprise.alias("surprise"), F.when(F.col("l_quantity") > 25, 1.0).otherwise(-1.0).alias("revenue_surprise"))
-    return rounded(G.surprise_signal(s, "1996-02-20").select("l_orderkey", "l_linenumber", F.col("days").cast("long").alias("days"), "signal"))
+    surprise = (F.col("l_tax").cast("decimal(10,2)") - F.col("l_discount").cast("decimal(10,2)")) * 5
+    revenue = F.when(F.col("l_returnflag") != "N", (F.col("l_quantity").cast("decimal(10,3)") - 25) / 500)
+    s = t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("announcement_date"), surprise.alias("surprise"), (F.col("l_tax") > F.col("l_discount")).alias("beat"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") % 2 == 0).alias("prior_beat"), revenue.alias("revenue_surprise"),
+    )
+    out = G.surprise_signal(s, "1996-02-20").withColumn("composite_surprise", F.col("composite_surprise").cast("double"))
+    return rounded(out.select("l_orderkey", "l_linenumber", F.col("days").cast("long").alias("days"), "freshness", "direction", "strength", "expected_return", "hold_days", "composite_surprise"), digits=6)
 
 
 _TR = "tr AS (SELECT event_type AS ticker, user_id AS who, CASE WHEN event_id % 2 = 0 THEN 'P' ELSE 'S' END AS side, CAST(ts AS DATE) AS d, CAST(value * 100 AS DECIMAL(18, 4)) AS v FROM events)"
@@ -150,28 +170,37 @@ def _(t):
 
 @query("n21_n22_separate_clusters", f"WITH RECURSIVE {_SEP} SELECT ticker, side AS transaction_type, start, stop AS \"end\", insiders, CAST(value AS DOUBLE) AS value FROM sep")
 def _(t):
-    return G.separate_clusters(G.insider_clusters(_trades(t), 5, 3)).withColumn("value", F.col("value").cast("double"))
+    return G.separate_clusters(G.insider_clusters(_trades(t), 5, 3)).drop("role_weight").withColumn("value", F.col("value").cast("double"))
 
 
-@query("n23_insider_score", f"""WITH RECURSIVE {_SEP}, w AS (SELECT ticker, CASE WHEN side = 'P' THEN 1 ELSE -1 END * CAST(v AS DOUBLE) * CASE WHEN who = 0 THEN 3.0 ELSE 1.0 END AS x FROM tr), n AS (SELECT ticker, sum(x) / nullif(sum(abs(x)), 0) AS net FROM w GROUP BY 1),
- c AS (SELECT ticker, greatest(least(sum(CASE WHEN side = 'P' THEN 0.3 ELSE -0.3 END * insiders), 1), -1) AS c FROM sep GROUP BY 1)
- SELECT ticker, round(greatest(least(0.4 * coalesce(net, 0) + 0.6 * CAST(coalesce(c, 0) AS DOUBLE), 1), -1), 4) AS insider_score FROM n LEFT JOIN c USING (ticker)""")
+@query("n23_insider_score", f"""WITH RECURSIVE {_SEP}, w AS (SELECT *, CASE WHEN who = 0 THEN 1.0 ELSE 0.3 END::DOUBLE AS w FROM tr),
+ n AS (SELECT ticker, coalesce(sum(v::DOUBLE * w) FILTER (side = 'P'), 0) AS up, coalesce(sum(v::DOUBLE * w) FILTER (side <> 'P'), 0) AS down, sum(v)::DOUBLE AS v, count(*) AS n FROM w GROUP BY 1),
+ r AS (SELECT sep.ticker, sep.side, sep.start, any_value(sep.insiders) AS insiders, avg(w.w) AS role FROM sep JOIN w ON w.ticker = sep.ticker AND w.side = sep.side AND w.d BETWEEN sep.start AND sep.start + 5 GROUP BY 1, 2, 3),
+ c AS (SELECT ticker, sum((insiders - 2) * 0.15 * role * CASE WHEN side = 'P' THEN 1 ELSE -0.5 END) AS c FROM r GROUP BY 1)
+ SELECT ticker, round(CAST(greatest(least(0.4 * CASE WHEN v > 0 THEN (up - down) / (up + down + 1) ELSE 0 END + 0.6 * coalesce(c, 0), 1), -1) AS DOUBLE), 4) AS insider_score,
+  round(CAST(least(1, least(1, n / 10) * 0.5 + CASE WHEN c IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN v > 1000000 THEN 0.2 ELSE 0 END) AS DOUBLE), 4) AS confidence FROM n LEFT JOIN c USING (ticker)""")
 def _(t):
-    tr = _trades(t).withColumn("role_weight", F.when(F.col("insider_name") == 0, 3.0).otherwise(1.0))
-    clusters = G.separate_clusters(G.insider_clusters(tr, 5, 3))
+    tr = _trades(t).withColumn("role_weight", F.when(F.col("insider_name") == 0, 1.0).otherwise(0.3))
+    clusters = G.separate_clusters(G.insider_clusters(tr, 5, 3, role="role_weight"))
     return rounded(G.insider_score(tr.withColumn("total_value", F.col("total_value").cast("double")), clusters))
 
 
-@query("n24_patent_score", "WITH s AS (SELECT o_custkey AS ticker, count(*) FILTER (a < 365) AS recent, count(*) FILTER (a BETWEEN 365 AND 729) AS before, avg(o_totalprice / 10000) AS c, count(DISTINCT o_orderpriority) AS k, avg(o_orderkey % 30) AS m FROM (SELECT *, DATE '2000-01-01' - CAST(o_orderdate AS DATE) AS a FROM orders) WHERE a >= 0 GROUP BY 1) SELECT ticker, recent, before, CASE WHEN (recent - before) / nullif(before, 0) > 0.2 THEN 'rising' WHEN (recent - before) / nullif(before, 0) < -0.2 THEN 'falling' ELSE 'stable' END AS trend, round(25 * least(recent / 50, 1) + 25 * least(c / 20, 1) + 25 * least(k / 5, 1) + 25 * least(m / 20, 1), 4) AS score FROM s")
+@query("n24_patent_score", """WITH s AS (SELECT o_custkey AS ticker, count(*) AS patents, max(a) AS first, count(*) FILTER (a < 365) AS recent, count(*) FILTER (a > 365 AND a < 730) AS before, avg(o_orderkey % 30) AS k,
+  count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS e, count(DISTINCT o_orderpriority) AS areas FROM (SELECT *, DATE '2000-01-01' - CAST(o_orderdate AS DATE) AS a FROM orders) WHERE a >= 0 GROUP BY 1),
+ p AS (SELECT *, patents / greatest(first / 365, 1) AS velocity FROM s), q AS (SELECT *, 25 * least(patents / 100, 1) + 25 * least(velocity / 20, 1) + 25 * least(k / 20, 1) + 25 * e / patents AS score FROM p)
+ SELECT ticker, patents, recent, before, round(velocity, 4) AS velocity, round(score, 4) AS score, CASE WHEN recent > before * 1.2 THEN 'accelerating' WHEN recent < before * 0.8 THEN 'decelerating' ELSE 'stable' END AS trend,
+  CASE WHEN score >= 75 THEN 'pioneer' WHEN score >= 50 THEN 'leader' WHEN score >= 25 THEN 'average' ELSE 'laggard' END AS rank, CAST(CASE WHEN score >= 75 THEN 0.8 WHEN score >= 50 THEN 0.5 WHEN score >= 25 THEN 0 ELSE -0.3 END AS DOUBLE) AS strength,
+  round(least(areas * sqrt(patents / areas) / 20, 1), 4) AS moat FROM q""")
 def _(t):
-    p = t("orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("filing_date"), (F.col("o_totalprice") / 10000).alias("citation_count"), F.col("o_orderpriority").alias("area"), (F.col("o_orderkey") % 30).alias("claims_count"))
-    return rounded(G.patent_score(p, "2000-01-01"))
+    p = t("orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("filing_date"), F.col("o_orderpriority").alias("area"), (F.col("o_orderkey") % 30).alias("claims_count"))
+    return rounded(G.patent_score(p, "2000-01-01", ["1-URGENT", "2-HIGH"]))
 
 
-@query("n25_sector_boost", "WITH s AS (SELECT p_type AS sector, avg(p_retailprice) AS strength FROM part GROUP BY 1) SELECT sector, CAST(row_number() OVER (ORDER BY strength DESC, sector) AS BIGINT) AS rank, CASE WHEN row_number() OVER (ORDER BY strength DESC, sector) <= 2 THEN 0.1::DOUBLE WHEN row_number() OVER (ORDER BY strength DESC, sector) > count(*) OVER () - 2 THEN -0.1 ELSE 0 END AS boost FROM s")
+@query("n25_sector_boost", """WITH s AS (SELECT p_type AS sector, avg(p_retailprice) AS strength FROM part GROUP BY 1), k AS (SELECT sector, row_number() OVER (ORDER BY strength DESC, sector) AS k, count(*) OVER () AS n FROM s)
+ SELECT sector, CAST(k AS BIGINT) AS rank, round(CAST(CASE WHEN k <= 3 THEN 0.3 * (1 - (k - 1) / 3) WHEN k > n - 3 THEN -0.25 * (k - (n - 3)) / 3 ELSE 0 END AS DOUBLE), 6) AS boost FROM k""")
 def _(t):
     s = t("part").groupBy(F.col("p_type").alias("sector")).agg(F.avg("p_retailprice").alias("strength"))
-    return G.sector_boost(s, n=2).select("sector", "rank", "boost")
+    return rounded(G.sector_boost(s).select("sector", "rank", "boost"), digits=6)
 
 
 @query("n26_breadth_tilt", "WITH s AS (SELECT p_type AS sector, count(*) AS n, avg(p_retailprice / 1000 - 1.45) AS mean_score, avg(CASE WHEN p_retailprice / 1000 - 1.45 > 0.05 THEN 1.0 ELSE 0.0 END) AS breadth FROM part GROUP BY 1) SELECT sector, n, round(mean_score, 4) AS mean_score, round(breadth, 4) AS breadth, round(greatest(least(1 + 0.5 * tanh(coalesce((breadth - avg(breadth) OVER ()) / nullif(stddev_pop(breadth) OVER (), 0), 0) / 2), 1.2), 0.8), 4) AS tilt FROM s")
@@ -205,14 +234,22 @@ def _scored(t):
     return c.select(F.col("c_custkey").alias("ticker"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal") / 10000).alias("a"), (F.col("c_custkey") % 21 / 10.0 - 1).alias("b"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey") / 12.5 - 1).alias("c"))
 
 
-_COMP = f"WITH {_SC}, co AS (SELECT *, (coalesce(a, 0) * 0.5 + coalesce(b, 0) * 0.3 + coalesce(c, 0) * 0.2) * (1 - least(((a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT) * 0.05, 0.2)) AS composite, (coalesce(a > 0.05, false)::INT + coalesce(b > 0.05, false)::INT + coalesce(c > 0.05, false)::INT) AS p, (coalesce(a < -0.05, false)::INT + coalesce(b < -0.05, false)::INT + coalesce(c < -0.05, false)::INT) AS n FROM sc)"
+_COMP = f"""WITH {_SC}, co AS (SELECT *, (a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT AS absent, coalesce(a, 0) * 0.5 + coalesce(b, 0) * 0.3 + coalesce(c, 0) * 0.2 - least(((a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT) * 0.05, 0.2) AS composite,
+ (coalesce(a > 0.1, false)::INT + coalesce(b > 0.1, false)::INT + coalesce(c > 0.1, false)::INT) AS p, (coalesce(a < -0.1, false)::INT + coalesce(b < -0.1, false)::INT + coalesce(c < -0.1, false)::INT) AS n FROM sc)"""
 
 
-@query("n29_composite", f"{_COMP} SELECT ticker, round(composite, 4) AS composite, round(coalesce(greatest(p, n) / nullif(p + n, 0), 0), 4) AS confidence FROM co")
+@query("n29_composite", f"{_COMP} SELECT ticker, round(composite, 4) AS composite, round(greatest(0, round(0.5 + 0.5 * coalesce(greatest(p, n) / nullif(p + n, 0), 0), 3) - least(absent * 0.1, 0.5)), 3)::DOUBLE AS confidence FROM co")
 def _(t):
     return rounded(G.composite(_scored(t), {"a": 0.5, "b": 0.3, "c": 0.2}).select("ticker", "composite", "confidence"))
 
 
+@query("n30_percentile_signal_all_columns", f"{_COMP}, k AS (SELECT *, (row_number() OVER (ORDER BY round(composite, 9) DESC, ticker) - 1) / count(*) OVER () AS k FROM co) SELECT ticker, round(composite, 9) AS composite, absent AS missing, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, CASE WHEN k < 0.1 AND composite > 0 THEN 'strong_buy' WHEN k < 0.25 AND composite > 0 THEN 'buy' WHEN k >= 0.9 AND composite < 0 THEN 'strong_sell' WHEN k >= 0.75 AND composite < 0 THEN 'sell' ELSE 'hold' END AS signal FROM k")
+def _(t):
+    c = G.composite(_scored(t), {"a": 0.5, "b": 0.3, "c": 0.2}).withColumn("composite", F.round("composite", 9)).drop("confidence")
+    out = G.percentile_signals(c)
+    return out.select("ticker", "composite", "missing", *[F.round(x, 4).alias(x) for x in "abc"], "signal")
+
+
 @query("n30_percentile_signal", f"{_COMP}, k AS (SELECT *, (row_number() OVER (ORDER BY round(composite, 6) DESC, ticker) - 1) / count(*) OVER () AS k FROM co) SELECT ticker, CASE WHEN k < 0.1 AND composite > 0 THEN 'strong_buy' WHEN k < 0.25 AND composite > 0 THEN 'buy' WHEN k >= 0.9 AND composite < 0 THEN 'strong_sell' WHEN k >= 0.75 AND composite < 0 THEN 'sell' ELSE 'hold' END AS signal FROM k")
 def _(t):
     c = G.composite(_scored(t), {"a": 0.5, "b": 0.3, "c": 0.2}).withColumn("composite", F.round("composite", 6))
@@ -247,16 +284,38 @@ def _(t):
     return rounded(G.theme_exposure(p, themes).select("ticker", "theme", "exposure"))
 
 
+_INFO = """WITH i AS (SELECT p_partkey, p_size / 60 AS gross, CASE WHEN p_size % 7 > 0 THEN p_size / 150 END AS roe, p_retailprice * 4e8 AS cap, p_size / 180 AS profit, p_size / 200 - 0.05 AS growth, p_size / 140 AS operating, CAST(p_size * 5 - 10 AS DOUBLE) AS debt FROM part),
+ m AS (SELECT *, greatest(0, least(1, CASE WHEN gross > 0.6 THEN 0.2 WHEN gross > 0.4 THEN 0.1 ELSE 0 END + CASE WHEN roe > 0.25 THEN 0.2 WHEN roe > 0.15 THEN 0.1 ELSE 0 END + CASE WHEN cap > 5e11 THEN 0.15 WHEN cap > 1e11 THEN 0.1 ELSE 0 END
+  + CASE WHEN profit > 0.25 THEN 0.15 WHEN profit > 0.15 THEN 0.08 ELSE 0 END + CASE WHEN growth > 0.2 THEN 0.1 WHEN growth < 0 THEN -0.1 ELSE 0 END + CASE WHEN operating > 0.3 THEN 0.1 ELSE 0 END
+  + CASE WHEN debt > 200 THEN -0.1 WHEN debt < 50 AND debt <> 0 THEN 0.1 ELSE 0 END)) AS moat FROM i)"""
+
+
+@query("n34_forward_score", f"""{_INFO}, f AS (SELECT *, growth * 0.6 + (moat - 0.3) * 0.18 + least(0.4, gross * 0.3 * CASE WHEN p_partkey % 3 = 0 THEN 1.5 ELSE 1 END + roe_ * 0.3) AS f0 FROM (SELECT *, coalesce(roe, 0) AS roe_ FROM m))
+ SELECT p_partkey, round(CAST(moat AS DOUBLE), 4) AS moat, CASE WHEN round(moat, 9) >= 0.6 THEN 'wide' WHEN round(moat, 9) >= 0.35 THEN 'narrow' ELSE 'none' END AS width, round(CAST(greatest(-1, least(1, f0)) AS DOUBLE), 4) AS score,
+  CASE WHEN round(f0, 9) >= 0.3 THEN 'strong_tailwinds' WHEN round(f0, 9) >= 0.1 THEN 'tailwinds' WHEN round(f0, 9) > -0.1 THEN 'neutral' WHEN round(f0, 9) > -0.3 THEN 'headwinds' ELSE 'strong_headwinds' END AS outlook FROM f""")
+def _(t):
+    size = F.col("p_size")
+    i = t("part").select(
+        "p_partkey", (size / 60).alias("gross"), F.when(size % 7 > 0, size / 150).alias("roe"), (F.col("p_retailprice") * 4e8).alias("cap"), (size / 180).alias("profit"),
+        (size / 200 - 0.05).alias("growth"), (size / 140).alias("operating"), (size * 5 - 10).cast("double").alias("debt"),
+    )
+    i = i.withColumn("moat", F.round(G.moat_score("gross", "roe", "cap", "profit", "growth", "operating", "debt"), 9))
+    name = F.when(F.col("p_partkey") % 3 == 0, "cybersecurity").otherwise("other")
+    themes = F.array(F.struct(name.alias("theme"), F.col("gross").alias("exposure")), F.struct(F.lit("x").alias("theme"), F.coalesce("roe", F.lit(0.0)).alias("exposure")))
+    out = i.withColumn("score", F.round(G.forward_score("growth", "moat", themes), 9))
+    return rounded(out.select("p_partkey", "moat", G.moat_width("moat").alias("width"), "score", G.outlook("score").alias("outlook")))
+
+
 @query("n35_alpha_decay", "SELECT p_partkey, round(CASE WHEN p_size <= 5 THEN 1 WHEN p_size <= 20 THEN 1 - 0.5 * (p_size - 5) / 15.0 WHEN p_size <= 45 THEN 0.5 - 0.4 * (p_size - 20) / 25.0 ELSE 0.1 END, 4) AS alpha FROM part")
 def _(t):
     return rounded(t("part").select("p_partkey", G.alpha_decay("p_size", [(5, 1.0), (20, 0.5), (45, 0.1)]).alias("alpha")))
 
 
-@query("n37_penalties", "WITH s AS (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(12, 2)) / 1000 AS s, CAST(c_custkey % 40 AS DECIMAL(6, 2)) / 10 - 3 AS r, CAST(c_nationkey * 2 - 40 AS DECIMAL(6, 2)) / 100 AS y, CAST(-c_nationkey * 25 AS DECIMAL(8, 2)) / 1000 AS d FROM customer) SELECT c_custkey, round(CAST(s AS DOUBLE) - 0.5 * greatest(-1 - r, 0) - 0.25 * greatest(-1 - r, 0) * greatest(-1 - r, 0) - CASE WHEN round(y, 6) < -0.2 THEN 0.5 ELSE 0 END - CASE WHEN round(d, 6) < -0.4 THEN 0.5 ELSE 0 END, 6) AS score FROM s")
+@query("n37_penalties", """WITH s AS (SELECT c_custkey, c_acctbal / 1000 AS s, c_custkey % 40 / 10.0 - 3 AS r, CASE WHEN c_custkey % 9 > 0 THEN CAST(c_nationkey * 2 - 40 AS DECIMAL(6, 2)) / 100 END AS y, CAST(-c_nationkey * 25 AS DECIMAL(8, 2)) / 1000 AS d FROM customer)
+ SELECT c_custkey, round(s - 0.5 * greatest(-1 - r, 0) - 0.2 * greatest(-1 - r, 0) * greatest(-1 - r, 0) + coalesce(least(0, (y * 100 + 30) / 10 * 0.5), 0) + least(0, (d * 100 + 40) / 10) * 0.5, 6) AS score FROM s""")
 def _(t):
-    # Decimals for what is compared, so that ties with the limits are exact.
-    year, fall = (F.col("c_nationkey") * 2 - 40).cast("decimal(6,2)") / 100, (-F.col("c_nationkey") * 25).cast("decimal(8,2)") / 1000
-    c = t("customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("s"), (F.col("c_custkey") % 40 / 10.0 - 3).alias("r"), year.alias("y"), fall.alias("d"))
+    year, fall = F.when(F.col("c_custkey") % 9 > 0, (F.col("c_nationkey") * 2 - 40).cast("decimal(6,2)") / 100), (-F.col("c_nationkey") * 25).cast("decimal(8,2)") / 1000
+    c = t("customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("s"), (F.col("c_custkey") % 40 / 10.0 - 3).alias("r"), year.cast("double").alias("y"), fall.cast("double").alias("d"))
     return rounded(c.select("c_custkey", G.penalised("s", "r", "y", "d").alias("score")), digits=6)
 
 
