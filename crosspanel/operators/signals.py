@@ -111,6 +111,22 @@ def insider_clusters(df: DataFrame, days: int = 30, least: int = 2, entity: str
     return found.filter(F.col("insiders") >= least)
 
 
+def monthly_clusters(df: DataFrame, days: int = 30, least: int = 2, entity: str = "ticker", who: str = "insider_name", side: str = "transaction_type", time: str = "transaction_date", value: str = "total_value") -> DataFrame:
+    """(entity, month, side, start, end, insiders, value): clusters of at most one starting day in each month.
+
+    Of the days of a month on which anyone acts, the first counts from which on ``days`` hold at least so many different insiders on
+    one side; then each side with so many is a cluster, from its first to its last day in the window.  A day is a row of its own and
+    meets a bounded number of windows; no array of an entity's trades is built.
+    """
+    own = df.groupBy(entity, side, who, F.col(time).alias("day")).agg(F.sum(value).alias("value"))
+    starts = own.select(entity, F.col("day").alias("__s")).distinct()
+    reach = own.withColumn("__s", F.explode(F.sequence(F.date_sub("day", days), F.col("day")))).join(starts, [entity, "__s"], "left_semi")
+    found = reach.groupBy(entity, "__s", side).agg(F.count_distinct(who).alias("insiders"), F.sum("value").alias("value"), F.min("day").alias("start"), F.max("day").alias("end"))
+    found = found.filter(F.col("insiders") >= least).withColumn("month", F.trunc("__s", "month"))
+    first = F.min("__s").over(Window.partitionBy(entity, "month"))  # at most the days of a month, twice
+    return found.withColumn("__f", first).filter(F.col("__s") == F.col("__f")).select(entity, "month", side, "start", "end", "insiders", "value")
+
+
 def separate_clusters(clusters: DataFrame, entity: str = "ticker", side: str = "transaction_type") -> DataFrame:
     """Greedy choice of clusters that don't overlap, the largest insiders * value first.
 

@@ -71,6 +71,36 @@ def topic_signal(df: DataFrame, by: list[str], topic: str = "topic", secondary:
     return t.withColumn("__w", w).groupBy(*by).agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("signal"), F.sum("__n").alias("weight"), F.max_by("__t", F.struct("__n", "__t")).alias("top_topic"))
 
 
+#: Fixed values of the earnings signal: what counts as a direction, a strong sentiment, the boost of agreement, and returns of five days.
+SLIGHT, STRONG, AGREEMENT, NEUTRAL_RETURN, BULLISH_RETURN, BEARISH_RETURN = 0.05, 0.2, 1.4, 0.0038, 0.0068, 0.0003
+
+
+def earnings_signal(df: DataFrame, by: list[str], topic: str = "is_earnings", sentiment: str = "sentiment", model: str = "model_score", least: int = 1, firm: int = 2) -> DataFrame:
+    """Per group, from its articles on earnings: sentiment, direction, whether another model agrees, confidence, score and expected return.
+
+    Articles are counted all (``articles``) and on the topic (``on_topic``); sentiments are means over the latter, the model's over those
+    that have one.  Beyond .2 the direction is bullish or bearish, else neutral and not tradeable.  Models agree if their directions
+    (beyond .05) are the same or either is neutral; the same direction that isn't neutral boosts score and confidence by 1.4.
+    Confidence: .5 for the size of the sentiment (of .5), .3 for articles (of 3), .2 for agreement.  A group without articles on the
+    topic has sentiment 0, no direction and no confidence.
+    """
+    about = F.coalesce(F.col(topic), F.lit(False))
+    s = df.groupBy(*by).agg(
+        F.count("*").alias("articles"), F.count(F.when(about, 1)).alias("on_topic"), F.coalesce(F.avg(F.when(about, F.col(sentiment))), F.lit(0.0)).alias("sentiment"),
+        F.avg(F.when(about, F.col(model))).alias("model_sentiment"),
+    )
+    way = lambda c: F.when(F.col(c) > SLIGHT, 1).when(F.col(c) < -SLIGHT, -1).when(F.col(c).isNotNull(), 0)
+    a, b, n, x = way("sentiment"), way("model_sentiment"), F.col("on_topic"), F.col("sentiment")
+    agree = (a == b) | (a == 0) | (b == 0)
+    s = s.withColumn("agree", F.when(b.isNotNull() & (n > 0), agree)).withColumn("boost", F.when((n > 0) & (a == b) & (a != 0), AGREEMENT).otherwise(1.0))
+    s = s.withColumn("direction", F.when(n == 0, F.lit(None)).when(x > STRONG, "bullish").when(x < -STRONG, "bearish").otherwise("neutral"))
+    confidence = F.least(F.abs(x) / 0.5, F.lit(1.0)) * 0.5 + F.least(n / 3, F.lit(1.0)) * 0.3 + F.when(F.col("agree"), 0.2).otherwise(0.0)
+    s = s.withColumn("confidence", F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), confidence * F.col("boost")))).withColumn("score", x * F.sqrt(n) * F.col("boost"))
+    s = s.withColumn("expected_return", F.when(n == 0, F.lit(None)).when(F.col("direction") == "bullish", BULLISH_RETURN).when(F.col("direction") == "bearish", BEARISH_RETURN).otherwise(NEUTRAL_RETURN))
+    s = s.withColumn("expected_alpha", F.col("expected_return") - NEUTRAL_RETURN).withColumn("tradeable", F.coalesce((n >= least) & F.col("direction").isin("bullish", "bearish"), F.lit(False)))
+    return s.withColumn("high_conviction", n >= firm).withColumn("earnings_surprise", (F.abs(x) > 0.4) & (n >= 2))
+
+
 def with_tone(df: DataFrame, text: str, lists: dict[str, list[str]]) -> DataFrame:
     """Share of each word list among the words of a whole filing without tags, and the net tone (p - n) / (p + n)."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"&[a-zA-Z#0-9]+;", " "), r"\s+", " ")

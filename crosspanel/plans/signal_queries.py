@@ -46,6 +46,21 @@ def _(t):
     return rounded(N.topic_signal(d.withColumn("adjusted", F.col("sentiment")), ["source"], strong=("alpha",)), "weight")
 
 
+@query("n05_earnings_signal", f"""WITH w AS (SELECT source, lang, doc_id, {_WORDS} AS w, list_has_any({_TOKENS}, ['with', 'for', 'der', 'le']) AS about FROM documents),
+ x AS (SELECT source, lang, about, CASE WHEN len(w) > 0 THEN greatest(least(({_HIT(POS)} - {_HIT(NEG)}) / sqrt(len(w)), 1), -1) ELSE 0 END AS x, CASE WHEN doc_id % 3 > 0 THEN doc_id % 11 / 10.0 - 0.5 END AS m FROM w),
+ s AS (SELECT source, lang, count(*) AS articles, count(*) FILTER (about) AS n, round(coalesce(avg(x) FILTER (about), 0), 9) AS x, round(avg(m) FILTER (about), 9) AS m FROM x GROUP BY 1, 2),
+ d AS (SELECT *, CASE WHEN x > 0.05 THEN 1 WHEN x < -0.05 THEN -1 ELSE 0 END AS a, CASE WHEN m > 0.05 THEN 1 WHEN m < -0.05 THEN -1 WHEN m IS NOT NULL THEN 0 END AS b, CASE WHEN n = 0 THEN NULL WHEN x > 0.2 THEN 'bullish' WHEN x < -0.2 THEN 'bearish' ELSE 'neutral' END AS direction FROM s),
+ e AS (SELECT *, CASE WHEN n > 0 THEN a = b OR a = 0 OR b = 0 END AS agree, CASE WHEN n > 0 AND a = b AND a <> 0 THEN 1.4 ELSE 1 END AS boost FROM d)
+ SELECT source, lang, articles, n AS on_topic, round(x, 4) AS sentiment, direction, agree, round(CAST(CASE WHEN n = 0 THEN 0 ELSE least(1, boost * (least(abs(x) / 0.5, 1) * 0.5 + least(n / 3, 1) * 0.3 + CASE WHEN agree THEN 0.2 ELSE 0 END)) END AS DOUBLE), 4) AS confidence,
+  round(x * sqrt(n) * boost, 4) AS score, CAST(CASE WHEN n = 0 THEN NULL WHEN direction = 'bullish' THEN 0.0068 WHEN direction = 'bearish' THEN 0.0003 ELSE 0.0038 END AS DOUBLE) AS expected_return, coalesce(direction <> 'neutral', false) AS tradeable, abs(x) > 0.4 AND n >= 2 AS earnings_surprise FROM e""")
+def _(t):
+    d = N.with_lexicon_sentiment(t("documents"), "text", POS, NEG)
+    about = F.arrays_overlap(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([\\p{L}\\p{N}_]+)"), 1), F.array(*map(F.lit, ("with", "for", "der", "le"))))
+    d = d.withColumn("is_earnings", about).withColumn("model_score", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 11 / 10.0 - 0.5))
+    out = N.earnings_signal(d, ["source", "lang"])
+    return rounded(out.select("source", "lang", "articles", "on_topic", "sentiment", "direction", "agree", "confidence", "score", "expected_return", "tradeable", "earnings_surprise"))
+
+
 @query("n07_filing_tone", f"WITH p AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g')), '([a-zA-Z]+)', 1) AS w FROM pages), c AS (SELECT page_id, len(w) AS k, {_HIT(POS)} AS p, {_HIT(NEG)} AS n FROM p) SELECT page_id, k AS tone_words, round(coalesce(p / nullif(k, 0), 0), 4) AS positive, round(coalesce(n / nullif(k, 0), 0), 4) AS negative, round(coalesce((p - n) / nullif(p + n, 0), 0), 4) AS net_tone FROM c")
 def _(t):
     d = N.with_tone(t("pages"), "html", {"positive": POS, "negative": NEG})
@@ -173,6 +188,14 @@ def _(t):
     return G.separate_clusters(G.insider_clusters(_trades(t), 5, 3)).drop("role_weight").withColumn("value", F.col("value").cast("double"))
 
 
+@query("n22_monthly_clusters", f"""WITH {_TR}, r AS (SELECT a.ticker, a.d AS s, b.side, count(DISTINCT b.who) AS insiders, sum(b.v) AS value, min(b.d) AS start, max(b.d) AS stop FROM (SELECT DISTINCT ticker, d FROM tr) a
+  JOIN tr b ON a.ticker = b.ticker AND b.d BETWEEN a.d AND a.d + 2 GROUP BY 1, 2, 3 HAVING count(DISTINCT b.who) >= 110),
+ f AS (SELECT *, CAST(date_trunc('month', s) AS DATE) AS month, min(s) OVER (PARTITION BY ticker, date_trunc('month', s)) AS first FROM r)
+ SELECT ticker, month, side AS transaction_type, start, stop AS "end", insiders, CAST(value AS DOUBLE) AS value FROM f WHERE s = first""")
+def _(t):
+    return G.monthly_clusters(_trades(t), 2, 110).withColumn("value", F.col("value").cast("double"))
+
+
 @query("n23_insider_score", f"""WITH RECURSIVE {_SEP}, w AS (SELECT *, CASE WHEN who = 0 THEN 1.0 ELSE 0.3 END::DOUBLE AS w FROM tr),
  n AS (SELECT ticker, coalesce(sum(v::DOUBLE * w) FILTER (side = 'P'), 0) AS up, coalesce(sum(v::DOUBLE * w) FILTER (side <> 'P'), 0) AS down, sum(v)::DOUBLE AS v, count(*) AS n FROM w GROUP BY 1),
  r AS (SELECT sep.ticker, sep.side, sep.start, any_value(sep.insiders) AS insiders, avg(w.w) AS role FROM sep JOIN w ON w.ticker = sep.ticker AND w.side = sep.side AND w.d BETWEEN sep.start AND sep.start + 5 GROUP BY 1, 2, 3),

@@ -101,3 +101,40 @@ def test_pioneers(spark):
     weights = spark.createDataFrame([("e", "ai", 2.0)], "entity string, term string, weight double")
     two = N.pioneer_score(first, lines, "entity", "term", str(as_of), ["ai"], relevance=weights).first()
     assert two.score == pytest.approx(0.75 * base + 0.25 * (0.5 / 4 + 0.5 * 2 * lead / 12))
+
+
+def test_monthly_clusters_against_a_loop(spark):
+    """Random trades: start from each trade in turn, skip months that have a cluster, look at both sides."""
+    import random
+
+    rng = random.Random(8)
+    day = dt.date(2024, 1, 1)
+    rows = [(rng.choice("ab"), f"w{rng.randrange(6)}", rng.choice("AD"), day + dt.timedelta(days=rng.randrange(300)), float(rng.randrange(100))) for _ in range(160)]
+    want = set()
+    for ticker in "ab":
+        own, used = sorted((r for r in rows if r[0] == ticker), key=lambda r: r[3]), set()
+        for r in own:
+            month = r[3].replace(day=1)
+            if month in used:
+                continue
+            window = [x for x in own if r[3] <= x[3] <= r[3] + dt.timedelta(days=12)]
+            for side in "AD":
+                found = [x for x in window if x[2] == side]
+                if len({x[1] for x in found}) >= 3:
+                    want.add((ticker, month, side, min(x[3] for x in found), max(x[3] for x in found), len({x[1] for x in found}), sum(x[4] for x in found)))
+                    used.add(month)
+    df = spark.createDataFrame(rows, "ticker string, insider_name string, transaction_type string, transaction_date date, total_value double")
+    got = {tuple(r) for r in G.monthly_clusters(df, 12, 3).collect()}
+    assert got == want and len({(t, m) for t, m, *_ in want}) > 8 and len(want) > len({(t, m) for t, m, *_ in want})
+
+
+def test_earnings_signal(spark):
+    """a: mean .3 of two on the topic, the model agrees: (.6 x .5 + 2 / 3 x .3 + .2) x 1.4 = .98.  b: the model contradicts; c: nothing on
+    the topic; d: neutral."""
+    rows = [("a", True, 0.2, 0.1), ("a", True, 0.4, None), ("a", False, -1.0, -1.0), ("b", True, -0.5, 0.3), ("c", False, 1.0, 1.0), ("c", None, 1.0, 1.0), ("d", True, 0.1, 0.0)]
+    df = spark.createDataFrame(rows, "k string, is_earnings boolean, sentiment double, model_score double")
+    got = {r.k: (r.articles, r.on_topic, r.direction, r.agree, r.tradeable, round(r.confidence, 6), round(r.score, 6), r.expected_return) for r in N.earnings_signal(df, ["k"]).collect()}
+    assert got == {
+        "a": (3, 2, "bullish", True, True, 0.98, round(0.3 * 2**0.5 * 1.4, 6), 0.0068), "b": (1, 1, "bearish", False, True, 0.6, -0.5, 0.0003),
+        "c": (2, 0, None, None, False, 0.0, 0.0, None), "d": (1, 1, "neutral", True, False, 0.4, 0.1, 0.0038),
+    }
