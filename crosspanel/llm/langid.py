@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from crosspanel.llm._rows import map_rows, table
 from crosspanel.llm.gbdt import held_out, lowest
 
-#: At most so many documents of each language are used for the fit, the first in the order of a hash of the id.
-PER_LANGUAGE = 500
-#: At most so many languages, the commonest, are learned.
-LANGUAGES = 200
+#: At most so many documents of each language are used for the fit, the first in the order of a hash of the id; fewer, but LEAST of each,
+#: where these would be more than ROWS.  Every language is learned.
+PER_LANGUAGE, LEAST, ROWS = 500, 8, 20_000
 WIDTH, MAX_BITS, STEPS, RATE, DECAY = 2048, 31, 150, 4.0, 1e-4
 AMBIGUOUS = 0.6
 _LETTER = re.compile(r"[^\W\d_]")
@@ -49,7 +48,7 @@ def codewords(n: int) -> np.ndarray:
     if 2 ** (n - 1) - 1 <= MAX_BITS:
         return np.array([[1 if (s >> i) & 1 == 0 else -1 for s in range(1, 2 ** (n - 1))] for i in range(n)])
     rng, best = np.random.default_rng(0), None
-    for _ in range(200):
+    for _ in range(max(1, min(200, 8_000_000 // n**2))):
         code = rng.choice([-1, 1], (n, MAX_BITS + 2 * int(np.log2(n))))
         gap = min(int((code[i] != code[:i]).sum(1).min()) for i in range(1, n))
         if best is None or gap > best[0]:
@@ -68,20 +67,21 @@ class Codes:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword and its share of exp(-loss) for each row."""
         z = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -z[:, None, :] * self.code) @ self.trust
+        loss = (np.logaddexp(0, -z) * self.trust) @ (self.code.T > 0) + (np.logaddexp(0, z) * self.trust) @ (self.code.T < 0)
         share = np.exp(loss.min(1, keepdims=True) - loss)
         return loss.argmin(1), share.max(1) / share.sum(1)
 
 
 def fit(x: np.ndarray, language: list[str]) -> Codes:
-    """Full-batch logistic regression for all bits at once; languages weigh the same however many texts they have."""
+    """Full-batch logistic regression for all bits at once; languages weigh the same however many texts they have.  x is used up."""
     names = sorted(set(language))
     code = codewords(len(names))
-    own = np.array([names.index(v) for v in language])
+    place = {v: i for i, v in enumerate(names)}
+    own = np.array([place[v] for v in language])
     target = code[own].astype(np.float32)
     share = (1 / np.bincount(own, minlength=len(names)))[own][:, None] / len(names)
     center = x.mean(0)
-    x = x - center
+    x -= center
     w, bias, moved = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1]), 0
     for _ in range(STEPS):
         grad = share * target / (1 + np.exp(np.clip(target * (x @ w + bias), -30, 30)))
@@ -96,13 +96,16 @@ def fit(x: np.ndarray, language: list[str]) -> Codes:
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Codes | None:
     """Codes learned from rows with a language and a letter outside the held-out third; None if there are none.
 
-    A bounded number of rows is read for each of the LANGUAGES commonest languages: a threshold on the id's hash, set by the language's
-    number of rows, cuts them where they are, then the first ``per_language`` by that hash are taken.  Rows with a null id, text or
-    language are not used; rows that share an id are all used or none, twice as many as ids at most.
+    A bounded number of rows is read for each language: a threshold on the id's hash, set by the language's number of rows, cuts them
+    where they are, then the first ``per_language`` by that hash are taken.  With many languages each gives fewer, so that the fit has
+    some ROWS rows; no language is left out.  Rows with a null id, text or language are not used; rows that share an id are all used or
+    none, twice as many as ids at most.
     """
     key, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     rows = docs.filter(key.isNotNull() & lang.isNotNull() & ~held_out(id_col, 3, 1)).select(key.alias("k"), lang.alias("lang"))
-    counts = table(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages").orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = table(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = max(1, counts.count())
+    per_language = max(LEAST, min(per_language, ROWS // languages))
     rows = rows.join(F.broadcast(counts), "lang").filter(lowest("k", per_language, F.col("n")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
     rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("k").distinct()
@@ -113,8 +116,9 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
             yield [[ids[i] for i in keep], [langs[i] for i in keep], [grams(texts[i]).tobytes() for i in keep]]
 
-    got = map_rows(chosen, ["k", "text", "lang"], "k long, lang string, x binary", run).orderBy("k", "lang").limit(2 * per_language * LANGUAGES).collect()
-    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got]) if got else None
+    got = map_rows(chosen, ["k", "text", "lang"], "k long, lang string, x binary", run).orderBy("k", "lang").limit(2 * per_language * languages).toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(got), WIDTH).copy() if len(got) else None
+    return fit(x, got["lang"].to_pylist()) if len(got) else None
 
 
 def predict_languages(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
