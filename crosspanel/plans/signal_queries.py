@@ -189,11 +189,11 @@ def _(t):
 
 
 @query("n22_monthly_clusters", f"""WITH {_TR}, r AS (SELECT a.ticker, a.d AS s, b.side, count(DISTINCT b.who) AS insiders, sum(b.v) AS value, min(b.d) AS start, max(b.d) AS stop FROM (SELECT DISTINCT ticker, d FROM tr) a
-  JOIN tr b ON a.ticker = b.ticker AND b.d BETWEEN a.d AND a.d + 2 GROUP BY 1, 2, 3 HAVING count(DISTINCT b.who) >= 110),
+  JOIN tr b ON a.ticker = b.ticker AND b.d BETWEEN a.d AND a.d + 2 GROUP BY 1, 2, 3 HAVING count(DISTINCT b.who) >= 74),
  f AS (SELECT *, CAST(date_trunc('month', s) AS DATE) AS month, min(s) OVER (PARTITION BY ticker, date_trunc('month', s)) AS first FROM r)
  SELECT ticker, month, side AS transaction_type, start, stop AS "end", insiders, CAST(value AS DOUBLE) AS value FROM f WHERE s = first""")
 def _(t):
-    return G.monthly_clusters(_trades(t), 2, 110).withColumn("value", F.col("value").cast("double"))
+    return G.monthly_clusters(_trades(t), 2, 74).withColumn("value", F.col("value").cast("double"))
 
 
 @query("n23_insider_score", f"""WITH RECURSIVE {_SEP}, w AS (SELECT *, CASE WHEN who = 0 THEN 1.0 ELSE 0.3 END::DOUBLE AS w FROM tr),
