@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,8 +84,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 #: While this is set, Spark drops a query's shuffle files at its end; nothing reads them after a table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths of the tables of this process that are not released.
-_written: list[str] = []
+#: Paths of the tables that the current call has written, inside ``released``; each thread has a list of its own.
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -96,21 +98,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _written.append(path)
+    if (own := _written.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """How many tables this process has written; for ``release``."""
-    return len(_written)
-
-
-def release(spark: SparkSession, since: int) -> None:
-    """Removes the tables written since a ``mark``, once what was made of them is written itself."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``table`` writes inside, at the end.  Tables of other calls and threads stay."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written.get() or []:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        _written.reset(token)
 
 
 class Scratch:
