@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.llm import bpe, decontaminate, gbdt, pii, simhash
-from crosspanel.llm._rows import documents, fresh, mark, release, shared_dir
+from crosspanel.llm._rows import documents, fresh, released, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.similar_groups(rows, id_col=key).distinct().toDF(key, "group")
     least = rows.groupBy(key).agg(F.min(F.struct(no, id_)).alias("m")).select(key, "m.*")
     best = least.join(groups, key).groupBy("group").agg(F.min(F.struct(no, id_, key)).alias("m")).select("m.*")
-    # Rows that are the same in id and text: the least by the other columns stays.
-    columns = [*sorted(c for c in docs.columns if c not in ("doc_id", "text")), "doc_id", "text"]
-    one = F.min(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    # Rows that are the same in id and text: the least by a digest of the other columns stays.
+    # Columns of any type may come along, so rows are ordered by a digest of what they hold.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = F.min_by(whole, F.sha2(F.to_json(whole), 256))
     kept = rows.join(best, [key, no, id_], "left_semi").groupBy(key, no, id_).agg(one.alias(found))
     return kept.select(*[F.col(f"{found}.`{c}`") for c in docs.columns])
 
@@ -73,11 +74,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrote on its way are removed then."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        since = mark()
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            release(spark, since)
+        if name == STAGES[-1][0]:
+            return stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
