@@ -11,7 +11,6 @@ pairs once, with the number of its documents that hold it, and gets the pair's c
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import pickle
@@ -44,17 +43,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @dataclass(frozen=True)
-class Tokenizers:
-    """Both tokenizers, the bytes of their tokens, and where texts may be cut (None: nowhere)."""
+class Cuts:
+    """Where texts may be cut (None: nowhere)."""
 
-    a: object
-    b: object
-    a_bytes: list[bytes]
-    b_bytes: list[bytes]
     cut: re.Pattern | None
     odd: re.Pattern | None
-    prefix: str
-    skip: int
 
     def segments(self, text: str) -> list[str]:
         """The text with a space before it, cut.  Where no character needs a second look, a plain pattern gives the same faster."""
@@ -64,6 +57,19 @@ class Tokenizers:
             return self.cut.split(f" {text}")
         return _PLAIN.findall(f" {text}")
 
+
+@dataclass(frozen=True)
+class Tokenizers:
+    """Both tokenizers, the bytes of their tokens, the cuts, and a character that merges with nothing, with its number of B's tokens."""
+
+    a: object
+    b: object
+    a_bytes: list[bytes]
+    b_bytes: list[bytes]
+    cuts: Cuts
+    prefix: str
+    skip: int
+
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids by A and by B.  B puts a space before what it encodes, so a segment's own first space is left to it; other segments
         stand behind a character that merges with nothing, whose tokens are taken off."""
@@ -73,7 +79,6 @@ class Tokenizers:
         return a, [ids if own else ids[self.skip :] for ids, own in zip(b, lead, strict=True)]
 
 
-@functools.lru_cache(2)
 def read_tokenizers(a_path: str, b_path: str) -> Tokenizers:
     """The tokenizers of two vocabulary files: byte-level BPE as JSON (A) and a sentencepiece model (B)."""
     import os
@@ -96,7 +101,7 @@ def read_tokenizers(a_path: str, b_path: str) -> Tokenizers:
     with open(a_path, encoding="utf-8") as f:
         spec = json.load(f)
     cut, odd, prefix = cutter(spec, normal)
-    return Tokenizers(a, b, a_bytes, b_bytes, cut, odd, prefix, len(b.encode(prefix)) if prefix else 0)
+    return Tokenizers(a, b, a_bytes, b_bytes, Cuts(cut, odd), prefix, len(b.encode(prefix)) if prefix else 0)
 
 
 def cutter(spec: dict, pieces: list[str]) -> tuple[re.Pattern | None, re.Pattern | None, str]:
@@ -228,11 +233,10 @@ def _texts(data: bytes) -> tuple[list[int | None], list[str]]:
     return ids, _split(text, np.frombuffer(sizes, np.int32))
 
 
-def _wanted(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _wanted(texts: DataFrame, cuts: Cuts) -> DataFrame:
     """(block, segment): the distinct segments of each block."""
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        tools = read_tokenizers(a_path, b_path)
         block, held = None, {}
         for blocks, packs in batches:
             for own, data in zip(blocks, packs, strict=True):
@@ -242,7 +246,7 @@ def _wanted(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     block, held = own, {}
                 for text in _texts(data)[1]:
                     if text:
-                        held.update(dict.fromkeys(tools.segments(text)))
+                        held.update(dict.fromkeys(cuts.segments(text)))
         if held:
             yield [[block] * len(held), list(held)]
 
@@ -275,12 +279,11 @@ def _aligned_rows(wanted: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return map_rows(ready, ["block", "segment"], "block long, data binary", run)
 
 
-def _composed(a_path: str, b_path: str):
+def _composed(cuts: Cuts, b_size: int):
     """A function from a block's texts and its aligned segments to rows of three kinds: 0, a document with the segments it has; 1, the
     block's links by segment; 2, an id pair and the number of the block's documents that hold it."""
 
     def run(texts: pa.Table, found: pa.Table) -> dict:
-        tools = read_tokenizers(a_path, b_path)
         place: dict[str, int] = {}
         groups: list[str] = []
         counts, found_codes = [], []
@@ -290,7 +293,7 @@ def _composed(a_path: str, b_path: str):
             place.update(zip(_split(text, sizes), range(len(place), len(place) + len(sizes)), strict=True))
             groups += spelling.split(" ")
             counts.append(own)
-            found_codes.append(read_links(spelling, np.frombuffer(steps, np.int8), len(tools.b_bytes)))
+            found_codes.append(read_links(spelling, np.frombuffer(steps, np.int8), b_size))
         codes = np.concatenate([np.zeros(0, np.int64), *found_codes])
         n_links, n_a, n_groups = (np.concatenate(c) for c in zip(*counts, strict=True)) if counts else [np.zeros(0, np.int64)] * 3
         starts = np.concatenate([[0], np.cumsum(n_links)])
@@ -299,7 +302,7 @@ def _composed(a_path: str, b_path: str):
         out: list[tuple] = []
         for data in texts["data"]:
             for id_, text in zip(*_texts(data.as_py()), strict=True):
-                own = np.fromiter(map(place.__getitem__, tools.segments(text) if text else ()), np.int64)
+                own = np.fromiter(map(place.__getitem__, cuts.segments(text) if text else ()), np.int64)
                 if not len(own) or not n_links[own].all():
                     out.append((id_, 0, 0, 0, 0, "", None))
                     continue
@@ -371,12 +374,13 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     """
     work = Scratch(docs.sparkSession, "align")
     texts = work.write(_packed_texts(docs, id_col, text_col, block), "texts")
-    known = _aligned_rows(_wanted(work.read("texts"), a_path, b_path), a_path, b_path)
-    rows = work.write(by_block(texts, known, _COMPOSED, _composed(a_path, b_path)), "composed")
+    tools = read_tokenizers(a_path, b_path)
+    cuts, b_size = tools.cuts, len(tools.b_bytes)
+    known = _aligned_rows(_wanted(work.read("texts"), cuts), a_path, b_path)
+    rows = work.write(by_block(texts, known, _COMPOSED, _composed(cuts, b_size)), "composed")
     work.drop("texts")
     pairs = rows.filter("kind = 2").select("block", "pair", "df")
     counts = pairs.groupBy("pair").agg(F.sum("df").alias("n"))
-    b_size = len(read_tokenizers(a_path, b_path).b_bytes)
     counts = work.write(counts.withColumn("a", F.expr(f"pair div {b_size}")), "counts")
     top = counts.groupBy("a").agg(F.max("n").alias("top"))
     ranked = counts.join(top, "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
