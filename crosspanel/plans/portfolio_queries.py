@@ -316,12 +316,12 @@ def _(t):
     return rounded(U.combined_signals(_fundamentals(t), "roe", "pb_ratio").select("date", "ticker", "mean", "mix", "product", "double"))
 
 
-@query("s18_monthly_expansion", f"{_FUND}, q AS (SELECT date, ticker, roe FROM f WHERE month(date) % 3 = 1 AND year(date) >= 1996), m AS (SELECT last_day(CAST(unnest(generate_series(DATE '1995-06-30', DATE '1997-06-30', INTERVAL 1 MONTH)) AS DATE)) AS month), g AS (SELECT * FROM m, (SELECT DISTINCT ticker FROM q)), j AS (SELECT g.ticker, g.month, q.roe FROM g ASOF LEFT JOIN q ON g.ticker = q.ticker AND g.month >= q.date) SELECT ticker, month, coalesce(roe, (SELECT min_by(roe, date) FROM q WHERE q.ticker = j.ticker)) AS roe FROM j")
+@query("s18_monthly_expansion", f"{_FUND}, q AS (SELECT date, ticker, roe FROM f WHERE month(date) % 3 = 1), m AS (SELECT last_day(CAST(unnest(generate_series(DATE '1991-06-30', DATE '1999-06-30', INTERVAL 1 MONTH)) AS DATE)) AS month), g AS (SELECT * FROM m, (SELECT DISTINCT ticker FROM q)), j AS (SELECT g.ticker, g.month, q.roe FROM g ASOF LEFT JOIN q ON g.ticker = q.ticker AND g.month >= q.date) SELECT ticker, month, coalesce(roe, (SELECT min_by(roe, date) FROM q WHERE q.ticker = j.ticker)) AS roe FROM j")
 def _(t):
     from crosspanel.sources.panels import month_ends
 
-    q = _fundamentals(t).filter("month(date) % 3 = 1 and year(date) >= 1996").select("date", "ticker", "roe")
-    return U.monthly(q, month_ends(q.sparkSession, "1995-06-30", "1997-06-30", "month"), columns=("roe",))
+    q = _fundamentals(t).filter("month(date) % 3 = 1").select("date", "ticker", "roe")
+    return U.monthly(q, month_ends(q.sparkSession, "1991-06-30", "1999-06-30", "month"), columns=("roe",))
 
 
 @query("u04_m07_statement_pivot", "SELECT o_custkey AS symbol, CAST(date_trunc('year', o_orderdate) AS DATE) AS report_date, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS F, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS O FROM orders GROUP BY 1, 2")

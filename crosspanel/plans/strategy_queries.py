@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import series
+from crosspanel.functions.storage import shared_dir
 from crosspanel.operators import text as N
 from crosspanel.operators import technical as T
 from crosspanel.operators.cross_section import with_all_z
@@ -145,16 +146,15 @@ def _(t):
     return f.sparkSession.createDataFrame([(i, float(p["ridge"])) for i, (_, p) in enumerate(found)], "rank int, ridge double")
 
 
-@query("s01_s10_csv_round_trip", "SELECT n_nationkey::BIGINT AS key, n_name AS name, NULL::DOUBLE AS absent FROM nation WHERE n_regionkey = 1")
+@query("s01_s10_csv_round_trip", "SELECT c_custkey AS key, c_name AS name, c_nationkey::INT AS nation, c_acctbal AS balance, NULL::DOUBLE AS absent FROM customer")
 def _(t):
-    import tempfile
-
-    n = t("nation")
-    spark = n.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-    path = f"{folder}/nations-{spark.sparkContext.applicationId}"
-    S.write_table(n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), path, "csv", ["region"], "overwrite")
-    return S.read_csv(spark, path, "key long, name string, region int, absent double").filter("region = 1").select("key", "name", "absent")
+    """Customers as CSV, a folder for each nation, in the shared folder, and back."""
+    import uuid
+
+    c = t("customer")
+    path = f"{shared_dir(c.sparkSession)}/customers-{uuid.uuid4().hex}"
+    S.write_table(c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation")), path, "csv", ["nation"])
+    return S.read_csv(c.sparkSession, path, "key long, name string, balance double, nation int, absent double").select("key", "name", "nation", "balance", "absent")
 
 
 _NAMES = "CASE WHEN o_orderkey % 3 = 0 THEN 'ranking_' || strftime(o_orderdate, '%Y%m%d') || '_' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || '30.json' WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y%m%d') ELSE 'none' END"

@@ -10,12 +10,16 @@ from crosspanel.functions.columns import draw, series
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header and a stated schema; columns that the file lacks are NULL.  Only the head of one file is read for its names."""
+    """CSV with a header and a stated schema; columns that the files lack are NULL.
+
+    The head of one file is read for the names; a file whose header differs from it raises an error when it is read, and is not read by
+    position.
+    """
     head = spark.read.option("header", True).csv(path).columns
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     own = StructType([next((f for f in schema if f.name == n), None) or StructType.fromDDL(f"`{n}` string")[0] for n in head])
-    df = spark.read.option("header", True).schema(own).csv(path)
+    df = spark.read.option("header", True).option("enforceSchema", False).schema(own).csv(path)
     return df.select(*[F.col(f.name) if f.name in head else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if columns is None or f.name in columns])
 
 

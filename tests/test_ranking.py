@@ -118,3 +118,14 @@ def test_row_numbers_with_further_columns(spark, reuse):
         assert dict(zip(ranks.x, ranks.r, strict=True)) == dict(zip(full, full.rank(), strict=True))
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    """Columns are known by name: a file in another order is an error and is not read by position."""
+    from crosspanel.sources.panels import read_csv
+
+    for name, text in (("a.csv", "key,name\n1,x\n"), ("b.csv", "name,key\ny,2\n")):
+        (tmp_path / name).write_text(text)
+    assert [tuple(r) for r in read_csv(spark, f"file://{tmp_path}/a.csv", "name string, key long, z int").collect()] == [("x", 1, None)]
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, f"file://{tmp_path}", "key long, name string").collect()
