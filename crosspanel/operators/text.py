@@ -61,14 +61,27 @@ def sentiment_label(x: str | Column, limit: float = 0.15) -> Column:
     return F.when(col(x) > limit, "bullish").when(col(x) < -limit, "bearish").otherwise("neutral")
 
 
-def topic_signal(df: DataFrame, by: list[str], topic: str = "topic", secondary: str = "topic_secondary", sentiment: str = "adjusted", strong: tuple[str, ...] = ()) -> DataFrame:
-    """Per group: sentiment over its topics, weighted by the root of their counts (half again for strong topics); a secondary topic
-    counts half an article."""
-    own = df.select(*by, F.col(topic).alias("__t"), F.col(sentiment).alias("__x"), F.lit(1.0).alias("__n"))
-    more = df.filter(F.col(secondary) != "").select(*by, F.explode(F.split(secondary, ",")).alias("__t"), F.col(sentiment).alias("__x"), F.lit(0.5).alias("__n"))
-    t = own.union(more).groupBy(*by, "__t").agg((F.sum(F.col("__x") * F.col("__n")) / F.sum("__n")).alias("__x"), F.sum("__n").alias("__n"))
-    w = F.sqrt("__n") * F.when(F.col("__t").isin(*strong), 1.5).otherwise(1.0) if strong else F.sqrt("__n")
-    return t.withColumn("__w", w).groupBy(*by).agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("signal"), F.sum("__n").alias("weight"), F.max_by("__t", F.struct("__n", "__t")).alias("top_topic"))
+def topic_signal(
+    df: DataFrame, by: list[str], topic: str = "topic", secondary: str = "topic_secondary", sentiment: str = "adjusted", strong: tuple[str, ...] = (),
+    litigation: str = "litigation", management: str = "management", earnings: str = "earnings",
+) -> DataFrame:
+    """Per group: the mean of its topics' sentiments, weighted by the root of their counts (half again for strong topics).
+
+    A topic's sentiment is the mean over its articles; an article also counts for its secondary topics, there with half its sentiment.
+    Adds the direction beyond .1, a confidence (articles, of 10), the most frequent topic, and alerts: two articles on litigation below
+    -.2, one on management below -.1, one on earnings beyond .3.
+    """
+    own = df.select(*by, F.col(topic).alias("__t"), F.col(sentiment).alias("__x"), F.lit(1).alias("__own"))
+    more = df.filter(F.col(secondary) != "").select(*by, F.explode(F.split(secondary, ",")).alias("__t"), (F.col(sentiment) * 0.5).alias("__x"), F.lit(0).alias("__own"))
+    t = own.union(more).groupBy(*by, "__t").agg(F.avg("__x").alias("__x"), F.count("*").alias("__n"), F.sum("__own").alias("__a"))
+    w = F.sqrt("__n") * (F.when(F.col("__t").isin(*strong), 1.5).otherwise(1.0) if strong else F.lit(1.0))
+    alert = lambda name, least, bad: F.coalesce(F.max((F.col("__t") == name) & (F.col("__n") >= least) & bad), F.lit(False))
+    x = F.col("__x")
+    s = t.withColumn("__w", w).groupBy(*by).agg(
+        (F.sum(F.col("__w") * x) / F.sum("__w")).alias("signal"), F.least(F.sum("__a") / 10, F.lit(1.0)).alias("confidence"), F.max_by("__t", F.struct("__n", "__t")).alias("top_topic"),
+        alert(litigation, 2, x < -0.2).alias("litigation_alert"), alert(management, 1, x < -0.1).alias("management_alert"), alert(earnings, 1, F.abs(x) > 0.3).alias("earnings_alert"),
+    )
+    return s.withColumn("direction", F.when(F.col("signal") > 0.1, "bullish").when(F.col("signal") < -0.1, "bearish").otherwise("neutral"))
 
 
 #: Fixed values of the earnings signal: what counts as a direction, a strong sentiment, the boost of agreement, and returns of five days.

@@ -38,12 +38,13 @@ def _(t):
 
 @query("n04_n05_topic_signal", "WITH w AS (SELECT doc_id, source, " + _WORDS + " AS w, " + ", ".join(f"{_HIT_LIST(k)} AS m{i}" for i, k in enumerate(TOPICS.values())) + f" FROM documents), s AS (SELECT source, CASE WHEN len(w) > 0 THEN greatest(least(({_HIT(POS)} - {_HIT(NEG)}) / sqrt(len(w)), 1), -1) ELSE 0 END AS x, " + ", ".join(f"len(list_distinct(m{i})) + 0.5 * (len(m{i}) - len(list_distinct(m{i}))) AS s{i}" for i in range(3)) + """ FROM w),
  b AS (SELECT *, CASE WHEN greatest(s0, s1, s2) <= 0 THEN 'other' WHEN s0 >= s1 AND s0 >= s2 THEN 'alpha' WHEN s1 >= s2 THEN 'beta' ELSE 'gamma' END AS best FROM s),
- r AS (SELECT source, best AS t, x, 1.0 AS n FROM b UNION ALL SELECT source, 'alpha', x, 0.5 FROM b WHERE s0 >= 1 AND best <> 'alpha' UNION ALL SELECT source, 'beta', x, 0.5 FROM b WHERE s1 >= 1 AND best <> 'beta' UNION ALL SELECT source, 'gamma', x, 0.5 FROM b WHERE s2 >= 1 AND best <> 'gamma'),
- a AS (SELECT source, t, sum(x * n) / sum(n) AS x, sum(n) AS n FROM r GROUP BY 1, 2), v AS (SELECT *, sqrt(n) * CASE WHEN t = 'alpha' THEN 1.5 ELSE 1 END AS v FROM a)
- SELECT source, round(sum(v * x) / sum(v), 4) AS signal, CAST(sum(n) AS DOUBLE) AS weight, max_by(t, (n, t)) AS top_topic FROM v GROUP BY 1""")
+ r AS (SELECT source, best AS t, x, 1 AS own FROM b UNION ALL SELECT source, 'alpha', x * 0.5, 0 FROM b WHERE s0 >= 1 AND best <> 'alpha' UNION ALL SELECT source, 'beta', x * 0.5, 0 FROM b WHERE s1 >= 1 AND best <> 'beta' UNION ALL SELECT source, 'gamma', x * 0.5, 0 FROM b WHERE s2 >= 1 AND best <> 'gamma'),
+ a AS (SELECT source, t, avg(x) AS x, count(*) AS n, sum(own) AS own FROM r GROUP BY 1, 2), v AS (SELECT *, sqrt(n) * CASE WHEN t = 'alpha' THEN 1.5 ELSE 1 END AS v FROM a),
+ c AS (SELECT source, sum(v * x) / sum(v) AS signal, least(sum(own) / 10, 1) AS confidence, max_by(t, (n, t)) AS top_topic, bool_or(t = 'beta' AND n >= 2 AND x < -0.2) AS l, bool_or(t = 'gamma' AND x < -0.1) AS m, bool_or(t = 'alpha' AND abs(x) > 0.3) AS e FROM v GROUP BY 1)
+ SELECT source, round(signal, 4) AS signal, round(confidence, 4)::DOUBLE AS confidence, top_topic, l AS litigation_alert, m AS management_alert, e AS earnings_alert, CASE WHEN signal > 0.1 THEN 'bullish' WHEN signal < -0.1 THEN 'bearish' ELSE 'neutral' END AS direction FROM c""")
 def _(t):
     d = N.with_topic(N.with_lexicon_sentiment(t("documents"), "text", POS, NEG), "text", TOPICS)
-    return rounded(N.topic_signal(d.withColumn("adjusted", F.col("sentiment")), ["source"], strong=("alpha",)), "weight")
+    return rounded(N.topic_signal(d.withColumn("adjusted", F.col("sentiment")), ["source"], strong=("alpha",), litigation="beta", management="gamma", earnings="alpha"))
 
 
 @query("n05_earnings_signal", f"""WITH w AS (SELECT source, lang, doc_id, {_WORDS} AS w, list_has_any({_TOKENS}, ['with', 'for', 'der', 'le']) AS about FROM documents),

@@ -113,3 +113,32 @@ def _(t):
     n = t("nation")
     rest = n.select("n_name", "n_nationkey").exceptAll(n.filter("n_regionkey = 0").select("n_name", "n_nationkey"))
     return rest.select("n_name", F.upper("n_name").alias("up"), F.sha2("n_name", 256).alias("h"), F.quarter(F.date_add(F.lit("2020-05-17").cast("date"), F.col("n_nationkey"))).alias("q"))
+
+
+@query("s17_ownership_trades", """SELECT user_id, 'ACME' AS ticker, 'User ' || user_id AS insider_name, CASE WHEN user_id % 3 = 0 THEN 'Director' WHEN user_id % 3 = 1 THEN 'CEO' END AS insider_title, event_type = 'signup' AS derivative,
+  CAST(ts AS DATE) AS transaction_date, CASE WHEN event_type = 'error' THEN 'S' ELSE 'P' END AS transaction_type, CASE WHEN event_type = 'error' THEN 'D' ELSE 'A' END AS disposition, event_id::DOUBLE AS shares,
+  CASE WHEN event_type <> 'click' THEN CAST(value AS DECIMAL(12, 2))::DOUBLE END AS price, CASE WHEN event_type <> 'click' AND CAST(value AS DECIMAL(12, 2)) <> 0 THEN event_id * CAST(value AS DECIMAL(12, 2))::DOUBLE END AS total_value, event_type = 'view' AS planned, NULL AS error
+  FROM events WHERE user_id % 50 <> 0
+ UNION ALL SELECT DISTINCT user_id, NULL, NULL, NULL, NULL::BOOLEAN, NULL::DATE, NULL, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BOOLEAN, 'not well-formed' FROM events WHERE user_id % 50 = 0""")
+def _(t):
+    """An ownership document per user, made from its events (sign-ups are derivative trades, views planned ones), some of them cut off."""
+    from crosspanel.sources.panels import ownership_trades
+
+    e = t("events")
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    value = lambda name, x, note="": F.concat(F.lit(f"<{name}><value>"), x, F.lit(f"</value>{note}</{name}>"))
+    sale = F.col("event_type") == "error"
+    coding = F.concat(F.lit("<transactionCoding>"), F.when(sale, "<transactionCode>S</transactionCode>").otherwise(""), F.when(F.col("event_type") == "view", '<footnoteId id="F1"/>').otherwise('<footnoteId id="F2"/>'), F.lit("</transactionCoding>"))
+    price = F.when(F.col("event_type") != "click", value("transactionPricePerShare", F.col("value").cast("decimal(12,2)").cast("string"))).otherwise("")
+    amounts = tag("transactionAmounts", F.concat(value("transactionShares", F.col("event_id").cast("string")), price, F.when(sale, value("transactionAcquiredDisposedCode", F.lit("D"))).otherwise("")))
+    body = F.concat(value("transactionDate", F.date_format("ts", "yyyy-MM-dd")), coding, amounts)
+    plain, derived = F.when(F.col("event_type") != "signup", tag("nonDerivativeTransaction", body)), F.when(F.col("event_type") == "signup", tag("derivativeTransaction", body))
+    relation = F.when(F.col("user_id") % 3 == 0, "<isDirector>1</isDirector>").when(F.col("user_id") % 3 == 1, "<officerTitle> CEO </officerTitle>").otherwise("<isDirector>0</isDirector>")
+    docs = e.groupBy("user_id").agg(F.array_join(F.collect_list(plain), "").alias("p"), F.array_join(F.collect_list(derived), "").alias("d"))
+    xml = F.concat(
+        F.lit("<ownershipDocument><issuer><issuerTradingSymbol>ACME</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>User "), F.col("user_id").cast("string"),
+        F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship>"), relation, F.lit("</reportingOwnerRelationship></reportingOwner>"), tag("nonDerivativeTable", F.col("p")), tag("derivativeTable", F.col("d")),
+        F.lit('<footnotes><footnote id="F1">Under a Rule 10b5-1 plan.</footnote><footnote id="F2">None.</footnote></footnotes></ownershipDocument>'),
+    )
+    docs = docs.withColumn("x", xml).select("user_id", F.when(F.col("user_id") % 50 == 0, F.expr("substring(x, 1, length(x) - 40)")).otherwise(F.col("x")).alias("x"))
+    return ownership_trades(docs, ["user_id"], "x").drop("notes", "owned_after")

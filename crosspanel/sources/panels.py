@@ -132,3 +132,59 @@ def number_after(text: str | Column, label: str) -> Column:
 def sectioned_xml(xml: str | Column, path: str) -> Column:
     """Strings at an XPath."""
     return F.xpath(xml, F.lit(path))
+
+
+#: The parts of an ownership document that are read.
+_NOTE = "footnoteId: array<struct<_id: string>>"
+_VALUE = f"struct<value: string, {_NOTE}>"
+_TRADE = (
+    f"array<struct<transactionDate: {_VALUE}, transactionCoding: struct<transactionCode: string, {_NOTE}>, transactionAmounts: struct<transactionShares: {_VALUE}, "
+    f"transactionPricePerShare: {_VALUE}, transactionAcquiredDisposedCode: {_VALUE}>, postTransactionAmounts: struct<sharesOwnedFollowingTransaction: {_VALUE}>>>"
+)
+OWNERSHIP = (
+    "issuer struct<issuerTradingSymbol: string>, reportingOwner array<struct<reportingOwnerId: struct<rptOwnerName: string>, reportingOwnerRelationship: struct<isDirector: string, officerTitle: string>>>, "
+    f"nonDerivativeTable struct<nonDerivativeTransaction: {_TRADE}>, derivativeTable struct<derivativeTransaction: {_TRADE}>, footnotes struct<footnote: array<struct<_VALUE: string, _id: string>>>, broken string"
+)
+
+
+def ownership_trades(df: DataFrame, keys: list[str], xml: str) -> DataFrame:
+    """The transactions of ownership documents (Form 4), one row each, and one row with ``error`` for each document that is no XML.
+
+    (keys.., ticker, insider_name, insider_title, derivative, transaction_date, transaction_type, disposition, shares, price, total_value,
+    owned_after, notes, planned, error).  Owner and title are those of the first reporting owner; one without a title who is marked as a
+    director is a Director.  A transaction without a readable date is left out; its code defaults to P, its disposition to A, shares
+    that are no number count 0; the value is NULL without a price other than 0.  notes are the texts of the footnotes that it refers to,
+    and planned says whether one of them names Rule 10b5-1.  A NULL or empty document gives nothing; a document without tables neither.
+    """
+    parsed = F.from_xml(F.col(xml), F.lit(OWNERSHIP), {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"})
+    docs = df.filter(F.trim(xml) != "").select(*keys, parsed.alias("d"))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    owner = F.get("d.reportingOwner", F.lit(0))
+    relation = owner["reportingOwnerRelationship"]
+    title = F.coalesce(text(relation["officerTitle"]), F.when(F.trim(relation["isDirector"]) == "1", "Director"))
+
+    def marked(path: str, derivative: bool) -> Column:
+        return F.transform(F.col(path), lambda x: F.struct(F.lit(derivative).alias("derivative"), x.alias("t")))
+
+    tables = [marked("d.nonDerivativeTable.nonDerivativeTransaction", False), marked("d.derivativeTable.derivativeTransaction", True)]
+    both = F.concat(*[F.coalesce(t, F.expr(f"CAST(array() AS {_trades_type()})")) for t in tables])
+    head = [*keys, text(F.col("d.issuer.issuerTradingSymbol")).alias("ticker"), text(owner["reportingOwnerId"]["rptOwnerName"]).alias("insider_name"), title.alias("insider_title")]
+    rows = docs.filter("d.broken IS NULL").select(*head, F.col("d.footnotes.footnote").alias("__f"), F.explode(both).alias("__r")).select("*", "__r.derivative", "__r.t.*")
+    number = lambda c: F.trim(c).try_cast("double")
+    amounts = F.col("transactionAmounts")
+    shares, price = F.coalesce(number(amounts["transactionShares"]["value"]), F.lit(0.0)), number(amounts["transactionPricePerShare"]["value"])
+    places = [F.col("transactionDate"), F.col("transactionCoding"), amounts["transactionShares"], amounts["transactionPricePerShare"], F.col("postTransactionAmounts")["sharesOwnedFollowingTransaction"]]
+    wanted = F.flatten(F.array(*[F.coalesce(p["footnoteId"]["_id"], F.array().cast("array<string>")) for p in places]))
+    notes = F.transform(F.filter(F.coalesce("__f", F.expr("CAST(array() AS array<struct<_VALUE: string, _id: string>>)")), lambda n: F.array_contains(wanted, n["_id"])), lambda n: F.trim(n["_VALUE"]))
+    out = rows.select(
+        *keys, "ticker", "insider_name", "insider_title", "derivative", F.trim("transactionDate.value").try_cast("date").alias("transaction_date"),
+        F.coalesce(text(F.col("transactionCoding.transactionCode")), F.lit("P")).alias("transaction_type"), F.coalesce(text(amounts["transactionAcquiredDisposedCode"]["value"]), F.lit("A")).alias("disposition"),
+        shares.alias("shares"), price.alias("price"), F.when(price != 0, shares * price).alias("total_value"), number(F.col("postTransactionAmounts.sharesOwnedFollowingTransaction.value")).alias("owned_after"),
+        notes.alias("notes"), F.exists(notes, lambda n: n.contains("10b5-1")).alias("planned"), F.lit(None).cast("string").alias("error"),
+    ).filter("transaction_date IS NOT NULL")
+    errors = docs.filter("d.broken IS NOT NULL").select(*keys, F.lit("not well-formed").alias("error"))
+    return out.unionByName(errors, allowMissingColumns=True)
+
+
+def _trades_type() -> str:
+    return "array<struct<derivative: boolean, t: " + _TRADE[len("array<") : -1] + ">>"
