@@ -22,7 +22,8 @@ from crosspanel.llm._rows import Scratch, by_block, map_rows
 BLOCK = 8_000_000
 #: Piece ends become a line feed and white space a space; A to Z become a to z.
 _TABLE = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-SALTS = 64
+#: Shares of a language that are ranked apart, and frequent phrases of one length that are broadcast at most.
+SALTS, SMALL = 64, 2_000_000
 
 
 def placed(text: str) -> tuple[list[bytes], np.ndarray]:
@@ -181,17 +182,20 @@ def frequent_phrases(docs: DataFrame, work: Scratch, least: int, text_col: str =
     for length in (2, 3):
         ids = [f"w{i + 1}" for i in range(length)]
         counted = grown.filter("kind = 1").select("block", "code", "n", *ids)
-        counted = counted.withColumn("f", F.sum("n").over(Window.partitionBy(*ids))).filter(F.col("f") >= least)
-        counted = work.write(counted, f"frequent{length}")
-        phrases = phrases.union(counted.groupBy(*ids).agg(F.max("f").alias("f")).select(F.array(*ids).alias("ws"), "f"))
+        found = counted.groupBy(*ids).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        found = work.write(found, f"found{length}")
+        phrases = phrases.union(found.select(F.array(*ids).alias("ws"), "f"))
+        # Blocks learn which of their phrases are frequent; these are broadcast while they are few, else both sides are shuffled.
+        known = F.broadcast(found.select(*ids)) if found.count() <= SMALL else found.select(*ids)
+        work.write(counted.select("block", "code", *ids).join(known, ids).select("block", "code"), f"frequent{length}")
         state = work.read("grown1").filter("kind = 0")
         if length > 2:
             state = state.union(work.read(f"grown{length - 1}").filter("kind = 0"))
-        grown = work.write(by_block(state, work.read(f"frequent{length}").select("block", "code"), _GROWN, _grown(length)), f"grown{length}")
+        grown = work.write(by_block(state, work.read(f"frequent{length}"), _GROWN, _grown(length)), f"grown{length}")
     ids = ["w1", "w2", "w3", "w4"]
     last = grown.filter("kind = 1").groupBy(*ids).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     phrases = work.write(phrases.union(last.select(F.array(*ids).alias("ws"), "f")), "phrases")
-    work.drop("grown1", "grown2", "grown3", "frequent2", "frequent3")
+    work.drop("grown1", "grown2", "grown3", "found2", "found3", "frequent2", "frequent3")
     return totals, words, phrases
 
 
