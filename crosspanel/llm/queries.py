@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.llm import align, bpe, decontaminate, gbdt, langid, phrases, pii, rules, simhash, substring, suffixes, toxic, warc
@@ -58,10 +58,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", gbdt.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def _of_kind(spans: str, kind: str) -> Column:
+    """How many of the comma-joined spans are of a kind.  The lambda takes one argument: Spark would fill a second with the index."""
+    return F.size(F.filter(F.split(spans, ","), lambda x: x.startswith(f"{kind}:"))).cast("long")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document, counted by kind; n_spans counts all, those of the contexts too (``pii.private_spans``)."""
     found = pii.private_spans(documents(spark, sf_dir))
-    counts = [F.size(F.filter(F.split("base", ","), lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    counts = [_of_kind("base", k).alias(f"n_{k}") for k in pii.KINDS[:4]]
     n = F.when(F.length("spans") > 0, F.size(F.split("spans", ","))).otherwise(0).cast("long").alias("n_spans")
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", n)
 

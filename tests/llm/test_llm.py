@@ -495,6 +495,18 @@ def test_private_spans(spark, docs, odd, empty):
     assert pii.private_spans(odd).count() == 7 and pii.private_spans(empty).count() == 0
 
 
+def test_op7_counts_each_kind(spark, tmp_path):
+    from crosspanel.llm.queries import QUERIES
+
+    texts = ["a@b.co c@d.org 1.2.3.4", "4111 1111 1111 1111 and +49 170 1234567", "1.2.3.4 5.6.7.8 9.9.9.9", "nothing", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in QUERIES["op7_pii"](spark, str(tmp_path)).collect()}
+    kinds = [[k for k, _, _ in plain_spans(t or "")] for t in texts]
+    assert got == {i: tuple(k.count(x) for x in ("email", "ip", "card", "phone")) for i, k in enumerate(kinds)}
+    assert got[0] == (2, 1, 0, 0) and got[1][2:] == (1, 1) and got[5] == (0, 0, 0, 0)
+
+
 def test_private_spans_find_unseen_identifiers(spark):
     """Identifiers of unknown forms in three contexts: one that seeds know, one that is known only by what the first finds, and one
     without a space.  Numbers elsewhere are no identifiers."""
