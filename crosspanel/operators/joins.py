@@ -15,10 +15,11 @@ def _asof(fast: DataFrame, slow: DataFrame, on: list[str], time: str, slow_time:
     left = fast.select("*", F.col(time).alias("__t"), F.lit(None).cast(slow.select(F.struct(*side).alias("s")).schema["s"].dataType).alias("__s"))
     right = slow.select(*on, F.col(slow_time).alias("__t"), F.struct(*side).alias("__s"))
     both = left.withColumn("__fast", F.lit(True)).unionByName(right.withColumn("__fast", F.lit(False)), allowMissingColumns=True)
-    # At equal times the slow row stands on the side that makes it count, or not when strict.
-    first = F.col("__fast") if strict == forward else ~F.col("__fast")
-    w = Window.partitionBy(*on).orderBy("__t", first.cast("int"))
-    found = F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # At equal times the slow row stands on the side that makes it count, or not when strict.  Forward goes through the rows backwards:
+    # a frame that ends at the current row is carried along, one that starts there is computed anew for every row.
+    first = (~F.col("__fast") if strict else F.col("__fast")).cast("int")
+    w = Window.partitionBy(*on).orderBy(F.desc("__t") if forward else F.asc("__t"), first)
+    found = F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     keep = [c for c in fast.columns]
     names = [c if c not in keep else f"{c}_right" for c in side]
     return both.withColumn("__m", found).filter("__fast").select(*keep, *[F.col("__m").getField(c).alias(n) for c, n in zip(side, names, strict=True)])

@@ -108,6 +108,35 @@ def test_z_without_spread(spark):
     assert X.with_robust_z(df, "x", ["date"], "z").filter("z is not null").count() == 0
 
 
+def test_asof_frames_are_carried_along(spark):
+    """A frame from the current row to the partition's end takes the square of the rows of a key."""
+    fast = spark.createDataFrame([("a", i) for i in range(0, 40, 3)], "k string, t int")
+    slow = spark.createDataFrame([("a", i, float(i)) for i in range(0, 35, 5)], "k string, s int, v double")
+    for strict in (False, True):
+        found = J.asof_forward(fast, slow, ["k"], "t", "s", strict=strict)
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+        want = {t: min((s for s in range(0, 35, 5) if s > t or s == t and not strict), default=None) for t in range(0, 40, 3)}
+        assert {r.t: r.s for r in found.collect()} == want
+
+
+def test_abnormal_return_looks_market_days_up_once(spark):
+    from datetime import date, timedelta
+
+    from crosspanel.operators import extras as E
+
+    day = lambda i: date(2020, 1, 1) + timedelta(i)
+    stock = spark.createDataFrame([("a", day(i), 100.0 + i * i) for i in range(9)], "ticker string, date date, price double")
+    market = spark.createDataFrame([(day(i), 50.0 + i) for i in range(9)], "date date, price double")
+    events = spark.createDataFrame([("a", day(i % 4), i) for i in range(400)] + [("a", None, 400), ("b", day(1), 401)], "ticker string, at date, id long")
+    found = E.abnormal_return(events, stock, market, 2)
+    assert found.columns == ["ticker", "at", "id", "own", "market", "abnormal"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" in plan  # the single series meets distinct days, not all events
+    got = {r.id: r.abnormal for r in found.collect()}
+    want = lambda i: (100 + (i + 2) ** 2) / (100 + i * i) - (52 + i) / (50 + i)
+    assert len(got) == 402 and got[401] is None and all(abs(got[i] - want(i % 4)) < 1e-12 for i in range(400))
+
+
 def test_asof_ties_and_null_values(spark):
     fast = spark.createDataFrame([("a", d) for d in (1, 5, 7)] + [("b", 3)], "k string, t int")
     slow = spark.createDataFrame([("a", 2, 1.0), ("a", 5, None), ("a", 7, 3.0)], "k string, s int, v double")
