@@ -41,8 +41,9 @@ def abnormal_return(events: DataFrame, stock: DataFrame, market: DataFrame, h: i
     s = stock.select(on, F.col(time).alias("__d"), (div(F.lead(price, h).over(series(on, time)), price) - 1).alias("own"))
     m = market.select(F.lit(0).alias("__k"), F.col(time).alias("__m"), (div(F.lead(price, h).over(series([], time)), price) - 1).alias("market"))
     out = asof_forward(events, s, [on], "at", "__d")
-    out = asof_forward(out.withColumn("__k", F.lit(0)), m, ["__k"], "at", "__m")
-    return out.withColumn("abnormal", F.col("own") - F.col("market")).drop("__k", "__d", "__m")
+    # The market is one series, so its days are looked up once each, not in one task with all events.
+    days = asof_forward(out.select(F.lit(0).alias("__k"), "at").distinct(), m, ["__k"], "at", "__m").select("at", "market")
+    return out.join(days, "at", "left").withColumn("abnormal", F.col("own") - F.col("market")).select(*out.columns, "market", "abnormal").drop("__d")
 
 
 def topic_ic_score(df: DataFrame, by: list[str], sentiment: str = "sentiment", ic: str = "ic", count: str = "n") -> DataFrame:
