@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,22 +84,80 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Rows of a shard of the base, about; similarities that a task holds at a time; how far sums of products in another order may differ.
+SHARD, HELD, SLACK = 5_000, 2_000_000, 1e-9
+
+
+def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Arrow lists of one length as the rows of a matrix, null ones as zeros, and which of them are not null."""
+    known = ~np.asarray(column.is_null().combine_chunks() if isinstance(column, pa.ChunkedArray) else column.is_null(), bool)
+    flat = np.concatenate([np.asarray(c.flatten()) for c in column.chunks] or [np.zeros(0)])
+    out = np.zeros((len(known), len(flat) // max(1, int(known.sum()))))
+    out[known] = flat.reshape(int(known.sum()), -1)
+    return out, known
+
+
+def nearest_rows(rows: pa.Table, wanted: pa.Table, k: int, apart: bool = False) -> pa.Table:
+    """(query, id, group, similarity): the k of ``rows`` (id, group, v) nearest to each of ``wanted`` by the product of their vectors,
+    then by id, without its own id and, if ``apart``, without its own group.  Pairs without a vector come last, their similarity is null.
+
+    A product of matrices chooses what comes near the k-th; that is then summed in the order of the dimensions, as ``dot`` does, so
+    copies tie exactly wherever they lie.
+    """
+    queries, found, groups, near = [], [], [], []
+    order = np.argsort(np.array(rows["id"].to_pylist()), kind="stable") if len(rows) else []
+    if len(rows) and len(wanted):
+        rows = rows.take(pa.array(order))
+        (base, known), (asked, asked_known) = matrix(rows["v"]), matrix(wanted["v"])
+        base = base if base.shape[1] else np.zeros((len(base), asked.shape[1]))
+        asked = asked if asked.shape[1] else np.zeros((len(asked), base.shape[1]))
+        ids, own = np.array(rows["id"].to_pylist()), wanted["id"].to_pylist()
+        of = np.array(rows["group"].to_pylist(), object) if "group" in rows.column_names else np.full(len(rows), None)
+        their = wanted["group"].to_pylist() if apart else [None] * len(wanted)
+        step, k_ = max(1, HELD // len(base)), max(0, len(base) - k)
+        for i in range(0, len(asked), step):
+            part = asked[i : i + step] @ base.T
+            part[:, ~known] = -2
+            part[~asked_known[i : i + step]] = -2
+            for n, s in enumerate(part, i):
+                s[np.searchsorted(ids, own[n], "left") : np.searchsorted(ids, own[n], "right")] = -np.inf
+                if their[n] is not None:
+                    s[of == their[n]] = -np.inf
+                best = np.flatnonzero((s >= np.partition(s, k_)[min(k_, len(s) - 1)] - SLACK) & (s > -np.inf))
+                exact = np.where(s[best] == -2, -2, np.cumsum(base[best] * asked[n], axis=1)[:, -1] if base.shape[1] else -2)
+                first = np.argsort(-exact, kind="stable")[:k]
+                queries += [own[n]] * len(first)
+                found += ids[best[first]].tolist()
+                groups += of[best[first]].tolist()
+                near += [x if x > -2 else None for x in exact[first].tolist()]
+    kind = rows.schema.field("id").type
+    return pa.table([pa.array(queries, kind), pa.array(found, kind), pa.array(groups, pa.string()), pa.array(near, pa.float64())], names=["query", "id", "group", "similarity"])
+
+
 def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, vector: str = "embedding", id_col: str = "id", block: int = 10_000) -> DataFrame:
     """(query, id, similarity, rank): exact cosine top-k of a stated set of queries against all rows.
 
-    Queries go in blocks of at most some ``block`` rows, each broadcast and held against all rows.  Vectors are scaled to length 1 first.  Each task of the base keeps the best k of its rows before the final ranking: the row-number
-    filter is applied inside the tasks too, so k rows per query and task are shuffled.
+    Every query meets every row, so the work is their product; it is dealt to tasks that hold about ``SHARD`` rows and ``block`` queries
+    each, however many there are.  Of these k rows per query and shard are shuffled to the final ranking.  Null vectors and those of
+    length 0 have no similarity and come last.
     """
-    def unit(df: DataFrame, v: str) -> DataFrame:
-        return df.withColumn(v, F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))))
-
-    q = unit(queries.select(F.col(id_col).alias("query"), F.col(vector).alias("__q")), "__q")
-    blocks = max(1, -(-q.count() // block))
-    if blocks > 1:
-        parts = [queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) for i in range(blocks)]
-        return reduce(DataFrame.union, [nearest_vectors(p, base, k, vector, id_col, 4 * block) for p in parts])
-    b = unit(base.select(F.col(id_col).alias("id"), F.col(vector).alias("__v")), "__v")
-    pairs = b.join(F.broadcast(q), F.col("query") != F.col("id")).select("query", "id", dot("__q", "__v").alias("similarity"))
+
+    def unit(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null").withColumn("__n", F.sqrt(dot("v", "v")))
+        return rows.select("id", F.when(F.col("__n") > 0, F.transform("v", lambda x: x / F.nullif(F.col("__n"), F.lit(0.0)))).alias("v"))
+
+    b, q = unit(base), unit(queries)
+    shards, blocks = max(1, -(-b.count() // SHARD)), max(1, -(-q.count() // block))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    b = b.select("id", "v", dealt(shards).alias("shard"), each(blocks).alias("block"))
+    q = q.select("id", "v", dealt(blocks).alias("block"), each(shards).alias("shard"))
+
+    def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        return nearest_rows(rows, wanted, k).drop_columns("group")
+
+    kind = dict(b.dtypes)["id"]
+    pairs = b.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(run, f"query {kind}, id {kind}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 

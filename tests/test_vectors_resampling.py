@@ -24,6 +24,21 @@ def test_recall_on_the_embeddings(spark):
     assert len(want) == 10 * queries.count() and len(got & want) >= 0.9 * len(want) and probes < len(index.centroids)
 
 
+def test_nearest_vectors_are_dealt_to_tasks(spark):
+    """Several blocks of queries and copies that tie; a null vector and one of length 0 come last.  No query meets all rows in a task."""
+    rng = np.random.default_rng(1)
+    v = [*rng.standard_normal((40, 4)).tolist(), *[[0.1, 0.7, 0.3, 0.9]] * 30, [0.0] * 4, None]
+    base = spark.createDataFrame(list(enumerate(v)), "id long, embedding array<double>")
+    got = J.nearest_vectors(base.filter("id % 10 = 0 or id = 71"), base, 40, block=3)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    unit = [None if x is None or not any(x) else np.array(x) / np.sqrt(sum(y * y for y in x)) for x in v]
+    cosine = lambda a, b: None if a is None or b is None else float(np.cumsum(a * b)[-1])
+    for q in (0, 60, 70, 71):
+        want = sorted(((i, cosine(unit[q], u)) for i, u in enumerate(unit) if i != q), key=lambda x: (x[1] is None, -round(x[1] or 0, 12), x[0]))[:40]
+        rows = sorted((r["rank"], r.id, r.similarity) for r in got.filter(f"query = {q}").collect())
+        assert [r[1] for r in rows] == [i for i, _ in want] and [r[2] is None for r in rows] == [x is None for _, x in want]
+
+
 def test_all_cells_give_the_exact_result(spark):
     rng = np.random.default_rng(0)
     rows = [(i, f"g{i % 7}", rng.standard_normal(8).tolist()) for i in range(400)] + [(400 + i, "copy", [1.0] * 8) for i in range(300)] + [(800, "zero", [0.0] * 8), (801, "none", None)]
