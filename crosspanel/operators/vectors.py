@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import div, draw
+from crosspanel.operators.joins import HELD, nearest_rows
 
-#: Rows that the centroids are fitted on at most, the first in the order of a digest of the id; rows of a shard of a cell, about; queries
-#: that a shard is held against at a time.
-SAMPLE, SHARD, QUERIES = 20_000, 20_000, 1_024
+#: Rows that the centroids are fitted on at most, the first in the order of a digest of the id; rows of a shard of a cell, about.
+SAMPLE, SHARD = 20_000, 20_000
 
 
 @dataclass
@@ -54,10 +54,12 @@ def _near(df: DataFrame, points: np.ndarray, probes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                v = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
+            # A slice at a time, since its rows stand for the similarities of all cells and go out once for each probe.
+            step = max(1, HELD // max(len(points), probes * points.shape[1]))
+            for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
+                v = np.asarray(part.column("v").flatten()).reshape(part.num_rows, -1)
                 cells = np.argpartition(-(v @ points.T), min(probes, len(points)) - 1, axis=1)[:, :probes]
-                rows = b.take(pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1])))
+                rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1])))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells.ravel().astype(np.int32))], names=[*kinds.names, "cell"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "cell int"])
@@ -96,25 +98,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 16, vector: s
     apart = group is not None
 
     def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(rows) and len(wanted):
-            base = np.array(rows["v"].to_pylist())
-            ids, groups = np.array(rows["id"].to_pylist()), np.array(rows["group"].to_pylist(), object)
-            by_id = np.argsort(ids, kind="stable")
-            base, ids, groups = base[by_id], ids[by_id], groups[by_id]
-            for part in wanted.to_batches(max_chunksize=QUERIES):
-                near = np.array(part["v"].to_pylist()) @ base.T
-                own, of = part["id"].to_pylist(), part["group"].to_pylist()
-                for q, g, s in zip(own, of, near, strict=True):
-                    s[ids == q] = -2
-                    if apart and g is not None:
-                        s[groups == g] = -2
-                    limit = np.partition(s, max(0, len(s) - k))[max(0, len(s) - k)]
-                    best = np.flatnonzero(s >= limit)
-                    best = best[np.argsort(-s[best], kind="stable")][:k]
-                    out += [(q, ids[i].item() if hasattr(ids[i], "item") else ids[i], groups[i], float(s[i])) for i in best if s[i] > -1.5]
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.table([pa.array(columns[0], rows.schema.field("id").type), pa.array(columns[1], rows.schema.field("id").type), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64())], names=["query", "id", "group", "similarity"])
+        return nearest_rows(rows, wanted, k, apart)
 
     found = index.rows.select("cell", "shard", "id", "group", "v").groupBy("cell", "shard").cogroup(asked.select("cell", "shard", "id", "group", "v").groupBy("cell", "shard")).applyInArrow(run, f"query {kind}, id {kind}, `group` string, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
@@ -122,16 +106,27 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 16, vector: s
 
 
 def tuned_probes(index: Index, exact: DataFrame, queries: DataFrame, recall: float = 0.9, vector: str = "embedding", id_col: str = "id") -> int:
-    """The fewest probes with which a search would have found that share of ``exact`` (query, id), the true neighbours of a sample of
-    some hundred queries: the rank of each neighbour's cell among the query's cells says how many probes reach it."""
+    """The fewest probes with which a search would have found that share of ``exact`` (query, id), the true neighbours of ``queries``:
+    the rank of each neighbour's cell among the query's cells says how many probes reach it.  Ranks are counted, a row per rank."""
+    points = index.centroids
     cells = index.rows.select("id", "cell").join(exact.select("query", "id"), "id").select("query", "cell")
-    found = cells.join(_units(queries, id_col, vector, None).select(F.col("id").alias("query"), "v"), "query").collect()
-    if not found:
-        return len(index.centroids)
-    near = np.array([r.v for r in found]) @ index.centroids.T
-    own = near[np.arange(len(found)), [r.cell for r in found]]
-    ranks = np.sort((near > own[:, None]).sum(1) + 1)
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
+    found = cells.join(_units(queries, id_col, vector, None).select(F.col("id").alias("query"), "v"), "query").select("cell", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, HELD // len(points))
+            for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
+                near = np.asarray(part.column("v").flatten()).reshape(part.num_rows, -1) @ points.T
+                own = near[np.arange(part.num_rows), np.asarray(part.column("cell"))]
+                yield pa.RecordBatch.from_arrays([pa.array((near > own[:, None]).sum(1) + 1, pa.int64())], names=["probes"])
+
+    counts = sorted((r["probes"], r["n"]) for r in found.mapInArrow(run, "probes long").groupBy("probes").agg(F.count("*").alias("n")).collect())
+    wanted, have = max(1, int(np.ceil(recall * sum(n for _, n in counts)))), 0
+    for probes, n in counts:
+        have += n
+        if have >= wanted:
+            return probes
+    return len(points)
 
 
 def peer_tone(hits: DataFrame, passages: DataFrame, tones: DataFrame, least: int = 2, times: float = 3.0, by: list[str] | None = None) -> DataFrame:
