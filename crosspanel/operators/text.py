@@ -30,7 +30,8 @@ def whole(pattern: str) -> str:
 def topic_score(text: str | Column, keywords: list[str]) -> Column:
     """Different keywords found, plus half of each further match."""
     found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(whole("|".join(keywords))), 0)
-    return F.size(F.array_distinct(found)) + 0.5 * (F.size(found) - F.size(F.array_distinct(found)))
+    # Matches are bound to a name, so that the pattern runs once however often they are counted.
+    return F.transform(F.array(found), lambda m: F.size(F.array_distinct(m)) + 0.5 * (F.size(m) - F.size(F.array_distinct(m))))[0]
 
 
 def with_topic(df: DataFrame, text: str, topics: dict[str, list[str]], out: str = "topic") -> DataFrame:
@@ -71,9 +72,11 @@ def topic_signal(
     Adds the direction beyond .1, a confidence (articles, of 10), the most frequent topic, and alerts: two articles on litigation below
     -.2, one on management below -.1, one on earnings beyond .3.
     """
-    own = df.select(*by, F.col(topic).alias("__t"), F.col(sentiment).alias("__x"), F.lit(1).alias("__own"))
-    more = df.filter(F.col(secondary) != "").select(*by, F.explode(F.split(secondary, ",")).alias("__t"), (F.col(sentiment) * 0.5).alias("__x"), F.lit(0).alias("__own"))
-    t = own.union(more).groupBy(*by, "__t").agg(F.avg("__x").alias("__x"), F.count("*").alias("__n"), F.sum("__own").alias("__a"))
+    # One pass: the texts behind these columns are read once, and each article gives a row for its own topic and one for each other.
+    one = lambda t, x, own: F.struct(t.alias("__t"), x.alias("__x"), F.lit(own).alias("__own"))
+    others = F.filter(F.split(F.coalesce(secondary, F.lit("")), ","), lambda t: t != "")
+    rows = F.concat(F.array(one(F.col(topic), F.col(sentiment).cast("double"), 1)), F.transform(others, lambda t: one(t, F.col(sentiment) * 0.5, 0)))
+    t = df.select(*by, F.inline(rows)).groupBy(*by, "__t").agg(F.avg("__x").alias("__x"), F.count("*").alias("__n"), F.sum("__own").alias("__a"))
     w = F.sqrt("__n") * (F.when(F.col("__t").isin(*strong), 1.5).otherwise(1.0) if strong else F.lit(1.0))
     alert = lambda name, least, bad: F.coalesce(F.max((F.col("__t") == name) & (F.col("__n") >= least) & bad), F.lit(False))
     x = F.col("__x")

@@ -371,3 +371,13 @@ def test_dates_in_names(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").withColumn("at", date_in_name("n"))
     got = [(str(r.at) if r.at else None, str(r.day) if r.day else None) for r in df.withColumn("day", next_trading_day("at")).orderBy("i").collect()]
     assert got == [("2026-02-03 08:56:00", "2026-02-03"), ("2026-02-06 17:00:00", "2026-02-09"), ("2026-02-07 00:00:00", "2026-02-09"), (None, None), (None, None), (None, None)]
+
+
+def test_topic_signal_reads_texts_once(spark):
+    df = spark.createDataFrame([("a", "x", "y,z", -0.5), ("a", "x", "", 0.1), ("b", "y", None, None)], "g string, topic string, topic_secondary string, adjusted double")
+    found = N.topic_signal(df, ["g"], litigation="x", management="y", earnings="z")
+    assert "Union" not in found._jdf.queryExecution().toString()
+    got = {r.g: r for r in found.collect()}
+    w = [2**0.5, 1.0, 1.0]
+    assert math.isclose(got["a"].signal, (w[0] * -0.2 - 0.25 - 0.25) / sum(w)) and got["a"].confidence == 0.2 and got["a"].top_topic == "x"
+    assert got["a"].management_alert and not got["a"].litigation_alert and got["b"].signal is None and got["b"].confidence == 0.1
