@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from crosspanel.llm._rows import map_rows, parts
 
 #: Bytes of each of a task's two caches, about; a full one starts anew, which costs time only.
-CACHE = 24_000_000
+CACHE = 96_000_000
 #: Bytes of an entry besides its ids and characters: a place in a dictionary and the heads of two objects.
 ENTRY = 220
 #: Longer pieces and chunks are not kept.
 CACHE_CHARS = 64
-#: Pieces that share a queue, and characters that are chunks at a time.
-AT_ONCE, CHARS = 20_000, 1_000_000
+#: Bytes of the pieces that share a queue (a longer piece has its own), and characters that are chunks at a time: the more pieces meet in
+#: a bucket, the fewer calls of numpy.
+AT_ONCE, CHARS = 2_000_000, 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -249,10 +250,9 @@ class Chunks:
             self.held[1] = 0
         found = list(map(self.find, parts))
         new = list(set().union(*found).difference(self.pieces))
-        for i in range(0, len(new), AT_ONCE):
-            some = new[i : i + AT_ONCE]
-            packed = self.encoder.encode_packed([p.encode("utf-8", "replace") for p in some])
-            self.pieces.update(zip(some, packed, strict=True))
+        data = [p.encode("utf-8", "replace") for p in new]
+        for i, j in runs(np.fromiter(map(len, data), np.int64, len(data)), AT_ONCE):
+            self.pieces.update(zip(new[i:j], self.encoder.encode_packed(data[i:j]), strict=True))
         get = self.pieces.__getitem__
         self.chunks.update(zip(parts, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in found], strict=True))
         for p in new:
@@ -278,6 +278,15 @@ class Chunks:
         return out
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of neighbours whose sizes add up to at most so much; what is larger by itself is a run of its own."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + most, "right")))
+        yield i, j
+        i = j
+
+
 def id_lists(packed: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))

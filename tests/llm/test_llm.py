@@ -286,6 +286,24 @@ def test_bpe_against_tiktoken(docs, odd, empty):
     assert bpe.encode_documents(odd, ranks, P.PATTERN).count() == 7 and bpe.encode_documents(empty, ranks, P.PATTERN).count() == 0
 
 
+def test_bpe_pieces_share_queues_by_their_bytes(monkeypatch):
+    """Many short pieces meet in one queue, which is what their merging costs; queues are bounded in bytes, a longer piece has its own."""
+    import public_tokenizers as P
+
+    from crosspanel.llm import bpe
+
+    rng, calls = random.Random(5), []
+    words = list({" " + "".join(rng.choices("abcdefghij", k=rng.randint(5, 9))) for _ in range(60_000)})
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    plain = bpe.Encoder.encode_packed
+    monkeypatch.setattr(bpe.Encoder, "encode_packed", lambda self, pieces: calls.append(sum(map(len, pieces))) or plain(self, pieces))
+    got = bpe.Chunks(ranks, P.PATTERN, bpe.CHUNK).packed([words])
+    assert len(calls) == 1
+    assert got == [b"".join(plain(bpe.Encoder(ranks), [w.encode() for w in words]))]
+    sizes = np.array([3, 4, 4, 25, 1, 9, 1])
+    assert list(bpe.runs(sizes, 10)) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)] and not list(bpe.runs(sizes[:0], 10))
+
+
 def test_bpe_with_ranks_in_any_order():
     import tiktoken
 
