@@ -197,6 +197,15 @@ def _pack(*parts: np.ndarray | str) -> bytes:
     return zstandard.compress(pickle.dumps([p if isinstance(p, str) else p.tobytes() for p in parts]), 3)
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Numbers as int32 with the bytes of one place next to one another, which compresses better."""
+    return np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _split(text: str, sizes: np.ndarray) -> list[str]:
     ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     return [text[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -286,18 +295,22 @@ def _composed(cuts: Cuts, b_size: int):
     def run(texts: pa.Table, found: pa.Table) -> dict:
         place: dict[str, int] = {}
         groups: list[str] = []
-        counts, found_codes = [], []
-        for data in found["data"].to_pylist():
-            *own, steps, text, spelling = pickle.loads(zstandard.decompress(data))
-            sizes, *own = (np.frombuffer(x, np.int32).astype(np.int64) for x in own)
+        counts, own_pairs, own_codes = [], [], []
+        for data in found["data"]:
+            *own, steps, text, spelling = pickle.loads(zstandard.decompress(data.as_py()))
+            sizes, *own = (np.frombuffer(x, np.int32) for x in own)
             place.update(zip(_split(text, sizes), range(len(place), len(place) + len(sizes)), strict=True))
             groups += spelling.split(" ")
             counts.append(own)
-            found_codes.append(read_links(spelling, np.frombuffer(steps, np.int8), b_size))
-        codes = np.concatenate([np.zeros(0, np.int64), *found_codes])
-        n_links, n_a, n_groups = (np.concatenate(c) for c in zip(*counts, strict=True)) if counts else [np.zeros(0, np.int64)] * 3
+            linked, codes = np.unique(read_links(spelling, np.frombuffer(steps, np.int8), b_size), return_inverse=True)
+            own_pairs.append(linked)
+            own_codes.append(codes.astype(np.int32))
+        n_links, n_a, n_groups = (np.concatenate(c).astype(np.int64) for c in zip(*counts, strict=True)) if counts else [np.zeros(0, np.int64)] * 3
         starts = np.concatenate([[0], np.cumsum(n_links)])
-        pairs, codes = np.unique(codes, return_inverse=True)  # codes: numbers of pairs from here on
+        # Links are held as numbers of pairs, which take half the room of pairs; no array of all links is sorted.
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *own_pairs]))
+        codes = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(pairs, p).astype(np.int32)[c] for p, c in zip(own_pairs, own_codes, strict=True))])
+        del counts, own_pairs, own_codes
         df = np.zeros(len(pairs), np.int64)
         out: list[tuple] = []
         for data in texts["data"]:
@@ -311,7 +324,7 @@ def _composed(cuts: Cuts, b_size: int):
                 at, times = np.unique(own, return_counts=True)
                 size = n_links[at]
                 df[np.unique(codes[np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())])] += 1
-                out.append((id_, a, n + g - a, g, n, digest, _pack(at.astype(np.int32), times.astype(np.int32))))
+                out.append((id_, a, n + g - a, g, n, digest, _pack(_planes(np.diff(at, prepend=0)), _planes(times))))
         # A pair that only documents without tokens would hold has no document.
         held = np.flatnonzero(df)
         d, k = len(out), len(held)
@@ -321,7 +334,7 @@ def _composed(cuts: Cuts, b_size: int):
         return {
             "block": [block] * (d + 1 + k), "kind": [0] * d + [1] + [2] * k, "id": [*columns[0], *blank], "n_a": [*columns[1], *blank],
             "n_b": [*columns[2], *blank], "n_groups": [*columns[3], *blank], "n_links": [*columns[4], *blank],
-            "groups_sha256": [*columns[5], *blank], "data": [*columns[6], _pack(pairs[codes], n_links.astype(np.int32)), *[None] * k],
+            "groups_sha256": [*columns[5], *blank], "data": [*columns[6], _pack(pairs, codes, n_links.astype(np.int32)), *[None] * k],
             "pair": [*[None] * (d + 1), *pairs[held].tolist()], "df": [*[None] * (d + 1), *df[held].tolist()],
         }
 
@@ -336,25 +349,23 @@ def _scored(rows: pa.Table, counts: pa.Table) -> dict:
     kind = rows["kind"].to_numpy()
     docs, one = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
 
-    def unpack(data: bytes, first: type) -> tuple[np.ndarray, np.ndarray]:
-        values, sizes = pickle.loads(zstandard.decompress(data))
-        return np.frombuffer(values, first), np.frombuffer(sizes, np.int32).astype(np.int64)
-
-    codes, sizes = unpack(one["data"][0].as_py(), np.int64) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    known, codes, sizes = pickle.loads(zstandard.decompress(one["data"][0].as_py())) if len(one) else (b"", b"", b"")
+    known, codes, sizes = np.frombuffer(known, np.int64), np.frombuffer(codes, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
     order = np.argsort(counts["pair"].to_numpy())
     pairs = counts["pair"].to_numpy()[order]
     values = np.stack([counts["n"].to_numpy()[order], counts["best"].to_numpy()[order].astype(np.int64)], 1)
     sums = np.zeros((len(sizes) + 1, 2), np.int64)
     if len(pairs):
         # Segments of documents without tokens hold pairs that no document counts; nothing reads their sums.
-        found = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-        total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values[found], axis=0)])
+        found = values[np.minimum(np.searchsorted(pairs, known), len(pairs) - 1)]
         ends = np.cumsum(sizes)
-        sums = total[ends] - total[ends - sizes]
+        for k in (0, 1):  # one after the other, since all links of the block are summed up
+            total = np.concatenate([[0], np.cumsum(found[codes, k])])
+            sums[:-1, k] = total[ends] - total[ends - sizes]
     best, total = [], []
     for data in docs["data"].to_pylist():
-        at, times = unpack(data, np.int32) if data else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        own = times @ sums[at]
+        steps, times = map(_from_planes, pickle.loads(zstandard.decompress(data)) if data else (b"", b""))
+        own = times.astype(np.int64) @ sums[np.cumsum(steps)]
         total.append(int(own[0]))
         best.append(int(own[1]))
     same = {c: docs[c].combine_chunks() for c in ("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}

@@ -107,3 +107,33 @@ def test_cuts_only_where_no_piece_merges():
     assert cutter(spec, ["a", "▁\t"])[1] is None
     assert cutter(spec | {"normalizer": {"type": "NFC"}}, ["a"]) == (None, None, "")
     assert cutter(spec, ["\n\x01\x02"]) == (None, None, "")
+
+
+def test_a_block_sorts_no_array_of_all_links():
+    """A block's links are held as numbers of pairs; the room for composing it is bounded per link (before: 66 bytes)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from crosspanel.llm import align
+
+    rng, found, texts = np.random.default_rng(1), [], []
+    for part in range(40):
+        segments = [f" {part}.{i}" for i in range(200)]
+        codes = rng.integers(0, 500, (200, 250)) * 1000 + rng.integers(0, 500, (200, 250))
+        steps, sizes = np.zeros(codes.size, np.int8), np.full(200, 250)
+        n_a, n_groups, groups = align.spelt(codes.ravel(), steps, sizes, 1000)
+        counts = [np.array(list(map(len, segments)), np.int32), *(x.astype(np.int32) for x in (sizes, n_a, n_groups))]
+        found.append(align._pack(*counts, steps, "".join(segments), " ".join(groups)))
+        texts.append(align._pack(np.array([part], np.int64), np.ones(1, bool), np.array([len("".join(segments)[1:])], np.int32), "".join(segments)[1:]))
+    run = align._composed(align.Cuts(None, None), 1000)
+    table = lambda data: pa.table({"block": pa.array([0] * len(data)), "data": pa.array(data, pa.binary())})
+    known, asked = table(found), table(texts[:0])
+    tracemalloc.start()
+    try:
+        out = run(asked, known)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out["kind"] == [1] and peak < 40 * 40 * 200 * 250
