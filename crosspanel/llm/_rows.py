@@ -88,16 +88,23 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """A query that runs inside takes its shuffle files with it."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     if (own := _written.get()) is not None:
         own.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -124,8 +131,9 @@ class Scratch:
         self.spark, self.path, self.schemas = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written once and read again."""
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        """df, written once and read again; the shuffles behind it go at once, so that the disk holds those of one step, not of all."""
+        with _shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         self.schemas[name] = df.schema
         return self.read(name)
 
@@ -134,7 +142,7 @@ class Scratch:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Removes tables that nothing will read any more; collecting the driver's garbage lets Spark remove the shuffles behind them."""
+        """Removes tables that nothing will read any more; collecting the driver's garbage lets Spark remove what is left of broadcasts."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

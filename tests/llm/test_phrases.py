@@ -66,3 +66,15 @@ def test_products_beyond_64_bits(spark):
     big = 9 * 10**15
     row = spark.sql(f"SELECT (CAST(2000000 AS DECIMAL(7, 0)) * CAST({big}L AS DECIMAL(20, 0))) div (CAST({2 * big}L AS DECIMAL(20, 0)) + {big}L) AS s").first()
     assert row.s == 2_000_000 * big // (3 * big)
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    """The shuffles behind a table of Scratch go with the query that wrote it, whoever still holds the frames it was made of."""
+    from crosspanel.llm._rows import CLEANUP, Scratch
+
+    dropped = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    made = spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count().repartition(3, "count")
+    before = dropped().shuffleStatuses().size()
+    written = Scratch(spark, "test").write(made, "made")
+    assert dropped().shuffleStatuses().size() <= before
+    assert sorted(r["count"] for r in written.collect()) == [142, 143, 143, 143, 143, 143, 143] and spark.conf.get(CLEANUP, "false") == "false"
