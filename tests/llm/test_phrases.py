@@ -78,3 +78,66 @@ def test_a_written_table_leaves_no_shuffle(spark):
     written = Scratch(spark, "test").write(made, "made")
     assert dropped().shuffleStatuses().size() <= before
     assert sorted(r["count"] for r in written.collect()) == [142, 143, 143, 143, 143, 143, 143] and spark.conf.get(CLEANUP, "false") == "false"
+
+
+def test_a_block_sends_a_row_for_each_part(spark):
+    """No table and no join has a row for each block and phrase: a block sends its phrases of a part as one row, and gets one back."""
+    from crosspanel.llm._rows import Scratch
+    from crosspanel.llm.phrases import frequent_phrases
+
+    sizes = {}
+
+    class Counted(Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if "block" in out.columns:
+                sizes[name] = out.filter("block is not null").count()
+            return out
+
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4_000)), "en") for _ in range(8)], "text string, lang string").repartition(4)
+    _, words, phrases = frequent_phrases(docs, Counted(spark, "test"), 2, block=10_000_000)
+    assert phrases[1].count() > 5_000 and words.count() == 26
+    assert sizes and max(sizes.values()) <= 4 * 13  # four blocks; twelve parts and the lists
+
+
+def test_numbers_are_spread_one_to_one():
+    import numpy as np
+
+    from crosspanel.llm.phrases import Numbers
+
+    for n in (1, 2, 3, 70, 1000, 40_000, 3_000_000_001, 2**32):
+        numbers = Numbers(n, 37)
+        first, last = (np.random.default_rng(k).integers(0, n, 5_000) for k in (1, 2))
+        first[:2], last[:2] = (0, n - 1), (0, n - 1)
+        made = numbers.of(first, last)
+        back = numbers.pairs(made)
+        assert (back[0] == first).all() and (back[1] == last).all()
+        part = numbers.part(np.sort(made)).astype(int)
+        assert (np.diff(part) >= 0).all() and 0 <= part[0] and part[-1] < 37
+        if n >= 1000:
+            assert np.bincount(part, minlength=37).max() < 300  # 135 each
+    with pytest.raises(ValueError, match="pass 64 bits"):
+        Numbers(2**32 + 1, 37)
+
+
+def test_columns_and_lists_survive_packing():
+    import numpy as np
+
+    from crosspanel.llm.phrases import packed, packed_lists, unpacked, unpacked_lists
+
+    columns = [np.array([], np.int64), np.array([0, 255, 256]), np.array([2**64 - 1, 0], np.uint64), np.array([1], np.uint8)]
+    assert [c.tolist() for c in unpacked(packed(*columns))] == [c.tolist() for c in columns]
+    lists = np.array([3, 2**31, 2**32 - 1]), np.array([2, 1, 3]), np.array([7, 2**31 - 1, 0, 1, 5, 6])
+    assert [c.tolist() for c in unpacked_lists(packed_lists(*lists))] == [c.tolist() for c in lists]
+
+
+@pytest.mark.parametrize("top", [1, 7, 40])
+def test_ties_at_the_end_go_by_phrase(spark, top):
+    """More phrases of one score and count than are kept, over all shares, and piece ends without words between words."""
+    from crosspanel.llm.phrases import collocations
+
+    rows = [(" ".join(f"w{i}a w{i}b....... " for i in range(90)), "en")] * 4 + [("x y,,; z. x y z\x00 x y z\x00", "de\nx")] * 3
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = sorted(tuple(r) for r in collocations(docs, 3, top, block=1).collect())
+    assert got == plain(rows, 3, top, 80) and len(got) > top
