@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import div, draw
+from crosspanel.functions.storage import kept
 from crosspanel.operators.joins import HELD, nearest_rows
 
 #: Rows that the centroids are fitted on at most, the first in the order of a digest of the id; rows of a shard of a cell, about.
@@ -79,7 +80,9 @@ def build_index(base: DataFrame, cells: int | None = None, vector: str = "embedd
     few = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(draw(seed, "id"), "id").limit(sample)
     found = np.array([r.v for r in few.select("v").collect()])
     points = centroids(found, cells, seed=seed) if len(found) else np.zeros((1, 1))
-    listed = _near(rows, points, 1) if len(found) else rows.withColumn("cell", F.lit(0))
+    # Cells are computed once: the last bits of a product need not repeat, so a row between two cells could be listed in one of them and
+    # its shards counted in the other.
+    listed = kept(_near(rows, points, 1)) if len(found) else rows.withColumn("cell", F.lit(0))
     shards = listed.groupBy("cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))  # a row per cell
     listed = listed.join(F.broadcast(shards), "cell").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).drop("shards")
     return Index(listed, shards, points)

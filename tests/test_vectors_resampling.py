@@ -2,8 +2,10 @@
 
 import datetime as dt
 import itertools
+import secrets
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,29 @@ def test_all_cells_give_the_exact_result(spark):
     assert V.search(V.build_index(base.limit(0)), queries, 5).count() == 0
 
 
+def test_cells_are_computed_once(spark, monkeypatch):
+    """A task's rows fall to another cell each time it is computed: shards are those of the cells that the rows are listed in."""
+    rng = np.random.default_rng(3)
+    base = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(600)], "id long, embedding array<double>").repartition(4, "id")
+    near = V._near
+
+    def drifting(df, points, probes):
+        def run(batches):
+            cell = secrets.randbelow(10)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([cell] * b.num_rows, pa.int32())], names=[*b.schema.names, "cell"])
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "cell int"])
+        return df.mapInArrow(run, schema) if probes == 1 else near(df, points, probes)
+
+    monkeypatch.setattr(V, "_near", drifting)
+    queries = base.filter("id % 100 = 0")
+    index = V.build_index(base, cells=10, shard=60)
+    got, again = ({(r.query, r.id, r["rank"]) for r in V.search(index, queries, 20, probes=10).collect()} for _ in range(2))
+    want = {(r.query, r.id, r["rank"]) for r in J.nearest_vectors(queries, base, 20).collect()}
+    assert got == want and again == want
+
+
 def test_peer_tone_by_hand(spark):
     """Tones of a, b, c: 1, 0, -1.  a: .5 less the mean of b and c; d has no passage, so all three are peers; of e's two one is e."""
     hits = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
